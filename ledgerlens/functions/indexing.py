@@ -16,14 +16,18 @@ LOCAL_DICTIONARY_LIMIT = 200_000
 
 
 def sorted_dictionary(values: DataFrame, value_col: str = "value", code_col: str = "code",
-                      local_limit: int = LOCAL_DICTIONARY_LIMIT) -> DataFrame:
-    """``values`` holds one column ``value_col``; returns distinct values with
-    their rank in ascending order as ``code_col`` (bigint)."""
+                      local_limit: int = LOCAL_DICTIONARY_LIMIT) -> tuple[DataFrame, int]:
+    """``values`` holds one column ``value_col``; returns (distinct values with
+    their rank in ascending order as ``code_col`` (bigint), number of values).
+    The dictionary is checkpointed, so it is computed once and survives the
+    loss of the executors that built it."""
     distinct = values.select(value_col).where(F.col(value_col).isNotNull()).distinct()
     n = distinct.count()
     if n <= local_limit:
-        w = Window.orderBy(value_col)
-        return distinct.select(value_col, (F.row_number().over(w) - 1).cast("bigint").alias(code_col))
+        w = Window.orderBy(value_col)   # one task, bounded by the size check above
+        dic = distinct.select(value_col, (F.row_number().over(w) - 1).cast("bigint").alias(code_col))
+        ensure_checkpoint_dir(values.sparkSession)
+        return dic.checkpoint(eager=True), n
     ensure_checkpoint_dir(values.sparkSession)
     ordered = distinct.orderBy(value_col).checkpoint(eager=True)
     tagged = ordered.select(value_col, F.spark_partition_id().alias("_pid"),
@@ -36,5 +40,6 @@ def sorted_dictionary(values: DataFrame, value_col: str = "value", code_col: str
         acc += cnt
     off = values.sparkSession.createDataFrame(offsets, "_pid int, _off long")
     low_bits = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return (tagged.join(F.broadcast(off), "_pid")
-            .select(value_col, (F.col("_off") + low_bits).cast("bigint").alias(code_col)))
+    dic = (tagged.join(F.broadcast(off), "_pid")
+           .select(value_col, (F.col("_off") + low_bits).cast("bigint").alias(code_col)))
+    return dic, n
