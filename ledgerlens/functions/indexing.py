@@ -43,3 +43,37 @@ def sorted_dictionary(values: DataFrame, value_col: str = "value", code_col: str
     dic = (tagged.join(F.broadcast(off), "_pid")
            .select(value_col, (F.col("_off") + low_bits).cast("bigint").alias(code_col)))
     return dic, n
+
+
+def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], local_limit: int = LOCAL_DICTIONARY_LIMIT,
+                suffix: str = "_before") -> DataFrame:
+    """For rows with distinct ``order_col`` values, add ``{v}{suffix}`` = sum
+    of ``v`` over all rows with a smaller ``order_col``.
+
+    Up to ``local_limit`` rows this is one ordered window (bounded by the
+    check).  Beyond it the rows are range-partitioned and checkpointed, each
+    partition computes its own running sums, and per-partition totals
+    (one row per partition) give the offsets: no task ever sees more than
+    one range partition."""
+    n = df.count()
+    if n <= local_limit:
+        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}{suffix}")
+                               for v in value_cols])
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = max(1, n // local_limit + 1)
+    ordered = df.repartitionByRange(parts, order_col).checkpoint(eager=True) \
+        .withColumn("_pid", F.spark_partition_id())
+    totals = sorted((r["_pid"], [r[v] or 0 for v in value_cols]) for r in
+                    ordered.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in value_cols]).collect())
+    offs, acc = [], [0] * len(value_cols)
+    for pid, sums in totals:
+        offs.append((pid, *acc))
+        acc = [a + s for a, s in zip(acc, sums)]
+    off = df.sparkSession.createDataFrame(
+        offs, "_pid int, " + ", ".join(f"_o{i} double" for i in range(len(value_cols))))
+    w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    return (ordered.join(F.broadcast(off), "_pid")
+            .select(*[F.col(c) for c in df.columns],
+                    *[(F.coalesce(F.sum(v).over(w), F.lit(0)) + F.col(f"_o{i}")).alias(f"{v}{suffix}")
+                      for i, v in enumerate(value_cols)]))
