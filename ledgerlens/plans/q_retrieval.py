@@ -1 +1,191 @@
-"""Registered queries."""
+"""Registered retrieval queries (RET-1..9, SNK-4, SRC-9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions.exprs import r6
+from ..operators import anomaly as A
+from ..operators import retrieval as RT
+from ..session import scratch_path
+from ..sources.views import SQL_SCORED, SQL_TXN, read_table, scored, txn
+from .catalog import register
+from .q_anomaly import _f_sql, _z_sql
+from .q_stats import PY_TS, page_frame, q_anomaly_report
+from . import q_stats
+
+LETTERS = RT.LETTERS
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_letters(t: str) -> str:
+    return "[" + ", ".join(f"(length(lower({t})) - length(replace(lower({t}), '{ch}', ''))) / greatest(length({t}), 1)::double"
+                           for ch in LETTERS) + "]"
+
+
+def sql_dist(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::double - z[2]::double) ** 2))"
+
+
+def sql_chunks(src: str, id_col: str, text_col: str) -> str:
+    return f"""chunks AS (
+  SELECT {id_col}, i AS chunk_no, substr({text_col}, cast(i * 800 + 1 AS bigint), 1000) AS chunk FROM (
+    SELECT {id_col}, {text_col},
+           unnest(range(0, CASE WHEN length({text_col}) <= 1000 THEN 1
+                                ELSE cast(ceil((length({text_col}) - 1000) / 800.0) AS bigint) + 1 END)) AS i
+    FROM {src}))"""
+
+
+# --- RET-1..3 on the transaction table ------------------------------------
+
+def _flagged_scored(spark, sf_dir):
+    s = scored(spark, sf_dir).drop("anomaly_raw", "fraud_prediction")
+    return A.flag_anomalies(s)
+
+
+SQL_DOCS = SQL_SCORED + f""", {_z_sql('scored')}, {_f_sql('scored')},
+flagged AS (SELECT s.*, coalesce(z.z > 3, false) OR (u.customer_id IS NOT NULL) AS is_anomaly
+            FROM scored s JOIN z ON z.row_id = s.transaction_id LEFT JOIN unusual u ON u.customer_id = s.customer_id),
+docs AS (SELECT transaction_id AS row_id,
+  'Transaction ID: ' || transaction_id || chr(10) || 'transaction_id: ' || transaction_id || chr(10)
+  || 'customer_id: ' || customer_id || chr(10) || 'amount: ' || cast(amount AS varchar) || chr(10)
+  || 'category: ' || category || chr(10) || 'transaction_date: ' || {PY_TS.format(c='transaction_date')} || chr(10)
+  || 'is_fraud: ' || is_fraud || chr(10) AS page_content,
+  transaction_id AS transaction_index, is_anomaly, fraud_probability AS risk_score,
+  'transactions.csv' AS source_file FROM flagged)"""
+
+
+@register("row_documents", f"""WITH {SQL_DOCS}
+SELECT row_id, page_content, transaction_index, is_anomaly, round(risk_score, 6) AS risk_score, source_file FROM docs""")
+def q_row_documents(spark, sf_dir):
+    d = RT.row_documents(_flagged_scored(spark, sf_dir), "transaction_id")
+    return d.select("row_id", "page_content", "metadata.transaction_index", "metadata.is_anomaly",
+                    r6(F.col("metadata.risk_score")).alias("risk_score"), "metadata.source_file")
+
+
+@register("row_text", f"""WITH {SQL_TXN}
+SELECT transaction_id AS row_id,
+  'Transaction ' || transaction_id || ':' || chr(10) || 'transaction_id: ' || transaction_id || chr(10)
+  || 'customer_id: ' || customer_id || chr(10) || 'amount: ' || cast(amount AS varchar) || chr(10)
+  || 'category: ' || category || chr(10) || 'transaction_date: ' || {PY_TS.format(c='transaction_date')} || chr(10)
+  || 'is_fraud: ' || is_fraud || chr(10) AS text FROM txn""")
+def q_row_text(spark, sf_dir):
+    return RT.row_text(txn(spark, sf_dir), "transaction_id")
+
+
+@register("corpus_cap", f"""WITH {SQL_DOCS}
+SELECT row_id, page_content FROM docs ORDER BY row_id LIMIT 1000""")
+def q_corpus_cap(spark, sf_dir):
+    d = RT.row_documents(_flagged_scored(spark, sf_dir), "transaction_id")
+    return RT.corpus_cap(d.select("row_id", "page_content"))
+
+
+# --- RET-4 chunking over whole documents ----------------------------------
+
+SQL_DOC_CHUNKS = sql_chunks("documents", "doc_id", "text")
+
+
+@register("chunk_fixed", f"WITH {SQL_DOC_CHUNKS}\nSELECT doc_id, chunk_no, chunk FROM chunks")
+def q_chunk_fixed(spark, sf_dir):
+    return RT.chunk_fixed(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@register("chunk_recursive")
+def q_chunk_recursive(spark, sf_dir):
+    return RT.chunk_recursive(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@register("corpus_roundtrip", f"WITH {SQL_DOC_CHUNKS}\nSELECT doc_id, chunk_no, chunk FROM chunks")
+def q_corpus_roundtrip(spark, sf_dir):
+    from ..sources.corpus import read_corpus, write_corpus
+    chunks = RT.chunk_fixed(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    path = scratch_path(spark, "corpus")
+    write_corpus(chunks.withColumn("embedding", RT.letter_embedding(F.col("chunk"))), path)
+    return read_corpus(spark, path).select("doc_id", "chunk_no", "chunk")
+
+
+# --- RET-5..9 search ------------------------------------------------------
+
+SQL_EMB_LONG = """ex AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings)"""
+
+
+@register("vector_topk", f"""WITH {SQL_EMB_LONG},
+q AS (SELECT list(m ORDER BY pos) AS query FROM (SELECT pos, avg(x::double) AS m FROM ex GROUP BY pos)),
+d AS (SELECT vec_id, {sql_dist('embedding', 'query')} AS distance FROM embeddings, q)
+SELECT vec_id, row_number() OVER (ORDER BY distance, vec_id) AS rank, round(distance, 6) AS distance
+FROM d ORDER BY distance, vec_id LIMIT 5""")
+def q_vector_topk(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    q = RT.centroid(e, "embedding").withColumn("query_id", F.lit(0))
+    hits = RT.top_k(e, "vec_id", "embedding", q, "query_id")
+    return hits.select("vec_id", "rank", r6(F.col("distance")).alias("distance"))
+
+
+@register("vector_topk_batch", f"""WITH {SQL_EMB_LONG},
+q AS (SELECT label AS query_label, list(m ORDER BY pos) AS query
+      FROM (SELECT label, pos, avg(x::double) AS m FROM ex GROUP BY label, pos) GROUP BY label),
+d AS (SELECT query_label, vec_id, {sql_dist('embedding', 'query')} AS distance FROM embeddings, q)
+SELECT query_label, vec_id, rank, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
+def q_vector_topk_batch(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    q = RT.centroid(e, "embedding", "label").withColumnRenamed("label", "query_label")
+    hits = RT.top_k(e, "vec_id", "embedding", q, "query_label")
+    return hits.select("query_label", "vec_id", "rank", r6(F.col("distance")).alias("distance"))
+
+
+def _questions(spark):
+    return spark.createDataFrame(list(enumerate(C.RUN_QUESTIONS)), "query_id int, query string") \
+        .withColumn("qvec", RT.letter_embedding(F.col("query")))
+
+
+def _doc_hits(spark, sf_dir):
+    chunks = RT.chunk_fixed(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    items = chunks.withColumn("vec", RT.letter_embedding(F.col("chunk")))
+    return RT.top_k(items, ["doc_id", "chunk_no"], "vec", _questions(spark), "query_id", "qvec",
+                    carry=["chunk"], query_carry=["query"])
+
+
+SQL_QUESTIONS = "qs AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {sql_str(q)})" for i, q in enumerate(C.RUN_QUESTIONS)) + ") t(query_id, query))"
+
+SQL_HITS = f"""{SQL_DOC_CHUNKS}, {SQL_QUESTIONS},
+cv AS (SELECT doc_id, chunk_no, chunk, {sql_letters('chunk')} AS vec FROM chunks),
+qv AS (SELECT query_id, query, {sql_letters('query')} AS qvec FROM qs),
+d AS (SELECT query_id, query, doc_id, chunk_no, chunk, {sql_dist('vec', 'qvec')} AS distance FROM cv, qv),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id, chunk_no) AS rank
+                        FROM d) WHERE rank <= 5)"""
+
+
+@register("retrieval_result", f"""WITH {SQL_HITS}
+SELECT query_id, query, rank, doc_id, chunk_no, round(distance, 6) AS distance FROM hits""")
+def q_retrieval_result(spark, sf_dir):
+    h = _doc_hits(spark, sf_dir)
+    return h.select("query_id", "query", "rank", "doc_id", "chunk_no", r6(F.col("distance")).alias("distance"))
+
+
+@register("packed_prompt", f"""WITH {SQL_HITS}
+SELECT query_id, query,
+       printf({sql_str(C.QA_PROMPT.replace('{context}', '%s').replace('{question}', '%s'))},
+              string_agg(chunk, chr(10) || chr(10) ORDER BY rank), query) AS prompt,
+       count(*) AS n_sources
+FROM hits GROUP BY query_id, query""")
+def q_packed_prompt(spark, sf_dir):
+    return RT.pack_prompt(_doc_hits(spark, sf_dir), "query_id", "query", "chunk")
+
+
+def _report_sql_body() -> str:
+    sql = q_stats.ORACLE_ANOMALY_REPORT
+    head, _, select = sql.rpartition("\nSELECT CASE WHEN na = 0")
+    return head + ",\nreport_doc AS (SELECT 0 AS doc_id, CASE WHEN na = 0" + select + ")"
+
+
+@register("report_document", _report_sql_body() + ", " + sql_chunks("report_doc", "doc_id", "report")[0:]
+          + "\nSELECT doc_id, chunk_no, chunk FROM chunks")
+def q_report_document(spark, sf_dir):
+    rep = q_anomaly_report(spark, sf_dir).select(F.lit(0).cast("bigint").alias("doc_id"), F.col("report"))
+    return RT.chunk_fixed(rep, "doc_id", "report")

@@ -193,7 +193,7 @@ def q_anomaly_threshold(spark, sf_dir):
                                             "is_anomaly")
 
 
-@register("anomaly_report", f"""WITH {SQL_SCORED}, {SQL_PAGE},
+ORACLE_ANOMALY_REPORT = f"""WITH {SQL_SCORED}, {SQL_PAGE},
 st AS (SELECT count(*) AS n, count(*) FILTER (WHERE is_anomaly) AS na,
               min(anomaly_score) FILTER (WHERE is_anomaly) AS low,
               avg(Scaled_Amount) FILTER (WHERE is_anomaly) AS sa,
@@ -214,7 +214,10 @@ SELECT CASE WHEN na = 0 THEN 'No anomalies detected in this batch based on the I
     || '    - Average Scaled_Amount for normal transactions: ' || printf('%.2f', sn) || chr(10)
     || '    Sample Anomalous Transaction Details (Top 3 most isolated events):' || chr(10) || '    '
     || coalesce(rows, '') END AS report
-FROM st, lines""")
+FROM st, lines"""
+
+
+@register("anomaly_report", ORACLE_ANOMALY_REPORT)
 def q_anomaly_report(spark, sf_dir):
     return R.anomaly_report(page_frame(spark, sf_dir), txn(spark, sf_dir))
 

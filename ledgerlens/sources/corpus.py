@@ -1,0 +1,15 @@
+"""Persisted retrieval corpus (SNK-4, SRC-9): chunks and their vectors as
+parquet under a collection path (in the shared scratch or any table path)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def write_corpus(chunks: DataFrame, path: str) -> str:
+    chunks.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
