@@ -62,9 +62,9 @@ def one_hot(df: DataFrame, values: dict[str, list[str]] | None = None) -> DataFr
     return df.select("*", *extra) if extra else df
 
 
-def timestamp_expand(df: DataFrame) -> DataFrame:
+def timestamp_expand(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """FEA-3: each timestamp column becomes _hour, _day, _month, _dayofweek."""
-    for c in temporal_columns(df):
+    for c in (temporal_columns(df) if cols is None else cols):
         d = F.col(c)
         df = (df.withColumn(f"{c}_hour", F.hour(d)).withColumn(f"{c}_day", F.dayofmonth(d))
               .withColumn(f"{c}_month", F.month(d)).withColumn(f"{c}_dayofweek", F.weekday(d))
@@ -178,7 +178,7 @@ def prepare_features(df: DataFrame, state: FeatureState, target_col: str | None
     carried = [F.col(k).alias(f"__{k}") for k in keep]
     y = [F.col(target).alias("__label")] if target and target in df.columns else []
     X = df.select(*carried, *y, *[F.col(c) for c in df.columns if c != target])
-    X = timestamp_expand(X)
+    X = timestamp_expand(X, [c for c in temporal_columns(X) if not c.startswith("__")])
     strings = [c for c in string_columns(X) if not c.startswith("__")]
     if fit:
         state.target = target

@@ -93,3 +93,101 @@ def q_risk_bands(spark, sf_dir):
     s = scored(spark, sf_dir)
     return s.select("transaction_id", r6(F.col("fraud_probability")).alias("fraud_probability"),
                     M.risk_band("fraud_probability").alias("risk_level"))
+
+
+# --- models (rows-only checks: learned parameters have no SQL twin) --------
+
+from ..operators import fraud as FR  # noqa: E402
+from ..operators import iforest as IF  # noqa: E402
+from ..operators import report as R  # noqa: E402
+from ..operators.features import FeatureState, prepare_features  # noqa: E402
+from ..operators.smote import smote as smote_rows  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources.views import txn_orders  # noqa: E402
+
+
+def _fraud(spark, sf_dir):
+    return FR.train_fraud_model(txn(spark, sf_dir), "is_fraud")
+
+
+@register("fraud_train")
+def q_fraud_train(spark, sf_dir):
+    fm = _fraud(spark, sf_dir)
+    return fm.metrics["accuracy"].crossJoin(fm.metrics["roc_auc"]) \
+        .withColumn("n_features", F.lit(len(fm.state.feature_columns)))
+
+
+@register("fraud_report")
+def q_fraud_report(spark, sf_dir):
+    return _fraud(spark, sf_dir).metrics["classification_report"]
+
+
+@register("fraud_importance")
+def q_fraud_importance(spark, sf_dir):
+    return _fraud(spark, sf_dir).metrics["feature_importance"]
+
+
+@register("fraud_scores")
+def q_fraud_scores(spark, sf_dir):
+    t = txn(spark, sf_dir)
+    p = FR.predict_fraud(FR.train_fraud_model(t, "is_fraud"), t)
+    return p.select("transaction_id", "fraud_probability", "fraud_prediction", "risk_level")
+
+
+@register("fraud_summary")
+def q_fraud_summary(spark, sf_dir):
+    t = txn(spark, sf_dir)
+    return R.risk_summary(FR.predict_fraud(FR.train_fraud_model(t, "is_fraud"), t))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    t = txn(spark, sf_dir)
+    fm = FR.train_fraud_model(t, "is_fraud")
+    path = scratch_path(spark, "models")
+    FR.save_fraud_model(fm, path)
+    back = FR.load_fraud_model(spark, path)
+    a = FR.predict_fraud(fm, t).select("transaction_id", F.col("fraud_probability").alias("p_trained"))
+    b = FR.predict_fraud(back, t).select("transaction_id", F.col("fraud_probability").alias("p_loaded"))
+    return a.join(b, "transaction_id")
+
+
+@register("smote")
+def q_smote(spark, sf_dir):
+    t = txn(spark, sf_dir)
+    train = t.where(~SP.split_flag("transaction_id"))
+    st = FeatureState()
+    X = prepare_features(train, st, "is_fraud", keep=["transaction_id"], fit=True)
+    return smote_rows(X.select("__transaction_id", *st.feature_columns, "__label"), st.feature_columns,
+                      id_col="__transaction_id")
+
+
+def _iforest(spark, sf_dir, contamination=0.1):
+    t = txn(spark, sf_dir)
+    st = FeatureState()
+    X = prepare_features(t, st, None, keep=["transaction_id"], fit=True)
+    return IF.train_iforest(X, st.feature_columns, "__transaction_id", contamination=contamination), X
+
+
+@register("iforest_train")
+def q_iforest_train(spark, sf_dir):
+    m, X = _iforest(spark, sf_dir)
+    return spark.createDataFrame(m.nodes)
+
+
+@register("iforest_metrics")
+def q_iforest_metrics(spark, sf_dir):
+    m, X = _iforest(spark, sf_dir)
+    return IF.training_metrics(m, X, "__transaction_id")
+
+
+@register("iforest_scores")
+def q_iforest_scores(spark, sf_dir):
+    m, X = _iforest(spark, sf_dir)
+    return IF.score_samples(m, X, "__transaction_id").withColumnRenamed("__transaction_id", "transaction_id")
+
+
+@register("iforest_decision")
+def q_iforest_decision(spark, sf_dir):
+    m, X = _iforest(spark, sf_dir, contamination=0.01)
+    return IF.detect(m, X, "__transaction_id").withColumnRenamed("__transaction_id", "transaction_id")
