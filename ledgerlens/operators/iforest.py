@@ -157,9 +157,10 @@ def score_samples(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:
                     node[live] = np.where(go_left, left[t, node[live]], right[t, node[live]])
                 total += leafval[t, node]
             score = -np.power(2.0, -(total / n_trees) / cpsi)
-            yield pd.DataFrame({row_id: b[row_id], "score": score})
+            yield pd.DataFrame({"_rid": b["_rid"], "score": score})
 
-    return X.select(row_id, *feats).mapInPandas(run, f"{row_id} {rid_type}, score double")
+    out = X.select(F.col(row_id).alias("_rid"), *feats).mapInPandas(run, f"_rid {rid_type}, score double")
+    return out.withColumnRenamed("_rid", row_id)
 
 
 def detect(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:

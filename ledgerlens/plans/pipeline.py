@@ -1,0 +1,104 @@
+"""The reference's two end-to-end flows as one lazy Spark plan each.
+
+A. full run: load -> clean -> features -> {anomaly records, model scores}
+   -> {risk summary, trends, documents} -> retrieval prompts -> summary.
+B. page run: load (coerce, impute, scale) -> isolation forest -> alerts ->
+   report -> one-document corpus.
+
+The cleaned table feeds many consumers, so it is checkpointed (reliable
+storage under ``spark.checkpoint.dir``): recomputation after a lost executor
+starts from there, not from the raw files."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions.columns import training_label_column
+from ..operators import anomaly as A
+from ..operators import clean as K
+from ..operators import features as FE
+from ..operators import fraud as FR
+from ..operators import iforest as IF
+from ..operators import report as R
+from ..operators import retrieval as RT
+from ..operators import stats as S
+from ..session import ensure_checkpoint_dir
+
+
+@dataclass
+class RunResult:
+    processed: DataFrame
+    records: DataFrame
+    stats: DataFrame
+    predictions: DataFrame
+    risk: DataFrame
+    metrics: dict = field(default_factory=dict)
+    report: DataFrame | None = None
+    prompts: DataFrame | None = None
+    chunks: DataFrame | None = None
+    summary: DataFrame | None = None
+
+
+def full_run(df: DataFrame, row_id: str = "transaction_id", questions=tuple(C.RUN_QUESTIONS)) -> RunResult:
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    processed = FE.one_hot(FE.calendar_features(K.clean(df))).checkpoint(eager=True)
+    records = A.anomaly_records(processed, row_id)
+    stats = S.dataset_stats(processed, records)
+    label = training_label_column(processed)
+    metrics: dict = {}
+    if label is not None:
+        fm = FR.train_fraud_model(processed, label, row_id)
+        predictions = FR.predict_fraud(fm, processed)
+        metrics = fm.metrics
+    else:
+        st = FE.FeatureState()
+        X = FE.prepare_features(processed, st, "", keep=[row_id], fit=True)
+        model = IF.train_iforest(X, st.feature_columns, f"__{row_id}")
+        det = IF.detect(model, X, f"__{row_id}").select(
+            F.col(f"__{row_id}").alias(row_id), F.col("is_anomaly").cast("int").alias("is_anomaly"),
+            "anomaly_score")
+        predictions = processed.join(det, row_id)
+        metrics = {"training": IF.training_metrics(model, X, f"__{row_id}")}
+    risk = R.risk_summary(predictions)
+    docs = RT.corpus_cap(RT.row_documents(predictions, row_id).select("row_id", "page_content"))
+    texts = RT.row_text(docs.select("row_id", F.col("page_content").alias("content")), "row_id",
+                        text_columns=["content"])
+    chunks = RT.chunk_fixed(texts, "row_id", "text")
+    qdf = spark.createDataFrame(list(enumerate(questions)), "query_id int, query string") \
+        .withColumn("qvec", RT.letter_embedding(F.col("query")))
+    hits = RT.top_k(chunks.withColumn("vec", RT.letter_embedding(F.col("chunk"))), ["row_id", "chunk_no"], "vec",
+                    qdf, "query_id", "qvec", carry=["chunk"], query_carry=["query"])
+    prompts = RT.pack_prompt(hits, "query_id", "query", "chunk")
+    report = R.text_report(predictions)
+    summary = R.final_summary(report, risk, records)
+    return RunResult(processed, records, stats, predictions, risk, metrics, report, prompts, chunks, summary)
+
+
+@dataclass
+class PageResult:
+    processed: DataFrame
+    original: DataFrame
+    flagged: DataFrame
+    alerts: DataFrame
+    report: DataFrame
+    report_chunks: DataFrame
+    n_imputed: int
+    median: float | None
+
+
+def page_run(df: DataFrame, row_id: str = "transaction_id",
+             contamination: float = C.IFOREST_CONTAMINATION_PAGE) -> PageResult:
+    processed, original, n_imp, med = K.page_load(df)
+    feats = [c for c in processed.columns if c != "Class"]
+    model = IF.train_iforest(processed, feats, row_id, contamination=contamination)
+    det = IF.detect(model, processed, row_id).select(row_id, F.col("decision").alias("anomaly_score"), "is_anomaly")
+    flagged = processed.join(det, row_id)
+    alerts = R.alert_list(flagged, original, row_id)
+    report = R.anomaly_report(flagged, original, row_id)
+    chunks = RT.chunk_fixed(report.select(F.lit(0).cast("bigint").alias("doc_id"), "report"), "doc_id", "report")
+    return PageResult(processed, original, flagged, alerts, report, chunks, n_imp, med)

@@ -191,3 +191,34 @@ def q_iforest_scores(spark, sf_dir):
 def q_iforest_decision(spark, sf_dir):
     m, X = _iforest(spark, sf_dir, contamination=0.01)
     return IF.detect(m, X, "__transaction_id").withColumnRenamed("__transaction_id", "transaction_id")
+
+
+# --- end-to-end flows --------------------------------------------------------
+
+from . import pipeline as PL  # noqa: E402
+from .q_clean import txn_text  # noqa: E402
+
+
+@register("pipeline_full_summary")
+def q_pipeline_full_summary(spark, sf_dir):
+    return PL.full_run(txn(spark, sf_dir)).summary
+
+
+@register("pipeline_full_prompts")
+def q_pipeline_full_prompts(spark, sf_dir):
+    return PL.full_run(txn(spark, sf_dir)).prompts
+
+
+@register("pipeline_unsupervised")
+def q_pipeline_unsupervised(spark, sf_dir):
+    return PL.full_run(txn_orders(spark, sf_dir)).risk
+
+
+@register("pipeline_page_alerts")
+def q_pipeline_page_alerts(spark, sf_dir):
+    return PL.page_run(txn_text(spark, sf_dir)).alerts
+
+
+@register("pipeline_page_report")
+def q_pipeline_page_report(spark, sf_dir):
+    return PL.page_run(txn_text(spark, sf_dir)).report
