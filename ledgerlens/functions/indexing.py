@@ -64,9 +64,9 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], local_limi
     parts = max(1, n // local_limit + 1)
     ordered = df.repartitionByRange(parts, order_col).checkpoint(eager=True) \
         .withColumn("_pid", F.spark_partition_id())
-    totals = sorted((r["_pid"], [r[v] or 0 for v in value_cols]) for r in
+    totals = sorted((r["_pid"], [float(r[v] or 0) for v in value_cols]) for r in
                     ordered.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in value_cols]).collect())
-    offs, acc = [], [0] * len(value_cols)
+    offs, acc = [], [0.0] * len(value_cols)
     for pid, sums in totals:
         offs.append((pid, *acc))
         acc = [a + s for a, s in zip(acc, sums)]

@@ -58,7 +58,8 @@ def text_report(df: DataFrame) -> DataFrame:
     if dcol:
         rng = date_range(df, dcol)
         frame = frame.crossJoin(rng)
-        tail = F.concat(F.lit("\nTime Period: "), F.col("start"), F.lit(" to "), F.col("end"), F.lit("\n"))
+        tail = F.concat(F.lit("\nTime Period: "), F.coalesce(F.col("start"), F.lit("NaT")), F.lit(" to "),
+                        F.coalesce(F.col("end"), F.lit("NaT")), F.lit("\n"))
         if amt:
             frame = frame.crossJoin(daily_peak(df, dcol, amt))
             peak = F.concat(F.lit("Peak Day: "), F.coalesce(F.col("peak_day"), F.lit("N/A")),
