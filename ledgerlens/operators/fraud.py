@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import training_label_column
+from ..functions.partitioning import ensure_parallelism
+from ..session import ensure_checkpoint_dir
 from .features import FeatureState, prepare_features
 from .metrics import accuracy, classification_report, confusion_matrix, risk_band, roc_auc
 from .sampling import split_flag, with_class_weights
@@ -60,6 +62,10 @@ def train_fraud_model(df: DataFrame, target_col: str | None = None, row_id: str
         synth = smote(train.select(f"__{row_id}", *feats, "__label"), feats, id_col=f"__{row_id}")
         train = train.select(*feats, "__label").unionByName(synth)
     train = with_class_weights(train.select(*feats, "__label"), "__label", "__weight")
+    # the forest reads its input several times (split finding, bagging):
+    # materialise it once, spread over the cluster, lineage cut
+    ensure_checkpoint_dir(df.sparkSession)
+    train = ensure_parallelism(train).checkpoint(eager=True)
     model = _assembled_pipeline(feats, seed).fit(train)
     fm = FraudModel(state=state, model=model, row_id=row_id)
     pred = _score(fm, test.withColumn("__label", F.col("__label").cast("double")))

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.exprs import md5_unit
+from ..functions.partitioning import ensure_parallelism
+from ..session import ensure_checkpoint_dir
 from ..functions.quantiles import exact_quantiles
 
 EULER = 0.5772156649
@@ -31,6 +32,11 @@ NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, rig
                "size long, depth int, leaf boolean")
 
 
+def _unit(rid, tree, seed: int):
+    """Uniform [0, 1) from a 64-bit hash of (row, tree, seed)."""
+    return F.shiftrightunsigned(F.xxhash64(rid, tree, F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
 def c_factor(n) -> np.ndarray:
     """Average path length of an unsuccessful BST search over n points."""
     n = np.asarray(n, dtype=np.float64)
@@ -81,18 +87,16 @@ def train_iforest(X: DataFrame, features: list[str], row_id: str, n_trees: int =
                   subsample: int = C.IFOREST_SUBSAMPLE, contamination: float = C.IFOREST_CONTAMINATION_AGENT,
                   seed: int = C.SEED) -> IForestModel:
     """MLU-1 (+ the MLU-3 offset from the training scores)."""
+    ensure_checkpoint_dir(X.sparkSession)
     n = X.count()
     psi = max(1, min(subsample, n))
-    rate = min(1.0, 2.0 * psi * n_trees / max(n, 1))
-    pool = X.where(md5_unit(row_id, seed=f"{seed}:pool") < F.lit(rate)) if rate < 1.0 else X
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    trees = pool.select(F.col(row_id).alias("_rid"), vec.alias("_x"),
-                        F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    w = Window.partitionBy("tree").orderBy("_h", "_rid")
-    picked = (trees.withColumn("_h", md5_unit(F.col("_rid"), F.col("tree"), seed=seed))
-              .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
-              .select("tree", "_x"))
     max_depth = int(math.ceil(math.log2(psi))) if psi > 1 else 0
+    rate = min(1.0, 2.0 * psi * n_trees / max(n, 1))
+    pool = X.where(_unit(F.col(row_id), F.lit(-1), seed) < F.lit(rate)) if rate < 1.0 else X
+    pool = pool.select(F.col(row_id).alias("_rid"),
+                       F.array(*[F.col(c).cast("double") for c in features]).alias("_x")) \
+        .checkpoint(eager=True)   # ~2 psi trees rows: one scan of X, reused below
+    pool_n = pool.count()
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
@@ -100,9 +104,23 @@ def train_iforest(X: DataFrame, features: list[str], row_id: str, n_trees: int =
         return pd.DataFrame(_grow(t, mat, seed, max_depth),
                             columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth", "leaf"])
 
-    nodes = picked.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()   # <= trees * (2 psi - 1) rows
+    # per tree, a hash threshold keeps ~2 psi candidates before any sort; only
+    # (tree, id, hash) is sorted, features are joined back for the picked rows
+    for factor in (2.0, None):
+        q = min(1.0, factor * psi / max(pool_n, 1)) if factor else 1.0
+        cand = pool.select("_rid", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")) \
+            .withColumn("_h", _unit(F.col("_rid"), F.col("tree"), seed))
+        if q < 1.0:
+            cand = cand.where(F.col("_h") < F.lit(q))
+        w = Window.partitionBy("tree").orderBy("_h", "_rid")
+        ids = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).select("tree", "_rid")
+        picked = ids.join(pool, "_rid").select("tree", "_x")
+        nodes = picked.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()   # <= trees * (2 psi - 1) rows
+        roots = nodes[nodes["node"] == 0]
+        if len(roots) == n_trees and (roots["size"] >= psi).all():
+            break
     model = IForestModel(features=list(features), nodes=nodes, psi=psi, contamination=contamination)
-    scores = score_samples(model, X, row_id)
+    scores = score_samples(model, X, row_id).checkpoint(eager=True)   # one scoring pass, reused
     model.offset = exact_quantiles(scores, [("score", contamination)])[("score", contamination)]
     return model
 
@@ -159,7 +177,8 @@ def score_samples(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:
             score = -np.power(2.0, -(total / n_trees) / cpsi)
             yield pd.DataFrame({"_rid": b["_rid"], "score": score})
 
-    out = X.select(F.col(row_id).alias("_rid"), *feats).mapInPandas(run, f"_rid {rid_type}, score double")
+    out = ensure_parallelism(X.select(F.col(row_id).alias("_rid"), *feats)) \
+        .mapInPandas(run, f"_rid {rid_type}, score double")
     return out.withColumnRenamed("_rid", row_id)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..functions.partitioning import ensure_parallelism
 from .stats import py_ts_text
 
 MAX_BROADCAST_QUERIES = 10_000
@@ -98,7 +99,7 @@ def chunk_fixed(df: DataFrame, id_col: str, text_col: str, size: int = C.CHUNK_S
     step = size - overlap
     n = F.length(text_col)
     count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(float(step))).cast("int") + 1)
-    return (df.select(id_col, text_col, F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk_no", "_i"))
+    return (ensure_parallelism(df.select(id_col, text_col)).select(id_col, text_col, F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk_no", "_i"))
             .select(F.col(id_col), F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.expr(f"substring(`{text_col}`, _i * {step} + 1, {size})").alias("chunk")))
 
@@ -177,7 +178,8 @@ def chunk_recursive(df: DataFrame, id_col: str, text_col: str, size: int = C.CHU
     def split_udf(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_recursive(t, size, overlap))
 
-    return (df.select(id_col, F.posexplode(split_udf(F.col(text_col))).alias("chunk_no", "chunk"))
+    return (ensure_parallelism(df.select(id_col, text_col))
+            .select(id_col, F.posexplode(split_udf(F.col(text_col))).alias("chunk_no", "chunk"))
             .withColumn("chunk_no", F.col("chunk_no").cast("bigint")))
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.exprs import md5_unit
 from ..functions.indexing import sorted_dictionary
+from ..functions.partitioning import ensure_parallelism
 from ..session import ensure_checkpoint_dir
 
 KNN_SCHEMA = "qid long, rank long, nid long, dist double"
@@ -73,7 +74,7 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int =
                 if len(b):
                     qx = np.array(b["v"].tolist(), dtype=np.float64).reshape(len(b), -1)
                     yield _local_knn(b["id"].to_numpy(np.int64), qx, cids, cx, k)
-        return pts.mapInPandas(run, KNN_SCHEMA)
+        return ensure_parallelism(pts).mapInPandas(run, KNN_SCHEMA)
     return _knn_blocks(pts, k, m, block)
 
 
