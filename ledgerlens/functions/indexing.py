@@ -46,7 +46,7 @@ def sorted_dictionary(values: DataFrame, value_col: str = "value", code_col: str
 
 
 def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], local_limit: int = LOCAL_DICTIONARY_LIMIT,
-                suffix: str = "_before") -> DataFrame:
+                suffix: str = "_before", rows_per_partition: int = 2_000_000) -> DataFrame:
     """For rows with distinct ``order_col`` values, add ``{v}{suffix}`` = sum
     of ``v`` over all rows with a smaller ``order_col``.
 
@@ -61,7 +61,7 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], local_limi
         return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}{suffix}")
                                for v in value_cols])
     ensure_checkpoint_dir(df.sparkSession)
-    parts = max(1, n // local_limit + 1)
+    parts = max(2, -(-n // rows_per_partition))
     ordered = df.repartitionByRange(parts, order_col).checkpoint(eager=True) \
         .withColumn("_pid", F.spark_partition_id())
     totals = sorted((r["_pid"], [float(r[v] or 0) for v in value_cols]) for r in

@@ -18,6 +18,7 @@ from .. import config as C
 from ..functions.columns import (amount_column, date_columns_by_name, float_columns,
                                  numeric_columns, string_columns, time_column_page)
 from ..functions.quantiles import exact_modes, exact_quantiles
+from ..session import ensure_checkpoint_dir
 
 
 def is_missing(df: DataFrame, c: str) -> Column:
@@ -113,10 +114,12 @@ class CleanReport:
 
 
 def clean(df: DataFrame, exclude: Sequence[str] = (), with_report: bool = False):
-    """CLN-1..5 in the reference's order.  The deduped frame is checkpointed
-    (reliable, to ``spark.checkpoint.dir``) only when a report is asked for,
-    since the report counts it several times."""
-    deduped = dedupe(df)
+    """CLN-1..5 in the reference's order.  The deduped frame feeds the null
+    count, the median narrowing and the mode pass, so it is checkpointed
+    (reliable, under ``spark.checkpoint.dir``): the dedupe shuffle runs once
+    and a lost executor does not send the job back to the raw files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    deduped = dedupe(df).checkpoint(eager=True)
     counts = null_counts(deduped)
     filled = impute_mode(impute_median(deduped, exclude, counts), exclude, counts)
     out = parse_dates(filled)

@@ -13,7 +13,8 @@ from .. import config as C
 from ..functions.columns import amount_column, category_column, first_temporal
 from ..functions.exprs import fmt_fixed, fmt_grouped
 from ..functions.quantiles import exact_quantiles
-from .stats import daily_peak, date_range, py_ts_text, top_categories
+from ..session import ensure_checkpoint_dir
+from .stats import py_ts_text
 
 # Report texts.
 REPORT_HEAD = "\n\U0001F4CA Financial Transaction Analysis Summary\n\nDataset Overview:\n"
@@ -28,13 +29,37 @@ def _one_row(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("_n"))
 
 
+def trend_aggregates(df: DataFrame, amt: str | None, cat: str | None, dcol: str | None) -> DataFrame:
+    """One scan for every number the report prints: grouping sets over
+    (), (category), (day) with count, sum, min, max and the first/last
+    timestamp.  The result has one row per category and per day plus the
+    total row; it is checkpointed so the report's pieces read it, not the
+    table.  Columns: kind ('all' / 'cat' / 'day'), key, day, n, tv, mn, mx, s, e."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = F.col(cat).cast("string") if cat else F.lit(None).cast("string")
+    day = F.to_date(dcol) if dcol else F.lit(None).cast("date")
+    x = F.col(amt).cast("double") if amt else F.lit(None).cast("double")
+    base = df.select(key.alias("key"), day.alias("day"), x.alias("x"),
+                     (F.col(dcol) if dcol else F.lit(None).cast("timestamp")).alias("t"))
+    sets = [[]] + ([["key"]] if cat else []) + ([["day"]] if dcol else [])
+    g = base.groupingSets(sets, "key", "day").agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("tv"),
+        F.min("x").alias("mn"), F.max("x").alias("mx"), F.min("t").alias("s"), F.max("t").alias("e"))
+    kind = (F.when(F.col("gid") == 3, "all").when(F.col("gid") == 1, "cat").otherwise("day"))
+    return g.select(kind.alias("kind"), "key", "day", "n", "tv", "mn", "mx", "s", "e").checkpoint(eager=True)
+
+
 def text_report(df: DataFrame) -> DataFrame:
-    """AGG-9: the natural-language summary; absent parts omitted, absent numbers 0."""
+    """AGG-9: the natural-language summary; absent parts omitted, absent
+    numbers 0.  One pass over the table (``trend_aggregates``)."""
     amt = amount_column(df, C.AMOUNT_CANDIDATES_TRENDS)
-    base = df.agg(F.count(F.lit(1)).alias("n"),
-                  *([F.sum(amt).alias("tv"), F.avg(amt).alias("av"), F.min(amt).cast("double").alias("mn"),
-                     F.max(amt).cast("double").alias("mx")] if amt else
-                    [F.lit(0.0).alias(a) for a in ("tv", "av", "mn", "mx")]))
+    cat = category_column(df) if amt else None
+    dcol = first_temporal(df)
+    agg = trend_aggregates(df, amt, cat, dcol)
+    total = agg.where(F.col("kind") == "all").select(
+        "n", F.col("tv").alias("tv"), (F.col("tv") / F.col("n")).alias("av"), "mn", "mx",
+        py_ts_text(F.col("s")).alias("start"), py_ts_text(F.col("e")).alias("end"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     head = F.concat(F.lit(REPORT_HEAD),
                     F.lit("- Total Transactions: "), F.format_string("%,d", F.col("n")), F.lit("\n"),
@@ -43,25 +68,25 @@ def text_report(df: DataFrame) -> DataFrame:
                     F.lit("- Transaction Range: $"), fmt_fixed(z("mn"), 2), F.lit(" - $"),
                     fmt_grouped(z("mx"), 2), F.lit("\n\n"))
     parts: list[Column] = [head]
-    frame = base
-    cat = category_column(df)
-    if cat and amt:
-        top = top_categories(df, C.REPORT_CATEGORIES, cat, amt)
+    frame = total
+    if cat:
+        top = (agg.where(F.col("kind") == "cat").orderBy(F.desc("tv"), F.asc("key")).limit(C.REPORT_CATEGORIES))
         lines = top.agg(F.array_sort(F.collect_list(F.struct(
-            (-F.col("total")).alias("k1"), F.col("category").alias("k2"),
-            F.concat(F.lit(BULLET), F.col("category"), F.lit(": $"), fmt_grouped(F.col("total"), 2),
+            (-F.col("tv")).alias("k1"), F.col("key").alias("k2"),
+            F.concat(F.lit(BULLET), F.col("key"), F.lit(": $"), fmt_grouped(F.col("tv"), 2),
                      F.lit("\n")).alias("line")))).alias("cats"))
         frame = frame.crossJoin(lines)
         parts.append(F.when(F.size("cats") > 0, F.concat(F.lit("\nTop Spending Categories:\n"),
                                                         F.array_join(F.col("cats.line"), ""))).otherwise(""))
-    dcol = first_temporal(df)
     if dcol:
-        rng = date_range(df, dcol)
-        frame = frame.crossJoin(rng)
         tail = F.concat(F.lit("\nTime Period: "), F.coalesce(F.col("start"), F.lit("NaT")), F.lit(" to "),
                         F.coalesce(F.col("end"), F.lit("NaT")), F.lit("\n"))
         if amt:
-            frame = frame.crossJoin(daily_peak(df, dcol, amt))
+            days = agg.where((F.col("kind") == "day") & F.col("day").isNotNull())
+            peak_df = days.agg(F.min_by("day", F.struct((-F.col("tv")).alias("nv"), F.col("day").alias("dd")))
+                               .alias("peak"), F.max("tv").alias("peak_volume")) \
+                .select(F.date_format("peak", "yyyy-MM-dd").alias("peak_day"), "peak_volume")
+            frame = frame.crossJoin(peak_df)
             peak = F.concat(F.lit("Peak Day: "), F.coalesce(F.col("peak_day"), F.lit("N/A")),
                             F.lit(" ($"), fmt_grouped(F.coalesce(F.col("peak_volume"), F.lit(0.0)), 2),
                             F.lit(")\n"))

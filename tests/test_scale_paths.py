@@ -40,7 +40,7 @@ def test_prefix_sum_paths_agree(spark):
     df = spark.range(3000).select(((F.col("id") * 37) % 3000).cast("double").alias("s"),
                                   (F.col("id") % 5).cast("double").alias("neg"))
     a = {r["s"]: r["neg_before"] for r in prefix_sums(df, "s", ["neg"]).collect()}
-    b = {r["s"]: r["neg_before"] for r in prefix_sums(df, "s", ["neg"], local_limit=100).collect()}
+    b = {r["s"]: r["neg_before"] for r in prefix_sums(df, "s", ["neg"], local_limit=100, rows_per_partition=100).collect()}
     assert a == b
 
 
