@@ -57,9 +57,11 @@ def text_report(df: DataFrame) -> DataFrame:
     cat = category_column(df) if amt else None
     dcol = first_temporal(df)
     agg = trend_aggregates(df, amt, cat, dcol)
-    total = agg.where(F.col("kind") == "all").select(
-        "n", F.col("tv").alias("tv"), (F.col("tv") / F.col("n")).alias("av"), "mn", "mx",
-        py_ts_text(F.col("s")).alias("start"), py_ts_text(F.col("e")).alias("end"))
+    # a global aggregate over the small table: exactly one row, even for an empty input
+    is_all = F.col("kind") == "all"
+    total = agg.agg(*[F.max(F.when(is_all, F.col(c))).alias(c) for c in ("n", "tv", "mn", "mx", "s", "e")]) \
+        .select(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "tv", F.try_divide(F.col("tv"), F.col("n")).alias("av"),
+                "mn", "mx", py_ts_text(F.col("s")).alias("start"), py_ts_text(F.col("e")).alias("end"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     head = F.concat(F.lit(REPORT_HEAD),
                     F.lit("- Total Transactions: "), F.format_string("%,d", F.col("n")), F.lit("\n"),
