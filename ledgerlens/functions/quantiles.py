@@ -38,7 +38,7 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
-                    max_candidates: int = 2_000_000, accuracy: int = 100_000,
+                    max_candidates: int = 2_000_000, accuracy: int = 10_000,
                     max_rounds: int = 8) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles, ``{(column, q): value}``.
 

@@ -68,7 +68,10 @@ def train_fraud_model(df: DataFrame, target_col: str | None = None, row_id: str
     train = ensure_parallelism(train).checkpoint(eager=True)
     model = _assembled_pipeline(feats, seed).fit(train)
     fm = FraudModel(state=state, model=model, row_id=row_id)
-    pred = _score(fm, test.withColumn("__label", F.col("__label").cast("double")))
+    # only (label, prediction, probability) of the test part, written once and
+    # read by the four metrics instead of re-running features + forest for each
+    pred = _score(fm, test.withColumn("__label", F.col("__label").cast("double"))) \
+        .select("__label", "fraud_prediction", "fraud_probability").checkpoint(eager=True)
     fm.metrics = {
         "accuracy": accuracy(pred, "__label", "fraud_prediction"),
         "roc_auc": roc_auc(pred, "__label", "fraud_probability", positive=1.0),

@@ -43,8 +43,11 @@ def _local_knn(qids, qx, cids, cx, k):
     out = []
     for s in range(0, len(qids), 256):
         q = qx[s:s + 256]
-        d = (q * q).sum(1)[:, None] + (cx * cx).sum(1)[None, :] - 2.0 * q @ cx.T
-        d = np.maximum(d, 0.0)
+        # sum of squared differences, dimension by dimension (exact, no cancellation)
+        d = np.zeros((len(q), len(cx)))
+        for j in range(cx.shape[1]):
+            diff = q[:, j, None] - cx[None, :, j]
+            d += diff * diff
         d[qids[s:s + 256, None] == cids[None, :]] = np.inf
         kk = min(k, d.shape[1])
         idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
@@ -165,7 +168,8 @@ def smote(train: DataFrame, features: list[str], label: str = "__label", id_col:
     nn = knn(mino, "id", "v", k_eff)
     dic, _ = sorted_dictionary(mino.select(F.col("id").alias("value")))
     n_gen = n_maj - n_min
-    gen = spark.range(n_gen).select(
+    parts = max(spark.sparkContext.defaultParallelism, n_gen // 2_000_000 + 1)
+    gen = spark.range(0, n_gen, 1, parts).select(
         F.col("id").alias("syn"),
         F.floor(md5_unit(F.col("id"), seed=f"{seed}:base") * n_min).cast("long").alias("code"),
         (F.floor(md5_unit(F.col("id"), seed=f"{seed}:nn") * k_eff) + 1).cast("long").alias("rank"),

@@ -222,3 +222,54 @@ def q_pipeline_page_alerts(spark, sf_dir):
 @register("pipeline_page_report")
 def q_pipeline_page_report(spark, sf_dir):
     return PL.page_run(txn_text(spark, sf_dir)).report
+
+
+def _smote_sql() -> str:
+    from ..sources.views import SQL_TXN, sql_md5_unit
+    feats = ["transaction_id", "customer_id", "amount", "category", "transaction_date_hour",
+             "transaction_date_day", "transaction_date_month", "transaction_date_dayofweek"]
+    raw = ["cast(tr.transaction_id AS double)", "cast(tr.customer_id AS double)", "tr.amount",
+           "cast(coalesce(codes.code, -1) AS double)", "cast(hour(tr.transaction_date) AS double)",
+           "cast(day(tr.transaction_date) AS double)", "cast(month(tr.transaction_date) AS double)",
+           "cast(isodow(tr.transaction_date) - 1 AS double)"]
+    n = len(feats)
+    fcols = ", ".join(f"{e} AS f{i}" for i, e in enumerate(raw))
+    stats = ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in range(n))
+    xcols = ", ".join(f"(f{i} - m{i}) / coalesce(nullif(s{i}, 0), 1) AS x{i}" for i in range(n))
+    dist = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(n))
+    outs = ", ".join(f"round(b.x{i} + u * (c.x{i} - b.x{i}), 6) AS {f}" for i, f in enumerate(feats))
+    return f"""WITH {SQL_TXN},
+tr AS (SELECT * FROM txn WHERE NOT ({sql_md5_unit('transaction_id', '42')} < 0.2)),
+codes AS (SELECT category AS value, dense_rank() OVER (ORDER BY category) - 1 AS code
+          FROM (SELECT DISTINCT coalesce(category, 'nan') AS category FROM tr)),
+f AS (SELECT tr.transaction_id AS rid, cast(tr.is_fraud AS double) AS lbl, {fcols}
+      FROM tr LEFT JOIN codes ON coalesce(tr.category, 'nan') = codes.value),
+st AS (SELECT {stats} FROM f),
+x AS (SELECT rid, lbl, {xcols} FROM f, st),
+mino AS (SELECT * FROM x WHERE lbl = 1),
+cnt AS (SELECT count(*) FILTER (WHERE lbl = 1) AS n_min, count(*) FILTER (WHERE lbl <> 1) AS n_maj FROM x),
+nn AS (SELECT qid, nid, rank FROM (
+         SELECT a.rid AS qid, b.rid AS nid,
+                row_number() OVER (PARTITION BY a.rid ORDER BY {dist}, b.rid) AS rank
+         FROM mino a JOIN mino b ON a.rid <> b.rid) WHERE rank <= least(5, (SELECT n_min - 1 FROM cnt))),
+dic AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS code FROM mino),
+syn AS (SELECT unnest(range(0, n_maj - n_min)) AS syn, n_min FROM cnt),
+gen AS (SELECT syn, cast(floor({sql_md5_unit('syn', '42:base')} * n_min) AS bigint) AS code,
+               cast(floor({sql_md5_unit('syn', '42:nn')} * least(5, n_min - 1)) + 1 AS bigint) AS rank,
+               {sql_md5_unit('syn', '42:step')} AS u FROM syn)
+SELECT {outs}, 1 AS __label
+FROM gen JOIN dic ON dic.code = gen.code JOIN nn ON nn.qid = dic.rid AND nn.rank = gen.rank
+JOIN mino b ON b.rid = dic.rid JOIN mino c ON c.rid = nn.nid"""
+
+
+ORACLE_SMOTE = _smote_sql()
+
+
+def q_smote_rounded(spark, sf_dir):
+    out = q_smote(spark, sf_dir)
+    return out.select(*[r6(F.col(c)).alias(c) if c != "__label" else F.col(c) for c in out.columns])
+
+
+from .catalog import QUERIES as _Q, ORACLE as _O  # noqa: E402
+_Q["smote"] = q_smote_rounded
+_O["smote"] = ORACLE_SMOTE
