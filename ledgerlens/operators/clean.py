@@ -93,9 +93,11 @@ def parse_dates(df: DataFrame, cols: Sequence[str] | None = None, numeric_epoch:
         if c not in cols:
             out.append(F.col(c))
         elif isinstance(types[c], T.StringType):
-            out.append(F.try_to_timestamp(F.col(c)).alias(c))
+            # naive wall-clock time, as pandas gives: independent of the session time zone
+            out.append(F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)").alias(c))
         elif c in numeric and numeric_epoch:
-            out.append(F.timestamp_micros(F.floor(F.col(c) / 1000).cast("bigint")).alias(c))
+            out.append(F.expr(f"timestampadd(MICROSECOND, CAST(floor(`{c}` / 1000) AS BIGINT), "
+                              f"TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)

@@ -67,8 +67,8 @@ SELECT transaction_id,
        strftime(make_timestamp(cast(floor(epoch(transaction_date) / 1000) AS bigint)), '%Y-%m-%d %H:%M:%S.%f') AS unix_time
 FROM txn""")
 def q_parse_epoch(spark, sf_dir):
-    t = txn(spark, sf_dir).select("transaction_id",
-                                  F.unix_seconds(F.col("transaction_date").cast("timestamp")).alias("unix_time"))
+    t = txn(spark, sf_dir).select("transaction_id", F.expr(
+        "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', transaction_date)").alias("unix_time"))
     d = K.parse_dates(t)
     return d.select("transaction_id", ts_text_micros(F.col("unix_time")).alias("unix_time"))
 

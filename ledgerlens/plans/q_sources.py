@@ -49,7 +49,7 @@ def q_csv_sink(spark, sf_dir):
     path = scratch_path(spark, "processed") + ".csv"
     write_csv(cleaned, path)
     back = RD.read_csv(spark, path, "transaction_id bigint, customer_id bigint, amount double, category string, "
-                                    "transaction_date timestamp, is_fraud int")
+                                    "transaction_date timestamp_ntz, is_fraud int")
     return back.select("transaction_id", "customer_id", r6(F.col("amount")).alias("amount"), "category",
                        ts_text(F.col("transaction_date")).alias("transaction_date"), "is_fraud")
 
