@@ -90,6 +90,14 @@ def corpus_cap(docs: DataFrame, order_col: str = "row_id", n: int = C.CORPUS_CAP
     return docs.orderBy(order_col).limit(n)
 
 
+def capped_rows(df: DataFrame, row_id: str, n: int = C.CORPUS_CAP) -> DataFrame:
+    """The rows that survive the corpus cap, chosen on the id alone (a top-k
+    over one column) before any text is rendered; the n ids are joined back
+    with a broadcast (their count is n)."""
+    ids = df.select(row_id).orderBy(row_id).limit(n)
+    return df.join(F.broadcast(ids), row_id, "left_semi")
+
+
 # --- chunking ------------------------------------------------------------
 
 def chunk_fixed(df: DataFrame, id_col: str, text_col: str, size: int = C.CHUNK_SIZE,

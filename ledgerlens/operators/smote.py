@@ -97,6 +97,9 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
         for j in range(subs[s]):
             blocks[(s, j)] = bid
             bid += 1
+    by_slab: dict[int, list[int]] = {}
+    for (s, _), b in blocks.items():
+        by_slab.setdefault(s, []).append(b)
     sub_arr = F.array(*[F.lit(subs.get(s, 1)) for s in range(len(bounds) + 1)])
     bmap = spark.createDataFrame([(s, j, b) for (s, j), b in blocks.items()], "slab int, sub int, blk int")
     placed = (slabbed.withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(sub_arr, F.col("slab") + 1)).cast("int"))
@@ -119,7 +122,8 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
     pending = placed
     w = 1
     while True:
-        pairs = [(qb, cb) for (qs, _), qb in blocks.items() for (cs, _), cb in blocks.items() if abs(qs - cs) <= w]
+        pairs = [(qb, cb) for s_q, qbs in by_slab.items()
+                 for s_c in range(s_q - w, s_q + w + 1) for qb in qbs for cb in by_slab.get(s_c, ())]
         pdf_pairs = spark.createDataFrame(pairs, "qb int, cb int")
         q = pending.select("id", "v", F.col("blk").alias("qb")).join(F.broadcast(pdf_pairs), "qb") \
             .select("qb", "cb", "id", "v", F.lit(0).alias("role"))

@@ -65,7 +65,7 @@ def full_run(df: DataFrame, row_id: str = "transaction_id", questions=tuple(C.RU
         predictions = processed.join(det, row_id)
         metrics = {"training": IF.training_metrics(model, X, f"__{row_id}")}
     risk = R.risk_summary(predictions)
-    docs = RT.corpus_cap(RT.row_documents(predictions, row_id).select("row_id", "page_content"))
+    docs = RT.row_documents(RT.capped_rows(predictions, row_id), row_id).select("row_id", "page_content")
     texts = RT.row_text(docs.select("row_id", F.col("page_content").alias("content")), "row_id",
                         text_columns=["content"])
     chunks = RT.chunk_fixed(texts, "row_id", "text")

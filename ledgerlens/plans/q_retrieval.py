@@ -80,8 +80,8 @@ def q_row_text(spark, sf_dir):
 @register("corpus_cap", f"""WITH {SQL_DOCS}
 SELECT row_id, page_content FROM docs ORDER BY row_id LIMIT 1000""")
 def q_corpus_cap(spark, sf_dir):
-    d = RT.row_documents(_flagged_scored(spark, sf_dir), "transaction_id")
-    return RT.corpus_cap(d.select("row_id", "page_content"))
+    rows = RT.capped_rows(_flagged_scored(spark, sf_dir), "transaction_id")
+    return RT.row_documents(rows, "transaction_id").select("row_id", "page_content")
 
 
 # --- RET-4 chunking over whole documents ----------------------------------
