@@ -273,3 +273,22 @@ def q_smote_rounded(spark, sf_dir):
 from .catalog import QUERIES as _Q, ORACLE as _O  # noqa: E402
 _Q["smote"] = q_smote_rounded
 _O["smote"] = ORACLE_SMOTE
+
+
+@register("iforest_roundtrip")
+def q_iforest_roundtrip(spark, sf_dir):
+    from ..operators.bundle import ModelBundle, load_models, save_models
+    t = txn(spark, sf_dir)
+    st = FeatureState()
+    X = prepare_features(t, st, None, keep=["transaction_id"], fit=True)
+    m = IF.train_iforest(X, st.feature_columns, "__transaction_id")
+    path = scratch_path(spark, "bundle")
+    save_models(ModelBundle(iforest=m, iforest_state=st), path)
+    back = load_models(spark, path)
+    X2 = prepare_features(t, back.iforest_state, None, keep=["transaction_id"], fit=False)
+    a = IF.detect(m, X, "__transaction_id").select(
+        F.col("__transaction_id").alias("transaction_id"), F.col("anomaly_score").alias("score_trained"))
+    b = IF.detect(back.iforest, X2, "__transaction_id").select(
+        F.col("__transaction_id").alias("transaction_id"), F.col("anomaly_score").alias("score_loaded"),
+        "is_anomaly")
+    return a.join(b, "transaction_id")

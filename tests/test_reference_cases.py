@@ -127,3 +127,20 @@ def test_anomaly_model_rate(spark):
     assert met["total_samples"] == 1000
     assert 0.0 <= met["anomaly_rate"] <= 1.0
     assert abs(met["anomaly_rate"] - 0.1) <= 0.002
+
+
+def test_bundle_parts_optional(spark, trained):
+    from ledgerlens.operators.bundle import ModelBundle, load_models, save_models
+    df, fm = trained
+    path = scratch_path(spark, "bundle_parts")
+    save_models(ModelBundle(fraud=fm), path)
+    back = load_models(spark, path)
+    assert back.fraud is not None and back.iforest is None
+    st = FE.FeatureState()
+    X = FE.prepare_features(df, st, None, keep=["transaction_id"], fit=True)
+    m = IF.train_iforest(X, st.feature_columns, "__transaction_id")
+    path2 = scratch_path(spark, "bundle_iforest")
+    save_models(ModelBundle(iforest=m, iforest_state=st), path2)
+    back2 = load_models(spark, path2)
+    assert back2.fraud is None and back2.iforest.offset == m.offset
+    assert back2.iforest_state.feature_columns == st.feature_columns
