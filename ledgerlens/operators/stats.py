@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import (amount_column, category_column, first_temporal, numeric_columns,
-                                 stats_label_column)
+                                 stats_label_column, temporal_columns)
 from ..functions.quantiles import exact_quantiles
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -28,15 +28,31 @@ def dataset_stats(df: DataFrame, records: DataFrame) -> DataFrame:
         F.lit(",".join(df.columns)).alias("columns"))
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def epoch_micros(df: DataFrame, c: str):
+    """A timestamp as integer microseconds since 1970 (time-zone independent
+    for NTZ); integer, so sums and means stay exact."""
+    from pyspark.sql import types as T
+    if isinstance(df.schema[c].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, timestamps: bool = True) -> DataFrame:
     """AGG-2: count, mean, std (sample), min, quartiles (exact, linear), max
-    per numeric column, in long form (column, stat, value)."""
+    per numeric column, in long form (column, stat, value).  Timestamp
+    columns are described too (as pandas 2 does), in epoch seconds, with no
+    std."""
     cols = cols if cols is not None else numeric_columns(df)
+    tcols = temporal_columns(df) if timestamps and cols == numeric_columns(df) else []
+    if tcols:
+        df = df.select(*[F.col(c) for c in cols], *[epoch_micros(df, c).alias(c) for c in tcols])
+        cols = cols + tcols
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, stat string, value double")
     row = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(c).cast("double").alias(f"n{i}"), F.avg(c).alias(f"m{i}"),
+        F.count(c).cast("double").alias(f"n{i}"),
+        (F.avg(F.col(c).cast("decimal(38,0)")).cast("double") if c in tcols else F.avg(c)).alias(f"m{i}"),
         F.stddev_samp(c).alias(f"s{i}"), F.min(c).cast("double").alias(f"lo{i}"),
         F.max(c).cast("double").alias(f"hi{i}"))]).first()
     qs = exact_quantiles(df, [(c, q) for c in cols for q in (0.25, 0.5, 0.75)])
@@ -44,6 +60,8 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for i, c in enumerate(cols):
         vals = [row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],
                 qs[(c, 0.25)], qs[(c, 0.5)], qs[(c, 0.75)], row[f"hi{i}"]]
+        if c in tcols:   # epoch seconds (from exact integer microseconds); no std for timestamps
+            vals = [v if (i == 0 or v is None) else (None if i == 2 else v / 1e6) for i, v in enumerate(vals)]
         rows += [(c, s, float(v) if v is not None else None) for s, v in zip(DESCRIBE_STATS, vals)]
     return spark.createDataFrame(rows, "column string, stat string, value double")
 

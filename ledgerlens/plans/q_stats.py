@@ -28,7 +28,20 @@ def q_dataset_stats(spark, sf_dir):
 
 def _describe_sql() -> str:
     parts = []
-    for c in ["transaction_id", "customer_id", "amount", "is_fraud"]:
+    for c in ["transaction_id", "customer_id", "amount", "is_fraud", "transaction_date"]:
+        if c == "transaction_date":
+            # timestamps: epoch seconds to the millisecond (15+ significant digits
+            # are past what both engines' rounding reproduces)
+            parts += [f"SELECT '{c}' AS column, '{st}' AS stat, round(cast({e} AS double) / 1e6, 3) AS value FROM txn"
+                      if st != "count" else
+                      f"SELECT '{c}' AS column, '{st}' AS stat, cast({e} AS double) AS value FROM txn"
+                      for st, e in [("count", f"count({c})"), ("mean", f"avg(epoch_us({c}))"),
+                                    ("std", "max(NULL)"), ("min", f"min(epoch_us({c}))"),
+                                    ("25%", f"quantile_cont(epoch_us({c}), 0.25)"),
+                                    ("50%", f"quantile_cont(epoch_us({c}), 0.5)"),
+                                    ("75%", f"quantile_cont(epoch_us({c}), 0.75)"),
+                                    ("max", f"max(epoch_us({c}))")]]
+            continue
         for stat, e in [("count", f"count({c})"), ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"),
                         ("min", f"min({c})"), ("25%", f"quantile_cont({c}, 0.25)"),
                         ("50%", f"quantile_cont({c}, 0.5)"), ("75%", f"quantile_cont({c}, 0.75)"),
@@ -39,7 +52,9 @@ def _describe_sql() -> str:
 
 @register("describe_numeric", _describe_sql())
 def q_describe_numeric(spark, sf_dir):
-    return S.describe_numeric(txn(spark, sf_dir)).withColumn("value", r6(F.col("value")))
+    d = S.describe_numeric(txn(spark, sf_dir))
+    ts_row = (F.col("column") == "transaction_date") & (F.col("stat") != "count")
+    return d.withColumn("value", F.when(ts_row, F.round("value", 3)).otherwise(r6(F.col("value"))))
 
 
 @register("fraud_stats", f"""WITH {SQL_TXN}
