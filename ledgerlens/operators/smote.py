@@ -5,8 +5,8 @@ Neighbour search never emits all pairs:
 * up to ``local_limit`` minority rows (checked) the minority matrix is a
   broadcast variable and each partition of query rows computes its k nearest
   with numpy, emitting only k rows per query;
-* above it, rows are cut into range slabs on the first feature and hash
-  sub-blocks inside each slab (so a slab holding a third of the rows still
+* above it, rows are cut into range slabs on a fixed random projection and
+  hash sub-blocks inside each slab (so a slab holding a third of the rows still
   splits into bounded blocks).  Each (query block, candidate block) pair
   whose slabs are within ``w`` of each other is one bounded
   ``applyInPandas`` group that emits local top-k; a per-query top-k merge
@@ -85,10 +85,19 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
     spark = pts.sparkSession
     ensure_checkpoint_dir(spark)
     n_slabs = max(1, math.ceil(m / block))
-    x0 = F.col("v")[0]
+    # slab on the projection onto a fixed pseudo-random unit direction w:
+    # |<a - b, w>| <= |a - b| keeps the pruning exact, and unlike a single
+    # feature it only ties for identical points
+    dim = len(pts.select("v").first()["v"])
+    w = np.random.default_rng(20_240_101).normal(size=dim)
+    w = w / np.linalg.norm(w)
+    x0 = F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(float(c)) for c in w]), lambda a, b: a * b),
+                     F.lit(0.0), lambda acc, t: acc + t)
     bounds = pts.agg(F.percentile_approx(x0, [i / n_slabs for i in range(1, n_slabs)] or [0.5], 10_000)
                      .alias("b")).first()["b"] if n_slabs > 1 else []
     barr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
+    pts = pts.withColumn("x0", x0)
+    x0 = F.col("x0")
     slabbed = pts.withColumn("slab", F.size(F.filter(barr, lambda b: b <= x0)))
     sizes = {r["slab"]: r["n"] for r in slabbed.groupBy("slab").agg(F.count(F.lit(1)).alias("n")).collect()}
     subs = {s: max(1, math.ceil(n / block)) for s, n in sizes.items()}
@@ -139,11 +148,11 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
         kth = merged.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("nk"))
         lo_arr = F.array(*[F.lit(float(x)) for x in lo])
         hi_arr = F.array(*[F.lit(float(x)) for x in hi])
-        info = pending.select(F.col("id").alias("qid"), "slab", F.col("v")[0].alias("x0")).join(kth, "qid", "left")
+        info = pending.select(F.col("id").alias("qid"), "slab", "x0").join(kth, "qid", "left")
         r = F.sqrt(F.coalesce(F.col("rk"), F.lit(math.inf)))
         lo_w = F.element_at(lo_arr, F.greatest(F.col("slab") - w, F.lit(0)) + 1)
         hi_w = F.element_at(hi_arr, F.least(F.col("slab") + w, F.lit(n_s - 1)) + 1)
-        # rows outside the searched slabs differ in the first feature by more than r
+        # rows outside the searched slabs differ in the projection (hence in distance) by more than r
         ok = (F.col("nk") >= k) & (F.col("x0") - r > lo_w) & (F.col("x0") + r < hi_w)
         status = info.select("qid", ok.alias("ok")).checkpoint(eager=True)
         final = merged.join(status.where("ok").select("qid"), "qid", "left_semi")
