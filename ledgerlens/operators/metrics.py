@@ -27,11 +27,13 @@ def _labels(pairs: DataFrame) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
     """MLS-7: (actual, predicted, count) for every pair of sorted labels,
-    zeros included.  The label set is class-sized (checked)."""
+    zeros included, when the label set is at most ``MAX_CLASSES`` (checked);
+    above that, the observed (sparse) cells."""
     pairs = _pair_counts(df, y, pred)
     labels = _labels(pairs)
     if labels.count() > MAX_CLASSES:
-        raise ValueError("too many classes for a confusion matrix")
+        # beyond the bound the dense k x k grid is not built: observed cells only
+        return pairs.select("actual", "predicted", F.col("n").cast("bigint").alias("count"))
     grid = labels.select(F.col("label").alias("actual")).crossJoin(
         F.broadcast(labels.select(F.col("label").alias("predicted"))))
     return grid.join(pairs, ["actual", "predicted"], "left").select(

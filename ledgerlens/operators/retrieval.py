@@ -221,11 +221,21 @@ def top_k(items: DataFrame, item_id: str | Sequence[str], vec_col: str, queries:
           query_id: str, query_vec: str = "query", k: int = C.RETRIEVAL_K,
           carry: Sequence[str] = (), query_carry: Sequence[str] = ()) -> DataFrame:
     """RET-5/6: the k nearest items (squared L2, ties by item id) per query.
-    The query table must be small (checked): it travels as one broadcast."""
+    Up to ``MAX_BROADCAST_QUERIES`` queries (checked) travel as one
+    broadcast; more are processed in bounded batches."""
     ids = [item_id] if isinstance(item_id, str) else list(item_id)
     nq = queries.count()
     if nq > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"{nq} queries exceed the broadcast bound {MAX_BROADCAST_QUERIES}")
+        # beyond the broadcast bound: hash-bucketed batches of queries, each
+        # under the bound, one pass over the items per batch
+        n_batches = -(-nq // MAX_BROADCAST_QUERIES) + 1
+        bucket = F.pmod(F.xxhash64(query_id), F.lit(n_batches))
+        parts = [top_k(items, ids, vec_col, queries.where(bucket == b), query_id, query_vec, k, carry, query_carry)
+                 for b in range(n_batches)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     pairs = items.select(*ids, *carry, vec_col).crossJoin(
         F.broadcast(queries.select(query_id, *query_carry, F.col(query_vec).alias("_q"))))
     scored = pairs.select(query_id, *query_carry, *ids, *carry,
