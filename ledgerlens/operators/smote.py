@@ -61,12 +61,37 @@ def _local_knn(qids, qx, cids, cx, k):
 
 def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int = 20_000,
         block: int = 2048) -> DataFrame:
-    """Exact k nearest neighbours within ``points`` (qid, rank, nid, dist)."""
-    spark = points.sparkSession
+    """Exact k nearest neighbours within ``points`` (qid, rank, nid, dist);
+    ties by neighbour id, the point itself excluded.
+
+    A vector shared by more than k points answers its own points directly:
+    their k nearest are the k smallest other ids of that vector (distance 0).
+    The k+1 smallest ids per vector come from a ``row_number() <= k+1``
+    filter, which Spark limits map-side, so a vector held by a third of the
+    rows never reaches one task whole.  Only points of rarer vectors are
+    searched, against at most k representatives per distinct vector."""
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    m = pts.count()
+    wv = Window.partitionBy("v").orderBy("id")
+    top = pts.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") <= k + 1)
+    sizes = pts.groupBy("v").agg(F.count(F.lit(1)).alias("_g"))
+    lists = top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("_r", "id"))).alias("_l")) \
+        .join(sizes, "v")
+    hot = lists.where(F.col("_g") > k)
+    hot_pts = pts.join(hot, "v")                      # AQE: broadcast or skew-split
+    others = F.filter(F.col("_l.id"), lambda x: x != F.col("id"))
+    direct = (hot_pts.select(F.col("id").alias("qid"), F.slice(others, 1, k).alias("_ns"))
+              .select("qid", F.posexplode("_ns").alias("_p", "nid"))
+              .select("qid", (F.col("_p") + 1).cast("long").alias("rank"), "nid", F.lit(0.0).alias("dist")))
+    queries = pts.join(hot.select("v"), "v", "left_anti")
+    cands = top.where(F.col("_r") <= k).select("id", "v")
+    return _search(queries, cands, k, local_limit, block).unionByName(direct)
+
+
+def _search(queries: DataFrame, cands: DataFrame, k: int, local_limit: int, block: int) -> DataFrame:
+    spark = queries.sparkSession
+    m = cands.count()
     if m <= local_limit:
-        pdf = pts.toPandas()   # bounded by the check above
+        pdf = cands.toPandas()   # bounded by the check above
         ids = pdf["id"].to_numpy(np.int64)
         mat = np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
         bc = spark.sparkContext.broadcast((ids, mat))
@@ -77,11 +102,13 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int =
                 if len(b):
                     qx = np.array(b["v"].tolist(), dtype=np.float64).reshape(len(b), -1)
                     yield _local_knn(b["id"].to_numpy(np.int64), qx, cids, cx, k)
-        return ensure_parallelism(pts).mapInPandas(run, KNN_SCHEMA)
-    return _knn_blocks(pts, k, m, block)
+        return ensure_parallelism(queries).mapInPandas(run, KNN_SCHEMA)
+    return _knn_blocks(queries, cands, k, m, block)
 
 
-def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
+def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
+    """Block search; every query is also a candidate (queries are the points
+    of non-hot vectors, all of which are candidates)."""
     spark = pts.sparkSession
     ensure_checkpoint_dir(spark)
     n_slabs = max(1, math.ceil(m / block))
@@ -96,9 +123,8 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
     bounds = pts.agg(F.percentile_approx(x0, [i / n_slabs for i in range(1, n_slabs)] or [0.5], 10_000)
                      .alias("b")).first()["b"] if n_slabs > 1 else []
     barr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    pts = pts.withColumn("x0", x0)
-    x0 = F.col("x0")
-    slabbed = pts.withColumn("slab", F.size(F.filter(barr, lambda b: b <= x0)))
+    x0_expr = x0
+    slabbed = pts.withColumn("slab", F.size(F.filter(barr, lambda b: b <= x0_expr)))
     sizes = {r["slab"]: r["n"] for r in slabbed.groupBy("slab").agg(F.count(F.lit(1)).alias("n")).collect()}
     subs = {s: max(1, math.ceil(n / block)) for s, n in sizes.items()}
     blocks, bid = {}, 0
@@ -111,8 +137,13 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
         by_slab.setdefault(s, []).append(b)
     sub_arr = F.array(*[F.lit(subs.get(s, 1)) for s in range(len(bounds) + 1)])
     bmap = spark.createDataFrame([(s, j, b) for (s, j), b in blocks.items()], "slab int, sub int, blk int")
-    placed = (slabbed.withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(sub_arr, F.col("slab") + 1)).cast("int"))
-              .join(F.broadcast(bmap), ["slab", "sub"]).checkpoint(eager=True))
+    def place(df):
+        return (df.withColumn("x0", x0_expr).withColumn("slab", F.size(F.filter(barr, lambda b: b <= F.col("x0"))))
+                .withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(sub_arr, F.col("slab") + 1)).cast("int"))
+                .join(F.broadcast(bmap), ["slab", "sub"]))
+
+    placed = place(pts).checkpoint(eager=True)
+    qplaced = place(queries).checkpoint(eager=True)
     lo = [-math.inf] + list(bounds)
     hi = list(bounds) + [math.inf]
     n_s = len(bounds) + 1
@@ -128,7 +159,7 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
         return _local_knn(q["id"].to_numpy(np.int64), qx, c["id"].to_numpy(np.int64), cx, k)
 
     done = None
-    pending = placed
+    pending = qplaced
     w = 1
     while True:
         pairs = [(qb, cb) for s_q, qbs in by_slab.items()
@@ -160,7 +191,7 @@ def _knn_blocks(pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
         left = status.where(~F.col("ok")).select(F.col("qid").alias("id"))
         if left.isEmpty():
             break
-        pending = placed.join(left, "id", "left_semi")
+        pending = qplaced.join(left, "id", "left_semi")
         w *= 2
     return done
 

@@ -59,7 +59,8 @@ def _brute(pts, k):
 def test_block_knn_is_exact(spark):
     rng = np.random.default_rng(3)
     pts = [(i, [float(v) for v in rng.normal(size=3)]) for i in range(600)]
-    pts += [(600 + i, [0.5, 0.5, 0.5]) for i in range(100)]      # a hot duplicate point
+    pts += [(600 + i, [0.5, 0.5, 0.5]) for i in range(350)]      # a vector held by a third of the rows
+    pts += [(2000 + i, [1.5, -0.5, 0.25]) for i in range(3)]     # a rare duplicate (3 <= k)
     df = spark.createDataFrame(pts, "id long, v array<double>")
     want = _brute(pts, 5)
     for kw in ({}, {"local_limit": 0, "block": 64}):
