@@ -2,9 +2,15 @@
 
 A table stored as one large row group scans as a single task, so numpy /
 UDF / MLlib work downstream would run on one core.  ``ensure_parallelism``
-adds a round-robin repartition only when the plan has fewer partitions than
-the cluster's default parallelism; on real inputs (thousands of file
-splits) it returns the frame untouched, so it never adds a shuffle at scale."""
+adds a round-robin repartition only when the input is small in files:
+
+* file-based plans: decided on ``inputFiles()`` (a driver-side listing, no
+  job) -- fewer files than the default parallelism means repartition;
+* plans without files (checkpoints, ranges): the partition count, which for
+  such plans is known without running anything heavy.
+
+On real inputs (thousands of files and splits) it returns the frame
+untouched, so it never adds a shuffle or an extra scan at scale."""
 
 from __future__ import annotations
 
@@ -13,4 +19,7 @@ from pyspark.sql import DataFrame
 
 def ensure_parallelism(df: DataFrame, minimum: int | None = None) -> DataFrame:
     target = minimum or df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if files:
+        return df.repartition(target) if len(files) < target else df
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

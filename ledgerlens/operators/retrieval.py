@@ -107,7 +107,8 @@ def chunk_fixed(df: DataFrame, id_col: str, text_col: str, size: int = C.CHUNK_S
     step = size - overlap
     n = F.length(text_col)
     count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(float(step))).cast("int") + 1)
-    return (ensure_parallelism(df.select(id_col, text_col)).select(id_col, text_col, F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk_no", "_i"))
+    return (ensure_parallelism(df.select(id_col, text_col))
+            .select(id_col, text_col, F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk_no", "_i"))
             .select(F.col(id_col), F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.expr(f"substring(`{text_col}`, _i * {step} + 1, {size})").alias("chunk")))
 
