@@ -1,109 +1,25 @@
-"""Registered model-evaluation queries on the deterministic score (MLS-2..10, 13)
-and, further down, the model queries (MLS-1, 6, 11, 12, 14, MLU-*)."""
+"""Registered model queries: the supervised forest (MLS-1, 6, 11, 12, 14),
+SMOTE (MLS-4, exact: hash-driven draws and exact neighbours, with a DuckDB
+twin), the isolation forest (MLU-*), model bundles (SNK-2/3) and the two
+end-to-end flows.  Learned parameters have no SQL twin, so those are
+rows-only checks backed by property tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.exprs import r6
-from ..operators import metrics as M
+from ..operators import fraud as FR
+from ..operators import iforest as IF
+from ..operators import report as R
 from ..operators import sampling as SP
-from ..sources.views import SQL_SCORED, SQL_TXN, scored, sql_md5_unit, txn
+from ..operators.features import FeatureState, prepare_features
+from ..operators.smote import smote as smote_rows
+from ..session import scratch_path
+from ..sources.views import SQL_TXN, sql_md5_unit, txn, txn_orders
+from . import pipeline as PL
 from .catalog import register
-
-
-@register("stratified_split", f"""WITH {SQL_TXN}
-SELECT transaction_id, is_fraud,
-       CASE WHEN {sql_md5_unit('transaction_id', '42')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM txn""")
-def q_stratified_split(spark, sf_dir):
-    t = txn(spark, sf_dir)
-    return t.select("transaction_id", "is_fraud",
-                    F.when(SP.split_flag("transaction_id"), "test").otherwise("train").alias("split"))
-
-
-@register("class_balance", f"""WITH {SQL_TXN}
-SELECT round(avg(is_fraud), 6) AS fraud_rate, avg(is_fraud) < 0.1 AS apply_smote FROM txn""")
-def q_class_balance(spark, sf_dir):
-    b = SP.class_balance(txn(spark, sf_dir), "is_fraud")
-    return b.select(r6(F.col("fraud_rate")).alias("fraud_rate"), "apply_smote")
-
-
-@register("class_weights", f"""WITH {SQL_TXN},
-c AS (SELECT is_fraud AS label, count(*) AS n_c FROM txn GROUP BY 1)
-SELECT label, round((SELECT sum(n_c) FROM c) / ((SELECT count(*) FROM c) * n_c), 6) AS weight FROM c""")
-def q_class_weights(spark, sf_dir):
-    return SP.class_weights(txn(spark, sf_dir), "is_fraud").withColumn("weight", r6(F.col("weight")))
-
-
-@register("confusion_matrix", f"""WITH {SQL_SCORED},
-l AS (SELECT is_fraud AS label FROM scored UNION SELECT fraud_prediction FROM scored),
-p AS (SELECT is_fraud AS actual, fraud_prediction AS predicted, count(*) AS n FROM scored GROUP BY 1, 2)
-SELECT a.label AS actual, b.label AS predicted, coalesce(n, 0) AS count
-FROM l a CROSS JOIN l b LEFT JOIN p ON p.actual = a.label AND p.predicted = b.label""")
-def q_confusion_matrix(spark, sf_dir):
-    return M.confusion_matrix(scored(spark, sf_dir), "is_fraud", "fraud_prediction")
-
-
-@register("accuracy", f"""WITH {SQL_SCORED}
-SELECT round(avg(cast(is_fraud = fraud_prediction AS double)), 6) AS accuracy FROM scored""")
-def q_accuracy(spark, sf_dir):
-    return M.accuracy(scored(spark, sf_dir), "is_fraud", "fraud_prediction").select(
-        r6(F.col("accuracy")).alias("accuracy"))
-
-
-@register("classification_report", f"""WITH {SQL_SCORED},
-l AS (SELECT is_fraud AS label FROM scored UNION SELECT fraud_prediction FROM scored),
-per AS (SELECT l.label,
-          count(*) FILTER (WHERE s.is_fraud = l.label AND s.fraud_prediction = l.label) AS tp,
-          count(*) FILTER (WHERE s.is_fraud = l.label) AS support,
-          count(*) FILTER (WHERE s.fraud_prediction = l.label) AS npred
-        FROM l CROSS JOIN scored s GROUP BY l.label),
-pr AS (SELECT label, coalesce(tp / nullif(npred, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall,
-              support, tp FROM per),
-f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1_score FROM pr),
-t AS (SELECT sum(support) AS total, sum(tp) AS correct, avg(precision) AS mp, avg(recall) AS mr, avg(f1_score) AS mf,
-             sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1_score * support) AS wf FROM f)
-SELECT cast(label AS varchar) AS label, round(precision, 6) AS precision, round(recall, 6) AS recall,
-       round(f1_score, 6) AS f1_score, cast(support AS bigint) AS support FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, round(correct / total, 6), cast(total AS bigint) FROM t
-UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), cast(total AS bigint) FROM t
-UNION ALL SELECT 'weighted avg', round(wp / total, 6), round(wr / total, 6), round(wf / total, 6), cast(total AS bigint) FROM t""")
-def q_classification_report(spark, sf_dir):
-    r = M.classification_report(scored(spark, sf_dir), "is_fraud", "fraud_prediction")
-    return r.select("label", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1_score")], "support")
-
-
-@register("roc_auc", f"""WITH {SQL_SCORED},
-g AS (SELECT fraud_probability AS s, count(*) FILTER (WHERE is_fraud = 1) AS pos,
-             count(*) FILTER (WHERE is_fraud <> 1) AS neg FROM scored GROUP BY 1),
-c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
-SELECT round(sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM c""")
-def q_roc_auc(spark, sf_dir):
-    return M.roc_auc(scored(spark, sf_dir), "is_fraud", "fraud_probability").select(
-        r6(F.col("roc_auc")).alias("roc_auc"))
-
-
-@register("risk_bands", f"""WITH {SQL_SCORED}
-SELECT transaction_id, round(fraud_probability, 6) AS fraud_probability,
-       CASE WHEN fraud_probability > 0 AND fraud_probability <= 0.3 THEN 'Low'
-            WHEN fraud_probability > 0.3 AND fraud_probability <= 0.7 THEN 'Medium'
-            WHEN fraud_probability > 0.7 AND fraud_probability <= 1 THEN 'High' END AS risk_level
-FROM scored""")
-def q_risk_bands(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return s.select("transaction_id", r6(F.col("fraud_probability")).alias("fraud_probability"),
-                    M.risk_band("fraud_probability").alias("risk_level"))
-
-
-# --- models (rows-only checks: learned parameters have no SQL twin) --------
-
-from ..operators import fraud as FR  # noqa: E402
-from ..operators import iforest as IF  # noqa: E402
-from ..operators import report as R  # noqa: E402
-from ..operators.features import FeatureState, prepare_features  # noqa: E402
-from ..operators.smote import smote as smote_rows  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources.views import txn_orders  # noqa: E402
+from .q_clean import txn_text
 
 
 def _fraud(spark, sf_dir):
@@ -152,14 +68,52 @@ def q_model_roundtrip(spark, sf_dir):
     return a.join(b, "transaction_id")
 
 
-@register("smote")
+def _smote_sql() -> str:
+    feats = ["transaction_id", "customer_id", "amount", "category", "transaction_date_hour",
+             "transaction_date_day", "transaction_date_month", "transaction_date_dayofweek"]
+    raw = ["cast(tr.transaction_id AS double)", "cast(tr.customer_id AS double)", "tr.amount",
+           "cast(coalesce(codes.code, -1) AS double)", "cast(hour(tr.transaction_date) AS double)",
+           "cast(day(tr.transaction_date) AS double)", "cast(month(tr.transaction_date) AS double)",
+           "cast(isodow(tr.transaction_date) - 1 AS double)"]
+    n = len(feats)
+    fcols = ", ".join(f"{e} AS f{i}" for i, e in enumerate(raw))
+    stats = ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in range(n))
+    xcols = ", ".join(f"(f{i} - m{i}) / coalesce(nullif(s{i}, 0), 1) AS x{i}" for i in range(n))
+    dist = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(n))
+    outs = ", ".join(f"round(b.x{i} + u * (c.x{i} - b.x{i}), 6) AS {f}" for i, f in enumerate(feats))
+    return f"""WITH {SQL_TXN},
+tr AS (SELECT * FROM txn WHERE NOT ({sql_md5_unit('transaction_id', '42')} < 0.2)),
+codes AS (SELECT category AS value, dense_rank() OVER (ORDER BY category) - 1 AS code
+          FROM (SELECT DISTINCT coalesce(category, 'nan') AS category FROM tr)),
+f AS (SELECT tr.transaction_id AS rid, cast(tr.is_fraud AS double) AS lbl, {fcols}
+      FROM tr LEFT JOIN codes ON coalesce(tr.category, 'nan') = codes.value),
+st AS (SELECT {stats} FROM f),
+x AS (SELECT rid, lbl, {xcols} FROM f, st),
+mino AS (SELECT * FROM x WHERE lbl = 1),
+cnt AS (SELECT count(*) FILTER (WHERE lbl = 1) AS n_min, count(*) FILTER (WHERE lbl <> 1) AS n_maj FROM x),
+nn AS (SELECT qid, nid, rank FROM (
+         SELECT a.rid AS qid, b.rid AS nid,
+                row_number() OVER (PARTITION BY a.rid ORDER BY {dist}, b.rid) AS rank
+         FROM mino a JOIN mino b ON a.rid <> b.rid) WHERE rank <= least(5, (SELECT n_min - 1 FROM cnt))),
+dic AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS code FROM mino),
+syn AS (SELECT unnest(range(0, n_maj - n_min)) AS syn, n_min FROM cnt),
+gen AS (SELECT syn, cast(floor({sql_md5_unit('syn', '42:base')} * n_min) AS bigint) AS code,
+               cast(floor({sql_md5_unit('syn', '42:nn')} * least(5, n_min - 1)) + 1 AS bigint) AS rank,
+               {sql_md5_unit('syn', '42:step')} AS u FROM syn)
+SELECT {outs}, 1 AS __label
+FROM gen JOIN dic ON dic.code = gen.code JOIN nn ON nn.qid = dic.rid AND nn.rank = gen.rank
+JOIN mino b ON b.rid = dic.rid JOIN mino c ON c.rid = nn.nid"""
+
+
+@register("smote", _smote_sql())
 def q_smote(spark, sf_dir):
     t = txn(spark, sf_dir)
     train = t.where(~SP.split_flag("transaction_id"))
     st = FeatureState()
     X = prepare_features(train, st, "is_fraud", keep=["transaction_id"], fit=True)
-    return smote_rows(X.select("__transaction_id", *st.feature_columns, "__label"), st.feature_columns,
-                      id_col="__transaction_id")
+    out = smote_rows(X.select("__transaction_id", *st.feature_columns, "__label"), st.feature_columns,
+                     id_col="__transaction_id")
+    return out.select(*[r6(F.col(c)).alias(c) if c != "__label" else F.col(c) for c in out.columns])
 
 
 def _iforest(spark, sf_dir, contamination=0.1):
@@ -193,11 +147,26 @@ def q_iforest_decision(spark, sf_dir):
     return IF.detect(m, X, "__transaction_id").withColumnRenamed("__transaction_id", "transaction_id")
 
 
-# --- end-to-end flows --------------------------------------------------------
+@register("iforest_roundtrip")
+def q_iforest_roundtrip(spark, sf_dir):
+    from ..operators.bundle import ModelBundle, load_models, save_models
+    t = txn(spark, sf_dir)
+    st = FeatureState()
+    X = prepare_features(t, st, None, keep=["transaction_id"], fit=True)
+    m = IF.train_iforest(X, st.feature_columns, "__transaction_id")
+    path = scratch_path(spark, "bundle")
+    save_models(ModelBundle(iforest=m, iforest_state=st), path)
+    back = load_models(spark, path)
+    X2 = prepare_features(t, back.iforest_state, None, keep=["transaction_id"], fit=False)
+    a = IF.detect(m, X, "__transaction_id").select(
+        F.col("__transaction_id").alias("transaction_id"), F.col("anomaly_score").alias("score_trained"))
+    b = IF.detect(back.iforest, X2, "__transaction_id").select(
+        F.col("__transaction_id").alias("transaction_id"), F.col("anomaly_score").alias("score_loaded"),
+        "is_anomaly")
+    return a.join(b, "transaction_id")
 
-from . import pipeline as PL  # noqa: E402
-from .q_clean import txn_text  # noqa: E402
 
+# --- end-to-end flows ------------------------------------------------------
 
 @register("pipeline_full_summary")
 def q_pipeline_full_summary(spark, sf_dir):
@@ -222,73 +191,3 @@ def q_pipeline_page_alerts(spark, sf_dir):
 @register("pipeline_page_report")
 def q_pipeline_page_report(spark, sf_dir):
     return PL.page_run(txn_text(spark, sf_dir)).report
-
-
-def _smote_sql() -> str:
-    from ..sources.views import SQL_TXN, sql_md5_unit
-    feats = ["transaction_id", "customer_id", "amount", "category", "transaction_date_hour",
-             "transaction_date_day", "transaction_date_month", "transaction_date_dayofweek"]
-    raw = ["cast(tr.transaction_id AS double)", "cast(tr.customer_id AS double)", "tr.amount",
-           "cast(coalesce(codes.code, -1) AS double)", "cast(hour(tr.transaction_date) AS double)",
-           "cast(day(tr.transaction_date) AS double)", "cast(month(tr.transaction_date) AS double)",
-           "cast(isodow(tr.transaction_date) - 1 AS double)"]
-    n = len(feats)
-    fcols = ", ".join(f"{e} AS f{i}" for i, e in enumerate(raw))
-    stats = ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in range(n))
-    xcols = ", ".join(f"(f{i} - m{i}) / coalesce(nullif(s{i}, 0), 1) AS x{i}" for i in range(n))
-    dist = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(n))
-    outs = ", ".join(f"round(b.x{i} + u * (c.x{i} - b.x{i}), 6) AS {f}" for i, f in enumerate(feats))
-    return f"""WITH {SQL_TXN},
-tr AS (SELECT * FROM txn WHERE NOT ({sql_md5_unit('transaction_id', '42')} < 0.2)),
-codes AS (SELECT category AS value, dense_rank() OVER (ORDER BY category) - 1 AS code
-          FROM (SELECT DISTINCT coalesce(category, 'nan') AS category FROM tr)),
-f AS (SELECT tr.transaction_id AS rid, cast(tr.is_fraud AS double) AS lbl, {fcols}
-      FROM tr LEFT JOIN codes ON coalesce(tr.category, 'nan') = codes.value),
-st AS (SELECT {stats} FROM f),
-x AS (SELECT rid, lbl, {xcols} FROM f, st),
-mino AS (SELECT * FROM x WHERE lbl = 1),
-cnt AS (SELECT count(*) FILTER (WHERE lbl = 1) AS n_min, count(*) FILTER (WHERE lbl <> 1) AS n_maj FROM x),
-nn AS (SELECT qid, nid, rank FROM (
-         SELECT a.rid AS qid, b.rid AS nid,
-                row_number() OVER (PARTITION BY a.rid ORDER BY {dist}, b.rid) AS rank
-         FROM mino a JOIN mino b ON a.rid <> b.rid) WHERE rank <= least(5, (SELECT n_min - 1 FROM cnt))),
-dic AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS code FROM mino),
-syn AS (SELECT unnest(range(0, n_maj - n_min)) AS syn, n_min FROM cnt),
-gen AS (SELECT syn, cast(floor({sql_md5_unit('syn', '42:base')} * n_min) AS bigint) AS code,
-               cast(floor({sql_md5_unit('syn', '42:nn')} * least(5, n_min - 1)) + 1 AS bigint) AS rank,
-               {sql_md5_unit('syn', '42:step')} AS u FROM syn)
-SELECT {outs}, 1 AS __label
-FROM gen JOIN dic ON dic.code = gen.code JOIN nn ON nn.qid = dic.rid AND nn.rank = gen.rank
-JOIN mino b ON b.rid = dic.rid JOIN mino c ON c.rid = nn.nid"""
-
-
-ORACLE_SMOTE = _smote_sql()
-
-
-def q_smote_rounded(spark, sf_dir):
-    out = q_smote(spark, sf_dir)
-    return out.select(*[r6(F.col(c)).alias(c) if c != "__label" else F.col(c) for c in out.columns])
-
-
-from .catalog import QUERIES as _Q, ORACLE as _O  # noqa: E402
-_Q["smote"] = q_smote_rounded
-_O["smote"] = ORACLE_SMOTE
-
-
-@register("iforest_roundtrip")
-def q_iforest_roundtrip(spark, sf_dir):
-    from ..operators.bundle import ModelBundle, load_models, save_models
-    t = txn(spark, sf_dir)
-    st = FeatureState()
-    X = prepare_features(t, st, None, keep=["transaction_id"], fit=True)
-    m = IF.train_iforest(X, st.feature_columns, "__transaction_id")
-    path = scratch_path(spark, "bundle")
-    save_models(ModelBundle(iforest=m, iforest_state=st), path)
-    back = load_models(spark, path)
-    X2 = prepare_features(t, back.iforest_state, None, keep=["transaction_id"], fit=False)
-    a = IF.detect(m, X, "__transaction_id").select(
-        F.col("__transaction_id").alias("transaction_id"), F.col("anomaly_score").alias("score_trained"))
-    b = IF.detect(back.iforest, X2, "__transaction_id").select(
-        F.col("__transaction_id").alias("transaction_id"), F.col("anomaly_score").alias("score_loaded"),
-        "is_anomaly")
-    return a.join(b, "transaction_id")
