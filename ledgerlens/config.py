@@ -80,3 +80,39 @@ RUN_QUESTIONS = [
     "Are there any unusual transaction behaviors?",
     "What merchant categories have the highest transaction volumes?",
 ]
+
+
+class Limits:
+    """Size checks that choose between a bounded single-task / broadcast path
+    and the distributed path.  Read at call time, so tests can shrink them
+    and run the distributed paths on small tables (``small()``)."""
+
+    def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        self.quantile_max_candidates = 2_000_000   # (value, count) groups ranked in one task
+        self.quantile_accuracy = 10_000             # percentile_approx accuracy per narrowing round
+        self.dictionary_local = 200_000             # sorted dictionary ranked in one window
+        self.dictionary_broadcast = 1_000_000       # label dictionary joined with a broadcast
+        self.prefix_local = 200_000                 # prefix sums in one ordered window
+        self.prefix_rows_per_partition = 2_000_000  # range partition size of the distributed form
+        self.knn_local = 20_000                     # neighbour candidates kept as a broadcast matrix
+        self.knn_block = 2048                       # rows per block of the distributed search
+        self.broadcast_queries = 10_000             # top-k queries sent in one broadcast
+        self.max_classes = 10_000                   # dense confusion-matrix grid
+
+    def small(self) -> None:
+        self.quantile_max_candidates = 50
+        self.quantile_accuracy = 200
+        self.dictionary_local = 2
+        self.dictionary_broadcast = 2
+        self.prefix_local = 10
+        self.prefix_rows_per_partition = 100
+        self.knn_local = 0
+        self.knn_block = 64
+        self.broadcast_queries = 3
+        self.max_classes = 10_000
+
+
+LIMITS = Limits()

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-LOCAL_DICTIONARY_LIMIT = 200_000
+from ..config import LIMITS
 
 
 def sorted_dictionary(values: DataFrame, value_col: str = "value", code_col: str = "code",
-                      local_limit: int = LOCAL_DICTIONARY_LIMIT) -> tuple[DataFrame, int]:
+                      local_limit: int | None = None) -> tuple[DataFrame, int]:
     """``values`` holds one column ``value_col``; returns (distinct values with
     their rank in ascending order as ``code_col`` (bigint), number of values).
     The dictionary is checkpointed, so it is computed once and survives the
     loss of the executors that built it."""
+    local_limit = LIMITS.dictionary_local if local_limit is None else local_limit
     distinct = values.select(value_col).where(F.col(value_col).isNotNull()).distinct()
     n = distinct.count()
     if n <= local_limit:
@@ -45,8 +46,8 @@ def sorted_dictionary(values: DataFrame, value_col: str = "value", code_col: str
     return dic, n
 
 
-def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], local_limit: int = LOCAL_DICTIONARY_LIMIT,
-                suffix: str = "_before", rows_per_partition: int = 2_000_000) -> DataFrame:
+def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], local_limit: int | None = None,
+                suffix: str = "_before", rows_per_partition: int | None = None) -> DataFrame:
     """For rows with distinct ``order_col`` values, add ``{v}{suffix}`` = sum
     of ``v`` over all rows with a smaller ``order_col``.
 
@@ -55,6 +56,8 @@ def prefix_sums(df: DataFrame, order_col: str, value_cols: list[str], local_limi
     partition computes its own running sums, and per-partition totals
     (one row per partition) give the offsets: no task ever sees more than
     one range partition."""
+    local_limit = LIMITS.prefix_local if local_limit is None else local_limit
+    rows_per_partition = LIMITS.prefix_rows_per_partition if rows_per_partition is None else rows_per_partition
     n = df.count()
     if n <= local_limit:
         w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)

@@ -38,11 +38,14 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
-                    max_candidates: int = 2_000_000, accuracy: int = 10_000,
+                    max_candidates: int | None = None, accuracy: int | None = None,
                     max_rounds: int = 8) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles, ``{(column, q): value}``.
 
     Nulls and NaN are skipped; a column with no values gives ``None``."""
+    from ..config import LIMITS
+    max_candidates = LIMITS.quantile_max_candidates if max_candidates is None else max_candidates
+    accuracy = LIMITS.quantile_accuracy if accuracy is None else accuracy
     specs = list(dict.fromkeys((c, float(q)) for c, q in specs))
     if not specs:
         return {}

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import (first_temporal, label_column, numeric_columns, string_columns,
                                  temporal_columns)
-from ..functions.indexing import LOCAL_DICTIONARY_LIMIT, sorted_dictionary
-
-BROADCAST_DICTIONARY_LIMIT = 1_000_000
+from ..config import LIMITS
+from ..functions.indexing import sorted_dictionary
 
 
 def calendar_features(df: DataFrame, date_col: str | None = None) -> DataFrame:
@@ -82,7 +81,7 @@ def fit_label_encoders(df: DataFrame, cols: Sequence[str] | None = None) -> dict
     out = {}
     for c in cols:
         values = df.select(_as_label_text(c).alias("value"))
-        out[c] = sorted_dictionary(values, local_limit=LOCAL_DICTIONARY_LIMIT)
+        out[c] = sorted_dictionary(values)
     return out
 
 
@@ -94,7 +93,7 @@ def apply_label_encoders(df: DataFrame, encoders: dict[str, tuple[DataFrame, int
         if c not in out.columns:
             continue
         d = dic.select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        if size is not None and size <= BROADCAST_DICTIONARY_LIMIT:
+        if size is not None and size <= LIMITS.dictionary_broadcast:
             d = F.broadcast(d)
         out = (out.join(d, _as_label_text(c) == F.col(f"_v_{c}"), "left")
                .withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.lit(unseen).cast("bigint")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.indexing import prefix_sums
 
-MAX_CLASSES = 10_000
+from ..config import LIMITS
 
 
 def _pair_counts(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -27,11 +27,11 @@ def _labels(pairs: DataFrame) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
     """MLS-7: (actual, predicted, count) for every pair of sorted labels,
-    zeros included, when the label set is at most ``MAX_CLASSES`` (checked);
+    zeros included, when the label set is at most ``LIMITS.max_classes`` (checked);
     above that, the observed (sparse) cells."""
     pairs = _pair_counts(df, y, pred)
     labels = _labels(pairs)
-    if labels.count() > MAX_CLASSES:
+    if labels.count() > LIMITS.max_classes:
         # beyond the bound the dense k x k grid is not built: observed cells only
         return pairs.select("actual", "predicted", F.col("n").cast("bigint").alias("count"))
     grid = labels.select(F.col("label").alias("actual")).crossJoin(

@@ -23,7 +23,7 @@ from .. import config as C
 from ..functions.partitioning import ensure_parallelism
 from .stats import py_ts_text
 
-MAX_BROADCAST_QUERIES = 10_000
+from ..config import LIMITS
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -222,14 +222,14 @@ def top_k(items: DataFrame, item_id: str | Sequence[str], vec_col: str, queries:
           query_id: str, query_vec: str = "query", k: int = C.RETRIEVAL_K,
           carry: Sequence[str] = (), query_carry: Sequence[str] = ()) -> DataFrame:
     """RET-5/6: the k nearest items (squared L2, ties by item id) per query.
-    Up to ``MAX_BROADCAST_QUERIES`` queries (checked) travel as one
+    Up to ``LIMITS.broadcast_queries`` queries (checked) travel as one
     broadcast; more are processed in bounded batches."""
     ids = [item_id] if isinstance(item_id, str) else list(item_id)
     nq = queries.count()
-    if nq > MAX_BROADCAST_QUERIES:
+    if nq > LIMITS.broadcast_queries:
         # beyond the broadcast bound: hash-bucketed batches of queries, each
         # under the bound, one pass over the items per batch
-        n_batches = -(-nq // MAX_BROADCAST_QUERIES) + 1
+        n_batches = -(-nq // max(LIMITS.broadcast_queries, 1)) + 1
         bucket = F.pmod(F.xxhash64(query_id), F.lit(n_batches))
         parts = [top_k(items, ids, vec_col, queries.where(bucket == b), query_id, query_vec, k, carry, query_carry)
                  for b in range(n_batches)]

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import md5_unit
+from ..config import LIMITS
 from ..functions.indexing import sorted_dictionary
 from ..functions.partitioning import ensure_parallelism
 from ..session import ensure_checkpoint_dir
@@ -59,8 +60,8 @@ def _local_knn(qids, qx, cids, cx, k):
     return pd.DataFrame(out, columns=["qid", "rank", "nid", "dist"])
 
 
-def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int = 20_000,
-        block: int = 2048) -> DataFrame:
+def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int | None = None,
+        block: int | None = None) -> DataFrame:
     """Exact k nearest neighbours within ``points`` (qid, rank, nid, dist);
     ties by neighbour id, the point itself excluded.
 
@@ -70,6 +71,8 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int =
     filter, which Spark limits map-side, so a vector held by a third of the
     rows never reaches one task whole.  Only points of rarer vectors are
     searched, against at most k representatives per distinct vector."""
+    local_limit = LIMITS.knn_local if local_limit is None else local_limit
+    block = LIMITS.knn_block if block is None else block
     pts = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     wv = Window.partitionBy("v").orderBy("id")
     top = pts.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") <= k + 1)

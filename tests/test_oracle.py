@@ -36,3 +36,24 @@ def test_entry_runs(spark):
 
 def test_every_query_has_a_builder():
     assert set(ORACLE) <= set(QUERIES)
+
+
+# Queries whose plans switch to the distributed form above a size check; with
+# the checks shrunk they take that form on the small tables and must still
+# equal DuckDB (exact quantile narrowing, distributed dictionaries and prefix
+# sums, block neighbour search, batched top-k queries).
+SCALE_PATH_QUERIES = ["impute_median", "impute_mode", "clean_pipeline", "null_profile", "describe_numeric",
+                      "amount_profile", "impute_amount_stats", "anomaly_threshold", "anomaly_report",
+                      "label_encode", "label_encode_unseen", "roc_auc", "smote", "vector_topk_batch",
+                      "retrieval_result", "packed_prompt", "text_report"]
+
+
+@pytest.mark.parametrize("name", SCALE_PATH_QUERIES)
+def test_distributed_paths_match_oracle(spark, con_small, name):
+    from ledgerlens.config import LIMITS
+    LIMITS.small()
+    try:
+        r = compare(spark, con_small, name, QUERIES[name], ORACLE[name], SF_SMALL)
+    finally:
+        LIMITS.reset()
+    assert r["status"] == "match", r

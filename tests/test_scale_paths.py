@@ -76,7 +76,8 @@ def test_topk_batches_beyond_broadcast_bound(spark, monkeypatch):
     items = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(300)], "id long, v array<double>")
     qs = spark.createDataFrame([(j, [float(j * 3), 1.0]) for j in range(40)], "qid long, q array<double>")
     want = {(r["qid"], r["id"], r["rank"]) for r in RT.top_k(items, "id", "v", qs, "qid", "q", 3).collect()}
-    monkeypatch.setattr(RT, "MAX_BROADCAST_QUERIES", 7)
+    from ledgerlens.config import LIMITS
+    monkeypatch.setattr(LIMITS, "broadcast_queries", 7)
     got = {(r["qid"], r["id"], r["rank"]) for r in RT.top_k(items, "id", "v", qs, "qid", "q", 3).collect()}
     assert got == want and len(got) == 120
 
@@ -85,5 +86,6 @@ def test_sparse_confusion_beyond_bound(spark, monkeypatch):
     from ledgerlens.operators import metrics as M
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 3)], "y int, p int")
     assert M.confusion_matrix(df, "y", "p").count() == 9
-    monkeypatch.setattr(M, "MAX_CLASSES", 2)
+    from ledgerlens.config import LIMITS
+    monkeypatch.setattr(LIMITS, "max_classes", 2)
     assert M.confusion_matrix(df, "y", "p").count() == 4
