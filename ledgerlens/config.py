@@ -96,7 +96,7 @@ class Limits:
         self.dictionary_local = 200_000             # sorted dictionary ranked in one window
         self.dictionary_broadcast = 1_000_000       # label dictionary joined with a broadcast
         self.prefix_local = 200_000                 # prefix sums in one ordered window
-        self.prefix_rows_per_partition = 2_000_000  # range partition size of the distributed form
+        self.prefix_rows_per_partition = 500_000    # range partition size of the distributed form
         self.knn_local = 20_000                     # neighbour candidates kept as a broadcast matrix
         self.knn_block = 2048                       # rows per block of the distributed search
         self.broadcast_queries = 10_000             # top-k queries sent in one broadcast

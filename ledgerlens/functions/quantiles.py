@@ -82,22 +82,30 @@ def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
         pending = [s for s in state if s["m"] > max_candidates]
         if not pending:
             break
-        sub = candidates(pending)
+        # targets sharing a column and a bracket share one sketch ("slot"):
+        # every row enters one percentile_approx, whatever the number of quantiles
+        slots: dict[tuple, int] = {}
+        for s in pending:
+            s["slot"] = slots.setdefault((s["k"], s["lo"], s["hi"]), len(slots))
+        sdf = spark.createDataFrame([(i, k, lo, hi) for (k, lo, hi), i in slots.items()],
+                                    "slot int, k string, lo double, hi double")
+        keep = ((F.col("lo").isNull() | (F.col("v") >= F.col("lo")))
+                & (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
+        sub = long.join(F.broadcast(sdf), "k").where(keep).select("slot", "v")
         margin = 3.0 / accuracy
-        aggs = []
         for s in pending:
-            f_lo = max(0.0, (s["r_lo"] - s["below"]) / s["m"] - margin)
-            f_hi = min(1.0, (s["r_hi"] - s["below"] + 1) / s["m"] + margin)
-            aggs.append(F.percentile_approx(F.when(F.col("t") == s["t"], F.col("v")),
-                                            [f_lo, f_hi], accuracy).alias(f"b{s['t']}"))
-        bounds = sub.agg(*aggs).first()
+            s["f"] = (max(0.0, (s["r_lo"] - s["below"]) / s["m"] - margin),
+                      min(1.0, (s["r_hi"] - s["below"] + 1) / s["m"] + margin))
+        fracs = sorted({f for s in pending for f in s["f"]})
+        sketch = {r["slot"]: r["q"] for r in
+                  sub.groupBy("slot").agg(F.percentile_approx("v", fracs, accuracy).alias("q")).collect()}
         cnt_aggs = []
         for s in pending:
-            lo_new, hi_new = bounds[f"b{s['t']}"]
-            s["lo_new"], s["hi_new"] = lo_new, hi_new
-            mine = F.col("t") == s["t"]
-            cnt_aggs += [F.count_if(mine & (F.col("v") < F.lit(lo_new))).alias(f"lt{s['t']}"),
-                         F.count_if(mine & (F.col("v") <= F.lit(hi_new))).alias(f"le{s['t']}")]
+            q = sketch[s["slot"]]
+            s["lo_new"], s["hi_new"] = q[fracs.index(s["f"][0])], q[fracs.index(s["f"][1])]
+            mine = F.col("slot") == s["slot"]
+            cnt_aggs += [F.count_if(mine & (F.col("v") < F.lit(s["lo_new"]))).alias(f"lt{s['t']}"),
+                         F.count_if(mine & (F.col("v") <= F.lit(s["hi_new"]))).alias(f"le{s['t']}")]
         cnts = sub.agg(*cnt_aggs).first()
         shrunk = False
         for s in pending:

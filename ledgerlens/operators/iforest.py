@@ -157,23 +157,22 @@ def score_samples(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:
     def run(it):
         feat, thr, left, right, leafval = bc.value
         n_trees = feat.shape[0]
+        tree_idx = np.arange(n_trees)[None, :]
         for b in it:
             if not len(b):
                 continue
             mat = b[feats].to_numpy(dtype=np.float64)
-            total = np.zeros(len(b))
-            rows = np.arange(len(b))
-            for t in range(n_trees):
-                node = np.zeros(len(b), np.int64)
-                while True:
-                    f = feat[t, node]
-                    live = f >= 0
-                    if not live.any():
-                        break
-                    x = mat[rows[live], f[live]]
-                    go_left = x < thr[t, node[live]]
-                    node[live] = np.where(go_left, left[t, node[live]], right[t, node[live]])
-                total += leafval[t, node]
+            rows = np.arange(len(b))[:, None]
+            node = np.zeros((len(b), n_trees), np.int64)      # all trees walked together, level by level
+            while True:
+                f = feat[tree_idx, node]
+                live = f >= 0
+                if not live.any():
+                    break
+                x = mat[np.broadcast_to(rows, f.shape), np.where(live, f, 0)]
+                nxt = np.where(x < thr[tree_idx, node], left[tree_idx, node], right[tree_idx, node])
+                node = np.where(live, nxt, node)
+            total = leafval[tree_idx, node].sum(axis=1)
             score = -np.power(2.0, -(total / n_trees) / cpsi)
             yield pd.DataFrame({"_rid": b["_rid"], "score": score})
 

@@ -68,3 +68,23 @@ def test_topk_plans_group_limit(spark):
     q = RT.centroid(e, "embedding", "label")
     plan = RT.top_k(e, "vec_id", "embedding", q, "label")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_vectorised_tree_walk_matches_scalar(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(rng.normal(size=(500, 3)))]
+    df = spark.createDataFrame(rows, "rid bigint, a double, b double, c double")
+    m = IF.train_iforest(df, ["a", "b", "c"], "rid", n_trees=20)
+    got = {r["rid"]: r["score"] for r in IF.score_samples(m, df, "rid").collect()}
+    nodes = {(int(t), int(n)): r for t, n, r in zip(m.nodes["tree"], m.nodes["node"], m.nodes.itertuples())}
+    cpsi = float(IF.c_factor(np.array([m.psi]))[0])
+    for rid, a, b, c in rows[:50]:
+        x = (a, b, c)
+        total = 0.0
+        for t in sorted(m.nodes["tree"].unique()):
+            n = nodes[(int(t), 0)]
+            while not n.leaf:
+                n = nodes[(int(t), int(n.left if x[n.feature] < n.threshold else n.right))]
+            total += n.depth + float(IF.c_factor(np.array([n.size]))[0])
+        want = -2.0 ** (-(total / m.nodes["tree"].nunique()) / cpsi)
+        assert abs(got[rid] - want) < 1e-12
