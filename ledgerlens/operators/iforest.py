@@ -81,6 +81,8 @@ class IForestModel:
     psi: int
     offset: float | None = None
     contamination: float = C.IFOREST_CONTAMINATION_AGENT
+    train_scores: DataFrame | None = None      # checkpointed scores of the training frame
+    train_frame: DataFrame | None = None
 
 
 def train_iforest(X: DataFrame, features: list[str], row_id: str, n_trees: int = C.IFOREST_TREES,
@@ -122,6 +124,7 @@ def train_iforest(X: DataFrame, features: list[str], row_id: str, n_trees: int =
     model = IForestModel(features=list(features), nodes=nodes, psi=psi, contamination=contamination)
     scores = score_samples(model, X, row_id).checkpoint(eager=True)   # one scoring pass, reused
     model.offset = exact_quantiles(scores, [("score", contamination)])[("score", contamination)]
+    model.train_scores, model.train_frame = scores, X
     return model
 
 
@@ -156,23 +159,23 @@ def score_samples(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:
 
     def run(it):
         feat, thr, left, right, leafval = bc.value
-        n_trees = feat.shape[0]
-        tree_idx = np.arange(n_trees)[None, :]
+        n_trees, width = feat.shape
+        ff, tt, ll, rr, vv = feat.ravel(), thr.ravel(), left.ravel(), right.ravel(), leafval.ravel()
+        base = (np.arange(n_trees) * width)[None, :]
         for b in it:
             if not len(b):
                 continue
             mat = b[feats].to_numpy(dtype=np.float64)
-            rows = np.arange(len(b))[:, None]
             node = np.zeros((len(b), n_trees), np.int64)      # all trees walked together, level by level
             while True:
-                f = feat[tree_idx, node]
+                idx = base + node
+                f = ff[idx]
                 live = f >= 0
                 if not live.any():
                     break
-                x = mat[np.broadcast_to(rows, f.shape), np.where(live, f, 0)]
-                nxt = np.where(x < thr[tree_idx, node], left[tree_idx, node], right[tree_idx, node])
-                node = np.where(live, nxt, node)
-            total = leafval[tree_idx, node].sum(axis=1)
+                x = np.take_along_axis(mat, np.where(live, f, 0), axis=1)
+                node = np.where(live, np.where(x < tt[idx], ll[idx], rr[idx]), node)
+            total = vv[base + node].sum(axis=1)
             score = -np.power(2.0, -(total / n_trees) / cpsi)
             yield pd.DataFrame({"_rid": b["_rid"], "score": score})
 
@@ -182,8 +185,13 @@ def score_samples(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:
 
 
 def detect(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:
-    """MLU-3/MLU-4: score, decision = score - offset, is_anomaly = decision < 0."""
-    s = score_samples(model, X, row_id)
+    """MLU-3/MLU-4: score, decision = score - offset, is_anomaly = decision < 0.
+    On the training frame itself the checkpointed training scores are reused
+    (no second scoring pass)."""
+    if X is model.train_frame and model.train_scores is not None and row_id in model.train_scores.columns:
+        s = model.train_scores
+    else:
+        s = score_samples(model, X, row_id)
     dec = F.col("score") - F.lit(model.offset)
     return s.select(row_id, F.col("score").alias("anomaly_score"), dec.alias("decision"),
                     (dec < 0).alias("is_anomaly"))
