@@ -6,13 +6,15 @@ Neighbour search never emits all pairs:
   broadcast variable and each partition of query rows computes its k nearest
   with numpy, emitting only k rows per query;
 * above it, rows are cut into range slabs on a fixed random projection and
-  hash sub-blocks inside each slab (so a slab holding a third of the rows still
-  splits into bounded blocks).  Each (query block, candidate block) pair
-  whose slabs are within ``w`` of each other is one bounded
-  ``applyInPandas`` group that emits local top-k; a per-query top-k merge
-  follows.  A query is final when its k-th distance cannot reach past the
-  searched slabs; the rest repeat with a doubled window, so the result is
-  exact.
+  hash sub-blocks inside each slab.  Each (query block, candidate block) pair
+  is one bounded ``applyInPandas`` group that emits local top-k; a per-query
+  top-k merge follows.  Pass 1 pairs each block with its own and the
+  neighbouring slabs.  A query is final when its k-th distance r cannot
+  reach past those; for the rest, the k points found are real, so the true
+  k-th distance is at most r, and pass 2 over the slabs covering
+  [x0 - r, x0 + r] is exact.
+* a vector shared by more than k points never enters the search (see
+  ``knn``), so hot duplicates cannot make one slab hold a third of the rows.
 
 Synthetic rows are ``x + u * (nn - x)`` with the base row, the neighbour
 rank and ``u`` drawn from md5 hashes of the synthetic row number, so the
@@ -161,41 +163,45 @@ def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int)
         cx = np.array(c["v"].tolist(), dtype=np.float64).reshape(len(c), -1)
         return _local_knn(q["id"].to_numpy(np.int64), qx, c["id"].to_numpy(np.int64), cx, k)
 
-    done = None
-    pending = qplaced
-    w = 1
-    while True:
-        pairs = [(qb, cb) for s_q, qbs in by_slab.items()
-                 for s_c in range(s_q - w, s_q + w + 1) for qb in qbs for cb in by_slab.get(s_c, ())]
-        pdf_pairs = spark.createDataFrame(pairs, "qb int, cb int")
+    wq = Window.partitionBy("qid").orderBy("dist", "nid")
+
+    def search(pending: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+        pdf_pairs = spark.createDataFrame(pairs or [(-1, -1)], "qb int, cb int")
         q = pending.select("id", "v", F.col("blk").alias("qb")).join(F.broadcast(pdf_pairs), "qb") \
             .select("qb", "cb", "id", "v", F.lit(0).alias("role"))
         c = placed.select("id", "v", F.col("blk").alias("cb")).join(F.broadcast(pdf_pairs), "cb") \
             .select("qb", "cb", "id", "v", F.lit(1).alias("role"))
         local = q.unionByName(c).groupBy("qb", "cb").applyInPandas(group_knn, schema)
-        wq = Window.partitionBy("qid").orderBy("dist", "nid")
-        merged = local.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
-        if 2 * w + 1 >= n_s:
-            res = merged
-            done = res if done is None else done.unionByName(res)
-            break
-        kth = merged.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("nk"))
-        lo_arr = F.array(*[F.lit(float(x)) for x in lo])
-        hi_arr = F.array(*[F.lit(float(x)) for x in hi])
-        info = pending.select(F.col("id").alias("qid"), "slab", "x0").join(kth, "qid", "left")
-        r = F.sqrt(F.coalesce(F.col("rk"), F.lit(math.inf)))
-        lo_w = F.element_at(lo_arr, F.greatest(F.col("slab") - w, F.lit(0)) + 1)
-        hi_w = F.element_at(hi_arr, F.least(F.col("slab") + w, F.lit(n_s - 1)) + 1)
-        # rows outside the searched slabs differ in the projection (hence in distance) by more than r
-        ok = (F.col("nk") >= k) & (F.col("x0") - r > lo_w) & (F.col("x0") + r < hi_w)
-        status = info.select("qid", ok.alias("ok")).checkpoint(eager=True)
-        final = merged.join(status.where("ok").select("qid"), "qid", "left_semi")
-        done = final if done is None else done.unionByName(final)
-        left = status.where(~F.col("ok")).select(F.col("qid").alias("id"))
-        if left.isEmpty():
-            break
-        pending = qplaced.join(left, "id", "left_semi")
-        w *= 2
+        return local.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
+
+    # pass 1: each query block against its own and the neighbouring slabs
+    pairs1 = [(qb, cb) for s_q, qbs in by_slab.items()
+              for s_c in range(s_q - 1, s_q + 2) for qb in qbs for cb in by_slab.get(s_c, ())]
+    first = search(qplaced, pairs1).checkpoint(eager=True)
+    if n_s <= 3:
+        return first
+    # the k found points are real, so the true k-th distance is at most r: rows
+    # whose projection lies outside [x0 - r, x0 + r] cannot be neighbours
+    kth = first.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("nk"))
+    r = F.when(F.col("nk") >= k, F.sqrt(F.col("rk"))).otherwise(F.lit(math.inf))
+    lo_arr = F.array(*[F.lit(float(x)) for x in lo])
+    hi_arr = F.array(*[F.lit(float(x)) for x in hi])
+    info = qplaced.select(F.col("id").alias("qid"), "blk", "slab", "x0").join(kth, "qid", "left") \
+        .withColumn("r", r)
+    lo_1 = F.element_at(lo_arr, F.greatest(F.col("slab") - 1, F.lit(0)) + 1)
+    hi_1 = F.element_at(hi_arr, F.least(F.col("slab") + 1, F.lit(n_s - 1)) + 1)
+    ok = (F.col("x0") - F.col("r") > lo_1) & (F.col("x0") + F.col("r") < hi_1)
+    need_lo = F.size(F.filter(barr, lambda b: b <= F.col("x0") - F.col("r")))
+    need_hi = F.size(F.filter(barr, lambda b: b <= F.col("x0") + F.col("r")))
+    status = info.select("qid", "blk", ok.alias("ok"), need_lo.alias("s_lo"), need_hi.alias("s_hi")) \
+        .checkpoint(eager=True)
+    done = first.join(status.where("ok").select("qid"), "qid", "left_semi")
+    ranges = status.where(~F.col("ok")).groupBy("blk").agg(F.min("s_lo").alias("a"), F.max("s_hi").alias("b"))
+    pairs2 = [(row["blk"], cb) for row in ranges.collect()                # one row per block
+              for s_c in range(row["a"], row["b"] + 1) for cb in by_slab.get(s_c, ())]
+    if pairs2:
+        pending = qplaced.join(status.where(~F.col("ok")).select(F.col("qid").alias("id")), "id", "left_semi")
+        done = done.unionByName(search(pending, pairs2))   # pass 2 covers every possible neighbour
     return done
 
 
