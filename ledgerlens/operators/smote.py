@@ -43,7 +43,7 @@ def _local_knn(qids, qx, cids, cx, k):
     """k nearest candidates per query (self excluded), ties by candidate id."""
     order = np.argsort(cids, kind="stable")
     cids, cx = cids[order], cx[order]
-    out = []
+    parts = []
     for s in range(0, len(qids), 256):
         q = qx[s:s + 256]
         # sum of squared differences, dimension by dimension (exact, no cancellation)
@@ -53,13 +53,19 @@ def _local_knn(qids, qx, cids, cx, k):
             d += diff * diff
         d[qids[s:s + 256, None] == cids[None, :]] = np.inf
         kk = min(k, d.shape[1])
-        idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-        for r in range(idx.shape[0]):
-            for j in range(kk):
-                dist = d[r, idx[r, j]]
-                if np.isfinite(dist):
-                    out.append((int(qids[s + r]), j + 1, int(cids[idx[r, j]]), float(dist)))
-    return pd.DataFrame(out, columns=["qid", "rank", "nid", "dist"])
+        idx = np.argsort(d, axis=1, kind="stable")[:, :kk]          # stable: equal distances keep id order
+        dist = np.take_along_axis(d, idx, axis=1)
+        keep = np.isfinite(dist)
+        rows = np.broadcast_to(np.arange(len(q))[:, None], idx.shape)
+        parts.append(pd.DataFrame({
+            "qid": qids[s:s + 256][rows[keep]].astype(np.int64),
+            "rank": (np.broadcast_to(np.arange(1, kk + 1)[None, :], idx.shape)[keep]).astype(np.int64),
+            "nid": cids[idx[keep]].astype(np.int64),
+            "dist": dist[keep]}))
+    if not parts:
+        return pd.DataFrame({"qid": [], "rank": [], "nid": [], "dist": []}).astype(
+            {"qid": "int64", "rank": "int64", "nid": "int64", "dist": "float64"})
+    return pd.concat(parts, ignore_index=True)
 
 
 def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int | None = None,
