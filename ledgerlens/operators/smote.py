@@ -53,14 +53,20 @@ def _local_knn(qids, qx, cids, cx, k):
             d += diff * diff
         d[qids[s:s + 256, None] == cids[None, :]] = np.inf
         kk = min(k, d.shape[1])
-        idx = np.argsort(d, axis=1, kind="stable")[:, :kk]          # stable: equal distances keep id order
-        dist = np.take_along_axis(d, idx, axis=1)
-        keep = np.isfinite(dist)
-        rows = np.broadcast_to(np.arange(len(q))[:, None], idx.shape)
+        # the k-th smallest distance per row in O(n); every candidate at or
+        # under it (ties included) is then ordered exactly by (distance, id)
+        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        r_i, c_i = np.nonzero(d <= kth[:, None])
+        dist = d[r_i, c_i]
+        o = np.lexsort((c_i, dist, r_i))                 # columns are in id order
+        r_i, c_i, dist = r_i[o], c_i[o], dist[o]
+        first = np.searchsorted(r_i, r_i, side="left")
+        rank = np.arange(len(r_i)) - first + 1
+        keep = (rank <= kk) & np.isfinite(dist)
         parts.append(pd.DataFrame({
-            "qid": qids[s:s + 256][rows[keep]].astype(np.int64),
-            "rank": (np.broadcast_to(np.arange(1, kk + 1)[None, :], idx.shape)[keep]).astype(np.int64),
-            "nid": cids[idx[keep]].astype(np.int64),
+            "qid": qids[s:s + 256][r_i[keep]].astype(np.int64),
+            "rank": rank[keep].astype(np.int64),
+            "nid": cids[c_i[keep]].astype(np.int64),
             "dist": dist[keep]}))
     if not parts:
         return pd.DataFrame({"qid": [], "rank": [], "nid": [], "dist": []}).astype(
