@@ -88,3 +88,13 @@ def test_vectorised_tree_walk_matches_scalar(spark):
             total += n.depth + float(IF.c_factor(np.array([n.size]))[0])
         want = -2.0 ** (-(total / m.nodes["tree"].nunique()) / cpsi)
         assert abs(got[rid] - want) < 1e-12
+
+
+def test_ingest_report_size_and_rows(spark):
+    import os
+    from ledgerlens.sources.readers import ingest_report
+    path = f"{SF_SMALL}/events.parquet"
+    r = ingest_report(spark, path).first()
+    assert r["filename"] == "events.parquet" and r["rows"] == 1000
+    assert abs(r["size_mb"] - os.path.getsize(path) / (1024 * 1024)) < 1e-12
+    assert r["columns"] == "event_id,ts,user_id,event_type,value,props"
