@@ -11,7 +11,6 @@ import json
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from .features import FeatureState
@@ -63,4 +62,4 @@ def load_models(spark: SparkSession, path: str) -> ModelBundle:
     return out
 
 
-__all__ = ["ModelBundle", "save_models", "load_models", "PipelineModel"]
+__all__ = ["ModelBundle", "save_models", "load_models"]

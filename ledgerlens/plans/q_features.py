@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as P
 from ..functions.exprs import fmt_fixed, fmt_grouped
-from ..operators import clean as K
 from ..operators import features as FE
 from ..sources.views import SQL_TXN, SQL_TXN_DIRTY, txn, txn_dirty
 from .catalog import register

@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources.views import SQL_SCORED, SQL_TXN, read_table, scored, txn
 from .catalog import register
 from .q_anomaly import _f_sql, _z_sql
-from .q_stats import PY_TS, page_frame, q_anomaly_report
+from .q_stats import PY_TS, q_anomaly_report
 from . import q_stats
 
 LETTERS = RT.LETTERS

@@ -1,5 +1,4 @@
 """Fitted scorers on a file stream of the events table."""
-from pyspark.sql import functions as F
 
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.views import read_table
