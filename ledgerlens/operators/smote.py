@@ -5,14 +5,13 @@ Neighbour search never emits all pairs:
 * up to ``local_limit`` minority rows (checked) the minority matrix is a
   broadcast variable and each partition of query rows computes its k nearest
   with numpy, emitting only k rows per query;
-* above it, rows are cut into range slabs on a fixed random projection and
-  hash sub-blocks inside each slab.  Each (query block, candidate block) pair
-  is one bounded ``applyInPandas`` group that emits local top-k; a per-query
-  top-k merge follows.  Pass 1 pairs each block with its own and the
-  neighbouring slabs.  A query is final when its k-th distance r cannot
-  reach past those; for the rest, the k points found are real, so the true
-  k-th distance is at most r, and pass 2 over the slabs covering
-  [x0 - r, x0 + r] is exact.
+* above it, points are cut by a k-d partition (median splits of a fixed
+  random rotation's coordinates) into cells of about ``block`` points.  Each
+  (query cell, candidate cell) pair is one bounded ``applyInPandas`` group
+  that emits local top-k; a per-query top-k merge follows.  Pass 1 searches
+  each query's own cell; the k points found are real, so the true k-th
+  distance is at most r, and pass 2 visits every cell whose box lies within
+  the largest r of the query cell: exact.
 * a vector shared by more than k points never enters the search (see
   ``knn``), so hot duplicates cannot make one slab hold a third of the rows.
 
@@ -124,46 +123,53 @@ def _search(queries: DataFrame, cands: DataFrame, k: int, local_limit: int, bloc
 
 
 def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
-    """Block search; every query is also a candidate (queries are the points
-    of non-hot vectors, all of which are candidates)."""
+    """Block search over a k-d partition; every query is also a candidate
+    (queries are the points of non-hot vectors, all of which are candidates).
+
+    Points are rotated by a fixed random orthonormal matrix (distances are
+    unchanged) and split level by level at the median of one rotated
+    coordinate per cell, until cells hold about ``block`` points.  Each
+    (query cell, candidate cell) pair is one bounded ``applyInPandas`` group.
+    Pass 1 searches each query's own cell; its k found points bound the true
+    k-th distance by r, and pass 2 visits every cell whose bounding box (in
+    rotated coordinates) lies within the cell's largest r: exact."""
     spark = pts.sparkSession
     ensure_checkpoint_dir(spark)
-    n_slabs = max(1, math.ceil(m / block))
-    # slab on the projection onto a fixed pseudo-random unit direction w:
-    # |<a - b, w>| <= |a - b| keeps the pruning exact, and unlike a single
-    # feature it only ties for identical points
     dim = len(pts.select("v").first()["v"])
-    w = np.random.default_rng(20_240_101).normal(size=dim)
-    w = w / np.linalg.norm(w)
-    x0 = F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(float(c)) for c in w]), lambda a, b: a * b),
-                     F.lit(0.0), lambda acc, t: acc + t)
-    bounds = pts.agg(F.percentile_approx(x0, [i / n_slabs for i in range(1, n_slabs)] or [0.5], 10_000)
-                     .alias("b")).first()["b"] if n_slabs > 1 else []
-    barr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    x0_expr = x0
-    slabbed = pts.withColumn("slab", F.size(F.filter(barr, lambda b: b <= x0_expr)))
-    sizes = {r["slab"]: r["n"] for r in slabbed.groupBy("slab").agg(F.count(F.lit(1)).alias("n")).collect()}
-    subs = {s: max(1, math.ceil(n / block)) for s, n in sizes.items()}
-    blocks, bid = {}, 0
-    for s in sorted(subs):
-        for j in range(subs[s]):
-            blocks[(s, j)] = bid
-            bid += 1
-    by_slab: dict[int, list[int]] = {}
-    for (s, _), b in blocks.items():
-        by_slab.setdefault(s, []).append(b)
-    sub_arr = F.array(*[F.lit(subs.get(s, 1)) for s in range(len(bounds) + 1)])
-    bmap = spark.createDataFrame([(s, j, b) for (s, j), b in blocks.items()], "slab int, sub int, blk int")
-    def place(df):
-        return (df.withColumn("x0", x0_expr).withColumn("slab", F.size(F.filter(barr, lambda b: b <= F.col("x0"))))
-                .withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(sub_arr, F.col("slab") + 1)).cast("int"))
-                .join(F.broadcast(bmap), ["slab", "sub"]))
-
-    placed = place(pts).checkpoint(eager=True)
-    qplaced = place(queries).checkpoint(eager=True)
-    lo = [-math.inf] + list(bounds)
-    hi = list(bounds) + [math.inf]
-    n_s = len(bounds) + 1
+    rot, _ = np.linalg.qr(np.random.default_rng(20_240_101).normal(size=(dim, dim)))
+    rcols = [F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(float(x)) for x in rot[:, j]]),
+                                    lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
+             for j in range(dim)]
+    rotated = F.array(*rcols)
+    levels = max(0, math.ceil(math.log2(max(m / block, 1))))
+    cand = pts.withColumn("u", rotated).withColumn("cell", F.lit(0)).checkpoint(eager=True)
+    splits: list[list[float]] = []
+    for lvl in range(levels):
+        coord = F.col("u")[lvl % dim]
+        meds = {r["cell"]: r["med"] for r in
+                cand.groupBy("cell").agg(F.percentile_approx(coord, 0.5, 10_000).alias("med")).collect()}
+        width = 1 << lvl
+        med_arr = [float(meds.get(c, 0.0)) for c in range(width)]
+        splits.append(med_arr)
+        cand = cand.withColumn("cell", F.col("cell") * 2 + (coord > F.element_at(
+            F.array(*[F.lit(x) for x in med_arr]), F.col("cell") + 1)).cast("int"))
+        cand = cand.checkpoint(eager=True)
+
+    def assign(df):
+        out = df.withColumn("u", rotated).withColumn("cell", F.lit(0))
+        for lvl, med_arr in enumerate(splits):
+            coord = F.col("u")[lvl % dim]
+            out = out.withColumn("cell", F.col("cell") * 2 + (coord > F.element_at(
+                F.array(*[F.lit(x) for x in med_arr]), F.col("cell") + 1)).cast("int"))
+        return out
+
+    placed = cand
+    qplaced = assign(queries).checkpoint(eager=True)
+    boxes = {r["cell"]: (np.array(r["lo"]), np.array(r["hi"])) for r in placed.groupBy("cell").agg(
+        *[F.min(F.col("u")[j]).alias(f"l{j}") for j in range(dim)],
+        *[F.max(F.col("u")[j]).alias(f"h{j}") for j in range(dim)]).select(
+        "cell", F.array(*[f"l{j}" for j in range(dim)]).alias("lo"),
+        F.array(*[f"h{j}" for j in range(dim)]).alias("hi")).collect()}   # one row per cell
     schema = KNN_SCHEMA
 
     def group_knn(pdf):
@@ -179,42 +185,38 @@ def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int)
 
     def search(pending: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
         pdf_pairs = spark.createDataFrame(pairs or [(-1, -1)], "qb int, cb int")
-        q = pending.select("id", "v", F.col("blk").alias("qb")).join(F.broadcast(pdf_pairs), "qb") \
+        q = pending.select("id", "v", F.col("cell").alias("qb")).join(F.broadcast(pdf_pairs), "qb") \
             .select("qb", "cb", "id", "v", F.lit(0).alias("role"))
-        c = placed.select("id", "v", F.col("blk").alias("cb")).join(F.broadcast(pdf_pairs), "cb") \
+        c = placed.select("id", "v", F.col("cell").alias("cb")).join(F.broadcast(pdf_pairs), "cb") \
             .select("qb", "cb", "id", "v", F.lit(1).alias("role"))
         local = q.unionByName(c).groupBy("qb", "cb").applyInPandas(group_knn, schema)
         return local.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
 
-    # pass 1: each query block against its own and the neighbouring slabs
-    pairs1 = [(qb, cb) for s_q, qbs in by_slab.items()
-              for s_c in range(s_q - 1, s_q + 2) for qb in qbs for cb in by_slab.get(s_c, ())]
-    first = search(qplaced, pairs1).checkpoint(eager=True)
-    if n_s <= 3:
+    cells = sorted(boxes)
+    # pass 1: own cell (every query's cell holds candidates: queries are candidates)
+    first = search(qplaced, [(c, c) for c in cells]).checkpoint(eager=True)
+    if len(cells) == 1:
         return first
-    # the k found points are real, so the true k-th distance is at most r: rows
-    # whose projection lies outside [x0 - r, x0 + r] cannot be neighbours
     kth = first.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("nk"))
     r = F.when(F.col("nk") >= k, F.sqrt(F.col("rk"))).otherwise(F.lit(math.inf))
-    lo_arr = F.array(*[F.lit(float(x)) for x in lo])
-    hi_arr = F.array(*[F.lit(float(x)) for x in hi])
-    info = qplaced.select(F.col("id").alias("qid"), "blk", "slab", "x0").join(kth, "qid", "left") \
-        .withColumn("r", r)
-    lo_1 = F.element_at(lo_arr, F.greatest(F.col("slab") - 1, F.lit(0)) + 1)
-    hi_1 = F.element_at(hi_arr, F.least(F.col("slab") + 1, F.lit(n_s - 1)) + 1)
-    ok = (F.col("x0") - F.col("r") > lo_1) & (F.col("x0") + F.col("r") < hi_1)
-    need_lo = F.size(F.filter(barr, lambda b: b <= F.col("x0") - F.col("r")))
-    need_hi = F.size(F.filter(barr, lambda b: b <= F.col("x0") + F.col("r")))
-    status = info.select("qid", "blk", ok.alias("ok"), need_lo.alias("s_lo"), need_hi.alias("s_hi")) \
-        .checkpoint(eager=True)
-    done = first.join(status.where("ok").select("qid"), "qid", "left_semi")
-    ranges = status.where(~F.col("ok")).groupBy("blk").agg(F.min("s_lo").alias("a"), F.max("s_hi").alias("b"))
-    pairs2 = [(row["blk"], cb) for row in ranges.collect()                # one row per block
-              for s_c in range(row["a"], row["b"] + 1) for cb in by_slab.get(s_c, ())]
-    if pairs2:
-        pending = qplaced.join(status.where(~F.col("ok")).select(F.col("qid").alias("id")), "id", "left_semi")
-        done = done.unionByName(search(pending, pairs2))   # pass 2 covers every possible neighbour
-    return done
+    radius = {row["cell"]: row["r"] for row in qplaced.select(F.col("id").alias("qid"), "cell")
+              .join(kth, "qid", "left").groupBy("cell").agg(F.max(r).alias("r")).collect()}   # one row per cell
+    lo = np.array([boxes[c][0] for c in cells])
+    hi = np.array([boxes[c][1] for c in cells])
+    pairs2 = []
+    for i, qc in enumerate(cells):
+        rq = radius.get(qc)
+        if rq is None:
+            continue
+        gap = np.maximum(0.0, np.maximum(lo - hi[i], lo[i] - hi))          # box-to-box gap per axis
+        reach = np.sqrt((gap * gap).sum(axis=1))
+        pairs2 += [(qc, cells[j]) for j in np.flatnonzero(reach <= rq) if cells[j] != qc]
+    if not pairs2:
+        return first
+    # pass 2: every other cell that could hold a point within r; merged with pass 1
+    second = search(qplaced, pairs2)
+    both = first.unionByName(second)
+    return both.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
 
 
 def smote(train: DataFrame, features: list[str], label: str = "__label", id_col: str = "__row_id",
