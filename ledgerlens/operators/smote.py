@@ -10,8 +10,8 @@ Neighbour search never emits all pairs:
   (query cell, candidate cell) pair is one bounded ``applyInPandas`` group
   that emits local top-k; a per-query top-k merge follows.  Pass 1 searches
   each query's own cell; the k points found are real, so the true k-th
-  distance is at most r, and pass 2 visits every cell whose box lies within
-  the largest r of the query cell: exact.
+  distance is at most r, and pass 2 sends each query only to the cells
+  whose box lies within its own r: exact.
 * a vector shared by more than k points never enters the search (see
   ``knn``), so hot duplicates cannot make one slab hold a third of the rows.
 
@@ -131,8 +131,8 @@ def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int)
     coordinate per cell, until cells hold about ``block`` points.  Each
     (query cell, candidate cell) pair is one bounded ``applyInPandas`` group.
     Pass 1 searches each query's own cell; its k found points bound the true
-    k-th distance by r, and pass 2 visits every cell whose bounding box (in
-    rotated coordinates) lies within the cell's largest r: exact."""
+    k-th distance by r, and pass 2 sends each query to every other cell whose
+    bounding box (in rotated coordinates) lies within its own r: exact."""
     spark = pts.sparkSession
     ensure_checkpoint_dir(spark)
     dim = len(pts.select("v").first()["v"])
@@ -199,22 +199,33 @@ def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int)
         return first
     kth = first.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("nk"))
     r = F.when(F.col("nk") >= k, F.sqrt(F.col("rk"))).otherwise(F.lit(math.inf))
-    radius = {row["cell"]: row["r"] for row in qplaced.select(F.col("id").alias("qid"), "cell")
-              .join(kth, "qid", "left").groupBy("cell").agg(F.max(r).alias("r")).collect()}   # one row per cell
     lo = np.array([boxes[c][0] for c in cells])
     hi = np.array([boxes[c][1] for c in cells])
-    pairs2 = []
-    for i, qc in enumerate(cells):
-        rq = radius.get(qc)
-        if rq is None:
-            continue
-        gap = np.maximum(0.0, np.maximum(lo - hi[i], lo[i] - hi))          # box-to-box gap per axis
-        reach = np.sqrt((gap * gap).sum(axis=1))
-        pairs2 += [(qc, cells[j]) for j in np.flatnonzero(reach <= rq) if cells[j] != qc]
-    if not pairs2:
-        return first
-    # pass 2: every other cell that could hold a point within r; merged with pass 1
-    second = search(qplaced, pairs2)
+    cell_ids = np.array(cells, dtype=np.int64)
+    bc_boxes = spark.sparkContext.broadcast((lo, hi, cell_ids))      # cells x dim, bounded
+
+    def reach(it):
+        blo, bhi, bids = bc_boxes.value
+        for b in it:
+            if not len(b):
+                continue
+            u = np.array(b["u"].tolist(), dtype=np.float64).reshape(len(b), -1)
+            gap = np.maximum(0.0, np.maximum(blo[None, :, :] - u[:, None, :], u[:, None, :] - bhi[None, :, :]))
+            d = np.sqrt((gap * gap).sum(axis=2))                        # point-to-box distance
+            own = b["cell"].to_numpy(np.int64)
+            qi, cj = np.nonzero((d <= b["r"].to_numpy()[:, None]) & (bids[None, :] != own[:, None]))
+            yield pd.DataFrame({"id": b["id"].to_numpy(np.int64)[qi], "qb": own[qi].astype(np.int32),
+                                "cb": bids[cj].astype(np.int32)})
+
+    # each query only visits the cells its own k-th distance can reach
+    need = (qplaced.select(F.col("id").alias("qid"), "cell", "u").join(kth, "qid", "left")
+            .select(F.col("qid").alias("id"), "cell", "u", r.alias("r"))
+            .mapInPandas(reach, "id long, qb int, cb int")).checkpoint(eager=True)
+    q = need.join(qplaced.select("id", "v"), "id").select("qb", "cb", "id", "v", F.lit(0).alias("role"))
+    c = placed.select("id", "v", F.col("cell").alias("cb")).join(need.select("qb", "cb").distinct(), "cb") \
+        .select("qb", "cb", "id", "v", F.lit(1).alias("role"))
+    second = q.unionByName(c).groupBy("qb", "cb").applyInPandas(group_knn, schema) \
+        .withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
     both = first.unionByName(second)
     return both.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
 
