@@ -73,11 +73,11 @@ def q_parse_epoch(spark, sf_dir):
     return d.select("transaction_id", ts_text_micros(F.col("unix_time")).alias("unix_time"))
 
 
-@register("clean_pipeline", f"""WITH {SQL_TXN_DIRTY}, {FILLED}
+@register("clean_table", f"""WITH {SQL_TXN_DIRTY}, {FILLED}
 SELECT transaction_id, customer_id, round(amount, 6) AS amount, category,
        strftime(try_cast(transaction_date AS timestamp), '%Y-%m-%d %H:%M:%S') AS transaction_date, is_fraud
 FROM filled""")
-def q_clean_pipeline(spark, sf_dir):
+def q_clean_table(spark, sf_dir):
     d = K.clean(txn_dirty(spark, sf_dir))
     return d.select("transaction_id", "customer_id", F.round("amount", 6).alias("amount"), "category",
                     ts_text(F.col("transaction_date")).alias("transaction_date"), "is_fraud")

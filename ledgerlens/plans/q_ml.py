@@ -17,7 +17,7 @@ from ..operators.features import FeatureState, prepare_features
 from ..operators.smote import smote as smote_rows
 from ..session import scratch_path
 from ..sources.views import SQL_TXN, sql_md5_unit, txn, txn_orders
-from . import pipeline as PL
+from . import flows as PL
 from .catalog import register
 from .q_clean import txn_text
 
@@ -168,26 +168,26 @@ def q_iforest_roundtrip(spark, sf_dir):
 
 # --- end-to-end flows ------------------------------------------------------
 
-@register("pipeline_full_summary")
-def q_pipeline_full_summary(spark, sf_dir):
+@register("flow_full_summary")
+def q_flow_full_summary(spark, sf_dir):
     return PL.full_run(txn(spark, sf_dir)).summary
 
 
-@register("pipeline_full_prompts")
-def q_pipeline_full_prompts(spark, sf_dir):
+@register("flow_full_prompts")
+def q_flow_full_prompts(spark, sf_dir):
     return PL.full_run(txn(spark, sf_dir)).prompts
 
 
-@register("pipeline_unsupervised")
-def q_pipeline_unsupervised(spark, sf_dir):
+@register("flow_unsupervised")
+def q_flow_unsupervised(spark, sf_dir):
     return PL.full_run(txn_orders(spark, sf_dir)).risk
 
 
-@register("pipeline_page_alerts")
-def q_pipeline_page_alerts(spark, sf_dir):
+@register("flow_page_alerts")
+def q_flow_page_alerts(spark, sf_dir):
     return PL.page_run(txn_text(spark, sf_dir)).alerts
 
 
-@register("pipeline_page_report")
-def q_pipeline_page_report(spark, sf_dir):
+@register("flow_page_report")
+def q_flow_page_report(spark, sf_dir):
     return PL.page_run(txn_text(spark, sf_dir)).report

@@ -1,7 +1,7 @@
 """The two end-to-end flows on the driver tables."""
 from pyspark.sql import functions as F
 
-from ledgerlens.plans import pipeline as PL
+from ledgerlens.plans import flows as PL
 from ledgerlens.plans.q_clean import txn_text
 from ledgerlens.sources.views import txn, txn_orders
 

@@ -22,7 +22,7 @@ def test_query_matches_oracle(spark, con_small, name):
     assert r["status"] == "match", r
 
 
-@pytest.mark.parametrize("name", ["anomaly_zscore", "clean_pipeline", "text_report", "roc_auc", "packed_prompt"])
+@pytest.mark.parametrize("name", ["anomaly_zscore", "clean_table", "text_report", "roc_auc", "packed_prompt"])
 def test_query_matches_oracle_sf001(spark, name):
     r = compare(spark, duck(SF_MID), name, QUERIES[name], ORACLE[name], SF_MID)
     assert r["status"] == "match", r
@@ -42,7 +42,7 @@ def test_every_query_has_a_builder():
 # the checks shrunk they take that form on the small tables and must still
 # equal DuckDB (exact quantile narrowing, distributed dictionaries and prefix
 # sums, block neighbour search, batched top-k queries).
-SCALE_PATH_QUERIES = ["impute_median", "impute_mode", "clean_pipeline", "null_profile", "describe_numeric",
+SCALE_PATH_QUERIES = ["impute_median", "impute_mode", "clean_table", "null_profile", "describe_numeric",
                       "amount_profile", "impute_amount_stats", "anomaly_threshold", "anomaly_report",
                       "label_encode", "label_encode_unseen", "roc_auc", "smote", "vector_topk_batch",
                       "retrieval_result", "packed_prompt", "text_report"]
