@@ -56,7 +56,10 @@ def train_fraud_model(df: DataFrame, target_col: str | None = None, row_id: str
     train = prepare_features(raw_train, state, target, keep=[row_id], fit=True)
     test = prepare_features(raw_test, state, target, keep=[row_id], fit=False)
     feats = list(state.feature_columns)
-    train = train.withColumn("__label", F.col("__label").cast("double"))
+    # SMOTE reads the training features several times (class counts, minority
+    # matrix, generation joins): write them once instead of re-deriving them
+    ensure_checkpoint_dir(df.sparkSession)
+    train = train.withColumn("__label", F.col("__label").cast("double")).checkpoint(eager=True)
     rate = df.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
     if rate < C.SMOTE_GATE:
         synth = smote(train.select(f"__{row_id}", *feats, "__label"), feats, id_col=f"__{row_id}")

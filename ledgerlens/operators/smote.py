@@ -241,8 +241,12 @@ def smote(train: DataFrame, features: list[str], label: str = "__label", id_col:
     k_eff = min(k, n_min - 1)
     if n_min < 2 or n_maj <= n_min:
         return spark.createDataFrame([], train.select(*features, label).schema)
+    # the minority part is read by the neighbour search and twice by the
+    # generation joins: written once, so none of those re-scans the training set
+    ensure_checkpoint_dir(spark)
     mino = train.where(F.col(label) == minority).select(
-        F.col(id_col).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
+        F.col(id_col).cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("v")) \
+        .checkpoint(eager=True)
     nn = knn(mino, "id", "v", k_eff)
     dic, _ = sorted_dictionary(mino.select(F.col("id").alias("value")))
     n_gen = n_maj - n_min
