@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table_path
-from . import bpe_codec, token_counts
+from ..session import scratch_path, table_path
+from . import (bpe_codec, cover_pairs, html_tree, kd_shards, secret_ledger, signature_join, site_quality,
+               template_leaks, token_counts, warc_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +43,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_codec.encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op2_cover_pairs")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_pairs.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@register("op5_secret_ledger")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, _ = secret_ledger.scan(read(spark, sf_dir, "documents"))
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return paths.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_ledger.joined("spans", base=True).cast("binary"), 256).alias("base_sha256"),
+                        secret_ledger.joined("spans").alias("spans"))
+
+
+@register("op6_kd_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards.shards(read(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op7_signature_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.jaccard_groups(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@register("op8_warc_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out_dir = scratch_path(spark, "llm-warc")
+    warc_shards.write(read(spark, sf_dir, "pages"), out_dir)
+    return warc_shards.read(spark, out_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op9_site_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = site_quality.classify(docs, read(spark, sf_dir, "labels"))
+    return out.where("kept").select("doc_id", "p_good", "p_toxic", "rate_good", "rate_toxic", "kept")
+
+
+@register("op1_html_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.main_text(read(spark, sf_dir, "pages"))
+
+
+@register("op3_template_leaks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
