@@ -1,12 +1,61 @@
-"""Training-corpus pipeline over ``documents``."""
+"""Training-corpus pipeline over ``documents``: five stages, each reading what
+its predecessor kept.  All stages but the last return the columns of
+``documents``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from ledgerlens.llm import bpe_codec, secret_ledger, signature_join, site_quality, template_leaks
+from ledgerlens.llm.common import store
+from ledgerlens.llm.queries import read, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (low quality or toxic) go."""
+    return site_quality.classify(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, Jaccard of 0.8) the document with the smallest id stays."""
+    return signature_join.one_of_each(docs, k=5, num=80, den=100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one with other values, go."""
+    return template_leaks.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; ``n_chars`` is the new text's length."""
+    paths, _ = secret_ledger.scan(docs)
+    clean = secret_ledger.redact(docs, paths)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: the training sequences (ids as little-endian unsigned 32-bit integers)."""
+    out = bpe_codec.encode_decode(docs, tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scans", secrets),
+    ("bpe_encoding", encode),
+]
+
+#: The stages learn, walk trees and merge tokens, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents`` in order, each stored and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
