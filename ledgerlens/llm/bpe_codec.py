@@ -12,10 +12,13 @@ encoding of the whole text.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_rows
@@ -25,7 +28,7 @@ WINDOW = 16
 CUT_BITS = 9
 #: Cache bounds of a worker.
 CHUNK_CACHE_BYTES = 48 << 20
-WORD_CACHE = 300_000
+WORD_CACHE = 400_000
 WORD_CHARS = 128
 _GEAR = np.random.default_rng(7).integers(1, 1 << 32, 256, dtype=np.uint32)
 
@@ -55,6 +58,29 @@ def load_tokenizer(path: str):
     return tok
 
 
+def _split_pattern(path: str) -> str:
+    """The pattern by which the tokenizer cuts words, from its file; only this kind of pipeline is known here."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    kinds = [n["type"] for n in spec["normalizer"]["normalizers"]] + [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"]]
+    if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]:
+        raise ValueError(f"unknown tokenizer pipeline {kinds}")
+    return spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The visible character that byte-level vocabularies use for a byte: itself
+    if printable, else the next free one from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Words of these characters need no normalisation but lower case; others go through the whole library.
+_PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017f]+")
+_LETTERS = str.maketrans(_byte_letters())
+
+
 class ChunkEncoder:
     """Encodes texts to ``(ids as little-endian uint32 bytes, decoded text)``."""
 
@@ -62,49 +88,66 @@ class ChunkEncoder:
         self.tok = load_tokenizer(path)
         if self.tok.decoder is not None:
             raise ValueError("decoding by parts needs a tokenizer without a decoder (tokens joined by one space)")
+        self.model = self.tok.model
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.tokens = [""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.tokens[i] = t
+        self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.pieces = regex.compile(_split_pattern(path))
         self.ids: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, str] = {}     # decoded tokens, each after one space
+        self.parts: dict[str, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.held = 0
         self.reused = self.encoded = 0
 
-    def words(self, words: list[bytes]) -> tuple[bytes, str]:
-        new = list(set(words).difference(self.ids))
+    def _part(self, piece: str) -> bytes:
+        got = self.parts.get(piece)
+        if got is None:
+            got = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+            if len(self.parts) > WORD_CACHE:
+                self.parts.clear()
+            if len(piece) <= WORD_CHARS:
+                self.parts[piece] = got
+        return got
+
+    def word(self, data: bytes) -> bytes:
+        """Ids of one word.  Plain words are cut by the tokenizer's own pattern and
+        merged by its model, piece by piece; all others take its whole pipeline."""
+        word = data.decode()
+        if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+            return b"".join(map(self._part, self.pieces.findall(word.lower())))
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def words(self, words: list[bytes]) -> bytes:
+        known = self.ids
+        new = set(words).difference(known)
+        if not new:
+            return b"".join(map(known.__getitem__, words))
+        if len(known) + len(new) > WORD_CACHE:
+            known.clear()
+            new = set(words)
         long = {}
-        if new:
-            if len(self.ids) + len(new) > WORD_CACHE:
-                self.ids.clear()
-                self.shown.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                got = np.array(e.ids, "<u4").tobytes(), "".join(" " + self.tok.id_to_token(i) for i in e.ids)
-                if len(w) <= WORD_CHARS:
-                    self.ids[w], self.shown[w] = got
-                else:
-                    long[w] = got
-        if long:
-            pairs = [long[w] if w in long else (self.ids[w], self.shown[w]) for w in words]
-            return b"".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
-        return b"".join(map(self.ids.__getitem__, words)), "".join(map(self.shown.__getitem__, words))
+        for w in new:
+            (known if len(w) <= WORD_CHARS else long)[w] = self.word(w)
+        return b"".join([long[w] if w in long else known[w] for w in words])
 
     def chunk(self, data: bytes) -> tuple:
-        """``(head, ids, shown, tail)``; head and tail are the parts of words at the
-        chunk's ends.  A chunk without white space is all head, and has no ids."""
+        """``(head, ids, tail)``; head and tail are the parts of words at the chunk's
+        ends.  A chunk without white space is all head, and has no ids."""
         hit = self.chunks.get(data)
         if hit is not None:
             self.reused += 1
             return hit
         self.encoded += 1
         words = data.split()
-        if not words:
-            out = (b"", b"", "", b"") if data else (b"", None, "", b"")
-        elif len(words) == 1 and len(words[0]) == len(data):
-            out = (data, None, "", b"")
+        if len(words) == 1 and len(words[0]) == len(data):
+            out = (data, None, b"")
         else:
             head = b"" if data[:1].isspace() else words.pop(0)
             tail = words.pop() if words and not data[-1:].isspace() else b""
-            out = (head, *self.words(words), tail)
-        size = 2 * len(data) + len(out[1] or b"") + len(out[2])
+            out = (head, self.words(words), tail)
+        size = 2 * len(data) + len(out[1] or b"") + 300
         if self.held + size > CHUNK_CACHE_BYTES:
             self.chunks.clear()
             self.held = 0
@@ -117,27 +160,21 @@ class ChunkEncoder:
         if not text:
             return b"", ""
         data = text.encode()
-        ids, shown, open_word, start = [], [], [], 0
+        ids, open_word, start = [], [], 0
         for end in cuts(data):
-            head, got, seen, tail = self.chunk(data[start:end])
+            head, got, tail = self.chunk(data[start:end])
             start = end
-            if got is None:
-                open_word.append(head)
-                continue
             open_word.append(head)
-            self._repair(open_word, ids, shown)
-            ids.append(got)
-            shown.append(seen)
-            open_word = [tail]
-        self._repair(open_word, ids, shown)
-        return b"".join(ids), "".join(shown)[1:]
-
-    def _repair(self, parts: list[bytes], ids: list, shown: list) -> None:
+            if got is not None:
+                ids += [self._repaired(open_word), got]
+                open_word = [tail]
+        ids.append(self._repaired(open_word))
+        whole = b"".join(ids)
+        return whole, " ".join(map(self.tokens.__getitem__, np.frombuffer(whole, "<u4").tolist()))
+
+    def _repaired(self, parts: list[bytes]) -> bytes:
         word = b"".join(parts)
-        if word:
-            got, seen = self.words([word])
-            ids.append(got)
-            shown.append(seen)
+        return self.words([word]) if word else b""
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
