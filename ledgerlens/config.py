@@ -74,6 +74,10 @@ Provide a detailed analysis with:
 
 Answer:"""
 
+# Error texts of the fraud model.
+NO_TARGET_TEXT = "No target column found. Cannot train supervised model."
+NOT_TRAINED_TEXT = "Fraud model not trained. Call train_fraud_model() first."
+
 # The three questions asked in a full run.
 RUN_QUESTIONS = [
     "What are the main spending patterns in this dataset?",
@@ -99,8 +103,7 @@ class Limits:
         self.prefix_rows_per_partition = 500_000    # range partition size of the distributed form
         self.knn_local = 20_000                     # neighbour candidates kept as a broadcast matrix
         self.knn_block = 2048                       # rows per block of the distributed search
-        self.broadcast_queries = 10_000             # top-k queries sent in one broadcast
-        self.max_classes = 10_000                   # dense confusion-matrix grid
+        self.query_block = 1_000                    # top-k queries held by one row
 
     def small(self) -> None:
         self.quantile_max_candidates = 50
@@ -111,8 +114,7 @@ class Limits:
         self.prefix_rows_per_partition = 100
         self.knn_local = 0
         self.knn_block = 64
-        self.broadcast_queries = 3
-        self.max_classes = 10_000
+        self.query_block = 3
 
 
 LIMITS = Limits()

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
@@ -108,3 +109,19 @@ def float_columns(df: DataFrame) -> list[str]:
 
 def select_numeric(df: DataFrame) -> DataFrame:
     return df.select(*numeric_columns(df))
+
+
+def id_type(df: DataFrame, c: str) -> str:
+    """The type row ids are carried in: bigint for integers, text otherwise."""
+    return "bigint" if isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "string"
+
+
+def with_row_id(df: DataFrame, row_id: str) -> DataFrame:
+    """``df`` with a row identity: the column if it exists, else a text made of
+    the row's content hash and, among equal rows, a running number.  Equal rows
+    are interchangeable, so a retry gives the same table."""
+    if row_id in df.columns:
+        return df
+    content = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    copy = F.row_number().over(Window.partitionBy("_content").orderBy(F.lit(0)))
+    return (df.withColumn("_content", content).withColumn(row_id, F.concat_ws("-", "_content", copy)).drop("_content"))

@@ -28,8 +28,10 @@ def md5_int(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    return F.try_divide(num, den)
+def number(c: str | Column) -> Column:
+    """A numeric column as double with NaN as missing, as pandas aggregates it."""
+    x = col_(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def fmt_fixed(c: Column, digits: int) -> Column:
@@ -42,11 +44,6 @@ def fmt_grouped(c: Column, digits: int) -> Column:
     return F.format_string(f"%,.{digits}f", c)
 
 
-def as_text(c: Column) -> Column:
-    """Value as text the way a row is printed; null becomes ``nan``."""
-    return F.coalesce(c.cast("string"), F.lit("nan"))
-
-
 def ts_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 

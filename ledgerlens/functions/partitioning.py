@@ -2,24 +2,31 @@
 
 A table stored as one large row group scans as a single task, so numpy /
 UDF / MLlib work downstream would run on one core.  ``ensure_parallelism``
-adds a round-robin repartition only when the input is small in files:
-
-* file-based plans: decided on ``inputFiles()`` (a driver-side listing, no
-  job) -- fewer files than the default parallelism means repartition;
-* plans without files (checkpoints, ranges): the partition count, which for
-  such plans is known without running anything heavy.
-
-On real inputs (thousands of files and splits) it returns the frame
-untouched, so it never adds a shuffle or an extra scan at scale."""
+adds a round-robin repartition only when the plan's inputs give fewer splits
+than there are cores.  It never runs a job: splits are estimated from the
+inputs' number of files and bytes (a file of 1 TB is thousands of splits),
+and a checkpoint's partitions are known."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
+def estimated_splits(df: DataFrame) -> int:
+    """Splits of the inputs of a plan, from file listings and sizes only."""
+    spark = df.sparkSession
+    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    leaves, total = df._jdf.queryExecution().analyzed().collectLeaves(), 0
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            total += leaf.rdd().getNumPartitions()
+        else:
+            total += max(1, int(str(leaf.stats().sizeInBytes())) // split_bytes)
+    return max(total, len(df.inputFiles()))
+
+
 def ensure_parallelism(df: DataFrame, minimum: int | None = None) -> DataFrame:
     target = minimum or df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if files:
-        return df.repartition(target) if len(files) < target else df
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(target) if estimated_splits(df) < target else df

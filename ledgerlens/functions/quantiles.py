@@ -8,9 +8,9 @@ search: ``percentile_approx`` (mergeable sketch, bounded memory) gives a value
 interval that certainly contains the wanted ranks, a count pass tells how many
 values lie below it, and only the values inside the interval are grouped and
 ranked.  Rounds repeat until the interval holds at most ``max_candidates``
-distinct-value groups, so the final ranking step is bounded whatever the size
-of the table; a value shared by a third of the rows collapses into one
-(value, count) group in the map-side combine.
+rows, or one value, or two neighbouring ones, so the final ranking step is
+bounded whatever the size of the table.  An interval that a sketch can't
+shrink, because a few values hold most of its rows, is halved by value.
 
 ``exact_modes`` is the same idea for the most frequent value: a partial
 (map-side combined) ``groupBy(column, value).count()`` followed by a global
@@ -38,8 +38,7 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
-                    max_candidates: int | None = None, accuracy: int | None = None,
-                    max_rounds: int = 8) -> dict[tuple[str, float], float | None]:
+                    max_candidates: int | None = None, accuracy: int | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles, ``{(column, q): value}``.
 
     Nulls and NaN are skipped; a column with no values gives ``None``."""
@@ -78,10 +77,11 @@ def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
                 & (F.col("hi").isNull() | (F.col("v") <= F.col("hi"))))
         return joined.where(keep).select("t", "v")
 
-    for _ in range(max_rounds):
-        pending = [s for s in state if s["m"] > max_candidates]
-        if not pending:
-            break
+    def open_states():
+        """Targets whose interval is neither one value nor few rows."""
+        return [s for s in state if s["m"] > max_candidates and not s.get("gap") and (s["lo"] is None or s["lo"] != s["hi"])]
+
+    while pending := open_states():
         # targets sharing a column and a bracket share one sketch ("slot"):
         # every row enters one percentile_approx, whatever the number of quantiles
         slots: dict[tuple, int] = {}
@@ -107,7 +107,7 @@ def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
             cnt_aggs += [F.count_if(mine & (F.col("v") < F.lit(s["lo_new"]))).alias(f"lt{s['t']}"),
                          F.count_if(mine & (F.col("v") <= F.lit(s["hi_new"]))).alias(f"le{s['t']}")]
         cnts = sub.agg(*cnt_aggs).first()
-        shrunk = False
+        stuck = []
         for s in pending:
             lt, le = cnts[f"lt{s['t']}"], cnts[f"le{s['t']}"]
             lo_ok = s["below"] + lt <= s["r_lo"]
@@ -118,10 +118,18 @@ def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
                 s["lo"] = s["lo_new"]
             if hi_ok:
                 s["hi"] = s["hi_new"]
-            shrunk |= m_new < s["m"]
+            if m_new >= s["m"] and s["lo"] != s["hi"]:
+                stuck.append(s)
             s["m"] = m_new
-        if not shrunk:
-            break
+        _bisect(long, stuck)
+
+    # an interval of one value is that value, however many rows share it
+    for s in state:
+        if s["m"] > max_candidates or s.get("gap"):
+            result[(s["k"], s["q"])] = s["lo"] if s["lo"] == s["hi"] else _lerp(s["lo"], s["hi"], s["pos"] - s["r_lo"])
+    state = [s for s in state if s["m"] <= max_candidates and not s.get("gap")]
+    if not state:
+        return result
 
     # Final exact step: rank the (value, count) groups inside each interval.
     sub = candidates(state)
@@ -152,8 +160,37 @@ def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
     return result
 
 
-def exact_median(df: DataFrame, col: str, **kw) -> float | None:
-    return exact_quantiles(df, [(col, 0.5)], **kw)[(col, 0.5)]
+def _bisect(long: DataFrame, stuck: list[dict]) -> None:
+    """Halve intervals that a sketch could not shrink (a few values hold most of
+    their rows): one aggregate for all, at the middle value of each.  Ends at
+    the latest when an interval is one value, or its two ranks lie on either
+    side of a gap between two neighbouring values."""
+    if not stuck:
+        return
+    aggs = []
+    for s in stuck:
+        here = F.col("k") == s["k"]
+        if s["lo"] is not None:
+            here = here & (F.col("v") >= s["lo"])
+        if s["hi"] is not None:
+            here = here & (F.col("v") <= s["hi"])
+        lo = s["lo"] if s["lo"] is not None else s["lo_new"]
+        hi = s["hi"] if s["hi"] is not None else s["hi_new"]
+        mid = lo / 2 + hi / 2
+        mid = lo if mid >= hi else mid
+        low, t = here & (F.col("v") <= mid), s["t"]
+        aggs += [F.count_if(low).alias(f"n{t}"), F.max(F.when(low, F.col("v"))).alias(f"a{t}"),
+                 F.min(F.when(here & ~low, F.col("v"))).alias(f"b{t}")]
+    row = long.agg(*aggs).first()
+    for s in stuck:
+        n, top, bottom = row[f"n{s['t']}"], row[f"a{s['t']}"], row[f"b{s['t']}"]
+        if s["below"] + n > s["r_hi"]:
+            s["hi"], s["m"] = top, n
+        elif s["below"] + n <= s["r_lo"]:
+            s["lo"], s["m"], s["below"] = bottom, s["m"] - n, s["below"] + n
+        else:                                     # the ranks are the two neighbours themselves
+            s["lo"], s["hi"] = top, bottom
+            s["gap"] = True
 
 
 def exact_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:

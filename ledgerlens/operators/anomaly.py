@@ -12,22 +12,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import amount_column, customer_column
+from ..functions.columns import amount_column, customer_column, id_type
+from ..functions.exprs import number
 
-RECORD_SCHEMA = ("type string, severity string, reason string, subject string, "
-                 "row_id bigint, n_rows bigint")
+RECORD_COLUMNS = ["type", "severity", "reason", "subject", "row_id", "n_rows"]
 
 
-def _empty_records(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], RECORD_SCHEMA)
+def _id_type(df: DataFrame, row_id: str) -> str:
+    return id_type(df, row_id) if row_id in df.columns else "bigint"
+
+
+def _empty_records(df: DataFrame, row_id: str = "transaction_id") -> DataFrame:
+    return df.sparkSession.createDataFrame([], "type string, severity string, reason string, subject string, "
+                                               f"row_id {_id_type(df, row_id)}, n_rows bigint")
 
 
 def _amount_z(df: DataFrame, amount_col: str) -> tuple[DataFrame, F.Column]:
-    x = F.col(amount_col)
+    """|z| per row.  NaN amounts are missing (they enter no statistic); with an
+    infinite amount the statistics are not numbers and no row has a z, as in
+    pandas.  Never NaN, which Spark would order above every threshold."""
+    x = number(amount_col)
     stats = df.agg(F.avg(x).alias("_z_mean"), F.stddev_samp(x).alias("_z_std"))
     joined = df.crossJoin(F.broadcast(stats))
     z = F.abs(F.try_divide(x - F.col("_z_mean"), F.col("_z_std")))
-    return joined, z
+    return joined, F.when(~F.isnan(z), z)
 
 
 def zscore_outliers(df: DataFrame, row_id: str = "transaction_id", amount_col: str | None = None,
@@ -35,11 +43,11 @@ def zscore_outliers(df: DataFrame, row_id: str = "transaction_id", amount_col: s
     """ANO-1: rows whose |z| (sample std) is strictly above ``threshold``."""
     amount_col = amount_col or amount_column(df, C.AMOUNT_CANDIDATES_ANOMALY)
     if amount_col is None:
-        return _empty_records(df).withColumn("amount", F.lit(None).cast("double")) \
+        return _empty_records(df, row_id).withColumn("amount", F.lit(None).cast("double")) \
             .withColumn("z_score", F.lit(None).cast("double"))
     joined, z = _amount_z(df, amount_col)
     x = F.col(amount_col)
-    return (joined.select(F.col(row_id).cast("bigint").alias("row_id"), x.cast("double").alias("amount"),
+    return (joined.select(F.col(row_id).cast(id_type(df, row_id)).alias("row_id"), x.cast("double").alias("amount"),
                           z.alias("z_score"))
             .where(F.col("z_score") > threshold)
             .select(F.lit("statistical_outlier").alias("type"),
@@ -68,17 +76,17 @@ def unusual_customers(df: DataFrame, customer_col: str | None = None,
 
 
 def frequency_outliers(df: DataFrame, customer_col: str | None = None,
-                       sigmas: float = C.FREQUENCY_SIGMAS) -> DataFrame:
+                       sigmas: float = C.FREQUENCY_SIGMAS, row_id: str = "transaction_id") -> DataFrame:
     """ANO-2: one record per over-active customer."""
     customer_col = customer_col or customer_column(df)
     if customer_col is None:
-        return _empty_records(df)
+        return _empty_records(df, row_id)
     u = unusual_customers(df, customer_col, sigmas)
     subject = F.col("customer").cast("string")
     return u.select(F.lit("high_frequency").alias("type"), F.lit("medium").alias("severity"),
                     F.format_string("Customer %s has %d transactions (mean: %.1f)",
                                     subject, F.col("n_rows"), F.col("mean_rows")).alias("reason"),
-                    subject.alias("subject"), F.lit(None).cast("bigint").alias("row_id"),
+                    subject.alias("subject"), F.lit(None).cast(_id_type(df, row_id)).alias("row_id"),
                     F.col("n_rows").cast("bigint").alias("n_rows"))
 
 
@@ -88,14 +96,14 @@ def frequency_rows(df: DataFrame, row_id: str = "transaction_id", customer_col:
     customer_col = customer_col or customer_column(df)
     u = unusual_customers(df, customer_col, sigmas).select(F.col("customer").alias(customer_col))
     return (df.join(u, customer_col, "left_semi")
-            .select(F.col(row_id).cast("bigint").alias("row_id"),
+            .select(F.col(row_id).cast(id_type(df, row_id)).alias("row_id"),
                     F.col(customer_col).cast("string").alias("subject")))
 
 
 def anomaly_records(df: DataFrame, row_id: str = "transaction_id") -> DataFrame:
     """ANO-3: both record kinds in one schema."""
-    z = zscore_outliers(df, row_id).select(*[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
-    f = frequency_outliers(df)
+    z = zscore_outliers(df, row_id).select(*RECORD_COLUMNS)
+    f = frequency_outliers(df, row_id=row_id)
     return z.unionByName(f)
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import SparkSession
 
+from ..session import path_exists
 from .features import FeatureState
 from .fraud import FraudModel, load_fraud_model, save_fraud_model
 from .iforest import IForestModel
@@ -25,14 +26,6 @@ class ModelBundle:
     iforest_state: FeatureState | None = None
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # absent part
-        return False
-
-
 def save_models(bundle: ModelBundle, path: str) -> str:
     spark = SparkSession.getActiveSession()
     if bundle.fraud is not None:
@@ -50,14 +43,14 @@ def save_models(bundle: ModelBundle, path: str) -> str:
 
 def load_models(spark: SparkSession, path: str) -> ModelBundle:
     out = ModelBundle()
-    if _exists(spark, f"{path}/fraud/meta"):
+    if path_exists(spark, f"{path}/fraud/meta"):
         out.fraud = load_fraud_model(spark, f"{path}/fraud")
-    if _exists(spark, f"{path}/anomaly_model/meta"):
+    if path_exists(spark, f"{path}/anomaly_model/meta"):
         meta = json.loads(spark.read.parquet(f"{path}/anomaly_model/meta").first()["meta"])
         nodes: pd.DataFrame = spark.read.parquet(f"{path}/anomaly_model/nodes").toPandas()  # trees*(2psi-1) rows
         out.iforest = IForestModel(features=meta["features"], nodes=nodes, psi=meta["psi"],
                                    offset=meta["offset"], contamination=meta["contamination"])
-    if _exists(spark, f"{path}/anomaly_features/meta"):
+    if path_exists(spark, f"{path}/anomaly_features/meta"):
         out.iforest_state = load_fraud_model(spark, f"{path}/anomaly_features").state
     return out
 

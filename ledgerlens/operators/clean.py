@@ -77,7 +77,7 @@ def impute_mode(df: DataFrame, exclude: Sequence[str] = (), counts: dict | None
     if not targets:
         return df
     modes = exact_modes(df, targets)
-    return df.select(*[F.coalesce(F.col(c), F.lit(modes.get(c) or default)).alias(c) if c in targets
+    return df.select(*[F.coalesce(F.col(c), F.lit(default if modes.get(c) is None else modes[c])).alias(c) if c in targets
                        else F.col(c) for c in df.columns])
 
 
@@ -179,11 +179,11 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash).cast("string").alias("fingerprint"))
 
 
-def page_load(df: DataFrame):
+def page_load(df: DataFrame, row_id: str | None = None):
     """The page's loading path: resolve the amount column (raises if absent),
     coerce it, null infinities, median-fill it, add ``Scaled_Amount``, drop
-    the time and amount columns, keep numbers, fill the rest with 0.
-    Returns (processed, original, imputed count, median)."""
+    the time and amount columns, keep numbers (and ``row_id``), fill the rest
+    with 0.  Returns (processed, original, imputed count, median)."""
     from .features import scaled_amount
     amt = amount_column(df, C.AMOUNT_CANDIDATES_PAGE, required=True)
     df = drop_infinity(coerce_numeric(df, amt))
@@ -191,5 +191,6 @@ def page_load(df: DataFrame):
     df = scaled_amount(df.drop("was_imputed"), amt)
     time_col = time_column_page(df) or "Time"
     processed = df.drop(time_col, amt)
-    processed = zero_fill(processed.select(*numeric_columns(processed)))
-    return processed, df, n_imp, med
+    numbers = numeric_columns(processed)
+    extra = [row_id] if row_id and row_id in processed.columns and row_id not in numbers else []
+    return zero_fill(processed.select(*extra, *numbers), numbers), df, n_imp, med

@@ -21,13 +21,14 @@ from ..functions.indexing import sorted_dictionary
 
 def calendar_features(df: DataFrame, date_col: str | None = None) -> DataFrame:
     """FEA-1: hour, day_of_week (Monday=0), is_weekend, month from the first
-    timestamp column; same-named columns are overwritten."""
+    timestamp column (a row without a date is no weekend); same-named columns
+    are overwritten."""
     date_col = date_col or first_temporal(df)
     if date_col is None:
         return df
     d = F.col(date_col)
     return (df.withColumn("hour", F.hour(d)).withColumn("day_of_week", F.weekday(d))
-            .withColumn("is_weekend", F.col("day_of_week").isin(5, 6).cast("int"))
+            .withColumn("is_weekend", F.coalesce(F.col("day_of_week").isin(5, 6), F.lit(False)).cast("int"))
             .withColumn("month", F.month(d)))
 
 
@@ -38,22 +39,26 @@ def one_hot_values(df: DataFrame, max_columns: int = C.ONE_HOT_MAX_COLUMNS,
     cols = string_columns(df)[:max_columns]
     if not cols:
         return {}
-    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in cols]))
-    distinct = df.select(kv).where(F.col("v").isNotNull()).distinct()
-    sizes = {r["k"]: r["n"] for r in distinct.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    gated = [c for c in cols if sizes.get(c, 0) < max_values]
-    if not gated:
+    # a sketch keeps columns of many values out; the others' values are fetched exactly
+    near = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    few = [c for c in cols if near[c] < 2 * max_values + 10]
+    if not few:
         return {}
-    vals: dict[str, list[str]] = {c: [] for c in gated}
-    for r in distinct.where(F.col("k").isin(gated)).collect():   # < max_values per column
+    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in few]))
+    vals: dict[str, list[str]] = {c: [] for c in few}
+    for r in df.select(kv).where(F.col("v").isNotNull()).distinct().collect():   # about 2 max_values per column
         vals[r["k"]].append(r["v"])
-    return {c: sorted(v) for c, v in vals.items()}
+    return {c: sorted(v) for c, v in vals.items() if len(v) < max_values}
 
 
-def one_hot(df: DataFrame, values: dict[str, list[str]] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, values: dict[str, list[str]] | None = None, max_columns: int = C.ONE_HOT_MAX_COLUMNS,
+            max_values: int = C.ONE_HOT_MAX_VALUES) -> DataFrame:
     """FEA-2: ``{col}_{value}`` booleans, first sorted value dropped; a null
-    row is all false; the original column is kept."""
-    values = values if values is not None else one_hot_values(df)
+    row is all false; the original column is kept.  Only the first
+    ``max_columns`` text columns are looked at, and of those the ones with
+    fewer than ``max_values`` values (the reference's rule; raise the arguments
+    for more)."""
+    values = values if values is not None else one_hot_values(df, max_columns, max_values)
     extra = []
     for c, vs in values.items():
         for v in vs[1:]:
@@ -188,5 +193,6 @@ def prepare_features(df: DataFrame, state: FeatureState, target_col: str | None
     if fit:
         state.scaler = fit_scaler(X, nums)
         state.feature_columns = nums
-    X = align_features(X, state.feature_columns, keep=[c for c in X.columns if c.startswith("__")])
-    return apply_scaler(X, state.scaler)
+    # aligned last: a column that is missing at scoring is 0 after the scaling
+    X = apply_scaler(X, state.scaler)
+    return align_features(X, state.feature_columns, keep=[c for c in X.columns if c.startswith("__")])

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import training_label_column
+from ..functions.columns import training_label_column, with_row_id
 from ..functions.partitioning import ensure_parallelism
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, path_exists
 from .features import FeatureState, prepare_features
 from .metrics import accuracy, classification_report, confusion_matrix, risk_band, roc_auc
-from .sampling import split_flag, with_class_weights
+from .sampling import stratified_split, with_class_weights
 from .smote import smote
 
 
@@ -46,12 +46,12 @@ def _assembled_pipeline(features: list[str], seed: int = C.SEED) -> Pipeline:
 
 def train_fraud_model(df: DataFrame, target_col: str | None = None, row_id: str = "transaction_id",
                       seed: int = C.SEED) -> FraudModel:
-    """MLS-6: train on the 80 % hash split, evaluate on the 20 %."""
+    """MLS-6: train on 80 % of each class, evaluate on the other 20 %."""
     target = target_col or training_label_column(df)
     if target is None or target not in df.columns:
-        raise ValueError("No target column found. Cannot train supervised model.")
-    flag = split_flag(row_id, seed)
-    raw_train, raw_test = df.where(~flag), df.where(flag)
+        raise ValueError(C.NO_TARGET_TEXT)
+    df = with_row_id(df, row_id)
+    raw_train, raw_test = stratified_split(df, target, row_id, seed)
     state = FeatureState()
     train = prepare_features(raw_train, state, target, keep=[row_id], fit=True)
     test = prepare_features(raw_test, state, target, keep=[row_id], fit=False)
@@ -102,7 +102,7 @@ def predict_fraud(fm: FraudModel, df: DataFrame) -> DataFrame:
     """MLS-12/13: the input rows plus fraud_probability, fraud_prediction and
     risk_level.  Original columns ride along the feature plan (no join)."""
     if fm.model is None:
-        raise ValueError("Fraud model not trained. Call train_fraud_model() first.")
+        raise ValueError(C.NOT_TRAINED_TEXT)
     target = fm.state.target
     keep = [c for c in df.columns]
     X = prepare_features(df, fm.state, target_col=target if target in df.columns else "",
@@ -136,8 +136,6 @@ def load_fraud_model(spark: SparkSession, path: str) -> FraudModel:
     state = FeatureState(target=meta["target"], encoders=enc,
                          scaler={k: tuple(v) for k, v in meta["scaler"].items()},
                          feature_columns=meta["features"])
-    try:
-        model = PipelineModel.load(f"{path}/fraud_model")
-    except Exception:  # the bundle may hold only the unsupervised part
-        model = None
+    # the bundle may hold only the unsupervised part; a part that is there must load
+    model = PipelineModel.load(f"{path}/fraud_model") if path_exists(spark, f"{path}/fraud_model") else None
     return FraudModel(state=state, model=model, row_id=meta["row_id"])

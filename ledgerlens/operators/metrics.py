@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.indexing import prefix_sums
 
-from ..config import LIMITS
-
 
 def _pair_counts(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(
@@ -26,16 +24,14 @@ def _labels(pairs: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """MLS-7: (actual, predicted, count) for every pair of sorted labels,
-    zeros included, when the label set is at most ``LIMITS.max_classes`` (checked);
-    above that, the observed (sparse) cells."""
+    """MLS-7: (actual, predicted, count) for every pair of labels, zeros
+    included.  The grid is an explode of the one-row list of labels; the result
+    has as many rows as the matrix has cells."""
     pairs = _pair_counts(df, y, pred)
     labels = _labels(pairs)
-    if labels.count() > LIMITS.max_classes:
-        # beyond the bound the dense k x k grid is not built: observed cells only
-        return pairs.select("actual", "predicted", F.col("n").cast("bigint").alias("count"))
-    grid = labels.select(F.col("label").alias("actual")).crossJoin(
-        F.broadcast(labels.select(F.col("label").alias("predicted"))))
+    every = labels.agg(F.array_sort(F.collect_list("label")).alias("_all"))
+    grid = labels.select(F.col("label").alias("actual")).crossJoin(F.broadcast(every)).select(
+        "actual", F.explode("_all").alias("predicted"))
     return grid.join(pairs, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("count"))
 
@@ -83,13 +79,14 @@ def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
-    """MLS-10: area under the ROC curve, tied scores counting one half."""
+    """MLS-10: area under the ROC curve, tied scores counting one half; null if
+    a class is absent (the area is not defined)."""
     g = df.groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(y) == F.lit(positive)).cast("double").alias("pos"),
         F.count_if(F.col(y) != F.lit(positive)).cast("double").alias("neg"))
     c = prefix_sums(g, "s", ["neg"])
-    return c.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-                  / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return c.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)),
+                              F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def risk_band(p) -> F.Column:

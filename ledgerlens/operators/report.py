@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.columns import amount_column, category_column, first_temporal
-from ..functions.exprs import fmt_fixed, fmt_grouped
+from ..functions.exprs import fmt_fixed, fmt_grouped, number
 from ..functions.quantiles import exact_quantiles
 from ..session import ensure_checkpoint_dir
+from .retrieval import py_float_text
 from .stats import py_ts_text
 
 # Report texts.
-REPORT_HEAD = "\n\U0001F4CA Financial Transaction Analysis Summary\n\nDataset Overview:\n"
-RISK_HEAD = "\n\U0001F6A8 Risk Assessment:\n"
+REPORT_HEAD = "\n📊 Financial Transaction Analysis Summary\n\nDataset Overview:\n"
+RISK_HEAD = "\n🚨 Risk Assessment:\n"
 ANOMALY_LINE = "\n⚠️  Anomalies Detected: %d unusual transactions\n"
 BULLET = "  • "
 NO_ANOMALY_TEXT = ("No anomalies detected in this batch based on the Isolation Forest model "
@@ -34,20 +36,20 @@ def trend_aggregates(df: DataFrame, amt: str | None, cat: str | None, dcol: str
     (), (category), (day) with count, sum, min, max and the first/last
     timestamp.  The result has one row per category and per day plus the
     total row; it is checkpointed so the report's pieces read it, not the
-    table.  Columns: kind ('all' / 'cat' / 'day'), key, day, n, tv, mn, mx, s, e."""
+    table.  Columns: kind ('all' / 'cat' / 'day'), key, day, n, tv, av, mn, mx, s, e."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     key = F.col(cat).cast("string") if cat else F.lit(None).cast("string")
     day = F.to_date(dcol) if dcol else F.lit(None).cast("date")
-    x = F.col(amt).cast("double") if amt else F.lit(None).cast("double")
+    x = number(amt) if amt else F.lit(None).cast("double")
     base = df.select(key.alias("key"), day.alias("day"), x.alias("x"),
                      (F.col(dcol) if dcol else F.lit(None).cast("timestamp")).alias("t"))
     sets = [[]] + ([["key"]] if cat else []) + ([["day"]] if dcol else [])
     g = base.groupingSets(sets, "key", "day").agg(
         F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("tv"),
-        F.min("x").alias("mn"), F.max("x").alias("mx"), F.min("t").alias("s"), F.max("t").alias("e"))
+        F.avg("x").alias("av"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.min("t").alias("s"), F.max("t").alias("e"))
     kind = (F.when(F.col("gid") == 3, "all").when(F.col("gid") == 1, "cat").otherwise("day"))
-    return g.select(kind.alias("kind"), "key", "day", "n", "tv", "mn", "mx", "s", "e").checkpoint(eager=True)
+    return g.select(kind.alias("kind"), "key", "day", "n", "tv", "av", "mn", "mx", "s", "e").checkpoint(eager=True)
 
 
 def text_report(df: DataFrame) -> DataFrame:
@@ -59,9 +61,8 @@ def text_report(df: DataFrame) -> DataFrame:
     agg = trend_aggregates(df, amt, cat, dcol)
     # a global aggregate over the small table: exactly one row, even for an empty input
     is_all = F.col("kind") == "all"
-    total = agg.agg(*[F.max(F.when(is_all, F.col(c))).alias(c) for c in ("n", "tv", "mn", "mx", "s", "e")]) \
-        .select(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "tv", F.try_divide(F.col("tv"), F.col("n")).alias("av"),
-                "mn", "mx", py_ts_text(F.col("s")).alias("start"), py_ts_text(F.col("e")).alias("end"))
+    total = agg.agg(*[F.max(F.when(is_all, F.col(c))).alias(c) for c in ("n", "tv", "av", "mn", "mx", "s", "e")]) \
+        .select(F.coalesce(F.col("n"), F.lit(0)).alias("n"), "tv", "av", "mn", "mx", py_ts_text(F.col("s")).alias("start"), py_ts_text(F.col("e")).alias("end"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     head = F.concat(F.lit(REPORT_HEAD),
                     F.lit("- Total Transactions: "), F.format_string("%,d", F.col("n")), F.lit("\n"),
@@ -72,7 +73,8 @@ def text_report(df: DataFrame) -> DataFrame:
     parts: list[Column] = [head]
     frame = total
     if cat:
-        top = (agg.where(F.col("kind") == "cat").orderBy(F.desc("tv"), F.asc("key")).limit(C.REPORT_CATEGORIES))
+        top = (agg.where((F.col("kind") == "cat") & F.col("key").isNotNull())
+               .withColumn("tv", F.coalesce("tv", F.lit(0.0))).orderBy(F.desc("tv"), F.asc("key")).limit(C.REPORT_CATEGORIES))
         lines = top.agg(F.array_sort(F.collect_list(F.struct(
             (-F.col("tv")).alias("k1"), F.col("key").alias("k2"),
             F.concat(F.lit(BULLET), F.col("key"), F.lit(": $"), fmt_grouped(F.col("tv"), 2),
@@ -104,7 +106,7 @@ def risk_summary(df: DataFrame, prob_col: str = "fraud_probability", amount_col:
     count and percentage; each part only when its column exists."""
     aggs = []
     if prob_col in df.columns:
-        p = F.col(prob_col)
+        p = number(prob_col)
         aggs += [F.count_if(p > C.RISK_HIGH).alias("high_risk_transactions"),
                  F.count_if((p > C.RISK_LOW) & (p <= C.RISK_HIGH)).alias("medium_risk_transactions"),
                  F.count_if(p <= C.RISK_LOW).alias("low_risk_transactions"),
@@ -155,6 +157,13 @@ def threshold_flags(df: DataFrame, score_col: str, contamination: float,
     return df.withColumn(out_score, dec).withColumn(out_flag, dec < 0)
 
 
+def _amount_text(original: DataFrame, amount_col: str) -> Column:
+    """The original amount as Python prints it; N/A for a row without one."""
+    kind = original.schema[amount_col].dataType
+    text = py_float_text(F.col("_orig")) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("_orig").cast("string")
+    return F.when(F.col("_orig").isNull(), "N/A").otherwise(text)
+
+
 def anomaly_report(flagged: DataFrame, original: DataFrame, row_id: str = "transaction_id",
                    amount_col: str | None = None, score_col: str = "anomaly_score",
                    flag_col: str = "is_anomaly", scaled_col: str = "Scaled_Amount") -> DataFrame:
@@ -174,7 +183,7 @@ def anomaly_report(flagged: DataFrame, original: DataFrame, row_id: str = "trans
     lines = top.agg(F.array_sort(F.collect_list(F.struct(
         F.col(score_col).alias("k1"), F.col(row_id).alias("k2"),
         F.concat(F.lit("- Index "), F.col(row_id).cast("string"), F.lit(f": Original '{amount_col}': "),
-                 F.coalesce(F.col("_orig").cast("string"), F.lit("N/A")),
+                 _amount_text(original, amount_col),
                  F.lit(", Scaled_Amount: "), fmt_fixed(F.col(scaled_col), 2),
                  F.lit(", Anomaly Score (Lower is worse): "), fmt_fixed(F.col(score_col), 4),
                  F.lit("\n")).alias("line")))).alias("rows"))

@@ -4,11 +4,11 @@ searched top-k, and packed into a prompt.
 Rendering and fixed-window chunking are column expressions (``concat``,
 ``sequence`` + ``posexplode`` + ``substring``) over whole texts.  The
 separator-aware splitter is a small per-document helper run through an
-Arrow-batched pandas UDF.  Nearest-neighbour search keeps the query set on
-one broadcast row whose size is checked, and the per-query top-k is a
+Arrow-batched pandas UDF.  Nearest-neighbour search takes the queries in
+blocks, ranks ids and distances only, and the per-query top-k is a
 ``row_number() <= k`` filter, which Spark plans as a partial
 ``WindowGroupLimit`` before the shuffle: only k candidates per query and
-partition are moved."""
+partition are moved; texts are joined to the hits."""
 
 from __future__ import annotations
 
@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.partitioning import ensure_parallelism
+from ..config import LIMITS
+from ..functions.columns import id_type
+from ..session import scratch_path
 from .stats import py_ts_text
 
-from ..config import LIMITS
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,9 +72,9 @@ def row_documents(df: DataFrame, row_id: str, content_cols: Sequence[str] | None
     content = F.concat(F.lit("Transaction ID: "), F.col(row_id).cast("string"), F.lit("\n"), *lines)
     flag = F.coalesce(F.col(flag_col).cast("boolean"), F.lit(False)) if flag_col in df.columns else F.lit(False)
     score = F.col(score_col).cast("double") if score_col in df.columns else F.lit(0.0)
-    meta = F.struct(F.col(row_id).cast("bigint").alias("transaction_index"), flag.alias("is_anomaly"),
+    meta = F.struct(F.col(row_id).cast(id_type(df, row_id)).alias("transaction_index"), flag.alias("is_anomaly"),
                     score.alias("risk_score"), F.lit(C.DOCUMENT_SOURCE_FILE).alias("source_file"))
-    return df.select(F.col(row_id).cast("bigint").alias("row_id"), content.alias("page_content"),
+    return df.select(F.col(row_id).cast(id_type(df, row_id)).alias("row_id"), content.alias("page_content"),
                      meta.alias("metadata"))
 
 
@@ -80,16 +82,11 @@ def row_text(df: DataFrame, row_id: str, text_columns: Sequence[str] | None = No
     """RET-2: ``Transaction {idx}:`` + ``{col}: {value}`` lines."""
     cols = list(text_columns) if text_columns is not None else df.columns
     lines = [F.concat(F.lit(f"{c}: "), value_text(df, c), F.lit("\n")) for c in cols if c in df.columns]
-    return df.select(F.col(row_id).cast("bigint").alias("row_id"),
+    return df.select(F.col(row_id).cast(id_type(df, row_id)).alias("row_id"),
                      F.concat(F.lit("Transaction "), F.col(row_id).cast("string"), F.lit(":\n"), *lines)
                      .alias("text"))
 
 
-def corpus_cap(docs: DataFrame, order_col: str = "row_id", n: int = C.CORPUS_CAP) -> DataFrame:
-    """RET-3: the first n documents (the reference's corpus cap; a top-k)."""
-    return docs.orderBy(order_col).limit(n)
-
-
 def capped_rows(df: DataFrame, row_id: str, n: int = C.CORPUS_CAP) -> DataFrame:
     """The rows that survive the corpus cap, chosen on the id alone (a top-k
     over one column) before any text is rendered; the n ids are joined back
@@ -103,79 +100,39 @@ def capped_rows(df: DataFrame, row_id: str, n: int = C.CORPUS_CAP) -> DataFrame:
 def chunk_fixed(df: DataFrame, id_col: str, text_col: str, size: int = C.CHUNK_SIZE,
                 overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
     """RET-4a: windows of ``size`` characters starting every size-overlap
-    characters, until one reaches the end of the text."""
+    characters, until one reaches the end of the text; an empty text has none."""
     step = size - overlap
     n = F.length(text_col)
     count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(float(step))).cast("int") + 1)
-    return (ensure_parallelism(df.select(id_col, text_col))
+    return (ensure_parallelism(df.select(id_col, text_col)).where(n > 0)
             .select(id_col, text_col, F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk_no", "_i"))
             .select(F.col(id_col), F.col("chunk_no").cast("bigint").alias("chunk_no"),
                     F.expr(f"substring(`{text_col}`, _i * {step} + 1, {size})").alias("chunk")))
 
 
-def _merge(splits: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    sep_len = len(sep)
-    docs: list[str] = []
-    cur: list[str] = []
-    total = 0
-    for d in splits:
-        n = len(d)
-        if total + n + (sep_len if cur else 0) > size:
-            if cur:
-                doc = sep.join(cur).strip()
-                if doc:
-                    docs.append(doc)
-                while total > overlap or (total + n + (sep_len if cur else 0) > size and total > 0):
-                    total -= len(cur[0]) + (sep_len if len(cur) > 1 else 0)
-                    cur = cur[1:]
-        cur.append(d)
-        total += n + (sep_len if len(cur) > 1 else 0)
-    doc = sep.join(cur).strip()
-    if doc:
-        docs.append(doc)
-    return docs
-
-
-def _split_keep(text: str, sep: str) -> list[str]:
-    if not sep:
-        return [ch for ch in text]
-    pieces = text.split(sep)
-    out = [pieces[0]] + [sep + p for p in pieces[1:]]
-    return [p for p in out if p]
-
-
-def split_recursive(text: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
+def split_recursive(text: str | None, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
                     separators: Sequence[str] = tuple(C.SPLIT_SEPARATORS)) -> list[str]:
-    """Separator-aware splitting: split on the first separator present
-    (kept at the start of the following piece), merge pieces up to ``size``
-    characters with ``overlap`` carried over, and split pieces that are still
-    too long with the next separators."""
-    if text is None:
-        return []
-    sep = separators[-1]
-    rest: Sequence[str] = ()
-    for i, s in enumerate(separators):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, separators[i + 1:]
-            break
+    """Separator-aware chunks of at most ``size`` characters, without the white
+    space around them; blank chunks are left out.
+
+    A chunk that does not reach the end of the text ends before the last place
+    of the best separator it holds (separators come best first; the empty one
+    allows a cut anywhere).  The next chunk starts at the first place of the
+    best separator within the last ``overlap`` characters, or at the cut."""
     out: list[str] = []
-    good: list[str] = []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            good.append(piece)
-            continue
-        if good:
-            out.extend(_merge(good, "", size, overlap))
-            good = []
-        if not rest:
+    start, n = 0, len(text or "")
+    while start < n:
+        end = min(n, start + size)
+        if end < n:
+            places = (text.rfind(s, start + 1, end) if s else end for s in separators)
+            end = next((p for p in places if p > start), end)
+        if piece := text[start:end].strip():
             out.append(piece)
-        else:
-            out.extend(split_recursive(piece, size, overlap, rest))
-    if good:
-        out.extend(_merge(good, "", size, overlap))
+        if end == n:
+            break
+        back = max(start + 1, end - overlap)
+        starts = (text.find(s, back, end) if s else end for s in separators)
+        start = next((p for p in starts if p >= back), end)
     return out
 
 
@@ -222,28 +179,30 @@ def top_k(items: DataFrame, item_id: str | Sequence[str], vec_col: str, queries:
           query_id: str, query_vec: str = "query", k: int = C.RETRIEVAL_K,
           carry: Sequence[str] = (), query_carry: Sequence[str] = ()) -> DataFrame:
     """RET-5/6: the k nearest items (squared L2, ties by item id) per query.
-    Up to ``LIMITS.broadcast_queries`` queries (checked) travel as one
-    broadcast; more are processed in bounded batches."""
+
+    Queries travel in blocks, one row for each ``LIMITS.query_block`` of them,
+    so the items are read once for a block.  Only ids and distances are ranked
+    (``row_number() <= k`` is limited before the shuffle); the k hits are
+    stored, and what ``carry`` and ``query_carry`` name is joined to them."""
     ids = [item_id] if isinstance(item_id, str) else list(item_id)
-    nq = queries.count()
-    if nq > LIMITS.broadcast_queries:
-        # beyond the broadcast bound: hash-bucketed batches of queries, each
-        # under the bound, one pass over the items per batch
-        n_batches = -(-nq // max(LIMITS.broadcast_queries, 1)) + 1
-        bucket = F.pmod(F.xxhash64(query_id), F.lit(n_batches))
-        parts = [top_k(items, ids, vec_col, queries.where(bucket == b), query_id, query_vec, k, carry, query_carry)
-                 for b in range(n_batches)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    pairs = items.select(*ids, *carry, vec_col).crossJoin(
-        F.broadcast(queries.select(query_id, *query_carry, F.col(query_vec).alias("_q"))))
-    scored = pairs.select(query_id, *query_carry, *ids, *carry,
-                          sq_l2(F.col(vec_col), F.col("_q")).alias("distance"))
+    blocks = max(1, -(-queries.count() // LIMITS.query_block))
+    packed = (queries.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block"))
+              .agg(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(query_vec).alias("v"))).alias("_queries")))
+    pairs = items.select(*ids, vec_col).crossJoin(packed.select("_queries")).select(
+        *ids, vec_col, F.explode("_queries").alias("_q"))
+    scored = pairs.select(F.col("_q.id").alias(query_id), *ids, sq_l2(F.col(vec_col), F.col("_q.v")).alias("distance"))
     w = Window.partitionBy(query_id).orderBy("distance", *ids)
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("bigint")))
+    hits = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    if carry or query_carry:
+        # stored, so that the planner knows how few hits there are before it joins texts to them
+        path = scratch_path(items.sparkSession, "hits")
+        hits.write.parquet(path)
+        hits = items.sparkSession.read.schema(hits.schema).parquet(path)
+    if carry:
+        hits = items.select(*ids, *carry).join(hits, ids)
+    if query_carry:
+        hits = hits.join(queries.select(query_id, *query_carry).dropDuplicates([query_id]), query_id)
+    return hits.select(query_id, *query_carry, *ids, *carry, "distance", "rank")
 
 
 def pack_prompt(hits: DataFrame, query_id: str, query_text: str, content_col: str,

@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import md5_unit
+from ..functions.quantiles import exact_quantiles
 
 
 def split_flag(row_id: str, seed: int = C.SEED, test_fraction: float = C.TEST_FRACTION) -> F.Column:
-    """Hash bucket per row: the same row always lands on the same side, and
-    each class keeps ``test_fraction`` of its rows in expectation without any
-    per-class window or shuffle."""
+    """Hash bucket per row, without regard to classes: the same row always
+    lands on the same side (used where a plain fraction of the rows is wanted)."""
     return md5_unit(row_id, seed=seed) < F.lit(test_fraction)
 
 
-def stratified_split(df: DataFrame, row_id: str, seed: int = C.SEED,
+def _draw(row_id: str, seed: int) -> F.Column:
+    """52 random bits of a row (exact in a double)."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("bigint")
+
+
+def held_out(df: DataFrame, y: str, row_id: str, seed: int = C.SEED, test_fraction: float = C.TEST_FRACTION) -> F.Column:
+    """MLS-2: true for exactly ``floor(test_fraction * n + 1/2)`` rows of each
+    class: those with the smallest draws.  The cut between the k-th and the
+    next draw of a class comes from the exact quantile search, so no class is
+    ever sorted in one task; the flag itself is a row-wise filter.  A null
+    label is a class of its own."""
+    label = F.coalesce(F.col(y).cast("string"), F.lit("\x00null"))
+    counts = [(r["c"], r["n"]) for r in df.groupBy(label.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()]  # a row per class
+    cuts = {c: (n, math.floor(test_fraction * n + 0.5)) for c, n in counts}
+    draws = df.select(*[F.when(label == c, _draw(row_id, seed)).cast("double").alias(f"d{i}") for i, c in enumerate(cuts)])
+    specs = {c: (f"d{i}", (k - 0.5) / (n - 1)) for i, (c, (n, k)) in enumerate(cuts.items()) if 0 < k < n}
+    found = exact_quantiles(draws, list(specs.values()))
+    flag = F.lit(False)
+    for c, (n, k) in cuts.items():
+        mine = label == c
+        if k == n:
+            flag = flag | mine
+        elif k:
+            flag = flag | (mine & (_draw(row_id, seed) < F.lit(found[specs[c]])))
+    return flag
+
+
+def stratified_split(df: DataFrame, y: str, row_id: str, seed: int = C.SEED,
                      test_fraction: float = C.TEST_FRACTION) -> tuple[DataFrame, DataFrame]:
-    flag = split_flag(row_id, seed, test_fraction)
+    """MLS-2: (train, test), each class split alike."""
+    flag = held_out(df, y, row_id, seed, test_fraction)
     return df.where(~flag), df.where(flag)
 
 

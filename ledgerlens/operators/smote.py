@@ -213,7 +213,8 @@ def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int)
             gap = np.maximum(0.0, np.maximum(blo[None, :, :] - u[:, None, :], u[:, None, :] - bhi[None, :, :]))
             d = np.sqrt((gap * gap).sum(axis=2))                        # point-to-box distance
             own = b["cell"].to_numpy(np.int64)
-            qi, cj = np.nonzero((d <= b["r"].to_numpy()[:, None]) & (bids[None, :] != own[:, None]))
+            # a margin for rounding: the distances are of rotated points
+            qi, cj = np.nonzero((d <= b["r"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12) & (bids[None, :] != own[:, None]))
             yield pd.DataFrame({"id": b["id"].to_numpy(np.int64)[qi], "qb": own[qi].astype(np.int32),
                                 "cb": bids[cj].astype(np.int32)})
 

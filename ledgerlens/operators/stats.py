@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import (amount_column, category_column, first_temporal, numeric_columns,
                                  stats_label_column, temporal_columns)
+from ..functions.exprs import number
 from ..functions.quantiles import exact_quantiles
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -102,10 +103,12 @@ def date_range(df: DataFrame, date_col: str | None = None) -> DataFrame:
 
 
 def daily_volume(df: DataFrame, date_col: str | None = None, amount_col: str | None = None) -> DataFrame:
-    """AGG-6: amount per calendar day."""
+    """AGG-6: amount per calendar day; rows without a date are left out, a day
+    without amounts has 0."""
     date_col = date_col or first_temporal(df)
     amount_col = amount_col or amount_column(df, C.AMOUNT_CANDIDATES_TRENDS)
-    return df.groupBy(F.to_date(date_col).alias("day")).agg(F.sum(amount_col).alias("volume"))
+    return (df.select(F.to_date(date_col).alias("day"), number(amount_col).alias("x")).where("day IS NOT NULL")
+            .groupBy("day").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("volume")))
 
 
 def daily_peak(df: DataFrame, date_col: str | None = None, amount_col: str | None = None) -> DataFrame:
@@ -120,10 +123,12 @@ def daily_peak(df: DataFrame, date_col: str | None = None, amount_col: str | Non
 def top_categories(df: DataFrame, n: int = C.TOP_CATEGORIES, cat_col: str | None = None,
                    amount_col: str | None = None) -> DataFrame:
     """AGG-8: the n categories with the largest total amount (a top-k report:
-    per-partition top-n then one merge, ``TakeOrderedAndProject``)."""
+    per-partition top-n then one merge, ``TakeOrderedAndProject``).  Rows without
+    a category are left out, as pandas' groupby does."""
     cat_col = cat_col or category_column(df)
     amount_col = amount_col or amount_column(df, C.AMOUNT_CANDIDATES_TRENDS)
-    g = df.groupBy(F.col(cat_col).cast("string").alias("category")).agg(F.sum(amount_col).alias("total"))
+    g = (df.select(F.col(cat_col).cast("string").alias("category"), number(amount_col).alias("x")).where("category IS NOT NULL")
+         .groupBy("category").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("total")))
     return g.orderBy(F.desc("total"), F.asc("category")).limit(n)
 
 

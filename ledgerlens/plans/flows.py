@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import training_label_column
+from ..functions.columns import numeric_columns, training_label_column, with_row_id
 from ..operators import anomaly as A
 from ..operators import clean as K
 from ..operators import features as FE
@@ -26,7 +26,9 @@ from ..operators import iforest as IF
 from ..operators import report as R
 from ..operators import retrieval as RT
 from ..operators import stats as S
+from ..operators.bundle import ModelBundle, save_models
 from ..session import ensure_checkpoint_dir
+from ..sources.readers import load_transactions
 
 
 @dataclass
@@ -43,10 +45,17 @@ class RunResult:
     summary: DataFrame | None = None
 
 
-def full_run(df: DataFrame, row_id: str = "transaction_id", questions=tuple(C.RUN_QUESTIONS)) -> RunResult:
+def full_run(source: DataFrame | str, row_id: str = "transaction_id", questions=tuple(C.RUN_QUESTIONS),
+             corpus_cap: int | None = None, model_path: str | None = None,
+             spark: SparkSession | None = None) -> RunResult:
+    """The full run over a table, or over the file at a path.  Every row gets a
+    document; ``corpus_cap`` keeps the first so many instead (the reference's
+    demo setting).  With ``model_path`` the fitted models are saved there."""
+    df = load_transactions(spark or SparkSession.getActiveSession(), source) if isinstance(source, str) else source
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    processed = FE.one_hot(FE.calendar_features(K.clean(df))).checkpoint(eager=True)
+    processed = with_row_id(FE.one_hot(FE.calendar_features(K.clean(df))), row_id).checkpoint(eager=True)
+    bundle = ModelBundle()
     records = A.anomaly_records(processed, row_id)
     stats = S.dataset_stats(processed, records)
     label = training_label_column(processed)
@@ -55,6 +64,7 @@ def full_run(df: DataFrame, row_id: str = "transaction_id", questions=tuple(C.RU
         fm = FR.train_fraud_model(processed, label, row_id)
         predictions = FR.predict_fraud(fm, processed)
         metrics = fm.metrics
+        bundle.fraud = fm
     else:
         st = FE.FeatureState()
         X = FE.prepare_features(processed, st, "", keep=[row_id], fit=True)
@@ -64,11 +74,15 @@ def full_run(df: DataFrame, row_id: str = "transaction_id", questions=tuple(C.RU
             "anomaly_score")
         predictions = processed.join(det, row_id)
         metrics = {"training": IF.training_metrics(model, X, f"__{row_id}")}
+        bundle.iforest, bundle.iforest_state = model, st
+    if model_path is not None:
+        save_models(bundle, model_path)
     risk = R.risk_summary(predictions)
-    docs = RT.row_documents(RT.capped_rows(predictions, row_id), row_id).select("row_id", "page_content")
+    kept = predictions if corpus_cap is None else RT.capped_rows(predictions, row_id, corpus_cap)
+    docs = RT.row_documents(kept, row_id).select("row_id", "page_content")
     texts = RT.row_text(docs.select("row_id", F.col("page_content").alias("content")), "row_id",
                         text_columns=["content"])
-    chunks = RT.chunk_fixed(texts, "row_id", "text")
+    chunks = RT.chunk_recursive(texts, "row_id", "text")
     qdf = spark.createDataFrame(list(enumerate(questions)), "query_id int, query string") \
         .withColumn("qvec", RT.letter_embedding(F.col("query")))
     hits = RT.top_k(chunks.withColumn("vec", RT.letter_embedding(F.col("chunk"))), ["row_id", "chunk_no"], "vec",
@@ -93,8 +107,12 @@ class PageResult:
 
 def page_run(df: DataFrame, row_id: str = "transaction_id",
              contamination: float = C.IFOREST_CONTAMINATION_PAGE) -> PageResult:
-    processed, original, n_imp, med = K.page_load(df)
-    feats = [c for c in processed.columns if c != "Class"]
+    named = row_id in df.columns
+    # a made id is stored with the table, so that every reader sees the same one
+    df = df if named else with_row_id(df, row_id).checkpoint(eager=True)
+    processed, original, n_imp, med = K.page_load(df, row_id)
+    numbers = set(numeric_columns(processed))
+    feats = [c for c in processed.columns if c != "Class" and c in numbers]
     model = IF.train_iforest(processed, feats, row_id, contamination=contamination)
     det = IF.detect(model, processed, row_id).select(row_id, F.col("decision").alias("anomaly_score"), "is_anomaly")
     flagged = processed.join(det, row_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as A
-from ..sources.views import SQL_TXN, SQL_TXN_ORDERS, txn, txn_orders
+from ..sources.views import SQL_TXN, SQL_TXN_DAMAGED, SQL_TXN_ORDERS, txn, txn_damaged, txn_orders
 from .catalog import register
 
 SQL_Z_CORE = """zs AS (SELECT avg(amount) AS m, stddev_samp(amount) AS sd FROM {src}),
@@ -39,6 +39,13 @@ def q_anomaly_zscore(spark, sf_dir):
                     F.round("z_score", 6).alias("z_score"))
 
 
+@register("anomaly_zscore_dirty", f"WITH {SQL_TXN_DAMAGED}, {_z_sql('txn_damaged')}\n{Z_RECORDS}")
+def q_anomaly_zscore_dirty(spark, sf_dir):
+    r = A.zscore_outliers(txn_damaged(spark, sf_dir))
+    return r.select("type", "severity", "reason", "row_id", F.round("amount", 6).alias("amount"),
+                    F.round("z_score", 6).alias("z_score"))
+
+
 F_RECORDS = """SELECT 'high_frequency' AS type, 'medium' AS severity,
        printf('Customer %s has %d transactions (mean: %.1f)', cast(customer_id AS varchar), n_rows, m) AS reason,
        cast(customer_id AS varchar) AS subject, n_rows

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.exprs import r6
 from ..operators import metrics as M
 from ..operators import sampling as SP
-from ..sources.views import SQL_SCORED, SQL_TXN, scored, sql_md5_unit, txn
+from ..sources.views import SQL_SCORED, SQL_TXN, scored, txn
 from .catalog import register
 
 
 @register("stratified_split", f"""WITH {SQL_TXN}
 SELECT transaction_id, is_fraud,
-       CASE WHEN {sql_md5_unit('transaction_id', '42')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM txn""")
+       CASE WHEN row_number() OVER (PARTITION BY is_fraud ORDER BY substr(md5(cast(transaction_id AS varchar) || ':42'), 1, 13))
+                 <= floor(0.2 * count(*) OVER (PARTITION BY is_fraud) + 0.5) THEN 'test' ELSE 'train' END AS split FROM txn""")
 def q_stratified_split(spark, sf_dir):
     t = txn(spark, sf_dir)
     return t.select("transaction_id", "is_fraud",
-                    F.when(SP.split_flag("transaction_id"), "test").otherwise("train").alias("split"))
+                    F.when(SP.held_out(t, "is_fraud", "transaction_id"), "test").otherwise("train").alias("split"))
 
 
 @register("class_balance", f"""WITH {SQL_TXN}

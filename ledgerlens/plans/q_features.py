@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as P
 from ..functions.exprs import fmt_fixed, fmt_grouped
 from ..operators import features as FE
-from ..sources.views import SQL_TXN, SQL_TXN_DIRTY, txn, txn_dirty
+from ..sources.views import SQL_TXN, SQL_TXN_DAMAGED, SQL_TXN_DIRTY, txn, txn_damaged, txn_dirty
 from .catalog import register
 
 
@@ -43,6 +43,18 @@ def q_calendar_features(spark, sf_dir):
     return d.select("transaction_id", "hour", "day_of_week", "is_weekend", "month")
 
 
+@register("calendar_features_dirty", f"""WITH {SQL_TXN_DAMAGED}
+SELECT transaction_id, coalesce(cast(hour(transaction_date) AS integer), -1) AS hour,
+       coalesce(cast(isodow(transaction_date) - 1 AS integer), -1) AS day_of_week,
+       coalesce(cast(isodow(transaction_date) IN (6, 7) AS integer), 0) AS is_weekend,
+       coalesce(cast(month(transaction_date) AS integer), -1) AS month
+FROM txn_damaged""")
+def q_calendar_features_dirty(spark, sf_dir):
+    d = FE.calendar_features(txn_damaged(spark, sf_dir))
+    or_none = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("hour", "day_of_week", "month")]   # null stays visible as -1
+    return d.select("transaction_id", *or_none, "is_weekend")
+
+
 @register("one_hot", f"""WITH {SQL_TXN}
 SELECT transaction_id, category,
        coalesce(category = 'error', false) AS category_error,

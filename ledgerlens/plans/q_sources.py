@@ -54,6 +54,43 @@ def q_csv_sink(spark, sf_dir):
                        ts_text(F.col("transaction_date")).alias("transaction_date"), "is_fraud")
 
 
+# texts with doubled quotes, commas and line breaks, and an NA word among the amounts
+SQL_QUOTED = """SELECT o_orderkey AS transaction_id,
+       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 6) END AS amount,
+       'he said "' || o_orderpriority || '", ok' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || 'next line' ELSE '' END AS note
+FROM orders"""
+
+
+def _quoted(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("transaction_id"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("amount"),
+        F.concat(F.lit('he said "'), "o_orderpriority", F.lit('", ok'),
+                 F.when(F.col("o_orderkey") % 3 == 0, F.lit("\nnext line")).otherwise(F.lit(""))).alias("note"))
+
+
+@register("csv_quoted", SQL_QUOTED)
+def q_csv_quoted(spark, sf_dir):
+    path = scratch_path(spark, "quoted") + ".csv"
+    worded = _quoted(spark, sf_dir).withColumn("amount", F.coalesce(F.col("amount").cast("string"), F.lit("NA")))
+    write_csv(worded, path)
+    back = RD.load_transactions(spark, path)                       # types from the file: the NA word is missing, not text
+    return back.select("transaction_id", r6(F.col("amount")).alias("amount"), "note")
+
+
+@register("json_array", SQL_QUOTED)
+def q_json_array(spark, sf_dir):
+    path = scratch_path(spark, "array") + ".json"
+    rows = _quoted(spark, sf_dir)
+    # each file is one array over many lines
+    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.pmod(F.xxhash64("transaction_id"), F.lit(64)).alias("part"))
+    arrays = text.groupBy("part").agg(F.concat_ws(",\n  ", F.collect_list("j")).alias("j"))
+    arrays.select("part", F.concat(F.lit("[\n  "), "j", F.lit("\n]")).alias("value")).write.partitionBy("part").text(path)
+    return RD.load_transactions(spark, path, "transaction_id bigint, amount double, note string").select(
+        "transaction_id", r6(F.col("amount")).alias("amount"), "note")
+
+
 @register("ingest_rows", f"""SELECT count(*) AS rows, 'event_id,ts,user_id,event_type,value,props' AS columns FROM events""")
 def q_ingest_rows(spark, sf_dir):
     from ..session import table_path

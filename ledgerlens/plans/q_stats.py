@@ -9,7 +9,7 @@ from ..operators import anomaly as A
 from ..operators import report as R
 from ..operators import stats as S
 from ..operators.features import scaled_amount
-from ..sources.views import SQL_SCORED, SQL_TXN, scored, txn
+from ..sources.views import SQL_SCORED, SQL_TXN, SQL_TXN_DAMAGED, scored, txn, txn_damaged
 from .catalog import register
 from .q_anomaly import _f_sql, _z_sql
 
@@ -115,12 +115,32 @@ def q_top_categories(spark, sf_dir):
     return S.top_categories(txn(spark, sf_dir)).withColumn("total", r6(F.col("total")))
 
 
+# the same operators on missing amounts, categories and dates
+@register("daily_peak_dirty", f"""WITH {SQL_TXN_DAMAGED},
+daily AS (SELECT cast(transaction_date AS date) AS day, coalesce(sum(amount), 0) AS volume FROM txn_damaged
+          WHERE transaction_date IS NOT NULL GROUP BY 1)
+SELECT round(avg(volume), 6) AS daily_average,
+       (SELECT strftime(day, '%Y-%m-%d') FROM daily ORDER BY volume DESC, day LIMIT 1) AS peak_day,
+       round(max(volume), 6) AS peak_volume FROM daily""")
+def q_daily_peak_dirty(spark, sf_dir):
+    d = S.daily_peak(txn_damaged(spark, sf_dir))
+    return d.select(r6(F.col("daily_average")).alias("daily_average"), "peak_day",
+                    r6(F.col("peak_volume")).alias("peak_volume"))
+
+
+@register("top_categories_dirty", f"""WITH {SQL_TXN_DAMAGED}
+SELECT category, round(coalesce(sum(amount), 0), 6) AS total FROM txn_damaged WHERE category IS NOT NULL
+GROUP BY category ORDER BY sum(amount) DESC, category LIMIT 5""")
+def q_top_categories_dirty(spark, sf_dir):
+    return S.top_categories(txn_damaged(spark, sf_dir)).withColumn("total", r6(F.col("total")))
+
+
 SQL_REPORT_BODY = """agg AS (SELECT count(*) AS n, sum(amount) AS tv, avg(amount) AS av, min(amount) AS mn,
                    max(amount) AS mx, min(transaction_date) AS s, max(transaction_date) AS e FROM {src}),
-cats AS (SELECT category, sum(amount) AS total FROM {src} GROUP BY category ORDER BY total DESC, category LIMIT 3),
+cats AS (SELECT category, sum(amount) AS total FROM {src} WHERE category IS NOT NULL GROUP BY category ORDER BY total DESC, category LIMIT 3),
 catlines AS (SELECT string_agg('  • ' || category || ': $' || format('{{:,.2f}}', total) || chr(10), ''
                                ORDER BY total DESC, category) AS lines FROM cats),
-dly AS (SELECT cast(transaction_date AS date) AS day, sum(amount) AS volume FROM {src} GROUP BY 1),
+dly AS (SELECT cast(transaction_date AS date) AS day, sum(amount) AS volume FROM {src} WHERE transaction_date IS NOT NULL GROUP BY 1),
 peak AS (SELECT strftime(day, '%Y-%m-%d') AS peak_day, volume AS peak_volume FROM dly ORDER BY volume DESC, day LIMIT 1),
 report AS (
   SELECT chr(10) || '📊 Financial Transaction Analysis Summary' || chr(10) || chr(10) || 'Dataset Overview:' || chr(10)
@@ -145,6 +165,11 @@ def q_text_report(spark, sf_dir):
     return R.text_report(txn(spark, sf_dir))
 
 
+@register("text_report_dirty", f"WITH {SQL_TXN_DAMAGED}, {_report_sql('txn_damaged')}\nSELECT report FROM report")
+def q_text_report_dirty(spark, sf_dir):
+    return R.text_report(txn_damaged(spark, sf_dir))
+
+
 SQL_RISK = """risk AS (SELECT count(*) FILTER (WHERE fraud_probability > 0.7) AS high_risk_transactions,
        count(*) FILTER (WHERE fraud_probability > 0.3 AND fraud_probability <= 0.7) AS medium_risk_transactions,
        count(*) FILTER (WHERE fraud_probability <= 0.3) AS low_risk_transactions,

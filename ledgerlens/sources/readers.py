@@ -23,19 +23,50 @@ def null_na_tokens(df: DataFrame, tokens=C.NA_TOKENS) -> DataFrame:
                        if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """SRC-1: header row; declared schema (or inference, a full extra pass);
-    NA texts become null.  Fields that do not parse under the schema become
-    null (PERMISSIVE mode)."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return null_na_tokens(r.csv(path))
+def _inferred(df: DataFrame) -> DataFrame:
+    """Text columns as the narrowest of bigint, double and boolean that every
+    value fits (one pass over the file); others stay text."""
+    kinds = ("bigint", "double", "boolean")
+    misfits = [F.count_if(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` AS {k})").isNull()).alias(f"{i}_{k}")
+               for i, c in enumerate(df.columns) for k in kinds]
+    held = [F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(df.columns)]
+    row = df.agg(*misfits, *held).first()
+    out = []
+    for i, c in enumerate(df.columns):
+        kind = next((k for k in kinds if row[f"{i}_n"] and row[f"{i}_{k}"] == 0), "string")
+        # a column without any value is numeric in pandas (all NaN)
+        kind = kind if row[f"{i}_n"] else "double"
+        out.append(F.col(f"`{c}`").cast(kind).alias(c))
+    return df.select(*out)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+             multi_line: bool = True) -> DataFrame:
+    """SRC-1: header row, doubled quotes, line breaks inside quotes; NA texts
+    are missing before types are inferred.  With a declared schema, fields that
+    do not parse become null (PERMISSIVE mode).
+
+    A file that may hold quoted line breaks can't be split; pass
+    ``multi_line=False`` for large files known to have none."""
+    r = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+         .option("multiLine", multi_line))
+    if schema is not None:
+        return null_na_tokens(r.schema(schema).csv(path))
+    return _inferred(null_na_tokens(r.csv(path)))
+
+
+def _is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first text that is not blank opens an array (reads one line)."""
+    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.ltrim("value").alias("v")).first()
+    return first is not None and first["v"].startswith("[")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              multi_line: bool = False) -> DataFrame:
-    """SRC-2: JSON lines (or one JSON array with ``multi_line``)."""
-    r = spark.read.option("multiLine", multi_line)
+              multi_line: bool | None = None) -> DataFrame:
+    """SRC-2: JSON lines, or one JSON array for each file (seen from the first
+    line unless ``multi_line`` says).  Records that do not parse fail."""
+    multi_line = _is_json_array(spark, path) if multi_line is None else multi_line
+    r = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)

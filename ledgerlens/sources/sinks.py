@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 def write_csv(df: DataFrame, path: str) -> str:
     if df is None:
         raise ValueError("No processed data to save")
-    df.write.mode("overwrite").option("header", True).csv(path)
+    # quotes are doubled inside quotes, as the reader (and pandas) expects
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path
 
 

@@ -56,6 +56,19 @@ def txn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged.unionByName(damaged.where(i % 50 == 0))
 
 
+def txn_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """txn with missing and NaN amounts, missing categories and missing dates,
+    still typed (what a cleaned or badly parsed table looks like)."""
+    t = txn(spark, sf_dir)
+    i = F.col("transaction_id")
+    return t.select(
+        "transaction_id", "customer_id",
+        F.when(i % 17 == 0, F.lit(None).cast("double")).when(i % 31 == 0, F.lit(float("nan"))).otherwise(F.col("amount")).alias("amount"),
+        F.when(i % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("category")).alias("category"),
+        F.when(i % 2 == 0, F.lit(None).cast(t.schema["transaction_date"].dataType)).otherwise(F.col("transaction_date")).alias("transaction_date"),
+        "is_fraud")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """txn plus a deterministic pseudo model output, so the metric and report
     operators are exact-checked apart from any model."""
@@ -104,6 +117,15 @@ damaged AS (
 txn_dirty AS (
   SELECT * FROM damaged UNION ALL SELECT * FROM damaged WHERE transaction_id % 50 = 0)"""
 
+#: NaN amounts are null in the twin: every operator must treat them alike.
+SQL_TXN_DAMAGED = SQL_TXN + """,
+txn_damaged AS (
+  SELECT transaction_id, customer_id,
+         CASE WHEN transaction_id % 17 = 0 OR transaction_id % 31 = 0 THEN NULL ELSE amount END AS amount,
+         CASE WHEN transaction_id % 3 = 0 THEN NULL ELSE category END AS category,
+         CASE WHEN transaction_id % 2 = 0 THEN NULL ELSE transaction_date END AS transaction_date, is_fraud
+  FROM txn)"""
+
 SQL_SCORED = SQL_TXN + f""",
 scored AS (
   SELECT *, {sql_md5_unit('transaction_id')} AS fraud_probability,

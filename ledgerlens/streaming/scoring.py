@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.exprs import number
 
 
 @dataclass
@@ -26,29 +27,29 @@ class ZScoreStats:
 
     @classmethod
     def fit(cls, df: DataFrame, column: str) -> "ZScoreStats":
-        r = df.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s")).first()
+        r = df.agg(F.avg(number(column)).alias("m"), F.stddev_samp(number(column)).alias("s")).first()
         return cls(column, r["m"], r["s"])
 
 
 def flag_outliers(stream: DataFrame, stats: ZScoreStats) -> DataFrame:
     """ANO-1 applied row by row with fixed statistics (works on batch and stream)."""
-    z = F.abs(F.try_divide(F.col(stats.column) - F.lit(stats.mean), F.lit(stats.std)))
+    z = F.abs(F.try_divide(number(stats.column) - F.lit(stats.mean), F.lit(stats.std)))
+    z = F.when(~F.isnan(z), z)
     return stream.withColumn("z_score", z).withColumn(
         "is_outlier", F.coalesce(z > C.ZSCORE_THRESHOLD, F.lit(False))).withColumn(
         "severity", F.when(z > C.ZSCORE_HIGH, "high").when(z > C.ZSCORE_THRESHOLD, "medium"))
 
 
-def score_fraud_stream(stream: DataFrame, fraud_model) -> DataFrame:
-    """MLS-12 on a stream: the feature plan and the forest are row-wise."""
-    from ..operators.fraud import predict_fraud
-    return predict_fraud(fraud_model, stream)
+def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def write_batches(scored: DataFrame, path: str, checkpoint: str, once: bool = True):
-    """Append every micro-batch to parquet at ``path``; progress is kept in
-    ``checkpoint`` (a folder in the shared storage)."""
+    """Write every micro-batch to its own folder of the parquet table at
+    ``path``, so a batch that is replayed after a failure replaces itself;
+    progress is kept in ``checkpoint`` (a folder in the shared storage)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        write_batch(batch, batch_id, path)
 
     w = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w

@@ -71,21 +71,34 @@ def test_block_knn_is_exact(spark):
         assert got == want, kw
 
 
-def test_topk_batches_beyond_broadcast_bound(spark, monkeypatch):
+def test_topk_in_many_query_blocks(spark, monkeypatch):
     from ledgerlens.operators import retrieval as RT
     items = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(300)], "id long, v array<double>")
     qs = spark.createDataFrame([(j, [float(j * 3), 1.0]) for j in range(40)], "qid long, q array<double>")
     want = {(r["qid"], r["id"], r["rank"]) for r in RT.top_k(items, "id", "v", qs, "qid", "q", 3).collect()}
     from ledgerlens.config import LIMITS
-    monkeypatch.setattr(LIMITS, "broadcast_queries", 7)
+    monkeypatch.setattr(LIMITS, "query_block", 7)
     got = {(r["qid"], r["id"], r["rank"]) for r in RT.top_k(items, "id", "v", qs, "qid", "q", 3).collect()}
     assert got == want and len(got) == 120
 
 
-def test_sparse_confusion_beyond_bound(spark, monkeypatch):
+def test_confusion_matrix_has_one_shape(spark):
+    from ledgerlens.config import LIMITS
     from ledgerlens.operators import metrics as M
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 3)], "y int, p int")
-    assert M.confusion_matrix(df, "y", "p").count() == 9
-    from ledgerlens.config import LIMITS
-    monkeypatch.setattr(LIMITS, "max_classes", 2)
-    assert M.confusion_matrix(df, "y", "p").count() == 4
+    want = {(a, b): 0 for a in (1, 2, 3) for b in (1, 2, 3)} | {(1, 1): 1, (1, 2): 1, (2, 2): 1, (3, 3): 1}
+    LIMITS.small()
+    try:
+        got = {(r["actual"], r["predicted"]): r["count"] for r in M.confusion_matrix(df, "y", "p").collect()}
+    finally:
+        LIMITS.reset()
+    assert got == want
+
+
+def test_quantiles_of_few_hot_values(spark):
+    vals = np.array([1.0] * 4000 + [2.0] * 4000 + [3.0] * 2000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(4)
+    qs = [0.1, 0.4, 0.5, 0.79997, 0.9]
+    got = exact_quantiles(df, [("x", q) for q in qs], max_candidates=100, accuracy=100)
+    for q in qs:
+        assert got[("x", q)] == pytest.approx(float(np.quantile(vals, q)), abs=1e-9), q
