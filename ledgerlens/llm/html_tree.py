@@ -25,6 +25,7 @@ SAMPLE_PAGES = 512
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+NOT_CONTAINERS = frozenset("html body nav aside header footer form".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr br img".split())
@@ -34,6 +35,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
            "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
            "option": (("option",), ("select",)), "body": (("head",), ("html",))}
+#: Elements whose tag says what they hold.  Others (p, li, div, h2, td ...) stand in content and elsewhere alike.
+TELLING = frozenset("html head body article main nav aside header footer form button select input textarea label script style noscript "
+                    "iframe dialog address hr template menu fieldset".split())
 # Words of class, id and role attributes, by what they tell.
 WORDS = {
     "comment": "comment comments commentlist reply replies discussion disqus respond responses feedback reactions guestbook",
@@ -166,6 +170,10 @@ def parse(page: str) -> list[Node]:
             block += tag not in INLINE
         elif tag not in VOID and not (attrs.endswith("/") and tag in ("path", "use")):
             stack.append(len(nodes) - 1)
+    if not any(x.tag in ("article", "main") or "content" in x.shape and x.tag not in NOT_CONTAINERS for x in nodes):
+        for x in nodes:                                            # no element is named as the container of the content
+            if x.tag in ("#root", "html", "body"):
+                x.shape = (*x.shape, "bare")
     return nodes
 
 
@@ -181,39 +189,48 @@ def _measure(nodes: list[Node]) -> None:
         p.linked += x.linked
 
 
-def _features(x: Node, nodes: list[Node]) -> tuple:
-    if x.tag == "#text":
-        return ("#text", nodes[x.parent].tag == "a")
+def _kind(x: Node) -> str:
+    """Edges differ by what the child is: an element that says what it holds, a
+    plain block, or a run of text (inline elements are parts of one)."""
+    if x.shape or x.tag in TELLING:
+        return "telling"
+    return "text" if x.tag == "#text" or x.tag in INLINE else "block"
+
+
+def _features(x: Node) -> tuple | None:
+    if _kind(x) == "text":
+        return None
     share = 4 * x.linked // x.chars if x.chars else 0
-    return (x.tag, x.shape, min(share, 3) if x.chars > x.linked or not x.linked else 4)
+    return (x.tag if x.tag in TELLING else "", x.shape, min(share, 3) if x.chars > x.linked or not x.linked else 4)
 
 
 @dataclass
 class TreeModel:
     """Counts of the labelled pages, turned into smoothed potentials on use."""
-    tags: Counter = field(default_factory=Counter)       # (tag, state)
+    tags: Counter = field(default_factory=Counter)       # (telling tag, state)
     shapes: Counter = field(default_factory=Counter)     # (family, state)
-    links: Counter = field(default_factory=Counter)      # (link density class, state)
-    states: Counter = field(default_factory=Counter)     # state, of elements
+    links: Counter = field(default_factory=Counter)      # (link density class, state), of plain blocks
+    states: Counter = field(default_factory=Counter)     # (kind, state)
     edges: Counter = field(default_factory=Counter)      # (kind, parent's state, state)
 
     def learn(self, nodes: list[Node], states: list[int]) -> None:
         for i, x in enumerate(nodes[1:], 1):
-            s = states[i]
-            kind = "text" if x.tag == "#text" else "element"
+            s, kind = states[i], _kind(x)
             self.edges[kind, states[x.parent], s] += 1
             if kind == "text":
                 continue
-            f = _features(x, nodes)
-            self.tags[f[0], s] += 1
-            self.links[f[2], s] += 1
-            self.states[s] += 1
+            f = _features(x)
+            self.states[kind, s] += 1
+            if kind == "block":
+                self.links[f[2], s] += 1
+            if f[0]:
+                self.tags[f[0], s] += 1
             for k in f[1]:
                 self.shapes[k, s] += 1
 
     def add(self, table: str, key: str, n: int) -> None:
         parts = key.split("\x1f")
-        getattr(self, table)[tuple(int(p) if p.lstrip("-").isdigit() else p for p in parts) if table != "states" else int(key)] += n
+        getattr(self, table)[tuple(int(p) if p.isdigit() else p for p in parts)] += n
 
     def prepared(self) -> "Potentials":
         return Potentials(self)
@@ -225,27 +242,30 @@ class Potentials:
     def __init__(self, m: TreeModel):
         self.m = m
         self.known: dict[tuple, float] = {}
-        n1, n0 = m.states[1] + 1.0, m.states[0] + 1.0
-        self.n1, self.n0 = n1, n0
+        self.total = {(k, s): m.states[k, s] + 1.0 for k in ("telling", "block") for s in (0, 1)}
         self.edge = {}
-        for kind in ("text", "element"):
+        for kind, slip in (("text", 0.001), ("block", 0.2), ("telling", 1.0)):
             rows = {}
             for p in (0, 1):
                 # a state is inherited unless the counts say otherwise
-                same, other = m.edges[kind, p, p] + 8.0, m.edges[kind, p, 1 - p] + (0.02 if kind == "text" else 0.4)
+                same, other = m.edges[kind, p, p] + 20.0, m.edges[kind, p, 1 - p] + slip
                 rows[p] = (same / (same + other), other / (same + other))
             self.edge[kind] = (rows[0][0], rows[0][1], rows[1][1], rows[1][0])      # t00, t01, t10, t11
 
-    def node(self, f: tuple) -> float:
-        if f[0] == "#text":
+    def node(self, f: tuple | None) -> float:
+        if f is None:
             return 1.0
         r = self.known.get(f)
         if r is None:
-            m, n1, n0 = self.m, self.n1, self.n0
-            r = ((m.tags[f[0], 1] + 0.5) / n1) / ((m.tags[f[0], 0] + 0.5) / n0) if (m.tags[f[0], 1] + m.tags[f[0], 0]) else 1.0
-            r *= ((m.links[f[2], 1] + 1.0) / n1) / ((m.links[f[2], 0] + 1.0) / n0)
+            m, r = self.m, 1.0
+            n1, n0 = self.total["telling", 1], self.total["telling", 0]
+            if f[0] and m.tags[f[0], 1] + m.tags[f[0], 0]:
+                r *= ((m.tags[f[0], 1] + 0.5) / n1) / ((m.tags[f[0], 0] + 0.5) / n0)
             for k in f[1]:
                 r *= ((m.shapes[k, 1] + 0.2) / n1) / ((m.shapes[k, 0] + 0.2) / n0)
+            if not f[0] and not f[1]:
+                r *= ((m.links[f[2], 1] + 1.0) / self.total["block", 1]) / ((m.links[f[2], 0] + 1.0) / self.total["block", 0])
+                r = min(2.0, max(0.2, r))                       # how linked a block is says a little only
             if len(self.known) > 50_000:
                 self.known.clear()
             self.known[f] = r
@@ -255,10 +275,10 @@ class Potentials:
 def marginals(nodes: list[Node], pot: Potentials) -> list[float]:
     """Content marginals by sum-product: messages upward to the root, then downward."""
     n = len(nodes)
-    up = [pot.node(_features(x, nodes)) for x in nodes]
-    up[0] = 0.05                                                    # a page is not content as a whole
+    up = [pot.node(_features(x)) for x in nodes]
+    up[0] = 20.0 if "bare" in nodes[0].shape else 0.05              # a page is not content as a whole, if it names what is
     sent = [1.0] * n
-    edges = [pot.edge["text" if x.tag == "#text" else "element"] for x in nodes]
+    edges = [pot.edge[_kind(x)] for x in nodes]
     for i in range(n - 1, 0, -1):
         t00, t01, t10, t11 = edges[i]
         r = up[i]
@@ -317,6 +337,9 @@ LABELLED = [
     """<body><nav><a href="/">Start</a></nav><article data-label="1"><header><h1>Title</h1></header><p>Body text.</p><p>Body text.</p>
     <form data-label="0"><p>Vote</p></form><aside data-label="0"><p>Fact box of the site</p></aside><div><p>Nested text.</p></div></article>
     <article class="comment"><p>Comment of a reader</p></article><footer><nav><a href="/i">Imprint</a></nav><p>Address</p></footer></body>""",
+    """<body data-label="1"><div class="header" data-label="0"><a href="/">Site</a></div><ul class="menu" data-label="0"><li><a href="/a">A</a></li></ul>
+    <h1>Title</h1><p>Text.</p><div><p>More text.</p><ul><li>point</li></ul></div><aside data-label="0"><p>aside</p></aside>
+    <div class="comments" data-label="0"><p>reader</p></div><form data-label="0"><p>form</p></form><footer data-label="0"><p>foot</p></footer></body>""",
 ]
 #: Weight of a hand-labelled page against a page of the table.
 LABELLED_WEIGHT = 24
