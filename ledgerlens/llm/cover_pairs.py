@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import store
 from .components import components
 
-MAX_CELL = 2048
+#: Points that one task's cover tree holds, guests aside.
+MAX_CELL = 8192
 PIVOTS = 32
 MAX_DEPTH = 12
 LEAF = 24
@@ -58,18 +59,21 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _emit(rows, _ROW_TYPES)
 
 
-def _separated(theta: float):
-    """Pivots of a cell: farthest-first among the candidates, at least 2.5 thresholds apart."""
+def _separated(theta: float, max_cell: int):
+    """Pivots of a cell: farthest-first among the candidates, at least 2.5
+    thresholds apart, and no more than it takes to get cells of the wanted size
+    (each more pivot means more guests)."""
     schema = pa.schema([("cell", pa.string()), ("pivots", pa.binary()), ("n_pivots", pa.int32())])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for cell, cand in zip(*(c.to_pylist() for c in batch.columns)):
+            for cell, size, cand in zip(*(c.to_pylist() for c in batch.columns)):
+                wanted = min(PIVOTS, max(4, 3 * -(-size // max_cell)))
                 x = _matrix(cand)
                 chosen = [0]
                 near = _chords(x, x[:1])[:, 0]
-                while len(chosen) < PIVOTS and near.max() >= 2.5 * theta:
+                while len(chosen) < wanted and near.max() >= 2.5 * theta:
                     chosen.append(int(near.argmax()))
                     near = np.minimum(near, _chords(x, x[chosen[-1:]])[:, 0])
                 rows.append((cell, np.ascontiguousarray(x[chosen]).tobytes(), len(chosen)))
@@ -255,8 +259,8 @@ def _cells(rows: DataFrame, theta: float, max_cell: int) -> DataFrame:
         lot = F.xxhash64("pid", F.lit(depth))
         cand = (rows.where("native").join(splittable, "cell")                      # about 2 PIVOTS candidates of a cell
                 .where(F.pmod(lot, F.col("n")) < 2 * PIVOTS)
-                .groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct(lot.alias("h"), "x"))), lambda s: s["x"]).alias("cand")))
-        pivots = store(cand.mapInArrow(_separated(theta), "cell string, pivots binary, n_pivots int"), "pivots").select("cell", "pivots")
+                .groupBy("cell").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(lot.alias("h"), "x"))), lambda s: s["x"]).alias("cand")))
+        pivots = store(cand.mapInArrow(_separated(theta, max_cell), "cell string, pivots binary, n_pivots int"), "pivots").select("cell", "pivots")
         sent = store(rows.join(pivots, "cell", "left").select(*rows.columns, "pivots").mapInArrow(_descend(theta), _ROW), "cells")
         radius = sent.where("native").groupBy("cell").agg(F.max("far").alias("radius"))
         rows = store(sent.join(radius, "cell").where(F.col("native") | (F.col("far") <= F.col("radius") + theta + EPS))
