@@ -24,7 +24,7 @@ from .common import store
 
 #: Payloads with fewer bytes are never written as revisits.
 REVISIT_BYTES = 100
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 #: Bins of the id histogram that cuts the shards (all that reaches the driver).
 ID_BINS = 16384
@@ -129,10 +129,11 @@ def write(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str
     light = store(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("n_bytes")), "warc-light")
     first = light.where((F.col("n_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(
         F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = (light.join(first, "digest").where("page_id > refers_to")
-                .select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct())
+    # stored, so that its size decides whether payloads must move for the join
+    revisits = store(light.join(first, "digest").where("page_id > refers_to")
+                     .select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct(), "warc-revisits")
     shard, n_shards = _shard_column(light, "page_id", shard_bytes)
-    dealt = (rows.join(revisits.hint("shuffle_hash"), (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
+    dealt = (rows.join(revisits, (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
              .select("page_id", "url", "payload", "digest", "refers_to", shard.alias("shard"))
              .repartitionById(n_shards, "shard").sortWithinPartitions("shard", "page_id", "url", "digest"))
     out_schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("part", pa.string()), ("name", pa.string()),
@@ -160,7 +161,7 @@ def write(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str
                     seq = last[1] + 1 if last[0] == sh else 0
                     last = (sh, seq)
                     part = f"_parts/{sh}-{seq}-{uuid.uuid4().hex}"
-                    open_.update(shard=sh, seq=seq, part=part, n=0, size=0, sha=hashlib.sha256(), file=fs.open_output_stream(f"{root}/{part}"))
+                    open_.update(shard=sh, seq=seq, part=part, n=0, size=0, sha=hashlib.sha256(), file=fs.open_output_stream(f"{root}/{part}", compression=None))
                 zipper = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = zipper.compress(record(page_id, url, payload, digest, refers_to, date)) + zipper.flush()
                 open_["file"].write(data)
