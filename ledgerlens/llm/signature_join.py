@@ -6,7 +6,7 @@
    at most d elements, so with more than d + (empty parts) parts at least one
    part is equal and not empty in both.  The hash of each part's content is a
    key; sets that share a key are joined to groups.  (P depends on the size
-   class; sets near a class's upper end are also keyed in the next.  Sets with
+   class; sets whose partners can be in a higher class are keyed there too.  Sets with
    too many empty parts add a key for each element of their prefix, the usual
    exact filter.)  No link is lost, and a passage that many documents share
    makes no common key unless it fills a part.
@@ -94,8 +94,7 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     n = len(s)
     keys = []
     c = int(np.searchsorted(SIZES, n))
-    classes = [c] if (n * den) // num <= SIZES[c] else [c, c + 1]
-    for c in classes:
+    for c in range(c, int(np.searchsorted(SIZES, n * den // num)) + 1):  # its own class to its largest partner's
         top = SIZES[c]
         most = 2 * top * (den - num) // (den + num)                # elements in which two linked sets can differ
         parts = most + 1 + (2 + most // 8 if most else 0)

@@ -29,7 +29,7 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = ("kg mg g t lb lbs oz km cm mm m mi ft yd in l ml dl gal s sec secs ms min mins h hr hrs hours hour minutes minute seconds second days day "
          "weeks week months month years year kb mb gb tb hz khz mhz ghz w kw kwh v a mph kmh usd eur gbp dollars dollar euros euro cents pounds "
          "percent degrees meters metres meter metre kilometers grams gram kilograms liters litres miles mile feet inches")
-_NAME = r"(?<=[\p{L}\p{N},;)]\s)\p{Lu}\p{L}*+"
+_NAME = r"(?<=[\p{L}\p{N},;)]\s)\p{Lu}\p{Ll}\p{L}*+"
 _UNIT = r"(\p{Nd})\s?(" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
 _NUMBER = r"\p{Nd}++(?:[.,]\p{Nd}++)*+"
 _GAP = rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+"
