@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_sources, q_clean, q_features, q_anomaly, q_stats, q_eval, q_ml, q_retrieval  # noqa: F401
+    from . import q_sources, q_clean, q_features, q_anomaly, q_stats, q_eval, q_ml, q_retrieval, q_checks  # noqa: F401
