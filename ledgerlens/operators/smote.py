@@ -257,10 +257,17 @@ def smote(train: DataFrame, features: list[str], label: str = "__label", id_col:
         F.floor(md5_unit(F.col("id"), seed=f"{seed}:base") * n_min).cast("long").alias("code"),
         (F.floor(md5_unit(F.col("id"), seed=f"{seed}:nn") * k_eff) + 1).cast("long").alias("rank"),
         md5_unit(F.col("id"), seed=f"{seed}:step").alias("u"))
-    base = gen.join(dic.select(F.col("value").alias("qid"), "code"), "code") \
-        .join(nn.select("qid", "rank", "nid"), ["qid", "rank"]) \
-        .join(mino.select(F.col("id").alias("qid"), F.col("v").alias("bv")), "qid") \
-        .join(mino.select(F.col("id").alias("nid"), F.col("v").alias("nv")), "nid")
+    # each minority row gets its k neighbours' vectors once (a minority-sized
+    # table); a neighbour at distance 0 is the row's own vector and needs no join,
+    # so the ids that a hot vector's points share are never a join key
+    own = nn.select("qid", "rank", "nid", "dist").join(mino.select(F.col("id").alias("qid"), F.col("v").alias("bv")), "qid")
+    near = (own.where("dist = 0").select("qid", "bv", "rank", F.col("bv").alias("nv"))
+            .unionByName(own.where("dist <> 0").join(mino.select(F.col("id").alias("nid"), F.col("v").alias("nv")), "nid")
+                         .select("qid", "bv", "rank", "nv")))
+    lists = near.groupBy("qid").agg(F.first("bv").alias("bv"), F.array_sort(F.collect_list(F.struct("rank", "nv"))).alias("_near"))
+    coded = dic.select(F.col("value").alias("qid"), "code").join(lists, "qid").select("code", "bv", "_near")
+    # the one join of all draws
+    base = gen.join(coded, "code").withColumn("nv", F.col("_near")[(F.col("rank") - 1).cast("int")]["nv"])
     newv = F.zip_with("bv", "nv", lambda a, b: a + F.col("u") * (b - a))
     out = base.select(newv.alias("_v"))
     return out.select(*[F.col("_v")[i].alias(c) for i, c in enumerate(features)],
