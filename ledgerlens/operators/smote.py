@@ -122,17 +122,29 @@ def _search(queries: DataFrame, cands: DataFrame, k: int, local_limit: int, bloc
     return _knn_blocks(queries, cands, k, m, block)
 
 
+#: Parts a cell of the k-d tree is cut into at each level.
+FAN = 16
+
+
+def _box_distance(u, box):
+    """Distance of a point from a cell's box (rotated coordinates)."""
+    gaps = F.zip_with(F.arrays_zip(u.alias("u"), box["lo"].alias("lo")), box["hi"],
+                      lambda x, hi: F.greatest(F.lit(0.0), x["lo"] - x["u"], x["u"] - hi))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g))
+
+
 def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int) -> DataFrame:
-    """Block search over a k-d partition; every query is also a candidate
+    """Block search over a k-d tree of cells; every query is also a candidate
     (queries are the points of non-hot vectors, all of which are candidates).
 
     Points are rotated by a fixed random orthonormal matrix (distances are
-    unchanged) and split level by level at the median of one rotated
-    coordinate per cell, until cells hold about ``block`` points.  Each
-    (query cell, candidate cell) pair is one bounded ``applyInPandas`` group.
-    Pass 1 searches each query's own cell; its k found points bound the true
-    k-th distance by r, and pass 2 sends each query to every other cell whose
-    bounding box (in rotated coordinates) lies within its own r: exact."""
+    unchanged).  Each level cuts every cell into ``FAN`` parts at quantiles of
+    one rotated coordinate, until cells hold about ``block`` points.  The cuts
+    and the boxes of the cells are tables: points find their cell by a join on
+    it, and nothing of the tree is held by the driver.  Pass 1 searches each
+    query's own cell; the k points found bound its true k-th distance by r.
+    Then a query walks down the tree, to the children whose box lies within
+    its r, and pass 2 searches the cells it reaches: exact."""
     spark = pts.sparkSession
     ensure_checkpoint_dir(spark)
     dim = len(pts.select("v").first()["v"])
@@ -140,37 +152,21 @@ def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int)
     rcols = [F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(float(x)) for x in rot[:, j]]),
                                     lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
              for j in range(dim)]
-    rotated = F.array(*rcols)
-    levels = max(0, math.ceil(math.log2(max(m / block, 1))))
-    cand = pts.withColumn("u", rotated).withColumn("cell", F.lit(0)).checkpoint(eager=True)
-    splits: list[list[float]] = []
-    for lvl in range(levels):
-        coord = F.col("u")[lvl % dim]
-        meds = {r["cell"]: r["med"] for r in
-                cand.groupBy("cell").agg(F.percentile_approx(coord, 0.5, 10_000).alias("med")).collect()}
-        width = 1 << lvl
-        med_arr = [float(meds.get(c, 0.0)) for c in range(width)]
-        splits.append(med_arr)
-        cand = cand.withColumn("cell", F.col("cell") * 2 + (coord > F.element_at(
-            F.array(*[F.lit(x) for x in med_arr]), F.col("cell") + 1)).cast("int"))
-        cand = cand.checkpoint(eager=True)
+    levels = max(0, math.ceil(math.log(max(m / block, 1), FAN)))
+    parts = [i / FAN for i in range(1, FAN)]
 
-    def assign(df):
-        out = df.withColumn("u", rotated).withColumn("cell", F.lit(0))
-        for lvl, med_arr in enumerate(splits):
-            coord = F.col("u")[lvl % dim]
-            out = out.withColumn("cell", F.col("cell") * 2 + (coord > F.element_at(
-                F.array(*[F.lit(x) for x in med_arr]), F.col("cell") + 1)).cast("int"))
-        return out
+    def placed_by(df: DataFrame, cuts: DataFrame, lvl: int) -> DataFrame:
+        coord = F.col("u")[lvl % dim]
+        below = F.size(F.filter("cuts", lambda c: coord > c))
+        return df.join(cuts, "cell").withColumn("cell", F.col("cell") * FAN + below).drop("cuts")
 
-    placed = cand
-    qplaced = assign(queries).checkpoint(eager=True)
-    boxes = {r["cell"]: (np.array(r["lo"]), np.array(r["hi"])) for r in placed.groupBy("cell").agg(
-        *[F.min(F.col("u")[j]).alias(f"l{j}") for j in range(dim)],
-        *[F.max(F.col("u")[j]).alias(f"h{j}") for j in range(dim)]).select(
-        "cell", F.array(*[f"l{j}" for j in range(dim)]).alias("lo"),
-        F.array(*[f"h{j}" for j in range(dim)]).alias("hi")).collect()}   # one row per cell
-    schema = KNN_SCHEMA
+    placed = pts.select("id", "v", F.array(*rcols).alias("u"), F.lit(0).cast("long").alias("cell")).checkpoint(eager=True)
+    qplaced = queries.select("id", "v", F.array(*rcols).alias("u"), F.lit(0).cast("long").alias("cell"))
+    for lvl in range(levels):
+        cuts = placed.groupBy("cell").agg(F.percentile_approx(F.col("u")[lvl % dim], parts, 1000).alias("cuts")).checkpoint(eager=True)
+        placed = placed_by(placed, cuts, lvl).checkpoint(eager=True)
+        qplaced = placed_by(qplaced, cuts, lvl)
+    qplaced = qplaced.checkpoint(eager=True)
 
     def group_knn(pdf):
         q = pdf[pdf["role"] == 0]
@@ -183,52 +179,38 @@ def _knn_blocks(queries: DataFrame, pts: DataFrame, k: int, m: int, block: int)
 
     wq = Window.partitionBy("qid").orderBy("dist", "nid")
 
-    def search(pending: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-        pdf_pairs = spark.createDataFrame(pairs or [(-1, -1)], "qb int, cb int")
-        q = pending.select("id", "v", F.col("cell").alias("qb")).join(F.broadcast(pdf_pairs), "qb") \
-            .select("qb", "cb", "id", "v", F.lit(0).alias("role"))
-        c = placed.select("id", "v", F.col("cell").alias("cb")).join(F.broadcast(pdf_pairs), "cb") \
-            .select("qb", "cb", "id", "v", F.lit(1).alias("role"))
-        local = q.unionByName(c).groupBy("qb", "cb").applyInPandas(group_knn, schema)
-        return local.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
 
-    cells = sorted(boxes)
     # pass 1: own cell (every query's cell holds candidates: queries are candidates)
-    first = search(qplaced, [(c, c) for c in cells]).checkpoint(eager=True)
-    if len(cells) == 1:
+    own = qplaced.select("cell", "id", "v", F.lit(0).alias("role")).unionByName(placed.select("cell", "id", "v", F.lit(1).alias("role")))
+    first = best(own.groupBy("cell").applyInPandas(group_knn, KNN_SCHEMA)).checkpoint(eager=True)
+    if levels == 0:
         return first
     kth = first.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("nk"))
     r = F.when(F.col("nk") >= k, F.sqrt(F.col("rk"))).otherwise(F.lit(math.inf))
-    lo = np.array([boxes[c][0] for c in cells])
-    hi = np.array([boxes[c][1] for c in cells])
-    cell_ids = np.array(cells, dtype=np.int64)
-    bc_boxes = spark.sparkContext.broadcast((lo, hi, cell_ids))      # cells x dim, bounded
-
-    def reach(it):
-        blo, bhi, bids = bc_boxes.value
-        for b in it:
-            if not len(b):
-                continue
-            u = np.array(b["u"].tolist(), dtype=np.float64).reshape(len(b), -1)
-            gap = np.maximum(0.0, np.maximum(blo[None, :, :] - u[:, None, :], u[:, None, :] - bhi[None, :, :]))
-            d = np.sqrt((gap * gap).sum(axis=2))                        # point-to-box distance
-            own = b["cell"].to_numpy(np.int64)
-            # a margin for rounding: the distances are of rotated points
-            qi, cj = np.nonzero((d <= b["r"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12) & (bids[None, :] != own[:, None]))
-            yield pd.DataFrame({"id": b["id"].to_numpy(np.int64)[qi], "qb": own[qi].astype(np.int32),
-                                "cb": bids[cj].astype(np.int32)})
-
-    # each query only visits the cells its own k-th distance can reach
-    need = (qplaced.select(F.col("id").alias("qid"), "cell", "u").join(kth, "qid", "left")
-            .select(F.col("qid").alias("id"), "cell", "u", r.alias("r"))
-            .mapInPandas(reach, "id long, qb int, cb int")).checkpoint(eager=True)
+    reach = (qplaced.select("id", F.col("cell").alias("qb"), "u").join(kth, F.col("id") == F.col("qid"), "left")
+             # a margin for rounding: the distances are of rotated points
+             .select("id", "qb", "u", (F.coalesce(r, F.lit(math.inf)) * (1 + 1e-9) + 1e-12).alias("r"), F.lit(0).cast("long").alias("node")))
+    corners = [f(F.col("u")[j]).alias(f"{n}{j}") for n, f in (("l", F.min), ("h", F.max)) for j in range(dim)]
+    leaf = placed.groupBy("cell").agg(*corners).select(
+        "cell", F.array(*[f"l{j}" for j in range(dim)]).alias("lo"), F.array(*[f"h{j}" for j in range(dim)]).alias("hi")).checkpoint(eager=True)
+    boxes = [leaf]
+    for _ in range(levels - 1):
+        up = boxes[0].withColumn("cell", F.expr(f"cell div {FAN}")).groupBy("cell").agg(
+            *[f(F.col(c)[j]).alias(f"{c}{j}") for c, f in (("lo", F.min), ("hi", F.max)) for j in range(dim)])
+        boxes.insert(0, up.select("cell", F.array(*[f"lo{j}" for j in range(dim)]).alias("lo"),
+                                  F.array(*[f"hi{j}" for j in range(dim)]).alias("hi")))
+    for level in boxes:
+        kids = level.groupBy(F.expr(f"cell div {FAN}").alias("node")).agg(F.collect_list(F.struct("cell", "lo", "hi")).alias("kids"))  # <= FAN
+        reach = (reach.join(kids, "node").select("id", "qb", "u", "r", F.explode("kids").alias("kid"))
+                 .where(_box_distance(F.col("u"), F.col("kid")) <= F.col("r")).select("id", "qb", "u", "r", F.col("kid.cell").alias("node")))
+    need = reach.where("node <> qb").select("id", "qb", F.col("node").alias("cb")).checkpoint(eager=True)
     q = need.join(qplaced.select("id", "v"), "id").select("qb", "cb", "id", "v", F.lit(0).alias("role"))
     c = placed.select("id", "v", F.col("cell").alias("cb")).join(need.select("qb", "cb").distinct(), "cb") \
         .select("qb", "cb", "id", "v", F.lit(1).alias("role"))
-    second = q.unionByName(c).groupBy("qb", "cb").applyInPandas(group_knn, schema) \
-        .withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
-    both = first.unionByName(second)
-    return both.withColumn("rank", F.row_number().over(wq).cast("long")).where(F.col("rank") <= k)
+    second = best(q.unionByName(c).groupBy("qb", "cb").applyInPandas(group_knn, KNN_SCHEMA))
+    return best(first.unionByName(second))
 
 
 def smote(train: DataFrame, features: list[str], label: str = "__label", id_col: str = "__row_id",
