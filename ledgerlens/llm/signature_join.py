@@ -10,11 +10,13 @@
    too many empty parts add a key for each element of their prefix, the usual
    exact filter.)  No link is lost, and a passage that many documents share
    makes no common key unless it fills a part.
-3. In each group a signature tree decides exactly: nodes hold the OR of their
-   members' token bitmaps and the range of sizes; a dual traversal prunes node
-   pairs by the largest possible overlap and pairs that are connected already,
-   and the rest is compared element by element.  Large groups are cut into
-   blocks, see :func:`_verified`.
+3. In each group a signature tree narrows the candidates: nodes hold the OR of
+   their members' token bitmaps and the range of sizes; a dual traversal prunes
+   node pairs by the largest possible overlap, and pairs that are connected
+   already.  Members are compared within size classes only.  What is left is
+   joined to smaller groups.
+4. The texts of those are fetched, and the same traversal compares the pairs
+   that remain element by element.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import store
+from .common import sized, store
 from .components import components
 
 #: Members of a group that one task decides at once.
-BLOCK = 1000
+BLOCK = 4000
 CENTRES = 16
 FAN = 8
 MAP_BYTES = 64 << 20
@@ -89,12 +91,34 @@ def _bounds() -> list[int]:
 SIZES = _bounds()
 
 
+def _class(n: int) -> int:
+    return int(np.searchsorted(SIZES, n))
+
+
+def sketch_bits(c: int) -> int:
+    """Bits of a bitmap in size class ``c``: at least two for each token of its largest sets."""
+    return 1 << max(6, (2 * SIZES[c] - 1).bit_length())
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """The set's bitmap; one of fewer bits is the OR of this one's halves."""
+    out = np.zeros(bits // 64, np.uint64)
+    at = (s >> np.uint64(7)) & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] | bits[len(bits) // 2:]
+    return bits
+
+
 def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The candidate keys of a sorted set, see the module's text."""
     n = len(s)
     keys = []
-    c = int(np.searchsorted(SIZES, n))
-    for c in range(c, int(np.searchsorted(SIZES, n * den // num)) + 1):  # its own class to its largest partner's
+    for c in range(_class(n), _class(n * den // num) + 1):  # its own class to its largest partner's
         top = SIZES[c]
         most = 2 * top * (den - num) // (den + num)                # elements in which two linked sets can differ
         parts = most + 1 + (2 + most // 8 if most else 0)
@@ -110,9 +134,9 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
-def _set_rows(k: int, num: int, den: int, with_keys: bool):
-    fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]
-    schema = pa.schema(fields + [("keys", pa.list_(pa.int64()))] * with_keys)
+def _set_rows(k: int, num: int, den: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
+                        ("lead", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
@@ -122,16 +146,16 @@ def _set_rows(k: int, num: int, den: int, with_keys: bool):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text)
                 h = [int(np.add.reduce(_mix(s + c)).astype(np.int64)) if len(s) else 0 for c in (_C[3], _C[4])]
-                row = (doc_id, len(s), *h)
-                if with_keys:
-                    if (h[0], h[1]) in seen or not len(s) or doc_id is None:
-                        row += ([],)                               # copies that this task has seen add no keys
-                    else:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add((h[0], h[1]))
-                        row += (part_keys(s, num, den),)
-                rows.append(row)
+                if not len(s) or doc_id is None:
+                    rows.append((doc_id, len(s), *h, 0, None, []))
+                    continue
+                keys = []
+                if (h[0], h[1]) not in seen:                        # copies that this task has seen add no keys
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add((h[0], h[1]))
+                    keys = part_keys(s, num, den)
+                rows.append((doc_id, len(s), *h, int(s[0] >> np.uint64(1)), bitmap(s, sketch_bits(_class(len(s)) + 1)).tobytes(), keys))
             cols = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
     return run
@@ -166,36 +190,26 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_links(sets: DataFrame) -> DataFrame:
-    """``a, b``: documents that share a key, each linked to one of them.
+    """``a, b``: sets (by ``h1``) that share a key, each linked to one of them.
 
-    Rows are range-sorted by (key, document): a key held by very many documents
-    is dealt over several partitions, whose pieces are joined by their ends.
+    Rows are range-sorted by (key, set): a key held by very many sets is dealt
+    over several partitions, whose pieces are joined by their ends.
     """
-    rows = sets.select(F.explode("keys").alias("key"), "doc_id")
+    rows = sets.select(F.explode("keys").alias("key"), "h1")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    ordered = rows.repartitionByRange(n, "key", "h1").sortWithinPartitions("key", "h1")
     near = store(ordered.mapInArrow(_adjacent, "a long, b long, key long"), "near")
-    ends = near.where("key is not null")                           # two rows for each partition
-    across = ends.select("key", "a").join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b").select("a", "b")
-    return near.where("key is null").select("a", "b").union(across).distinct()
+    ends = near.where("key is not null").select("key", "a")        # two rows for each partition
+    across = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b").select("a", "b")
+    return near.where("key is null").select("a", "b").union(across)
 
 
 class SignatureTree:
-    """Nodes over members in the order of their sets' smallest hashes (similar
-    sets are neighbours): OR of the bitmaps, sizes, and the largest number of
-    tokens that share a bit."""
+    """A hierarchy over members in the given order (similar ones are
+    neighbours): OR of their bitmaps, the range of their sizes, and the largest
+    number of tokens that share a bit."""
 
-    def __init__(self, sets: list[np.ndarray], order: list[int]):
-        bits = 1 << max(6, int(max((len(s) for s in sets), default=1) * 2 - 1).bit_length())
-        while bits > 4096 and bits // 8 * len(order) > MAP_BYTES:      # fewer bits prune less; the result is the same
-            bits //= 2
-        words = bits // 64
-        self.sets, self.order = sets, order
-        maps = np.zeros((len(order), words), np.uint64)
-        sizes = np.array([len(sets[i]) for i in order], np.int64)
-        for r, i in enumerate(order):
-            pos = (sets[i] >> np.uint64(7)) % np.uint64(bits)
-            np.bitwise_or.at(maps[r], (pos >> np.uint64(6)).astype(np.int64), np.uint64(1) << (pos & np.uint64(63)))
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
         slack = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)
         self.levels = [(maps, sizes, sizes, slack)]
         while len(self.levels[-1][0]) > 1:
@@ -211,10 +225,12 @@ class SignatureTree:
         most = np.minimum(np.minimum(hi[a], hi[b]), shared + np.minimum(slack[a], slack[b]))
         return most * (num + den) >= num * (lo[a] + lo[b])
 
-    def spanning(self, num: int, den: int, native: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links that connect all members that links connect.  With ``native``,
-        pairs of two members that aren't native are left out."""
-        root = list(range(len(self.order)))
+    def spanning(self, num: int, den: int, native: np.ndarray, guest: np.ndarray, same=None) -> list[tuple[int, int]]:
+        """Pairs of members that connect all that the pairs passing the bound
+        (and ``same(i, j)``, if given) connect.  Left out are pairs of two
+        members of other blocks, and of two guests of the size class."""
+        n_members = len(self.levels[0][0])
+        root = list(range(n_members))
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -223,16 +239,14 @@ class SignatureTree:
             return i
 
         out = []
-        top = len(self.levels) - 1
-        todo = [(top, 0, np.zeros(1, np.int64))] if self.order else []
+        todo = [(len(self.levels) - 1, 0, np.zeros(1, np.int64))] if n_members else []
         while todo:
             level, a, near = todo.pop()
             if level == 0:
                 for b in near.tolist():
-                    if a < b and find(a) != find(b) and (native is None or native[a] or native[b]):
-                        if links(self.sets[self.order[a]], self.sets[self.order[b]], num, den):
-                            root[find(b)] = find(a)
-                            out.append((self.order[a], self.order[b]))
+                    if a < b and (native[a] or native[b]) and not (guest[a] and guest[b]) and find(a) != find(b) and (same is None or same(a, b)):
+                        root[find(b)] = find(a)
+                        out.append((a, b))
                 continue
             n = len(self.levels[level - 1][0])
             below = (near[:, None] * FAN + np.arange(FAN)).ravel()
@@ -246,45 +260,76 @@ class SignatureTree:
         return out
 
 
-def _decide(k: int, num: int, den: int):
-    """Verified links of one block: ``a, b`` with a > b."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(ids: list[int], found: list[tuple[int, int]]) -> pa.Table:
+    pairs = sorted({(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in found if ids[i] != ids[j]})
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}, schema=_PAIR)
+
 
+def _order(sizes: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Sets of like size, and among them those with one smallest hash, are neighbours."""
+    return np.lexsort((sizes, lead, np.log2(np.maximum(sizes, 1)) // 0.25))
+
+
+def _bounded(num: int, den: int):
+    """Step 3 for one block: pairs that the bitmaps do not rule out."""
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("n_shingles").to_numpy()
+        blobs = table.column("sketch").to_pylist()
+        words = min(sketch_bits(table.column("size_class")[0].as_py()) // 64, min(map(len, blobs)) // 8)
+        order = _order(sizes, table.column("lead").to_numpy())
+        maps = np.stack([folded(np.frombuffer(blobs[i], np.uint64), words) for i in order])
+        native, guest = (np.array(table.column(c).to_pylist(), bool)[order] for c in ("native", "guest"))
+        ids = table.column("doc_id").to_pylist()
+        return _pairs([ids[i] for i in order], SignatureTree(maps, sizes[order]).spanning(num, den, native, guest))
+    return run
+
+
+def _exact(k: int, num: int, den: int):
+    """Step 4 for one block: links found by comparing sets."""
     def run(table: pa.Table) -> pa.Table:
         shingles = Shingles(k)
-        ids, native = table.column("doc_id").to_pylist(), np.array(table.column("native").to_pylist(), bool)
         sets = [shingles(t) for t in table.column("text").to_pylist()]
-        order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (sets[i][0], len(sets[i]), ids[i]))
-        tree = SignatureTree(sets, order)
-        found = tree.spanning(num, den, native[order] if len(order) else None)
-        pairs = sorted({(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in found if ids[i] != ids[j]})
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}, schema=schema)
+        ids, native = table.column("doc_id").to_pylist(), table.column("native").to_pylist()
+        keep = [i for i, s in enumerate(sets) if len(s)]
+        if not keep:
+            return _pairs([], [])
+        sizes = np.array([len(sets[i]) for i in keep])
+        keep = [keep[i] for i in _order(sizes, np.array([sets[i][0] for i in keep]))]
+        sizes = np.array([len(sets[i]) for i in keep])
+        bits = sketch_bits(_class(int(sizes.max())))
+        while bits > 4096 and bits // 8 * len(keep) > MAP_BYTES:           # fewer bits prune less; the result is the same
+            bits //= 2
+        tree = SignatureTree(np.stack([bitmap(sets[i], bits) for i in keep]), sizes)
+        found = tree.spanning(num, den, np.array([native[i] for i in keep]), np.zeros(len(keep), bool), lambda i, j: links(sets[keep[i]], sets[keep[j]], num, den))
+        return _pairs([ids[i] for i in keep], found)
     return run
 
 
-def _verified(texts: DataFrame, members: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
-    """Exact links that connect each group ``(doc_id, grp, members)``.
+def _connected(members: DataFrame, payload: DataFrame, decide, block: int, on: list[str]) -> DataFrame:
+    """Pairs that connect what ``decide`` connects in each group ``(doc_id, grp, members)``.
 
-    A group of up to ``block`` members is one task.  A larger one is cut into
-    blocks by hash; in the first round each block is decided together with
+    A group of up to ``block`` members (and 2,000 shingles for each) is one
+    task.  A larger one is cut into blocks by hash; in the first round each block is decided together with
     about ``CENTRES`` members of the whole group (which connects most copies of
     one text).  In the second, the members that are not in the group's largest
     component by then are sent to all its blocks, so that every pair that is
     still apart meets; members of that component need not be compared again.
     """
-    schema = "a long, b long"
-    rows = members.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    rows = members.withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / (2000 * block))).cast("int"))
     rows = store(rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int")), "blocks")
     all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     centre = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("members")) < CENTRES)
+    extra = [c for c in members.columns if c not in ("doc_id", "grp", "members", "shingles")]
 
-    def decide(sent: DataFrame) -> DataFrame:
-        sent = sent.select("grp", "doc_id", "own", F.explode("to").alias("at"))
-        # the light side is hashed; each text moves once for each block that it is sent to
-        full = texts.join(sent.hint("shuffle_hash"), "doc_id").select("grp", "at", "doc_id", "text", (F.col("at") == F.col("own")).alias("native"))
-        return full.groupBy("grp", "at").applyInArrow(_decide(k, num, den), schema)
+    def decided(sent: DataFrame) -> DataFrame:
+        sent = store(sent.select("grp", "doc_id", "own", *extra, F.explode("to").alias("at")), "sent")
+        full = payload.join(sized(sent), on).withColumn("native", F.col("at") == F.col("own"))
+        return store(full.groupBy("grp", "at").applyInArrow(decide, "a long, b long"), "pairs")
 
-    first = store(decide(rows.withColumn("to", F.when(centre, all_blocks).otherwise(F.array("own")))), "verified")
+    first = decided(rows.withColumn("to", F.when(centre, all_blocks).otherwise(F.array("own"))))
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return first
@@ -293,8 +338,27 @@ def _verified(texts: DataFrame, members: DataFrame, k: int, num: int, den: int,
     sizes = placed.groupBy("grp", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", F.col("part"))).alias("main"))
     again = (placed.join(main, "grp").withColumn("to", F.when(F.col("part") == F.col("main"), F.array("own")).otherwise(all_blocks))
-             .select("grp", "doc_id", "own", "to"))
-    return first.union(store(decide(again), "verified"))
+             .select(*rows.columns, "to"))
+    return first.union(decided(again))
+
+
+def _counted(grouped: DataFrame) -> DataFrame:
+    """With each group's members and shingles; groups of one are left out."""
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).where("members > 1")
+    return grouped.join(sizes, "grp")
+
+
+def _in_classes(grouped: DataFrame, num: int, den: int) -> DataFrame:
+    """Groups cut by size class.  A set whose partners can be in higher classes
+    is a guest there, as in :func:`part_keys`."""
+    def class_of(n):
+        return F.aggregate(F.array(*[F.lit(x) for x in SIZES]), F.lit(0), lambda acc, x: acc + F.when(n > x, 1).otherwise(0))
+
+    n = F.col("n_shingles")
+    own = grouped.withColumn("first_class", class_of(n)).withColumn("last_class", class_of(F.floor(n * den / num)))
+    cut = own.select("doc_id", "n_shingles", "grp", "first_class", F.explode(F.sequence("first_class", "last_class")).alias("size_class"))
+    return _counted(cut.select("doc_id", "n_shingles", F.xxhash64("grp", "size_class").alias("grp"), "size_class",
+                               (F.col("size_class") > F.col("first_class")).alias("guest")))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
@@ -310,20 +374,35 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     component.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = store(texts.mapInArrow(_set_rows(k, num, den, True), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "sets")
+    sets = store(texts.mapInArrow(_set_rows(k, num, den), "doc_id long, n_shingles long, h1 long, h2 long, lead long, sketch binary, "
+                                                          "keys array<long>"), "sets")
     real = sets.where("n_shingles > 0 and doc_id is not null")
-    same = real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("b"))
-    copies = store(real.select("doc_id", "n_shingles", "h1", "h2").join(same, ["n_shingles", "h1", "h2"])
-                   .select(F.col("doc_id").alias("a"), "b"), "copies")
-    near = components(_candidate_links(real).union(copies.where("a <> b")))
-    firsts = copies.select(F.col("b").alias("doc_id")).distinct()     # one document for each set
-    grouped = firsts.join(near, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    members = grouped.join(sizes, "grp")
-    exact = _verified(texts, members, k, num, den, block)
-    final = components(exact.union(copies.where("a <> b")))
-    return (sets.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    # one document stands for each set; copies of it take part in nothing but the last join
+    firsts = store(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("lead").alias("lead"),
+                                                              F.first("sketch").alias("sketch")), "firsts")
+    near = components(_candidate_links(real))
+    grouped = firsts.join(near, F.col("h1") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("grp"))
+    sketches = firsts.select("doc_id", "n_shingles", "lead", "sketch")
+    bounded = components(_connected(_in_classes(grouped, num, den), sketches, _bounded(num, den), block, ["doc_id", "n_shingles"]))
+    members = firsts.join(bounded, F.col("doc_id") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("grp"))
+    exact = _connected(_counted(members).drop("n_shingles"), texts, _exact(k, num, den), block, ["doc_id"])
+    # a repeated id is one node, so its sets are linked through it
+    final = store(components(exact.union(_repeated_ids(real, firsts))), "final")
+    named = firsts.join(final, F.col("doc_id") == F.col("node"), "left").select(
+        F.col("n_shingles").alias("n"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component", "doc_id").alias("of_set"))
+    out = sets.select("doc_id", "n_shingles", "h1", "h2").join(
+        named, (F.col("n_shingles") == F.col("n")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _repeated_ids(real: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links between the documents that stand for the different sets of one id."""
+    ids = store(real.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id"), "repeated")
+    several = real.select("doc_id", "n_shingles", "h1", "h2").join(sized(ids), "doc_id").distinct()
+    keyed = firsts.select("n_shingles", "h1", "h2", F.col("doc_id").alias("rep"))
+    a = several.join(keyed, ["n_shingles", "h1", "h2"]).select("doc_id", F.col("rep").alias("a"))
+    return a.groupBy("doc_id").agg(F.min("a").alias("b")).join(a, "doc_id").where("a <> b").select("a", "b")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -331,4 +410,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with null ids stay; all columns stay as they are."""
     drop = (jaccard_groups(docs, id_col=id_col, text_col=text_col, **how).where("component_id <> doc_id")
             .select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(store(drop, "drop").hint("shuffle_hash"), F.col(id_col) == F.col("__drop"), "left_anti")
+    return docs.join(sized(store(drop, "drop")), F.col(id_col) == F.col("__drop"), "left_anti")
