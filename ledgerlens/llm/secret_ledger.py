@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import store
+from .common import BROADCAST_ROWS, sized, store
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-SPAN = "struct<start:long,rank:int,kind:string,end:long>"
+SPAN = "struct<start:long,rank:int,kind:string,end:long,version:int>"
 
 
 def _blob(text: str) -> F.Column:
@@ -67,20 +67,21 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     found = found.where(" or ".join(f"size(m_{i}) > 0" for i in range(len(rules))))
     hits = found.select("blob", F.explode(F.array(*(
         F.when(F.size(f"m_{i}") > 0, F.struct(
-            F.lit(i).alias("rank"), F.lit(r.kind).alias("kind"),
+            F.lit(i).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"),
             F.transform(F.split("text", r.pattern, -1), F.length).alias("gaps"), F.col(f"m_{i}").alias("matches")))
-        for i, r in enumerate(rules)))).alias("h")).where("h is not null")
-    each = hits.select("blob", "h.rank", "h.kind", F.posexplode(F.arrays_zip(
+        for i, r in enumerate(rules)))).alias("h")).where("h is not null").withColumn("rank", F.col("h.rank"))
+    hits = hits.dropDuplicates(["blob", "rank"])          # a row that is repeated whole brings its blob twice
+    each = hits.select("blob", "rank", "h.kind", "h.version", F.posexplode(F.arrays_zip(
         F.slice("h.gaps", 1, F.size("h.matches")).alias("gap"), F.col("h.matches").alias("text"))).alias("n", "x"))
     run = Window.partitionBy("blob", "rank").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.select("blob", "rank", "kind", F.col("x.text").alias("text"),
+    placed = each.select("blob", "rank", "kind", "version", F.col("x.text").alias("text"),
                          F.sum(F.col("x.gap") + F.length("x.text")).over(run).alias("end"))
     keeps = F.lit(False)
     for i, r in enumerate(rules):
         keeps = keeps | ((F.col("rank") == i) & (F.length(F.regexp_extract("text", r.pattern, r.group)) >= r.least))
     return (placed.where(keeps)
             .groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(
-                (F.col("end") - F.length("text")).cast("long").alias("start"), "rank", "kind", F.col("end").cast("long").alias("end")))).alias("spans")))
+                (F.col("end") - F.length("text")).cast("long").alias("start"), "rank", "kind", F.col("end").cast("long").alias("end"), "version"))).alias("spans")))
 
 
 def scan(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, id_col: str = "doc_id",
@@ -118,8 +119,11 @@ def scan(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, id_col:
                .select("blob", F.array_except(keys, "done").alias("done"),
                        F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")))
     known = ledger.select("blob", "spans").where(F.size("spans") > 0).union(spans)
-    known = known.select("blob", F.explode("spans").alias("s")).where(F.col("s.kind").isin([r.kind for r in rules]))
-    known = known.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    # findings of the given rule versions only, ranked by their order here
+    place = F.array_position(keys, F.concat_ws("@", "s.kind", "s.version")).cast("int")
+    known = known.select("blob", F.explode("spans").alias("s")).where(place > 0)
+    known = known.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(
+        "s.start", (place - 1).alias("rank"), "s.kind", "s.end", "s.version"))).alias("spans"))
     found = (paths.join(known, "blob", "left")
              .select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")))
     return found, entries
@@ -132,15 +136,17 @@ def joined(spans, base: bool = False) -> F.Column:
     return F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, paths: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, paths: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of its text replaced by ``mark``; overlapping
-    spans are one.  Rows are matched by id and content address, so versions of
+    spans are one.  Rows are matched by content address alone, so versions of
     one id keep their own spans.  All columns of ``docs`` stay as they are."""
     t = F.col(text_col)
-    spans = (paths.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"))
-             .agg(F.first("spans").alias("__spans")))
-    rows = docs.withColumn("__address", _blob(text_col)).join(
-        spans, (F.col(id_col) == F.col("__id")) & (F.col("__address") == F.col("__blob")), "left")
+    spans = store(paths.where(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob"))
+                  .agg(F.first("spans").alias("__spans")), "blob-spans")
+    held = spans.agg(F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()[0]
+    # texts stay where they are as long as all spans together are few
+    spans = sized(spans) if held <= BROADCAST_ROWS else spans.hint("shuffle_hash")
+    rows = docs.withColumn("__address", _blob(text_col)).join(spans, F.col("__address") == F.col("__blob"), "left")
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     cut = F.aggregate("__spans", state, lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
         s["end"].alias("at"),

@@ -71,9 +71,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """``doc_id, item_id, kind, matched, item_tokens, share``: a row for each
     document and benchmark item that it holds.
 
-    ``kind`` is ``exact`` if at least half of the item's tokens agree with their
-    values, ``reparameterised`` if at least 80 % agree as a template and the
-    slots map consistently.  Items of fewer than 9 tokens must agree wholly.
+    ``kind`` is ``reparameterised`` if at least 80 % of the item's tokens agree as
+    a template, the slots map consistently and some have other values; else
+    ``exact`` if at least half of the tokens agree with their values.  Items of fewer than 9 tokens must agree wholly.
     Items of fewer than 3 tokens, null or empty items and texts match nothing;
     neither do null ids.  A window needs k // 2 literal tokens to name an
     alignment, so an item of little else than placeholders is not found.  Repeated documents and items give one row; versions
@@ -118,8 +118,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     brief = F.col("m") < 2 * k - 1
     exact = F.col("exact") >= F.when(brief, F.col("m")).otherwise(EXACT_SHARE * F.col("m"))
     template = consistent & (F.col("template") >= F.when(brief, F.col("m")).otherwise(TEMPLATE_SHARE * F.col("m")))
-    found = per.select("row_id", "item_id", "m", F.when(exact, "exact").when(template, "reparameterised").alias("kind"),
-                       F.when(exact, F.col("exact")).otherwise(F.col("template")).alias("matched")).where("kind is not null")
+    other_values = template & (F.col("exact") < F.col("template"))
+    found = per.select("row_id", "item_id", "m", F.when(other_values, "reparameterised").when(exact, "exact").alias("kind"),
+                       F.when(other_values, F.col("template")).otherwise(F.col("exact")).alias("matched")).where("kind is not null")
     best = found.groupBy("row_id", "item_id").agg(F.min_by(F.struct("kind", "matched", "m"), F.struct("kind", -F.col("matched"), "m")).alias("b"))
     return best.select(F.col("row_id").alias("doc_id"), "item_id", "b.kind", F.col("b.matched").cast("long").alias("matched"),
                        F.col("b.m").cast("long").alias("item_tokens"), (F.col("b.matched") / F.col("b.m")).alias("share"))

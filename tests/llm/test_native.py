@@ -85,7 +85,7 @@ SECRETS = [
     (4, "deadbeefdeadbeef0 deadbeef " + "0123456789abcdef" * 3), (5, "secret==abcdefghijkl= passwd:'0123456789abcdef0'"), (6, None), (7, ""),
     (8, "token = " + "a" * 12 + " token = " + "b" * 11), (9, "password = token: abcdefghijklmnop"), (9, "changed, no finding"), (None, "secret: abcdefabcdefabcd"),
     (10, "-----BEGIN RSA PRIVATE KEY----- x ghp_" + "a1" * 20 + " postgres://me:pass@host"), (11, "hex " + "ab" * 8 + " " + "word " * 40_000 + "cd" * 8),
-    (12, "Tokenization: secretary token-count"), (13, "ſecret=abcdefghijklmnop TOKEN\x20\x20:\x20\x20\"Abcdefghijkl\"")]
+    (12, "Tokenization: secretary token-count"), (14, "x secret: abcdefabcdefabcdefab y"), (14, "x secret: abcdefabcdefabcdefab y"), (13, "ſecret=abcdefghijklmnop TOKEN\x20\x20:\x20\x20\"Abcdefghijkl\"")]
 
 
 def test_secret_spans(spark):
@@ -115,6 +115,9 @@ def test_ledger_scans_only_what_is_unseen(spark):
     fresh, _ = L.scan(both, newer)
     text = lambda df: sorted((str(r["doc_id"]), r["s"]) for r in df.select("doc_id", L.joined("spans").alias("s")).collect())
     assert text(paths) == text(fresh)
+    third = (*L.BASE_RULES[:2], L.Rule("hex", 2, "[0-9a-f]{40,}", 0, 40))      # a new version replaces the old one's findings
+    later, _ = L.scan(both, third, ledger)
+    assert text(later) == text(L.scan(both, third)[0]) != text(fresh)
     again, nothing = L.scan(both, newer, ledger.unionByName(entries))
     assert nothing.count() == 0 and text(again) == text(fresh)
 
