@@ -143,8 +143,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_site_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = site_quality.classify(docs, read(spark, sf_dir, "labels"))
+    out = site_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), carry=["doc_id"])
     return out.where("kept").select("doc_id", "p_good", "p_toxic", "rate_good", "rate_toxic", "kept")
 
 

@@ -20,15 +20,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, store
+from .common import map_rows, release, slices, store
 
-#: Labelled rows that the model is fitted on, at most: half choose the word families, half fit the weights.
+#: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 16384
 FAMILIES = 1024
-MIN_SUPPORT = 6
+MIN_SUPPORT = 4
+MIN_Z = 3.5
 PREFIXES = (4, 5, 6, 7)
 N_FEATURES = 12
-_WORDS = 300_000
+_WORDS = 100_000
 
 
 def units(word: str) -> list[str]:
@@ -120,18 +121,44 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarr
 
 
 def _family_counts(batches):
-    """For each batch: documents and toxic documents by family (pre-aggregated)."""
-    schema = pa.schema([("unit", pa.string()), ("n", pa.int64()), ("t", pa.int64())])
-    for batch in batches:
-        n: dict[str, int] = {}
-        t: dict[str, int] = {}
-        for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-            for u in {u for w in set(text.split()) for u in units(_bare(w))}:
+    """For each batch: documents and toxic documents by family and fold (pre-aggregated)."""
+    schema = pa.schema([("unit", pa.string()), ("fold", pa.int32()), ("n", pa.int64()), ("t", pa.int64())])
+    for batch in slices(batches):
+        n: dict[tuple, int] = {}
+        t: dict[tuple, int] = {}
+        for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+            for u in {(u, fold) for w in set(text.split()) for u in units(_bare(w))}:
                 n[u] = n.get(u, 0) + 1
                 if toxic:
                     t[u] = t.get(u, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()),
-                                          pa.array([t.get(u, 0) for u in n], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in n], pa.string()), pa.array([u[1] for u in n], pa.int32()),
+                                          pa.array(list(n.values()), pa.int64()), pa.array([t.get(u, 0) for u in n], pa.int64())], schema=schema)
+
+
+def _families(rows: DataFrame) -> dict[str, dict[str, float]]:
+    """Word families that tell toxic texts, by fold (``0``, ``1`` and ``all``),
+    with their log odds; at most ``FAMILIES`` each."""
+    totals = {x["fold"]: (x["n"], x["t"]) for x in rows.groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("t")).collect()}
+    totals["all"] = tuple(sum(v[i] for v in totals.values()) for i in (0, 1))
+    counts = rows.select("text", F.col("toxic") == 1, "fold").mapInArrow(_family_counts, "unit string, fold int, n long, t long")
+    counts = store(counts.where(F.length("unit") > 1).groupBy("unit").agg(
+        F.sum("n").alias("n_all"), F.sum("t").alias("t_all"),
+        *(F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}_{f}") for f in (0, 1) for c in ("n", "t")))
+        .where(F.col("t_all") >= MIN_SUPPORT), "families")
+    out = {}
+    for fold, (docs, toxic) in totals.items():
+        out[str(fold)] = {}
+        if not 0 < toxic < docs:
+            continue
+        n, t = F.col(f"n_{fold}"), F.col(f"t_{fold}")
+        odds = F.log((t + 0.5) / (toxic + 1)) - F.log((n - t + 0.5) / (docs - toxic + 1))
+        expect = n * (toxic / docs)
+        z = (t - expect) / F.sqrt(expect + 1)
+        best = (counts.where(t >= MIN_SUPPORT).select("unit", odds.alias("odds"), z.alias("z"))
+                .where((F.col("odds") >= 1.5) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "unit").limit(FAMILIES))
+        out[str(fold)] = {x["unit"]: float(x["odds"]) for x in best.collect()}
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -146,25 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = lab.orderBy(F.xxhash64("lid"), "lid").limit(sample_rows)              # two integers and an id: bounded
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0")
     rows = store(rows.join(F.broadcast(chosen), F.col("id") == F.col("lid"))
-                 .select("text", "good", "toxic", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0).alias("for_words")), "quality-sample")
-    model = Model()
-    words = rows.where("for_words")
-    n_all, n_toxic = words.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    if 0 < n_toxic < n_all:
-        counts = words.select("text", F.col("toxic") == 1).mapInArrow(_family_counts, "unit string, n long, t long")
-        counts = counts.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-        odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n_all - n_toxic + 1))
-        expect = F.col("n") * (n_toxic / n_all)
-        z = (F.col("t") - expect) / F.sqrt(expect + 1)
-        best = (counts.where((F.length("unit") > 1) & (F.col("t") >= MIN_SUPPORT)).select("unit", odds.alias("odds"), z.alias("z"))
-                .where("odds >= 1.5 and z >= 4").orderBy(F.desc("z"), "unit").limit(FAMILIES))
-        model.toxic = {r["unit"]: float(r["odds"]) for r in best.collect()}        # at most FAMILIES rows
+                 .select("text", "good", "toxic", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("fold")), "quality-sample")
+    families = _families(rows)
+    model = Model(toxic=families["all"])
 
     def make():
-        feats = Featurizer(model.toxic)
-        return lambda text, good, toxic: (feats(text).tolist(), int(good == 1), int(toxic == 1))
+        # a row's features come from the families of the other half, so that the weights are honest
+        feats = {f: Featurizer(families.get(str(1 - f), {})) for f in (0, 1)}
+        return lambda text, good, toxic, fold: (feats[fold](text).tolist(), int(good == 1), int(toxic == 1))
 
-    fitted = map_rows(rows.where("not for_words").select("text", "good", "toxic"), make, "x array<double>, good int, toxic int").collect()
+    fitted = map_rows(rows.select("text", "good", "toxic", "fold"), make, "x array<double>, good int, toxic int").collect()
     if fitted:                                                                     # at most sample_rows short rows
         x = np.array([r["x"] for r in fitted])
         model.center, model.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
@@ -208,8 +226,10 @@ def _logit_col(p):
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-             path_col: str = "lang", threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with ``p_good``, ``p_toxic``, their path's rates and ``kept``.
+             path_col: str = "lang", threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with ``p_good``, ``p_toxic``, their
+    path's rates and ``kept``.  Texts are read twice, for the site rates and for
+    the rows themselves; without the text in ``carry``, once.
 
     ``kept`` is p_good >= threshold and p_toxic < threshold.  A null or empty
     text has no evidence, so its path's rates decide.  Null hosts and paths are
@@ -226,18 +246,23 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             x = [feats(t) if t else None for t in batch]
             yield pd.DataFrame({"good": [0.0 if v is None else model.evidence(v, "good") for v in x],
                                 "toxic": [0.0 if v is None else model.evidence(v, "toxic") for v in x]})
+        release()
 
-    udf = F.pandas_udf(scored, "good double, toxic double")
+    # not to be copied by the optimizer: each row is evaluated once in a pass
+    udf = F.pandas_udf(scored, "good double, toxic double").asNondeterministic()
     host, path = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit(""))
-    own = [c for c in docs.columns if c not in ("p_good", "p_toxic", "rate_good", "rate_toxic", "kept")]
-    ev = docs.select(*own, udf(F.col(text_col)).alias("__ev")).select(
-        *own, host.alias("__host"), path.alias("__path"), F.col("__ev.good").alias("ev_good__"), F.col("__ev.toxic").alias("ev_toxic__"))
-    light = store(ev.select(F.col("__host").alias("host"), F.col("__path").alias("path"),
-                            F.col("ev_good__").alias("ev_good"), F.col("ev_toxic__").alias("ev_toxic")), "evidence")
+    own = [c for c in (carry or docs.columns) if c not in ("p_good", "p_toxic", "rate_good", "rate_toxic", "kept")]
+    ev = docs.select(*own, host.alias("__host"), path.alias("__path"), udf(F.col(text_col)).alias("__ev"))
+    if text_col in own:
+        light = store(ev.select("__host", "__path", "__ev"), "evidence")
+    else:
+        light = ev = store(ev, "evidence")
+    light = light.select(F.col("__host").alias("host"), F.col("__path").alias("path"),
+                         F.col("__ev.good").alias("ev_good"), F.col("__ev.toxic").alias("ev_toxic"))
     rates = store(_shrunk(light, "good", base_good).join(_shrunk(light, "toxic", base_toxic), ["host", "path"])
                   .withColumnsRenamed({"host": "__site", "path": "__site_path"}), "rates")
     out = ev.join(rates, (F.col("__host") == F.col("__site")) & (F.col("__path") == F.col("__site_path")))
-    p_good = 1 / (1 + F.exp(-(F.col("ev_good__") + _logit_col(F.col("rate_good")))))
-    p_toxic = 1 / (1 + F.exp(-(F.col("ev_toxic__") + _logit_col(F.col("rate_toxic")))))
+    p_good = 1 / (1 + F.exp(-(F.col("__ev.good") + _logit_col(F.col("rate_good")))))
+    p_toxic = 1 / (1 + F.exp(-(F.col("__ev.toxic") + _logit_col(F.col("rate_toxic")))))
     return (out.select(*own, p_good.alias("p_good"), p_toxic.alias("p_toxic"), "rate_good", "rate_toxic")
             .withColumn("kept", (F.col("p_good") >= threshold) & (F.col("p_toxic") < threshold)))
