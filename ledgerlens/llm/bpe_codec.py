@@ -27,8 +27,8 @@ WINDOW = 16
 #: A cut follows where this many bits of the mixed window hash are 0: chunks of 512 bytes on average.
 CUT_BITS = 9
 #: Cache bounds of a worker.
-CHUNK_CACHE_BYTES = 48 << 20
-WORD_CACHE = 400_000
+CHUNK_CACHE_BYTES = 24 << 20
+WORD_CACHE = 200_000
 WORD_CHARS = 128
 _GEAR = np.random.default_rng(7).integers(1, 1 << 32, 256, dtype=np.uint32)
 

@@ -3,6 +3,8 @@ cluster's shared folder, and per-batch mapping of rows in Arrow tasks."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 
 
+#: Rows of an Arrow batch, at most.  Spark's default of 10,000 texts has no bound in
+#: bytes that suits executors; the session's setting is lowered, never raised.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
@@ -19,6 +32,7 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     read by column, and carries its real size into the planner's join choice.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, f"llm-{tag}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,6 +59,23 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, so that few texts are held twice.  At the end
+    the worker, which goes on to serve other tasks, gives its free memory back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """One output row for each input row, computed in Arrow tasks.
 
@@ -53,13 +84,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     returns the output values.
     """
     spark: SparkSession = df.sparkSession
+    bound_batches(spark)
     empty = spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
     out = to_arrow_schema(empty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [fn(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
             cols = list(zip(*rows)) if rows else [()] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types)], schema=out)

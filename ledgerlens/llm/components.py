@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, store
+from .common import discard, release, store
 
 #: Links that a task holds before it contracts them.
 HELD = 500_000
@@ -59,6 +59,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = forest(np.concatenate([a, *(h[0] for h in held)]), np.concatenate([b, *(h[1] for h in held)]))
     yield out(a, b)
+    release()
 
 
 def _stars(e: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized, store
+from .common import release, sized, slices, store
 from .components import components
 
 #: Members of a group that one task decides at once.
@@ -36,7 +36,7 @@ CENTRES = 16
 FAN = 8
 MAP_BYTES = 64 << 20
 SIZE_STEP = 1.6
-_WORDS = 400_000
+_WORDS = 100_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                              0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -141,7 +141,7 @@ def _set_rows(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         seen: set = set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(text)
@@ -151,7 +151,7 @@ def _set_rows(k: int, num: int, den: int):
                     continue
                 keys = []
                 if (h[0], h[1]) not in seen:                        # copies that this task has seen add no keys
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add((h[0], h[1]))
                     keys = part_keys(s, num, den)
@@ -304,21 +304,25 @@ def _exact(k: int, num: int, den: int):
             bits //= 2
         tree = SignatureTree(np.stack([bitmap(sets[i], bits) for i in keep]), sizes)
         found = tree.spanning(num, den, np.array([native[i] for i in keep]), np.zeros(len(keep), bool), lambda i, j: links(sets[keep[i]], sets[keep[j]], num, den))
-        return _pairs([ids[i] for i in keep], found)
+        named = _pairs([ids[i] for i in keep], found)
+        if len(sets) > 200:
+            del sets, tree
+            release()
+        return named
     return run
 
 
 def _connected(members: DataFrame, payload: DataFrame, decide, block: int, on: list[str]) -> DataFrame:
     """Pairs that connect what ``decide`` connects in each group ``(doc_id, grp, members)``.
 
-    A group of up to ``block`` members (and 2,000 shingles for each) is one
+    A group of up to ``block`` members (and 500 shingles for each) is one
     task.  A larger one is cut into blocks by hash; in the first round each block is decided together with
     about ``CENTRES`` members of the whole group (which connects most copies of
     one text).  In the second, the members that are not in the group's largest
     component by then are sent to all its blocks, so that every pair that is
     still apart meets; members of that component need not be compared again.
     """
-    rows = members.withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / (2000 * block))).cast("int"))
+    rows = members.withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / (500 * block))).cast("int"))
     rows = store(rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int")), "blocks")
     all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     centre = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("members")) < CENTRES)
