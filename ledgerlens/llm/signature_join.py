@@ -21,6 +21,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,14 +210,21 @@ class SignatureTree:
     neighbours): OR of their bitmaps, the range of their sizes, and the largest
     number of tokens that share a bit."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, native: np.ndarray):
         slack = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)
         self.levels = [(maps, sizes, sizes, slack)]
+        self.sides = [(native, ~native)]                           # nodes with a native, and with another
         while len(self.levels[-1][0]) > 1:
             m, lo, hi, sl = self.levels[-1]
             cut = np.arange(0, len(m), FAN)
             self.levels.append((np.bitwise_or.reduceat(m, cut, axis=0), np.minimum.reduceat(lo, cut),
                                 np.maximum.reduceat(hi, cut), np.maximum.reduceat(sl, cut)))
+            self.sides.append(tuple(np.logical_or.reduceat(x, cut) for x in self.sides[-1]))
+
+    def meet(self, level: int, a: int, b: np.ndarray, cross: bool) -> np.ndarray:
+        """Which nodes of ``b`` hold members to be compared with some of node ``a``."""
+        native, other = self.sides[level]
+        return (native[a] & other[b]) | (other[a] & native[b]) | ((native[a] & native[b]) & (not cross))
 
     def possible(self, level: int, a: int, b: np.ndarray, num: int, den: int) -> np.ndarray:
         """Which nodes of ``b`` could hold a partner of a member of node ``a``."""
@@ -225,7 +233,7 @@ class SignatureTree:
         most = np.minimum(np.minimum(hi[a], hi[b]), shared + np.minimum(slack[a], slack[b]))
         return most * (num + den) >= num * (lo[a] + lo[b])
 
-    def spanning(self, num: int, den: int, native: np.ndarray, guest: np.ndarray, same=None) -> list[tuple[int, int]]:
+    def spanning(self, num: int, den: int, guest: np.ndarray, same=None, cross: bool = False) -> list[tuple[int, int]]:
         """Pairs of members that connect all that the pairs passing the bound
         (and ``same(i, j)``, if given) connect.  Left out are pairs of two
         members of other blocks, and of two guests of the size class."""
@@ -244,7 +252,7 @@ class SignatureTree:
             level, a, near = todo.pop()
             if level == 0:
                 for b in near.tolist():
-                    if a < b and (native[a] or native[b]) and not (guest[a] and guest[b]) and find(a) != find(b) and (same is None or same(a, b)):
+                    if a < b and not (guest[a] and guest[b]) and find(a) != find(b) and (same is None or same(a, b)):
                         root[find(b)] = find(a)
                         out.append((a, b))
                 continue
@@ -253,6 +261,7 @@ class SignatureTree:
             below = below[below < n]
             for child in range(a * FAN, min(n, (a + 1) * FAN)):
                 others = below[below >= child]
+                others = others[self.meet(level - 1, child, others, cross)]
                 if len(others):
                     fit = others[self.possible(level - 1, child, others, num, den)]
                     if len(fit):
@@ -268,9 +277,9 @@ def _pairs(ids: list[int], found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}, schema=_PAIR)
 
 
-def _order(sizes: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """Sets of like size, and among them those with one smallest hash, are neighbours."""
-    return np.lexsort((sizes, lead, np.log2(np.maximum(sizes, 1)) // 0.25))
+def _order(sizes: np.ndarray, lead: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Sets of one side, of like size, and among them those with one smallest hash, are neighbours."""
+    return np.lexsort((sizes, lead, np.log2(np.maximum(sizes, 1)) // 0.25, side))
 
 
 def _bounded(num: int, den: int):
@@ -279,11 +288,12 @@ def _bounded(num: int, den: int):
         sizes = table.column("n_shingles").to_numpy()
         blobs = table.column("sketch").to_pylist()
         words = min(sketch_bits(table.column("size_class")[0].as_py()) // 64, min(map(len, blobs)) // 8)
-        order = _order(sizes, table.column("lead").to_numpy())
+        cross = table.column("cross")[0].as_py()
+        order = _order(sizes, table.column("lead").to_numpy(), np.array(table.column("native").to_pylist(), bool) & cross)
         maps = np.stack([folded(np.frombuffer(blobs[i], np.uint64), words) for i in order])
         native, guest = (np.array(table.column(c).to_pylist(), bool)[order] for c in ("native", "guest"))
         ids = table.column("doc_id").to_pylist()
-        return _pairs([ids[i] for i in order], SignatureTree(maps, sizes[order]).spanning(num, den, native, guest))
+        return _pairs([ids[i] for i in order], SignatureTree(maps, sizes[order], native).spanning(num, den, guest, cross=cross))
     return run
 
 
@@ -292,18 +302,19 @@ def _exact(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         shingles = Shingles(k)
         sets = [shingles(t) for t in table.column("text").to_pylist()]
-        ids, native = table.column("doc_id").to_pylist(), table.column("native").to_pylist()
+        ids, native = table.column("doc_id").to_pylist(), np.array(table.column("native").to_pylist(), bool)
+        cross = table.column("cross")[0].as_py()
         keep = [i for i, s in enumerate(sets) if len(s)]
         if not keep:
             return _pairs([], [])
         sizes = np.array([len(sets[i]) for i in keep])
-        keep = [keep[i] for i in _order(sizes, np.array([sets[i][0] for i in keep]))]
+        keep = [keep[i] for i in _order(sizes, np.array([sets[i][0] for i in keep]), native[keep] & cross)]
         sizes = np.array([len(sets[i]) for i in keep])
         bits = sketch_bits(_class(int(sizes.max())))
         while bits > 4096 and bits // 8 * len(keep) > MAP_BYTES:           # fewer bits prune less; the result is the same
             bits //= 2
-        tree = SignatureTree(np.stack([bitmap(sets[i], bits) for i in keep]), sizes)
-        found = tree.spanning(num, den, np.array([native[i] for i in keep]), np.zeros(len(keep), bool), lambda i, j: links(sets[keep[i]], sets[keep[j]], num, den))
+        tree = SignatureTree(np.stack([bitmap(sets[i], bits) for i in keep]), sizes, native[keep])
+        found = tree.spanning(num, den, np.zeros(len(keep), bool), lambda i, j: links(sets[keep[i]], sets[keep[j]], num, den), cross)
         named = _pairs([ids[i] for i in keep], found)
         if len(sets) > 200:
             del sets, tree
@@ -312,28 +323,44 @@ def _exact(k: int, num: int, den: int):
     return run
 
 
-def _connected(members: DataFrame, payload: DataFrame, decide, block: int, on: list[str]) -> DataFrame:
-    """Pairs that connect what ``decide`` connects in each group ``(doc_id, grp, members)``.
+def _near_size(num: int, den: int):
+    """A number of the size column; sets that can link have equal or neighbouring ones."""
+    n = F.col("n_shingles")
+    return F.floor(F.log(n.cast("double")) / F.lit(1.0001 * math.log(den / num))) if den > num else n
+
+
+def _connected(members: DataFrame, payload: DataFrame, decide, block: int, on: list[str], num: int, den: int) -> DataFrame:
+    """Pairs that connect what ``decide`` connects in each group ``(doc_id, grp, n_shingles, members, shingles)``.
 
     A group of up to ``block`` members (and 500 shingles for each) is one
     task.  A larger one is cut into blocks by hash; in the first round each block is decided together with
     about ``CENTRES`` members of the whole group (which connects most copies of
-    one text).  In the second, the members that are not in the group's largest
-    component by then are sent to all its blocks, so that every pair that is
-    still apart meets; members of that component need not be compared again.
+    one text).  In the second, members of the group's largest component need not
+    be compared again; the others are.  Both kinds are cut by size and then into
+    blocks by hash, and a task gets two blocks whose sizes allow links (not two of the
+    largest component), or one with itself.  So no task holds more than two
+    blocks; if most members stay apart, rows are sent once for each block of like size.
     """
-    rows = members.withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / (500 * block))).cast("int"))
-    rows = store(rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int")), "blocks")
+    def blocks(n: str, shingles: str):
+        return F.ceil(F.greatest(F.col(n) / block, F.col(shingles) / (500 * block))).cast("int")
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col(n)).cast("int")
+
+    rows = members.withColumn("blocks", blocks("members", "shingles"))
+    rows = store(rows.withColumn("own", own("blocks")), "blocks")
     all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     centre = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("members")) < CENTRES)
     extra = [c for c in members.columns if c not in ("doc_id", "grp", "members", "shingles")]
 
     def decided(sent: DataFrame) -> DataFrame:
-        sent = store(sent.select("grp", "doc_id", "own", *extra, F.explode("to").alias("at")), "sent")
-        full = payload.join(sized(sent), on).withColumn("native", F.col("at") == F.col("own"))
-        return store(full.groupBy("grp", "at").applyInArrow(decide, "a long, b long"), "pairs")
+        """``one, two``: the task's blocks; a row is native in block ``one``."""
+        sent = store(sent.select("grp", "doc_id", *extra, "one", "two", "native"), "sent")
+        full = payload.join(sized(sent), on).withColumn("cross", F.col("one") != F.col("two"))
+        return store(full.groupBy("grp", "one", "two").applyInArrow(decide, "a long, b long"), "pairs")
 
-    first = decided(rows.withColumn("to", F.when(centre, all_blocks).otherwise(F.array("own"))))
+    to = rows.withColumn("at", F.explode(F.when(centre, all_blocks).otherwise(F.array("own"))))
+    first = decided(to.withColumn("one", F.col("at").cast("string")).withColumn("two", F.col("one")).withColumn("native", F.col("at") == F.col("own")))
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return first
@@ -341,8 +368,19 @@ def _connected(members: DataFrame, payload: DataFrame, decide, block: int, on: l
     placed = large.join(parts, large["doc_id"] == parts["node"], "left").withColumn("part", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("grp", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", F.col("part"))).alias("main"))
-    again = (placed.join(main, "grp").withColumn("to", F.when(F.col("part") == F.col("main"), F.array("own")).otherwise(all_blocks))
-             .select(*rows.columns, "to"))
+    placed = store(placed.join(main, "grp").select("grp", "doc_id", *extra, (F.col("part") == F.col("main")).alias("linked"),
+                                                   _near_size(num, den).alias("like")), "placed")
+    cuts = store(placed.groupBy("grp", "linked", "like").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sh"))
+                 .select("grp", "linked", "like", blocks("n", "sh").alias("n_blocks")), "cuts")
+    others = cuts.select("grp", F.col("linked").alias("o_linked"), F.col("like").alias("o_like"), F.col("n_blocks").alias("o_blocks"))
+    mine = F.concat_ws(":", "like", "linked", own("n_blocks"))
+    again = (placed.join(cuts, ["grp", "linked", "like"]).withColumn("mine", mine)
+             .withColumn("o_like", F.explode(F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1)))
+             .join(others, ["grp", "o_like"]).where(~(F.col("linked") & F.col("o_linked")))
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
+             .withColumn("other", F.concat_ws(":", "o_like", "o_linked", "chunk"))
+             .withColumn("one", F.least("mine", "other")).withColumn("two", F.greatest("mine", "other"))
+             .withColumn("native", F.col("mine") == F.col("one")))
     return first.union(decided(again))
 
 
@@ -387,9 +425,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     near = components(_candidate_links(real))
     grouped = firsts.join(near, F.col("h1") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("grp"))
     sketches = firsts.select("doc_id", "n_shingles", "lead", "sketch")
-    bounded = components(_connected(_in_classes(grouped, num, den), sketches, _bounded(num, den), block, ["doc_id", "n_shingles"]))
+    bounded = components(_connected(_in_classes(grouped, num, den), sketches, _bounded(num, den), block, ["doc_id", "n_shingles"], num, den))
     members = firsts.join(bounded, F.col("doc_id") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("grp"))
-    exact = _connected(_counted(members).drop("n_shingles"), texts, _exact(k, num, den), block, ["doc_id"])
+    exact = _connected(_counted(members), texts, _exact(k, num, den), block, ["doc_id"], num, den)
     # a repeated id is one node, so its sets are linked through it
     final = store(components(exact.union(_repeated_ids(real, firsts))), "final")
     named = firsts.join(final, F.col("doc_id") == F.col("node"), "left").select(

@@ -75,6 +75,26 @@ def test_signature_join_equals_all_pairs(spark, k, num, den, block):
     assert got == want
 
 
+def test_a_family_below_the_threshold_stays_in_bounded_tasks(spark):
+    """Nothing links: no task holds more than about two blocks."""
+    import pyarrow as pa
+    rows = spark.range(2000).selectExpr("id as doc_id", "1L as grp", "100 + id % 40 as n_shingles", "2000L as members", "240000L as shingles")
+    payload = spark.range(2000).selectExpr("id as doc_id")
+    size = lambda t: pa.table({"a": pa.array([t.num_rows], pa.int64()), "b": pa.array([t.num_rows], pa.int64())})
+    held = [r["a"] for r in S._connected(rows, payload, size, 100, ["doc_id"], 85, 100).collect()]
+    assert max(held) < 3 * 100
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_families_of_template_pages_equal_all_pairs(spark, k, num, den):
+    """Much shared wording, most pairs below the threshold, some at and above it."""
+    docs = [(i, edited(prose(1, 120), i, 0.05 + 0.001 * (i % 40))) for i in range(150)]
+    docs += [(1000 + i, edited(docs[7 * i][1], 900 + i, .01 + .005 * (i % 3))) for i in range(20)]
+    df = spark.createDataFrame(docs, EDGE_SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in S.jaccard_groups(df, k, num, den, block=12).collect()}
+    assert got == jaccard_components(docs, k, num, den) and 100 < len(set(got.values())) < 170
+
+
 def test_signature_join_edges(spark):
     df = with_clashes(spark.createDataFrame(EDGE_DOCS, EDGE_SCHEMA))
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in S.jaccard_groups(df, 4, 85, 100).collect()]
