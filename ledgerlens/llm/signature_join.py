@@ -368,14 +368,18 @@ def _connected(members: DataFrame, payload: DataFrame, decide, block: int, on: l
     placed = large.join(parts, large["doc_id"] == parts["node"], "left").withColumn("part", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("grp", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", F.col("part"))).alias("main"))
-    placed = store(placed.join(main, "grp").select("grp", "doc_id", *extra, (F.col("part") == F.col("main")).alias("linked"),
-                                                   _near_size(num, den).alias("like")), "placed")
+    placed = store(placed.join(main, "grp").select("grp", "doc_id", *extra, (F.col("part") == F.col("main")).alias("linked")), "placed")
+    # where the others fit one block, there is nothing to save by their sizes
+    apart = placed.where(~F.col("linked")).groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sh"))
+    placed = placed.join(apart.select("grp", (blocks("n", "sh") > 1).alias("by_size")), "grp").withColumn(
+        "like", F.when(F.col("by_size"), _near_size(num, den)).otherwise(F.lit(0)))
     cuts = store(placed.groupBy("grp", "linked", "like").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sh"))
                  .select("grp", "linked", "like", blocks("n", "sh").alias("n_blocks")), "cuts")
     others = cuts.select("grp", F.col("linked").alias("o_linked"), F.col("like").alias("o_like"), F.col("n_blocks").alias("o_blocks"))
     mine = F.concat_ws(":", "like", "linked", own("n_blocks"))
     again = (placed.join(cuts, ["grp", "linked", "like"]).withColumn("mine", mine)
-             .withColumn("o_like", F.explode(F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1)))
+             .withColumn("o_like", F.explode(F.when(F.col("by_size"), F.array(F.col("like") - 1, F.col("like"), F.col("like") + 1))
+                                              .otherwise(F.array("like"))))
              .join(others, ["grp", "o_like"]).where(~(F.col("linked") & F.col("o_linked")))
              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
              .withColumn("other", F.concat_ws(":", "o_like", "o_linked", "chunk"))
