@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import store
 from .components import components
 
-#: Points that one task's cover tree holds, guests aside.
+#: Points of a cell's chunk; a task holds the trees of two chunks at most.
 MAX_CELL = 8192
 PIVOTS = 32
 MAX_DEPTH = 12
@@ -234,7 +234,8 @@ def _cell_links(cosine: float):
         pid, copies = table.column("pid").to_numpy(), table.column("copies").to_numpy()
         links = Links(_matrix(table.column("x").to_pylist()), copies, cosine)
         own = cover_tree(links.x, np.flatnonzero(native))
-        links.dual(own, own)
+        if not table.column("cross")[0].as_py():
+            links.dual(own, own)
         if not native.all():
             links.dual(own, cover_tree(links.x, np.flatnonzero(~native)))
         n = np.flatnonzero(links.count)
@@ -246,13 +247,13 @@ def _cell_links(cosine: float):
 
 
 def _cells(rows: DataFrame, theta: float, max_cell: int) -> DataFrame:
-    """Split cells until each has at most ``max_cell`` natives."""
+    """Split cells until each has at most ``max_cell`` natives, then into tasks (see :func:`_chunked`)."""
     rows = store(rows, "cells")
     for depth in range(MAX_DEPTH + 1):
         sizes = rows.where("native").groupBy("cell").agg(F.count("*").alias("n"))
         big = store(sizes.where(F.col("n") > max_cell), "cells-big")
         if big.isEmpty():
-            return rows
+            break
         splittable = big.where(~F.col("cell").endswith("!"))
         if depth == MAX_DEPTH or splittable.isEmpty():
             break
@@ -265,14 +266,38 @@ def _cells(rows: DataFrame, theta: float, max_cell: int) -> DataFrame:
         radius = sent.where("native").groupBy("cell").agg(F.max("far").alias("radius"))
         rows = store(sent.join(radius, "cell").where(F.col("native") | (F.col("far") <= F.col("radius") + theta + EPS))
                      .select(*sent.columns), "cells")
-    # dense cells: chunks by hash; a native is a guest of the chunks below its own
-    chunks = F.coalesce(F.ceil(F.col("n") / max_cell), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("pid", F.lit(-1)), F.col("chunks")).cast("int")
-    cut = rows.join(big, "cell", "left").withColumn("chunks", chunks).withColumn("own", own)
-    return (cut.withColumn("to", F.explode(F.when(F.col("native"), F.sequence(F.lit(0), F.col("own"))).otherwise(
-                F.sequence(F.lit(0), F.col("chunks") - 1))))
-            .select(F.concat_ws("#", "cell", "to").alias("cell"), (F.col("native") & (F.col("to") == F.col("own"))).alias("native"),
-                    "pid", "copies", "x", "far"))
+    return _chunked(rows, max_cell)
+
+
+def _chunked(rows: DataFrame, max_cell: int) -> DataFrame:
+    """``cell, native, pid, copies, x, cross``: cells as tasks.  Where natives or
+    guests are more than ``max_cell``, both are cut into chunks by hash: each chunk
+    of natives is a task of its own, and each pair of two chunks of natives, or of one
+    and a chunk of guests, is one that compares across only (``cross``)."""
+    chunks = lambda n: F.greatest(F.ceil(F.col(n) / max_cell), F.lit(1)).cast("int")
+    counts = rows.groupBy("cell").agg(F.count_if("native").alias("n"), F.count_if(~F.col("native")).alias("g"))
+    big = store(counts.where((F.col("n") > max_cell) | (F.col("g") > max_cell))
+                .select("cell", chunks("n").alias("chunks"), F.when(F.col("g") > 0, chunks("g")).otherwise(0).alias("guests")), "cells-cut")
+    out = ["cell", "native", "pid", "copies", "x", "cross"]
+    whole = rows.withColumn("cross", F.lit(False))
+    if big.isEmpty():
+        return whole.select(*out)
+    cut = rows.join(F.broadcast(big), "cell").withColumn(
+        "own", F.pmod(F.xxhash64("pid", F.lit(-1)), F.when(F.col("native"), F.col("chunks")).otherwise(F.col("guests"))).cast("int"))
+
+    def upto(n: str):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+    own = F.col("own")
+    pairs = F.when(F.col("native"), F.concat(
+        F.transform(upto("chunks"), lambda j: F.struct(F.least(j, own).cast("string").alias("a"), F.greatest(j, own).cast("string").alias("b"),
+                                                       (own <= j).alias("native"), (own != j).alias("cross"))),
+        F.transform(upto("guests"), lambda j: F.struct(own.cast("string").alias("a"), F.concat(F.lit("g"), j).alias("b"), F.lit(True).alias("native"),
+                                                       F.lit(True).alias("cross"))))).otherwise(
+        F.transform(upto("chunks"), lambda i: F.struct(i.cast("string").alias("a"), F.concat(F.lit("g"), own).alias("b"), F.lit(False).alias("native"),
+                                                       F.lit(True).alias("cross"))))
+    cut = (cut.withColumn("to", F.explode(pairs)).select(F.concat_ws("#", "cell", "to.a", "to.b").alias("cell"), "to.native", "pid", "copies", "x", "to.cross"))
+    return whole.join(F.broadcast(big), "cell", "left_anti").select(*out).union(cut)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding",

@@ -49,6 +49,26 @@ def test_cover_pairs_equal_all_pairs(spark, vectors, max_cell):
     assert (got.kept == (got.component_id == got.index)).all()
 
 
+def test_dense_cells_are_cut_into_pairs_of_chunks(spark):
+    """Points too close for pivots, and a cell of few natives and many guests: no task holds over two chunks."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=16) + rng.normal(size=(1200, 16)) * .05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [("a|16", True, i, 1, bytearray(v.tobytes()), 0.0) for i, v in enumerate(x[:600])]
+    rows += [("b|16", i < 630, i, 1, bytearray(v.tobytes()), 0.0) for i, v in enumerate(x[600:], 600)]
+    cells = C._cells(spark.createDataFrame(rows, C._ROW), 0.2, 60)
+    assert max(r["count"] for r in cells.groupBy("cell").count().collect()) <= 2 * 60 * 1.5
+    found = cells.groupBy("cell").applyInArrow(C._cell_links(0.98), "a long, b long, w long").where("b is null").collect()
+    got = np.zeros(1200, int)
+    for r in found:
+        got[r["a"]] += r["w"]
+    hit = x @ x.T >= 0.98
+    np.fill_diagonal(hit, False)
+    side = np.arange(1200) // 600
+    hit &= (side[:, None] == side) & ((side == 0) | (np.arange(1200) < 630))[:, None] | (side[:, None] == side) & ((side == 0) | (np.arange(1200) < 630))[None]
+    assert (got == hit.sum(1)).all() and got.sum() > 0
+
+
 def test_cover_pairs_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(7, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (9, [2.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in C.near_duplicates(df).collect())
