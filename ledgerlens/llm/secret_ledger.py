@@ -44,10 +44,12 @@ BASE_RULES = (
 )
 #: Further rules; their spans are added, base spans stay.
 MORE_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # to the END line, or without one to the end of the base64 lines
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+                   r"|(?:[\x20\t\r\n\\]+[A-Za-z0-9+/=]{12,}){1,80}[A-Za-z0-9+/=\r\n\\]*)?"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
     Rule("vcs", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("login", 1, r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("login", 2, r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
