@@ -55,6 +55,33 @@ def test_slots_must_be_consistent(spark):
     assert got == {1: "reparameterised"}
 
 
+def _found(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["kind"] for r in T.leaks(spark.createDataFrame(docs, EDGE_SCHEMA), bench).collect()}
+
+
+def test_leaks_at_every_offset(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank at dawn every single day".split()
+    for i in (5, 11, 16):
+        item[i] = "other"
+    numbers = "Compute 12 + 7 * 3 - 5 / 2 + 9 - 4 * 6 + 8"
+    docs = [(i, "x " * i + " ".join(item) + " x") for i in range(5)] + [(10 + i, "x " * i + numbers + " x") for i in range(5)]
+    docs += [(20 + i, "x " * i + BENCH[0][1].upper()) for i in range(5)] + [(30 + i, "x " * i + BENCH[0][1].lower()) for i in range(5)]
+    got = _found(spark, [BENCH[1][1], numbers, BENCH[0][1]], docs)
+    assert set(got) == {(10 * n + i, k) for i in range(5) for n, k in enumerate((1, 2, 3, 3))}
+    assert set(got.values()) == {"exact"}
+
+
+def test_inconsistent_slots_and_scattered_fragments_are_clean(spark):
+    item = "take 5 and add 5 then take 9 away and say what is left of the 5 apples in the red box"
+    other = "take {0} and add {0} then take {1} away and say what is left of the {0} apples in the red box"
+    words = BENCH[1][1].split()
+    docs = [(1, other.format(7, 2)), (2, "take 7 and add 8 then take 2 away and say what is left of the 6 apples in the red box"),
+            (3, other.format(7, 2) + " . " + prose(3, 40) + " . " + other.format(8, 3)), (4, item),
+            (5, " ".join(words[:6]) + " " + prose(4, 40) + " " + " ".join(words[12:]))]
+    assert _found(spark, [item, BENCH[1][1]], docs) == {(1, 1): "reparameterised", (3, 1): "reparameterised", (4, 1): "exact"}
+
+
 def test_whole_passages_of_the_table(spark):
     got = {(r["doc_id"], r["item_id"]) for r in Q.QUERIES["op3_template_leaks"](spark, SF_SMALL).collect()}
     docs, bench = (pd.read_parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
