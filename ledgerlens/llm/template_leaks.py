@@ -55,9 +55,10 @@ def _tokens(text: str) -> Column:
 
 
 def _forms(rows: DataFrame) -> DataFrame:
-    """``tokens`` as ``template`` (placeholders only) and as ``plain`` (values)."""
-    return (rows.withColumn("template", F.transform("tokens", lambda t: F.when(_first(t).isin(_SLOTS), _first(t)).otherwise(t)))
-            .withColumn("plain", F.transform("tokens", _value)))
+    """``tokens`` as ``template`` (placeholders only) and as ``plain`` (values), hashed token by token."""
+    literal = lambda t: (t < NAME) | (t > UNIT + "\U0010ffff")
+    return (rows.withColumn("template", F.transform("tokens", lambda t: F.xxhash64(F.when(literal(t), t).otherwise(_first(t)))))
+            .withColumn("plain", F.transform("tokens", lambda t: F.xxhash64(F.when(t.startswith(NAME), F.substring(t, 2, 1 << 30)).otherwise(t)))))
 
 
 def _windows(tokens: str, k: int, stride: int = 1, seed: int = 0) -> Column:
@@ -71,8 +72,8 @@ def _windows(tokens: str, k: int, stride: int = 1, seed: int = 0) -> Column:
 
 def _index(items: DataFrame, k: int) -> DataFrame:
     """``item_hash, item_id, item_at``: windows by template, if they hold k // 2 literals, and all by value."""
-    telling = F.size(F.filter(F.slice("template", F.col("w.at") + 1, F.lit(k)), lambda t: ~t.isin(_SLOTS))) >= k // 2
-    by_template = items.select("item_id", "template", F.explode(_windows("template", k)).alias("w")).where(telling).select("item_id", "w")
+    telling = F.size(F.filter(F.slice("tokens", F.col("w.at") + 1, F.lit(k)), lambda t: ~_first(t).isin(_SLOTS))) >= k // 2
+    by_template = items.select("item_id", "tokens", F.explode(_windows("template", k)).alias("w")).where(telling).select("item_id", "w")
     by_value = items.select("item_id", F.explode(_windows("plain", k, seed=1)).alias("w"))
     return by_template.union(by_value).select(F.col("w.hash").alias("item_hash"), "item_id", F.col("w.at").alias("item_at"))
 
