@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, table_path
 from . import (bpe_codec, cover_pairs, html_tree, kd_shards, secret_ledger, signature_join, site_quality,
-               template_leaks, token_counts, warc_shards)
+               template_leaks, token_counts, token_links, warc_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -155,3 +155,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_template_leaks")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op13_token_links")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_links.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
