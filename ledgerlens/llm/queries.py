@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, table_path
-from . import (bpe_codec, cover_pairs, html_tree, kd_shards, secret_ledger, signature_join, site_quality,
+from . import (bpe_codec, cover_pairs, hard_negatives, html_tree, kd_shards, secret_ledger, signature_join, site_quality,
                template_leaks, token_counts, token_links, warc_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,25 @@ SELECT page_id, CAST(n AS bigint) AS payload_bytes, sha256(h) AS payload_digest,
        CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to FROM f"""
 
 
+SQL_NEGATIVES = """WITH r AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+                          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM r),
+s AS MATERIALIZED (
+  SELECT a.rid AS aid, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS MATERIALIZED (SELECT aid, anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY aid ORDER BY score DESC, other) AS nth
+                   FROM s WHERE same)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, positive_score, s.other AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.aid, nth ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.aid = p.aid AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+  WHERE nth <= 5) WHERE rank <= 10"""
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, table))
 
@@ -161,3 +180,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_links.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
+
+
+@register("op12_hard_negatives", SQL_NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
