@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, table_path
-from . import (bpe_codec, cover_pairs, hard_negatives, html_tree, kd_shards, secret_ledger, signature_join, site_quality,
+from . import (bpe_codec, cover_pairs, hard_negatives, html_tree, kd_shards, language_id, secret_ledger, signature_join, site_quality,
                template_leaks, token_counts, token_links, warc_shards)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@register("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
