@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TWO_32 = 4294967296.0
 
@@ -34,6 +35,11 @@ def number(c: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def measured(df: DataFrame, c: str) -> Column:
+    """A numeric column with NaN as missing; integers and decimals stay as they are."""
+    return number(c) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c)
+
+
 def fmt_fixed(c: Column, digits: int) -> Column:
     """Python ``{x:.Nf}``."""
     return F.format_string(f"%.{digits}f", c)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import amount_column, customer_column, id_type
 from ..functions.exprs import number
+from ..session import stored
 
 RECORD_COLUMNS = ["type", "severity", "reason", "subject", "row_id", "n_rows"]
 
@@ -94,7 +95,7 @@ def frequency_rows(df: DataFrame, row_id: str = "transaction_id", customer_col:
                    sigmas: float = C.FREQUENCY_SIGMAS) -> DataFrame:
     """ANO-2 membership: the rows of each over-active customer (row_id, subject)."""
     customer_col = customer_col or customer_column(df)
-    u = unusual_customers(df, customer_col, sigmas).select(F.col("customer").alias(customer_col))
+    u = stored(unusual_customers(df, customer_col, sigmas).select(F.col("customer").alias(customer_col)), "unusual")
     return (df.join(u, customer_col, "left_semi")
             .select(F.col(row_id).cast(id_type(df, row_id)).alias("row_id"),
                     F.col(customer_col).cast("string").alias("subject")))
@@ -110,8 +111,9 @@ def anomaly_records(df: DataFrame, row_id: str = "transaction_id") -> DataFrame:
 def flag_anomalies(df: DataFrame, row_id: str = "transaction_id", amount_col: str | None = None,
                    customer_col: str | None = None) -> DataFrame:
     """ANO-4: the input rows plus ``is_anomaly`` (outlier row or row of an
-    over-active customer).  The customer set is joined without a hint, so AQE
-    broadcasts it only when its runtime size is small."""
+    over-active customer).  The customer set is stored and joined without a hint:
+    it is broadcast if its true size is small, else a customer who owns much of
+    the table is split by adaptive skew handling."""
     amount_col = amount_col or amount_column(df, C.AMOUNT_CANDIDATES_ANOMALY)
     customer_col = customer_col or customer_column(df)
     out = df
@@ -122,8 +124,8 @@ def flag_anomalies(df: DataFrame, row_id: str = "transaction_id", amount_col: st
             .drop("_z_mean", "_z_std")
         flag = flag | F.col("_is_out")
     if customer_col is not None:
-        u = unusual_customers(df, customer_col).select(
-            F.col("customer").alias(customer_col), F.lit(True).alias("_is_freq"))
+        u = stored(unusual_customers(df, customer_col).select(
+            F.col("customer").alias(customer_col), F.lit(True).alias("_is_freq")), "unusual")
         out = out.join(u, customer_col, "left")
         flag = flag | F.coalesce(F.col("_is_freq"), F.lit(False))
     cols = [F.col(c) for c in df.columns]

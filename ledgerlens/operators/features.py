@@ -16,6 +16,7 @@ from .. import config as C
 from ..functions.columns import (first_temporal, label_column, numeric_columns, string_columns,
                                  temporal_columns)
 from ..config import LIMITS
+from ..functions.exprs import measured
 from ..functions.indexing import sorted_dictionary
 
 
@@ -110,8 +111,8 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | No
     """FEA-5 fit: mean and population std per column, one aggregate row."""
     if not cols:
         return {}
-    row = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(measured(df, c)).alias(f"m_{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(measured(df, c)).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
     return {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(cols)}
 
 
@@ -120,15 +121,15 @@ def apply_scaler(df: DataFrame, stats: dict[str, tuple[float | None, float | Non
     def scaled(c):
         m, s = stats[c]
         div = s if s not in (None, 0.0) else 1.0
-        return ((F.col(c).cast("double") - F.lit(m if m is not None else 0.0)) / F.lit(div)).alias(c)
+        return ((measured(df, c).cast("double") - F.lit(m if m is not None else 0.0)) / F.lit(div)).alias(c)
     return df.select(*[scaled(c) if c in stats else F.col(c) for c in df.columns])
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """FEA-5 as one lazy plan: one-row statistics broadcast to every row."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    stats = df.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(cols)],
-                   *[F.stddev_pop(c).alias(f"_s_{i}") for i, c in enumerate(cols)])
+    stats = df.agg(*[F.avg(measured(df, c)).alias(f"_m_{i}") for i, c in enumerate(cols)],
+                   *[F.stddev_pop(measured(df, c)).alias(f"_s_{i}") for i, c in enumerate(cols)])
     j = df.crossJoin(F.broadcast(stats))
     sel = []
     idx = {c: i for i, c in enumerate(cols)}
@@ -136,7 +137,7 @@ def standard_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         if c in idx:
             i = idx[c]
             div = F.coalesce(F.when(F.col(f"_s_{i}") != 0, F.col(f"_s_{i}")), F.lit(1.0))
-            sel.append(((F.col(c).cast("double") - F.col(f"_m_{i}")) / div).alias(c))
+            sel.append(((measured(df, c).cast("double") - F.col(f"_m_{i}")) / div).alias(c))
         else:
             sel.append(F.col(c))
     return j.select(*sel)
@@ -144,10 +145,11 @@ def standard_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 def scaled_amount(df: DataFrame, amount_col: str, name: str = "Scaled_Amount") -> DataFrame:
     """FEA-6: z-scaled amount (population std) as a new column."""
-    stats = df.agg(F.avg(amount_col).alias("_sa_m"), F.stddev_pop(amount_col).alias("_sa_s"))
+    x = measured(df, amount_col)
+    stats = df.agg(F.avg(x).alias("_sa_m"), F.stddev_pop(x).alias("_sa_s"))
     div = F.coalesce(F.when(F.col("_sa_s") != 0, F.col("_sa_s")), F.lit(1.0))
     return (df.crossJoin(F.broadcast(stats))
-            .withColumn(name, (F.col(amount_col) - F.col("_sa_m")) / div).drop("_sa_m", "_sa_s"))
+            .withColumn(name, (x - F.col("_sa_m")) / div).drop("_sa_m", "_sa_s"))
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -33,7 +33,7 @@ from ..functions.exprs import md5_unit
 from ..config import LIMITS
 from ..functions.indexing import sorted_dictionary
 from ..functions.partitioning import ensure_parallelism
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 KNN_SCHEMA = "qid long, rank long, nid long, dist double"
 
@@ -92,8 +92,8 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, local_limit: int |
     sizes = pts.groupBy("v").agg(F.count(F.lit(1)).alias("_g"))
     lists = top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("_r", "id"))).alias("_l")) \
         .join(sizes, "v")
-    hot = lists.where(F.col("_g") > k)
-    hot_pts = pts.join(hot, "v")                      # AQE: broadcast or skew-split
+    hot = stored(lists.where(F.col("_g") > k), "hot-vectors")
+    hot_pts = pts.join(hot, "v")                      # broadcast if small, else skew-split
     others = F.filter(F.col("_l.id"), lambda x: x != F.col("id"))
     direct = (hot_pts.select(F.col("id").alias("qid"), F.slice(others, 1, k).alias("_ns"))
               .select("qid", F.posexplode("_ns").alias("_p", "nid"))

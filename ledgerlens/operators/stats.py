@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import (amount_column, category_column, first_temporal, numeric_columns,
                                  stats_label_column, temporal_columns)
-from ..functions.exprs import number
+from ..functions.exprs import measured, number
 from ..functions.quantiles import exact_quantiles
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -51,6 +51,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, timestamps: b
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, stat string, value double")
+    df = df.select(*[measured(df, c).alias(c) for c in cols])
     row = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.count(c).cast("double").alias(f"n{i}"),
         (F.avg(F.col(c).cast("decimal(38,0)")).cast("double") if c in tcols else F.avg(c)).alias(f"m{i}"),
@@ -79,6 +80,7 @@ def fraud_stats(df: DataFrame, label_col: str | None = None) -> DataFrame:
 def amount_profile(df: DataFrame, amount_col: str | None = None) -> DataFrame:
     """AGG-4: total, mean, exact median, max, min of the amount."""
     amount_col = amount_col or amount_column(df, C.AMOUNT_CANDIDATES_TRENDS)
+    df = df.select(measured(df, amount_col).alias(amount_col))
     med = exact_quantiles(df, [(amount_col, 0.5)])[(amount_col, 0.5)]
     x = F.col(amount_col)
     return df.agg(F.sum(x).alias("total_volume"), F.avg(x).alias("average_transaction"),

@@ -128,6 +128,22 @@ def q_standard_scale(spark, sf_dir):
                                 ["transaction_id", "customer_id", "amount", "is_fraud"]])
 
 
+@register("standard_scale_dirty", f"""WITH {SQL_TXN_DAMAGED},
+s AS (SELECT avg(amount) AS m, stddev_pop(amount) AS sd, avg(is_fraud) AS m4, stddev_pop(is_fraud) AS s4 FROM txn_damaged)
+SELECT transaction_id, round((amount - m) / coalesce(nullif(sd, 0), 1), 6) AS amount,
+       round((is_fraud - m4) / coalesce(nullif(s4, 0), 1), 6) AS is_fraud FROM txn_damaged, s""")
+def q_standard_scale_dirty(spark, sf_dir):
+    d = FE.standard_scale(txn_damaged(spark, sf_dir), ["amount", "is_fraud"])
+    return d.select("transaction_id", F.round("amount", 6).alias("amount"), F.round("is_fraud", 6).alias("is_fraud"))
+
+
+@register("scaled_amount_dirty", f"""WITH {SQL_TXN_DAMAGED}, s AS (SELECT avg(amount) AS m, stddev_pop(amount) AS sd FROM txn_damaged)
+SELECT transaction_id, round((amount - m) / coalesce(nullif(sd, 0), 1), 6) AS Scaled_Amount FROM txn_damaged, s""")
+def q_scaled_amount_dirty(spark, sf_dir):
+    d = FE.scaled_amount(txn_damaged(spark, sf_dir), "amount")
+    return d.select("transaction_id", F.round("Scaled_Amount", 6).alias("Scaled_Amount"))
+
+
 @register("scaled_amount", f"""WITH {SQL_TXN}, s AS (SELECT avg(amount) AS m, stddev_pop(amount) AS sd FROM txn)
 SELECT transaction_id, round((amount - m) / coalesce(nullif(sd, 0), 1), 6) AS Scaled_Amount FROM txn, s""")
 def q_scaled_amount(spark, sf_dir):

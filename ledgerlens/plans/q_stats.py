@@ -26,15 +26,15 @@ def q_dataset_stats(spark, sf_dir):
     return S.dataset_stats(t, A.anomaly_records(t))
 
 
-def _describe_sql() -> str:
+def _describe_sql(cte: str = SQL_TXN, table: str = "txn") -> str:
     parts = []
     for c in ["transaction_id", "customer_id", "amount", "is_fraud", "transaction_date"]:
         if c == "transaction_date":
             # timestamps: epoch seconds to the millisecond (15+ significant digits
             # are past what both engines' rounding reproduces)
-            parts += [f"SELECT '{c}' AS column, '{st}' AS stat, round(cast({e} AS double) / 1e6, 3) AS value FROM txn"
+            parts += [f"SELECT '{c}' AS column, '{st}' AS stat, round(cast({e} AS double) / 1e6, 3) AS value FROM {table}"
                       if st != "count" else
-                      f"SELECT '{c}' AS column, '{st}' AS stat, cast({e} AS double) AS value FROM txn"
+                      f"SELECT '{c}' AS column, '{st}' AS stat, cast({e} AS double) AS value FROM {table}"
                       for st, e in [("count", f"count({c})"), ("mean", f"avg(epoch_us({c}))"),
                                     ("std", "max(NULL)"), ("min", f"min(epoch_us({c}))"),
                                     ("25%", f"quantile_cont(epoch_us({c}), 0.25)"),
@@ -46,15 +46,23 @@ def _describe_sql() -> str:
                         ("min", f"min({c})"), ("25%", f"quantile_cont({c}, 0.25)"),
                         ("50%", f"quantile_cont({c}, 0.5)"), ("75%", f"quantile_cont({c}, 0.75)"),
                         ("max", f"max({c})")]:
-            parts.append(f"SELECT '{c}' AS column, '{stat}' AS stat, round(cast({e} AS double), 6) AS value FROM txn")
-    return f"WITH {SQL_TXN}\n" + "\nUNION ALL\n".join(parts)
+            parts.append(f"SELECT '{c}' AS column, '{stat}' AS stat, round(cast({e} AS double), 6) AS value FROM {table}")
+    return f"WITH {cte}\n" + "\nUNION ALL\n".join(parts)
+
+
+def _described(df):
+    ts_row = (F.col("column") == "transaction_date") & (F.col("stat") != "count")
+    return S.describe_numeric(df).withColumn("value", F.when(ts_row, F.round("value", 3)).otherwise(r6(F.col("value"))))
 
 
 @register("describe_numeric", _describe_sql())
 def q_describe_numeric(spark, sf_dir):
-    d = S.describe_numeric(txn(spark, sf_dir))
-    ts_row = (F.col("column") == "transaction_date") & (F.col("stat") != "count")
-    return d.withColumn("value", F.when(ts_row, F.round("value", 3)).otherwise(r6(F.col("value"))))
+    return _described(txn(spark, sf_dir))
+
+
+@register("describe_numeric_dirty", _describe_sql(SQL_TXN_DAMAGED, "txn_damaged"))
+def q_describe_numeric_dirty(spark, sf_dir):
+    return _described(txn_damaged(spark, sf_dir))
 
 
 @register("fraud_stats", f"""WITH {SQL_TXN}
@@ -70,15 +78,26 @@ def q_run_stats(spark, sf_dir):
     return S.run_stats(t, A.anomaly_records(t))
 
 
-@register("amount_profile", f"""WITH {SQL_TXN}
-SELECT round(sum(amount), 6) AS total_volume, round(avg(amount), 6) AS average_transaction,
+SQL_PROFILE = """SELECT round(sum(amount), 6) AS total_volume, round(avg(amount), 6) AS average_transaction,
        round(quantile_cont(amount, 0.5), 6) AS median_transaction, round(max(amount), 6) AS max_transaction,
-       round(min(amount), 6) AS min_transaction FROM txn""")
-def q_amount_profile(spark, sf_dir):
-    p = S.amount_profile(txn(spark, sf_dir))
+       round(min(amount), 6) AS min_transaction FROM """
+
+
+def _profiled(df):
+    p = S.amount_profile(df)
     return p.select(*[r6(F.col(c)).alias(c) for c in p.columns])
 
 
+@register("amount_profile", f"WITH {SQL_TXN}\n{SQL_PROFILE} txn")
+def q_amount_profile(spark, sf_dir):
+    return _profiled(txn(spark, sf_dir))
+
+
+@register("amount_profile_dirty", f"WITH {SQL_TXN_DAMAGED}\n{SQL_PROFILE} txn_damaged")
+def q_amount_profile_dirty(spark, sf_dir):
+    return _profiled(txn_damaged(spark, sf_dir))
+
+
 PY_TS = ("CASE WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%d %H:%M:%S') "
          "ELSE strftime({c}, '%Y-%m-%d %H:%M:%S.%f') END")
 

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,6 +59,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared scratch folder and read back.
+
+    Cuts the lineage, is computed once and can be read by column.  It also gives
+    the planner its true size: joined with a hot key on the other side, a small
+    table is broadcast, and between two plain shuffles a large one leaves the
+    hot key to adaptive skew splitting, which an aggregate on the join key in
+    the same stage would switch off."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists; an unreachable store raises."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
