@@ -67,13 +67,14 @@ def _stars(e: DataFrame) -> DataFrame:
 
     Large star: every neighbour above ``u`` is linked to the smallest node next
     to ``u`` (itself included).  Small star: the same for the neighbours below
-    ``u`` and ``u`` itself.  The minima are map-side combined aggregates; the
-    joins back are left to adaptive skew splitting.
+    ``u`` and ``u`` itself.  The minima are map-side combined aggregates, stored
+    before the joins back: with an aggregate on the key in the join's own stage
+    adaptive skew splitting would not act on a star's centre.
     """
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-    m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.where("v > u").join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    m = large.groupBy("a").agg(F.min("b").alias("m"))
+    m = store(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "minima")
+    large = store(both.where("v > u").join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+    m = store(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
     return (large.join(m, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
             .union(m.select("a", "m")).toDF("a", "b").where("a <> b"))
 

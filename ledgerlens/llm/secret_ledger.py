@@ -99,7 +99,8 @@ def scan(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, id_col:
     A null text is the empty blob.  Repeated rows, and versions of one id, are
     rows of their own; equal texts share a blob.  Null ids stay null.  Empty
     tables give empty results.  A blob held by very many rows is scanned once;
-    the join back splits its rows by adaptive skew handling.
+    the findings are stored before the join back, so that they are broadcast if
+    small and a hot blob's rows are split by adaptive skew handling if not.
     """
     keys = F.array(*(F.lit(r.key) for r in rules))
     paths = store(docs.select(F.col(id_col).alias("doc_id"), _blob(text_col).alias("blob")), "paths")
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, id_col:
     known = known.select("blob", F.explode("spans").alias("s")).where(place > 0)
     known = known.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(
         "s.start", (place - 1).alias("rank"), "s.kind", "s.end", "s.version"))).alias("spans"))
-    found = (paths.join(known, "blob", "left")
+    found = (paths.join(store(known, "known"), "blob", "left")
              .select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")))
     return found, entries
 
