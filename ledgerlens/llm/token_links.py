@@ -35,7 +35,7 @@ from .perfect_hash import Table, build
 
 SPACE = "▁"
 #: Bounds of a worker's table of units: their number, and the bytes of them and their groups.
-UNITS, UNIT_BYTES = 200_000, 64 << 20
+UNITS, UNIT_BYTES = 300_000, 48 << 20
 #: Longer texts are aligned piece by piece (cut between units).
 PIECE_CHARS = 1 << 18
 #: Distinct pairs of a shard, about.
@@ -124,29 +124,48 @@ def shown(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> l
 
 class Units:
     """The worker's table of aligned units: numbers of tokens and groups, the
-    linked pairs as keys ``a << 32 | b``, and the groups as text."""
+    linked pairs as keys ``a << 32 | b``, the groups as text if they are wanted,
+    and how often each unit came (``times``)."""
 
-    def __init__(self, pair: Pair):
-        self.pair = pair
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self, pair: Pair, shown: bool = True):
+        self.pair, self.shown = pair, shown
         self.index: dict[str, int] = {}
+        self.names: list[str] = []
         self.text: list[str] = []
         self.numbers = np.zeros((1024, 3), np.int64)              # tokens a, tokens b, groups
+        self.times = np.zeros(1024, np.int64)
         self.start = np.zeros(1025, np.int64)                     # of the unit's links; a link for each group
         self.links = np.zeros(4096, np.int64)
         self.bytes = 0
 
+    def clear(self) -> None:
+        """Keeps the units that came more than once, half a table of them at most."""
+        n = len(self)
+        stay = np.flatnonzero(self.times[:n] > 1)
+        if len(stay) > UNITS // 2:
+            stay = np.sort(stay[np.argsort(-self.times[stay], kind="stable")[:UNITS // 2]])
+        if sum(len(self.names[i]) + len(self.text[i]) for i in stay) > UNIT_BYTES // 2:
+            stay = stay[:0]
+        size = np.diff(self.start[:n + 1])[stay]
+        start = np.concatenate([[0], np.cumsum(size)])
+        links = self.links[np.arange(start[-1]) + np.repeat(self.start[stay] - start[:-1], size)]
+        self.names, self.text = [self.names[i] for i in stay], [self.text[i] for i in stay]
+        self.index = {u: i for i, u in enumerate(self.names)}
+        self.bytes = sum(map(len, self.names)) + sum(map(len, self.text))
+        self.numbers[:len(stay)], self.start[:len(stay) + 1], self.links[:len(links)] = self.numbers[stay], start, links
+        self.times[:] = 0
+
     def __len__(self) -> int:
-        return len(self.text)
+        return len(self.names)
 
     def full(self) -> bool:
-        return len(self.text) >= UNITS or self.bytes >= UNIT_BYTES
+        return len(self) >= UNITS or self.bytes >= UNIT_BYTES
 
     def _grown(self, units: int, links: int) -> None:
         while units > len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+        while units > len(self.times):
+            self.times = np.concatenate([self.times, np.zeros_like(self.times)])
         while units + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         while links > len(self.links):
@@ -163,19 +182,25 @@ class Units:
         self.start[n + 1:n + 1 + len(units)] = at + last + 1
         for k, x in enumerate((a_at[last] + 1, b_at[last] + 1, last + 1)):
             self.numbers[n:n + len(units), k] = np.diff(x, prepend=0)
-        groups = shown(a, b, a_at, b_at)
-        for i, (u, x, y) in enumerate(zip(units, firsts.tolist(), (last + 1).tolist())):
-            self.index[u] = n + i
-            self.text.append(t := groups[x] if y - x == 1 else ";".join(groups[x:y]))
-            self.bytes += len(u) + len(t)
+        if self.shown:
+            groups = shown(a, b, a_at, b_at)
+            text = [groups[x] if y - x == 1 else ";".join(groups[x:y]) for x, y in zip(firsts.tolist(), (last + 1).tolist())]
+        else:
+            text = [""] * len(units)
+        self._named(units, text)
+
+    def _named(self, units: list[str], text: list[str]) -> None:
+        self.index.update(zip(units, range(len(self), len(self) + len(units))))
+        self.names += units
+        self.text += text
+        self.bytes += sum(map(len, units)) + sum(map(len, text))
 
     def _bad(self, unit: str) -> None:
         """A unit whose tokens don't spell it; it has no links."""
         n = len(self)
         self._grown(n + 1, 0)
-        self.index[unit], self.start[n + 1], self.numbers[n] = n, self.start[n], -1
-        self.text.append("")
-        self.bytes += len(unit)
+        self.start[n + 1], self.numbers[n] = self.start[n], -1
+        self._named([unit], [""])
 
     def _one(self, unit: str) -> None:
         a, b = self.pair.alone(unit)
@@ -192,7 +217,7 @@ class Units:
             return
         lead = [0 if u[0] in " \n" else 1 for u in units]
         text = " x" + "".join("\n" + u if k else u for u, k in zip(units, lead))
-        a, b = self.pair.a.encode(text, add_special_tokens=False).ids, self.pair.b.encode(text[1:])
+        a, b = self.pair.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.pair.b.encode(text[1:])
         if not self.pair.same(text, a, b):
             self._many(units[:len(units) // 2])
             self._many(units[len(units) // 2:])
@@ -210,15 +235,20 @@ class Units:
             raise ValueError("a token goes over the end of a unit")
         self._put(units, *kept, ends)
 
-    def codes(self, text: str) -> np.ndarray:
-        """The units of ``text`` as numbers."""
-        units = _UNITS.findall(text) if self.pair.cuts else [text]
-        new = set(units).difference(self.index)
-        if new:
-            odd = [u for u in new if len(u) > 1000 or not _FIRM(u[-1])]
-            for u in odd:
-                self._one(u)
-            self._many(list(new.difference(odd)))
+    def cut(self, text: str) -> list[str]:
+        return _UNITS.findall(text) if self.pair.cuts else [text]
+
+    def learn(self, units: set[str]) -> None:
+        """Aligns the units that the table doesn't hold."""
+        new = units.difference(self.index)
+        odd = [u for u in new if len(u) > 1000 or not _FIRM(u[-1])]
+        for u in odd:
+            self._one(u)
+        if new := list(new.difference(odd)):
+            self._many(new)
+
+    def codes(self, units: list[str]) -> np.ndarray:
+        """The units as numbers, all of which the table holds."""
         return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
 
     def whole(self, text: str) -> np.ndarray:
@@ -237,33 +267,67 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def aligned(units: Units, text: str | None, flush) -> Iterator[np.ndarray]:
-    """The numbers of a text's units, piece by piece; none if the text has no
-    tokens.  ``flush`` is called before the table is cleared."""
-    if not text:
-        return
-    text = " " + text
-    cut = list(pieces(text)) if len(text) > PIECE_CHARS and units.pair.cuts else [text]
-    # a text of several pieces is looked through first, since one bad unit decides on all of it
-    for dry in ([True, False] if len(cut) > 1 else [False]):
-        for piece in cut:
-            if units.full():
-                flush()
-                units.clear()
-            codes = units.codes(piece)
-            if (units.numbers[codes, 0] < 0).any():
-                codes = units.whole(text)
-                if units.numbers[codes[0], 0] >= 0:
-                    yield codes
-                return
-            if not dry:
-                yield codes
+def aligned(units: Units, texts: list[str | None], flush) -> Iterator[tuple[int, np.ndarray]]:
+    """``(place of the text, numbers of its units)``, a piece of a text at a time;
+    texts without tokens don't come.  The numbers hold until the next is asked
+    for; ``flush`` is called before the table is cleared."""
+    def room() -> None:
+        if units.full():
+            flush()
+            units.clear()
+
+    def given(at: int, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        np.add.at(units.times, codes, 1)
+        yield at, codes
+
+    def decided(at: int, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        """A part of the text is not spelled by its tokens: the whole decides."""
+        codes = units.whole(text)
+        if units.numbers[codes[0], 0] >= 0:
+            yield from given(at, codes)
+
+    def together(group: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray]]:
+        room()
+        cut = [units.cut(t) for _, t in group]
+        units.learn(set().union(*cut))
+        for (at, text), parts in zip(group, cut):
+            codes = units.codes(parts)
+            yield from decided(at, text) if (units.numbers[codes, 0] < 0).any() else given(at, codes)
+
+    def by_piece(at: int, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        for dry in (True, False):                                 # looked through first, since one bad unit decides on all of it
+            for piece in pieces(text):
+                room()
+                parts = units.cut(piece)
+                units.learn(set(parts))
+                codes = units.codes(parts)
+                if (units.numbers[codes, 0] < 0).any():
+                    yield from decided(at, text)
+                    return
+                if not dry:
+                    yield from given(at, codes)
+
+    group, size = [], 0
+    for at, text in enumerate(texts):
+        if not text:
+            continue
+        text = " " + text
+        if len(text) > PIECE_CHARS and units.pair.cuts:
+            yield from by_piece(at, text)
+            continue
+        group.append((at, text))
+        size += len(text)
+        if size >= PIECE_CHARS:
+            yield from together(group)
+            group, size = [], 0
+    if group:
+        yield from together(group)
 
 
 @lru_cache(maxsize=1)
-def table_of(a_path: str, b_path: str) -> Units:
+def table_of(a_path: str, b_path: str, shown: bool) -> Units:
     """One table for each worker, kept between tasks."""
-    return Units(Pair(a_path, b_path))
+    return Units(Pair(a_path, b_path), shown)
 
 
 _COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
@@ -272,24 +336,20 @@ _COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 def linked_pairs(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``key, n``: how often pairs are linked, summed as far as a task's table goes (a key may come again)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts, done = table_of(a_path, b_path), np.zeros(UNITS, np.int64), []
+        units, done = table_of(a_path, b_path, False), []
+        units.times[:] = 0
 
         def flush() -> None:
-            nonlocal counts
             n = len(units)
-            times = np.repeat(counts[:n], np.diff(units.start[:n + 1]))
+            times = np.repeat(units.times[:n], np.diff(units.start[:n + 1]))
             keys, at = np.unique(units.links[:units.start[n]][times > 0], return_inverse=True)
             total = np.zeros(len(keys), np.int64)
             np.add.at(total, at, times[times > 0])
             done.append(pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], schema=_COUNTS))
-            counts = np.zeros(max(UNITS, n), np.int64)
 
         for batch in slices(batches):
-            for text in batch.column(0):
-                for codes in aligned(units, text.as_py(), flush):
-                    if len(units) > len(counts):
-                        counts = np.concatenate([counts, np.zeros(len(units), np.int64)])
-                    np.add.at(counts, codes, 1)
+            for _ in aligned(units, batch.column(0).to_pylist(), flush):
+                pass
             yield from done
             done.clear()
         flush()
@@ -441,7 +501,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     out, with_rare = to_arrow_schema(spark.createDataFrame([], schema).schema), rare is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, held = table_of(a_path, b_path), Lookup(lookup.value)
+        units, held = table_of(a_path, b_path, True), Lookup(lookup.value)
         best = sums = None
         missing: dict[int, list[int]] = {}
         known = 0
@@ -467,32 +527,26 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 best, sums, known = np.concatenate([best, add_best]), np.concatenate([sums, add_sum]), n
 
         flush()
-        rows, size, part, seen = [], 0, TaskContext.get().partitionId(), 0
+        part, seen = TaskContext.get().partitionId() << 40, 0
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                numbers, n_best, total, groups, rest = np.zeros(3, np.int64), 0, 0, [], {}
-                for codes in aligned(units, text.as_py(), flush):
-                    grow()
-                    numbers += units.numbers[codes].sum(axis=0)
-                    n_best += int(best[codes].sum())
-                    total += int(sums[codes].sum())
-                    groups.append(";".join(map(units.text.__getitem__, codes.tolist())))
-                    if missing:
-                        for u in codes[np.isin(codes, list(missing))].tolist():
-                            for k in missing[u]:
-                                rest[k] = rest.get(k, 0) + 1
-                shown_ = ";".join(groups)
-                row = (doc_id, *numbers.tolist(), int(numbers[2]), n_best, total, shown_)
-                if with_rare:
-                    row += ((part << 40) + seen, [{"key": k, "times": v} for k, v in rest.items()])
-                    seen += 1
-                rows.append(row)
-                size += len(shown_)
-                if size > 4 << 20:
-                    yield _batch(rows, out)
-                    rows, size = [], 0
-            yield _batch(rows, out)
-            rows, size = [], 0
+            ids = batch.column(0).to_pylist()
+            numbers, texts, rests = np.zeros((len(ids), 5), np.int64), [""] * len(ids), [{} for _ in ids]
+            for row, codes in aligned(units, batch.column(1).to_pylist(), flush):
+                grow()
+                numbers[row, :3] += units.numbers[codes].sum(axis=0)
+                numbers[row, 3:] += best[codes].sum(), sums[codes].sum()
+                groups = ";".join(map(units.text.__getitem__, codes.tolist()))
+                texts[row] = f"{texts[row]};{groups}" if texts[row] else groups
+                if missing:
+                    for u in codes[np.isin(codes, list(missing))].tolist():
+                        for k in missing[u]:
+                            rests[row][k] = rests[row].get(k, 0) + 1
+            a, b, g, n_best, total = numbers.T
+            columns = [ids, a, b, g, g, n_best, total, texts]
+            if with_rare:
+                columns += [np.arange(part + seen, part + seen + len(ids)), [[{"key": k, "times": v} for k, v in r.items()] for r in rests]]
+                seen += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types)], schema=out)
 
     bound_batches(spark)
     found = src.mapInArrow(run, schema)
@@ -506,8 +560,3 @@ def _with_rare(found: DataFrame, rare: DataFrame) -> DataFrame:
     return (found.drop("rare").join(more, "row", "left")
             .withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0)))
             .withColumn("count_sum", F.col("count_sum") + F.coalesce("more_sum", F.lit(0))).drop("row", "more_best", "more_sum"))
-
-
-def _batch(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(out)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types)], schema=out)

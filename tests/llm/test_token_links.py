@@ -87,10 +87,11 @@ def test_small_tables_pieces_and_shards(spark, libraries, monkeypatch):
     token_links.table_of.cache_clear()
     units, done = token_links.Units(token_links.Pair(A, B)), []
     assert units.pair.cuts
-    for t, w in zip(texts, want):
-        got = [";".join(units.text[c] for c in codes) for codes in token_links.aligned(units, t, lambda: done.append(1))]
-        assert ";".join(got) == w[-1]
-    assert done
+    got = {}
+    for at, codes in token_links.aligned(units, texts + [None, ""], lambda: done.append(1)):
+        got[at] = ";".join([*([got[at]] if at in got else []), *(units.text[c] for c in codes)])
+    assert [got.get(i, "") for i in range(len(texts) + 2)] == [w[-1] for w in want] + ["", ""]
+    assert len(done) > 10
     pairs = spark.createDataFrame([(k << 32 | j % 97, k % 5 + 1) for j, k in enumerate([*range(3000)] * 3)], "key long, n long").repartition(6)
     got = token_links.as_rows(token_links.count_vectors(pairs, shard_pairs=200, vector_rows=40)).toPandas()
     want = pairs.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
