@@ -103,7 +103,8 @@ class Limits:
         self.prefix_rows_per_partition = 500_000    # range partition size of the distributed form
         self.knn_local = 20_000                     # neighbour candidates kept as a broadcast matrix
         self.knn_block = 2048                       # rows per block of the distributed search
-        self.query_block = 1_000                    # top-k queries held by one row
+        self.query_block = 1_000                    # top-k queries compared at once
+        self.index_block = 4_096                    # items of a block of the vector index
 
     def small(self) -> None:
         self.quantile_max_candidates = 50
@@ -115,6 +116,7 @@ class Limits:
         self.knn_local = 0
         self.knn_block = 64
         self.query_block = 3
+        self.index_block = 64
 
 
 LIMITS = Limits()
