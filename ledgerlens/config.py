@@ -50,6 +50,8 @@ SAMPLE_CAP = 1000
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 RETRIEVAL_K = 5
+PAGE_RETRIEVAL_K = 4
+COLLECTION_NAME = "transactions"
 PREVIEW_ROWS = 10
 ALERT_ROWS = 10
 TOP_CATEGORIES = 5

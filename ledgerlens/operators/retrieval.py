@@ -1,33 +1,34 @@
-"""Retrieval corpus (RET-1..9): rows rendered as documents, chunked, embedded,
-searched top-k, and packed into a prompt.
+"""Retrieval corpus (RET-1..9): rows rendered as documents, chunked, searched
+top-k, and packed into a prompt.
 
 Rendering and fixed-window chunking are column expressions (``concat``,
-``sequence`` + ``posexplode`` + ``substring``) over whole texts.  The
-separator-aware splitter is a small per-document helper run through an
-Arrow-batched pandas UDF.  Nearest-neighbour search takes the queries in
-blocks, ranks ids and distances only, and the per-query top-k is a
-``row_number() <= k`` filter, which Spark plans as a partial
-``WindowGroupLimit`` before the shuffle: only k candidates per query and
-partition are moved; texts are joined to the hits."""
+``sequence`` + ``posexplode`` + ``substring``) over whole texts.  The recursive
+splitter is a small per-document helper run through an Arrow-batched pandas UDF.
+Texts are searched by shared terms in an inverted index (``text_index``), given
+vectors by one pass for few queries and in an index of cells for many
+(``vector_index``)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import config as C
 from ..functions.partitioning import ensure_parallelism
 from ..config import LIMITS
 from ..functions.columns import id_type
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from .stats import py_ts_text
-
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
+from .text_index import TextIndex
+from .vector_index import VectorIndex
 
 # --- rendering -----------------------------------------------------------
 
@@ -110,30 +111,56 @@ def chunk_fixed(df: DataFrame, id_col: str, text_col: str, size: int = C.CHUNK_S
                     F.expr(f"substring(`{text_col}`, _i * {step} + 1, {size})").alias("chunk")))
 
 
+def _ends(text: str, lo: int, hi: int, separator: str) -> list[int]:
+    """Ends of the pieces of ``text[lo:hi]``; a piece after the first begins with the separator."""
+    if not separator:
+        return list(range(lo + 1, hi + 1))
+    out, at = [], text.find(separator, lo, hi)
+    while at >= 0:
+        if at > lo:
+            out.append(at)
+        at = text.find(separator, at + len(separator), hi)
+    return [*out, hi]
+
+
+def _merged(start: int, ends: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring pieces joined as long as ``size`` allows.  A chunk begins with
+    as many whole pieces of the one before as ``overlap`` and its next piece allow."""
+    starts, first = [start, *ends[:-1]], 0
+    for i, end in enumerate(ends):
+        if i > first and end - starts[first] > size:
+            yield starts[first], ends[i - 1]
+            while first < i and (starts[i] - starts[first] > overlap or end - starts[first] > size):
+                first += 1
+    yield starts[first], ends[-1]
+
+
+def _chunk_spans(text: str, lo: int, hi: int, size: int, overlap: int, separators: Sequence[str]) -> Iterator[tuple[int, int]]:
+    level = next((n for n, s in enumerate(separators) if not s or text.find(s, lo, hi) >= 0), len(separators) - 1)
+    finer, run, start, at = separators[level + 1:], [], lo, lo
+    for end in _ends(text, lo, hi, separators[level]):
+        if end - at < size:
+            run.append(end)
+        else:                                                       # too long: split by the next separators
+            if run:
+                yield from _merged(start, run, size, overlap)
+            yield from _chunk_spans(text, at, end, size, overlap, finer) if finer else [(at, end)]
+            run, start = [], end
+        at = end
+    if run:
+        yield from _merged(start, run, size, overlap)
+
+
 def split_recursive(text: str | None, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
                     separators: Sequence[str] = tuple(C.SPLIT_SEPARATORS)) -> list[str]:
-    """Separator-aware chunks of at most ``size`` characters, without the white
-    space around them; blank chunks are left out.
-
-    A chunk that does not reach the end of the text ends before the last place
-    of the best separator it holds (separators come best first; the empty one
-    allows a cut anywhere).  The next chunk starts at the first place of the
-    best separator within the last ``overlap`` characters, or at the cut."""
-    out: list[str] = []
-    start, n = 0, len(text or "")
-    while start < n:
-        end = min(n, start + size)
-        if end < n:
-            places = (text.rfind(s, start + 1, end) if s else end for s in separators)
-            end = next((p for p in places if p > start), end)
-        if piece := text[start:end].strip():
-            out.append(piece)
-        if end == n:
-            break
-        back = max(start + 1, end - overlap)
-        starts = (text.find(s, back, end) if s else end for s in separators)
-        start = next((p for p in starts if p >= back), end)
-    return out
+    """Chunks by the recursive rule: a text is cut before each place of the first
+    separator that it holds (the empty one cuts everywhere); pieces shorter than
+    ``size`` are merged with their neighbours up to ``size``, whole pieces of up to
+    ``overlap`` characters being repeated in the next chunk; a longer piece is cut
+    by the separators that follow.  Chunks lose the white space around them, blank
+    ones are left out; a null text has none."""
+    spans = _chunk_spans(text, 0, len(text), size, overlap, separators) if text else ()
+    return [piece for a, b in spans if (piece := text[a:b].strip())]
 
 
 def chunk_recursive(df: DataFrame, id_col: str, text_col: str, size: int = C.CHUNK_SIZE,
@@ -151,20 +178,6 @@ def chunk_recursive(df: DataFrame, id_col: str, text_col: str, size: int = C.CHU
 
 # --- vectors -------------------------------------------------------------
 
-def letter_embedding(text: Column) -> Column:
-    """Stand-in text embedder (the reference leaves its embedder unset):
-    relative frequency of the letters a..z in the lower-cased text."""
-    low = F.lower(text)
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    return F.array(*[((F.length(low) - F.length(F.replace(low, F.lit(ch), F.lit("")))) / n) for ch in LETTERS])
-
-
-def sq_l2(a: Column, b: Column) -> Column:
-    """Squared euclidean distance of two equal-length arrays, in double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
 def centroid(df: DataFrame, vec_col: str, group_col: str | None = None) -> DataFrame:
     """Mean vector (per group): element-wise average through posexplode and a
     grouped average (partial aggregation), reassembled in position order."""
@@ -180,24 +193,22 @@ def top_k(items: DataFrame, item_id: str | Sequence[str], vec_col: str, queries:
           carry: Sequence[str] = (), query_carry: Sequence[str] = ()) -> DataFrame:
     """RET-5/6: the k nearest items (squared L2, ties by item id) per query.
 
-    Queries travel in blocks, one row for each ``LIMITS.query_block`` of them,
-    so the items are read once for a block.  Only ids and distances are ranked
-    (``row_number() <= k`` is limited before the shuffle); the k hits are
-    stored, and what ``carry`` and ``query_carry`` name is joined to them."""
+    Up to ``LIMITS.query_block`` queries are held by every task, which reads its
+    items once and passes on k hits for each query; more queries are searched in
+    an index (``vector_index``) built for them.  Items and queries without a
+    vector, or with one of another length, have no hits.  What ``carry`` and
+    ``query_carry`` name is joined to the stored hits."""
     ids = [item_id] if isinstance(item_id, str) else list(item_id)
-    blocks = max(1, -(-queries.count() // LIMITS.query_block))
-    packed = (queries.groupBy(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block"))
-              .agg(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(query_vec).alias("v"))).alias("_queries")))
-    pairs = items.select(*ids, vec_col).crossJoin(packed.select("_queries")).select(
-        *ids, vec_col, F.explode("_queries").alias("_q"))
-    scored = pairs.select(F.col("_q.id").alias(query_id), *ids, sq_l2(F.col(vec_col), F.col("_q.v")).alias("distance"))
-    w = Window.partitionBy(query_id).orderBy("distance", *ids)
-    hits = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    asked = queries.select(query_id, F.col(query_vec).cast("array<double>").alias("_q"))
+    held = asked.limit(LIMITS.query_block + 1).collect()
+    if len(held) > LIMITS.query_block:
+        path = scratch_path(items.sparkSession, "vector-index")
+        hits = VectorIndex.build(items.select(*ids, vec_col), ids, vec_col, path).search(asked, query_id, "_q", k)
+    else:
+        hits = _scan(items.select(*ids, F.col(vec_col).cast("array<double>").alias("_v")), ids, asked.schema[query_id], held, k)
     if carry or query_carry:
         # stored, so that the planner knows how few hits there are before it joins texts to them
-        path = scratch_path(items.sparkSession, "hits")
-        hits.write.parquet(path)
-        hits = items.sparkSession.read.schema(hits.schema).parquet(path)
+        hits = stored(hits, "hits")
     if carry:
         hits = items.select(*ids, *carry).join(hits, ids)
     if query_carry:
@@ -205,6 +216,51 @@ def top_k(items: DataFrame, item_id: str | Sequence[str], vec_col: str, queries:
     return hits.select(query_id, *query_carry, *ids, *carry, "distance", "rank")
 
 
+def _scan(items: DataFrame, ids: list[str], query_field: T.StructField, queries: list, k: int) -> DataFrame:
+    """The k nearest of each task's items to each of a few queries, then of all."""
+    spark = items.sparkSession
+    usable = [(n, np.array(r["_q"], np.float64)) for n, r in enumerate(queries) if r["_q"] is not None and None not in r["_q"]]
+    names = spark.createDataFrame([(n, r[0]) for n, r in enumerate(queries)], T.StructType([T.StructField("_n", T.IntegerType()), T.StructField(query_field.name, query_field.dataType)]))
+    kinds = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in ids)
+    schema = f"_n int, {kinds}, distance double"
+    out = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def order(hit: tuple) -> tuple:
+        return hit[-1], *((v is not None, v) for v in hit[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple]] = {n: [] for n, _ in usable}
+        for b in batches:
+            vec, keys = b.column("_v"), [b.column(c) for c in ids]
+            sizes = pc.list_value_length(vec)
+            for n, q in usable:
+                there = np.flatnonzero(pc.fill_null(pc.equal(sizes, len(q)), False).to_numpy(zero_copy_only=False))
+                if not len(there):
+                    continue
+                x = vec.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), len(q))
+                d = ((x - q) ** 2).sum(axis=1)                      # NaN for what has no distance
+                limit = min(np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf, best[n][-1][-1] if len(best[n]) == k else np.inf)
+                near = np.flatnonzero(np.isfinite(d) & ((d <= limit) | np.isnan(limit)))
+                new = zip(*(c.take(pa.array(there[near])).to_pylist() for c in keys), d[near].tolist())
+                best[n] = sorted([*best[n], *new], key=order)[:k]
+        rows = [(n, *hit) for n, hits in best.items() for hit in hits]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(out), out.types)], schema=out)
+
+    hits = ensure_parallelism(items).mapInArrow(run, schema)
+    w = Window.partitionBy("_n").orderBy("distance", *ids)
+    hits = hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    return hits.join(F.broadcast(names), "_n").select(query_field.name, *ids, "distance", "rank")       # query_block rows
+
+
+def search_texts(docs: DataFrame, ids: Sequence[str], text_col: str, queries: DataFrame, query_id: str, query_text: str, k: int = C.RETRIEVAL_K) -> DataFrame:
+    """RET-5..7 on texts: ``query_id, query_text, ids..., text_col, score, rank`` of
+    each query's k best rows, by the terms that they share (``text_index``)."""
+    spark = docs.sparkSession
+    index = TextIndex.build(docs.select(*ids, text_col), ids, text_col, scratch_path(spark, "text-index"))
+    hits = index.search(queries, query_id, query_text, k).withColumnRenamed("text", text_col)
+    return hits.join(queries.select(query_id, query_text).dropDuplicates([query_id]), query_id).select(query_id, query_text, *ids, text_col, "score", "rank")
+
+
 def pack_prompt(hits: DataFrame, query_id: str, query_text: str, content_col: str,
                 template: str = C.QA_PROMPT) -> DataFrame:
     """RET-7: the k contents in rank order joined by a blank line ("stuff"),

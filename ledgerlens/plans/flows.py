@@ -83,10 +83,8 @@ def full_run(source: DataFrame | str, row_id: str = "transaction_id", questions=
     texts = RT.row_text(docs.select("row_id", F.col("page_content").alias("content")), "row_id",
                         text_columns=["content"])
     chunks = RT.chunk_recursive(texts, "row_id", "text")
-    qdf = spark.createDataFrame(list(enumerate(questions)), "query_id int, query string") \
-        .withColumn("qvec", RT.letter_embedding(F.col("query")))
-    hits = RT.top_k(chunks.withColumn("vec", RT.letter_embedding(F.col("chunk"))), ["row_id", "chunk_no"], "vec",
-                    qdf, "query_id", "qvec", carry=["chunk"], query_carry=["query"])
+    qdf = spark.createDataFrame(list(enumerate(questions)), "query_id int, query string")
+    hits = RT.search_texts(chunks, ["row_id", "chunk_no"], "chunk", qdf, "query_id", "query")
     prompts = RT.pack_prompt(hits, "query_id", "query", "chunk")
     report = R.text_report(predictions)
     summary = R.final_summary(report, risk, records)
