@@ -194,30 +194,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _shrunk(ev: DataFrame, head: str, base: float) -> DataFrame:
-    """Rates of the paths: ``host, path, rate_<head>`` by grouped aggregation."""
-    p = 1 / (1 + F.exp(-(F.col(f"ev_{head}") + _logit(base))))
-    paths = ev.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    every = hosts.agg(F.sum("hn").alias("gn"), F.sum("hs").alias("gs"), F.count("*").alias("gm"))
-    pi = (F.col("gs") + base) / (F.col("gn") + 1)
-
-    def strength(n, s, rate, groups, total):
-        """Prior strength: rate (1 - rate) over the variance between sites beyond sampling noise."""
-        within = rate * (1 - rate)
-        spread = F.sum(n * F.pow(s / n - rate, 2)) / F.first(total) - F.first(within) * F.first(groups) / F.first(total)
-        return F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.first(within) / F.greatest(spread, F.lit(1e-9)) - 1))
-
-    one = every.select("gn", "gm", pi.alias("pi"))                                 # one row
-    k_host = hosts.crossJoin(F.broadcast(one)).agg(strength(F.col("hn"), F.col("hs"), F.col("pi"), F.col("gm"), F.col("gn")).alias("k_host"))
-    host_rates = (hosts.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(k_host))
-                  .select("host", ((F.col("hs") + F.col("k_host") * F.col("pi")) / (F.col("hn") + F.col("k_host"))).alias("host_rate")))
-    joined = paths.join(host_rates, "host")
-    sizes = joined.agg(F.count("*").alias("pm"), F.sum("n").alias("pn"))
-    k_path = joined.crossJoin(F.broadcast(sizes)).agg(
-        strength(F.col("n"), F.col("s"), F.col("host_rate"), F.col("pm"), F.col("pn")).alias("k_path"))
-    return joined.crossJoin(F.broadcast(k_path)).select(
-        "host", "path", ((F.col("s") + F.col("k_path") * F.col("host_rate")) / (F.col("n") + F.col("k_path"))).alias(f"rate_{head}"))
+HEADS = ("good", "toxic")
+
+
+def _soft(head: str, base: float):
+    """A document's soft count: its probability from its own evidence and the base rate."""
+    return 1 / (1 + F.exp(-(F.col(f"ev_{head}") + _logit(base))))
+
+
+def _strength(n, s, rate, groups: int, total: int):
+    """Prior strength by the method of moments: rate (1 - rate) over the variance between sites beyond sampling noise."""
+    within = F.first(rate * (1 - rate))
+    spread = F.sum(n * F.pow(s / n - rate, 2)) / total - within * groups / total
+    return F.greatest(F.lit(1.0), F.least(F.lit(1e6), within / F.greatest(spread, F.lit(1e-9)) - 1))
+
+
+def sites(ev: DataFrame, base: dict[str, float]) -> tuple[DataFrame, dict[str, float]]:
+    """Sums of the paths and their hosts, ``host, path, n, hn`` and for each head
+    ``s_<head>, hs_<head>``, and the global rates ``pi_<head>`` and prior strengths
+    ``k_host_<head>``, ``k_path_<head>`` (single numbers)."""
+    sums = store(ev.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(_soft(h, base[h])).alias(f"s_{h}") for h in HEADS)), "paths")
+    hosts = store(sums.groupBy("host").agg(F.sum("n").alias("hn"), *(F.sum(f"s_{h}").alias(f"hs_{h}") for h in HEADS)), "hosts")
+    every = hosts.agg(F.coalesce(F.sum("hn"), F.lit(0)).alias("n"), F.count("*").alias("m"), *(F.coalesce(F.sum(f"hs_{h}"), F.lit(0.0)).alias(h) for h in HEADS)).first()
+    k = {f"pi_{h}": (every[h] + base[h]) / (every["n"] + 1) for h in HEADS}
+    total = max(1, every["n"])
+    found = hosts.agg(*(_strength(F.col("hn"), F.col(f"hs_{h}"), F.lit(k[f"pi_{h}"]), every["m"], total).alias(f"k_host_{h}") for h in HEADS)).first().asDict()
+    k |= {x: v or 1.0 for x, v in found.items()}
+    joined = sums.join(hosts, "host")
+    rated = joined.select("*", *(_rate(F.col(f"hs_{h}"), F.col("hn"), k[f"k_host_{h}"], F.lit(k[f"pi_{h}"])).alias(f"hr_{h}") for h in HEADS))
+    paths = max(1, sums.count())
+    found = rated.agg(*(_strength_of_paths(h, paths, total).alias(f"k_path_{h}") for h in HEADS)).first().asDict()
+    return joined, k | {x: v or 1.0 for x, v in found.items()}
+
+
+def _strength_of_paths(head: str, groups: int, total: int):
+    """As ``_strength``; each path has its host's rate, so the noise is a mean over the paths."""
+    rate, n = F.col(f"hr_{head}"), F.col("n")
+    within = F.sum(n * rate * (1 - rate)) / total
+    spread = F.sum(n * F.pow(F.col(f"s_{head}") / n - rate, 2)) / total - within * groups / total
+    return F.greatest(F.lit(1.0), F.least(F.lit(1e6), within / F.greatest(spread, F.lit(1e-9)) - 1))
+
+
+def _rate(s, n, strength: float, prior):
+    return (s + strength * prior) / (n + strength)
+
+
+def prior(head: str, base: float, k: dict[str, float]):
+    """The rate of a row's path without the row itself, whose evidence is counted
+    once: its soft count is taken out of its path and its host."""
+    own = _soft(head, base)
+    host = _rate(F.col(f"hs_{head}") - own, F.col("hn") - 1, k[f"k_host_{head}"], F.lit(k[f"pi_{head}"]))
+    return _rate(F.col(f"s_{head}") - own, F.col("n") - 1, k[f"k_path_{head}"], host)
 
 
 def _logit_col(p):
@@ -259,10 +286,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         light = ev = store(ev, "evidence")
     light = light.select(F.col("__host").alias("host"), F.col("__path").alias("path"),
                          F.col("__ev.good").alias("ev_good"), F.col("__ev.toxic").alias("ev_toxic"))
-    rates = store(_shrunk(light, "good", base_good).join(_shrunk(light, "toxic", base_toxic), ["host", "path"])
-                  .withColumnsRenamed({"host": "__site", "path": "__site_path"}), "rates")
-    out = ev.join(rates, (F.col("__host") == F.col("__site")) & (F.col("__path") == F.col("__site_path")))
-    p_good = 1 / (1 + F.exp(-(F.col("__ev.good") + _logit_col(F.col("rate_good")))))
-    p_toxic = 1 / (1 + F.exp(-(F.col("__ev.toxic") + _logit_col(F.col("rate_toxic")))))
-    return (out.select(*own, p_good.alias("p_good"), p_toxic.alias("p_toxic"), "rate_good", "rate_toxic")
+    base = {"good": base_good, "toxic": base_toxic}
+    known, k = sites(light, base)
+    site = F.struct(*(c for c in known.columns if c not in ("host", "path"))).alias("__s")
+    known = store(known.select(F.col("host").alias("__site"), F.col("path").alias("__site_path"), site), "rates")
+    out = ev.join(known, (F.col("__host") == F.col("__site")) & (F.col("__path") == F.col("__site_path")))
+    own = [F.col(c) for c in own]
+    out = out.select(F.struct(*own).alias("__own"), "__s.*", F.col("__ev.good").alias("ev_good"), F.col("__ev.toxic").alias("ev_toxic"))
+    out = out.select("*", *(prior(h, base[h], k).alias(f"rate_{h}") for h in HEADS))
+    out = out.select("*", *((1 / (1 + F.exp(-(F.col(f"ev_{h}") + _logit_col(F.col(f"rate_{h}")))))).alias(f"p_{h}") for h in HEADS))
+    return (out.select("__own.*", "p_good", "p_toxic", "rate_good", "rate_toxic")
             .withColumn("kept", (F.col("p_good") >= threshold) & (F.col("p_toxic") < threshold)))
