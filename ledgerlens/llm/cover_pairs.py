@@ -316,17 +316,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     good = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
             & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0))
     good = F.coalesce(good, F.lit(False))
-    points = store(v.where(good).groupBy("label", "v").agg(F.min("vec_id").alias("pid"), F.count("*").alias("copies")), "points")
+    # a vector is named by 128 bits of hash, so that vectors move once, to become points
+    named = v.where(good).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(1)))
+    points = store(named.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("pid"), F.count("*").alias("copies"), F.first("v").alias("v")), "points")
     start = points.select(F.concat_ws("|", "label", F.size("v")).alias("cell"), "pid", "copies", F.col("v").cast("array<double>").alias("v"))
     cells = _cells(start.mapInArrow(_unit, _ROW), math.sqrt(2 - 2 * cosine), max_cell)
     found = store(cells.groupBy("cell").applyInArrow(_cell_links(cosine), "a long, b long, w long"), "vec-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("pid")).agg(F.sum("w").alias("w"))
     groups = components(found.where("b is not null"))
-    per_point = store(points.select("label", "v", "pid", "copies").join(counts, "pid", "left")
+    per_point = store(points.select("label", "h1", "h2", "pid", "copies").join(counts, "pid", "left")
                       .join(groups.select(F.col("node").alias("pid"), "component"), "pid", "left")
-                      .select(F.col("label").alias("l"), F.col("v").alias("pv"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                      .select(F.col("label").alias("l"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                               F.coalesce("component", "pid").alias("component_id")), "per-point")
-    good_rows = v.where(good).join(per_point, (F.col("label") == F.col("l")) & (F.col("v") == F.col("pv")))
+    good_rows = named.select("vec_id", "label", "h1", "h2").join(
+        per_point, (F.col("label") == F.col("l")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     rest = v.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good_rows.select("vec_id", "n_links", "component_id").union(rest)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

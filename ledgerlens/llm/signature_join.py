@@ -451,9 +451,28 @@ def _repeated_ids(real: DataFrame, firsts: DataFrame) -> DataFrame:
     return a.groupBy("doc_id").agg(F.min("a").alias("b")).join(a, "doc_id").where("a <> b").select("a", "b")
 
 
+#: Rows without an id are named by their text, above all ids of documents.
+_UNNAMED = 1 << 62
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents whose group has one with a smaller id.
-    Rows with null ids stay; all columns stay as they are."""
-    drop = (jaccard_groups(docs, id_col=id_col, text_col=text_col, **how).where("component_id <> doc_id")
-            .select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(sized(store(drop, "drop")), F.col(id_col) == F.col("__drop"), "left_anti")
+    """One row of each group of ``docs``: the document with the smallest id.
+
+    Rows that repeat an id are one document; the row with the smallest hash of its
+    values stays.  Rows without an id take part by their text: they stay only if
+    no document with an id is in their group, and then one of them does; those
+    without words are linked with nothing and stay.  All columns stay as they are."""
+    named = F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(_UNNAMED) + F.pmod(F.xxhash64(text_col), F.lit(_UNNAMED >> 1)))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), named))
+    groups = store(jaccard_groups(keyed.select("__key", text_col), id_col="__key", text_col=text_col, **how).where("doc_id is not null")
+                   .select("doc_id", "component_id"), "groups")
+    drop = store(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__drop")).distinct(), "drop")
+    kept = keyed.join(sized(drop), F.col("__key") == F.col("__drop"), "left_anti")
+    again = store(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+                  .join(drop, F.col("__again") == F.col("__drop"), "left_anti"), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(sized(again), F.col("__key") == F.col("__again"), "left_anti").select(*docs.columns)
+    several = kept.join(sized(again), F.col("__key") == F.col("__again"), "left_semi")
+    one = several.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one"))
+    return once.unionByName(one.select("one.*"))

@@ -123,7 +123,22 @@ def test_signature_join_edges(spark):
     assert S.jaccard_groups(df.limit(0), 4, 85, 100).count() == 0
     kept = S.one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 8]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 2, 3, 4, 6, 8]     # the row without an id is a copy of 6
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, versions of an id and rows without an id: one of each group stays."""
+    t = prose(1, 60)
+    rows = [(5, t, "a"), (5, t, "a"), (5, t, "b"), (9, t, "c"), (None, t, "d"), (None, t, "d"), (None, edited(t, 1, .02), "e"),
+            (None, prose(2, 50), "f"), (None, prose(2, 50), "g"), (7, None, "h"), (7, None, "h"), (8, "", "i"), (None, None, "j"), (None, " ", "k"), (None, None, "j"),
+            (3, prose(3, 40), "l"), (4, edited(prose(3, 40), 2, .02), "m")]
+    got = S.one_of_each(with_clashes(spark.createDataFrame(rows, "doc_id long, text string, extra string")), k=5, num=80, den=100)
+    kept = sorted((str(r["doc_id"]), r["text"] or "", r["extra"]) for r in got.collect())
+    assert got.columns[:3] == ["doc_id", "text", "extra"]
+    assert [x[0] for x in kept] == ["3", "5", "7", "8", "None", "None", "None", "None"]
+    assert [x for x in kept if x[0] == "5"][0][1] == t
+    assert sum(x[0] == "None" and x[1] == prose(2, 50) for x in kept) == 1
+    assert S.one_of_each(spark.createDataFrame([], EDGE_SCHEMA), k=5, num=80, den=100).count() == 0
 
 
 def test_keys_meet_for_every_linked_pair():
