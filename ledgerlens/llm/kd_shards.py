@@ -1,8 +1,10 @@
 """Sharding by a k-d tree over document metadata.
 
 Nodes are split at the distributed weighted median of their widest dimension
-until every leaf holds its share of the bytes.  The points are groups of equal
-texts (one row with a count, however many copies there are), so a tree is built
+until every leaf holds its share of the bytes.  Dimensions are the size and the
+metadata columns (language, source), coded by the rank of a value's frequency; the widest
+is the one whose bytes deviate most, as a part of its whole range.  The points are groups of equal
+texts (one row with a count, however many copies there are, and the least codes of its rows), so a tree is built
 from pre-aggregated rows.  A median is found by histograms: bytes by node and
 bin, narrowed around the crossing bin.  Only bins (a fixed number for each
 node) reach the driver.  Ties are split by the text's hash, and a group of
@@ -25,7 +27,9 @@ FEW = 1024
 SPLIT_GROUP = 0.02
 #: Rows that one task numbers for the slots.
 SLOT_ROWS = 4096
-DIMS = ("size", "n_chars", "text_crc32")
+#: Values of a metadata column with a code of their own; all rarer ones share the next.
+CODES = 1000
+SIZE = "size"
 
 
 @dataclass
@@ -35,7 +39,7 @@ class Node:
     ``share`` by the hash of the id."""
     first: int
     leaves: int
-    dim: str = DIMS[0]
+    dim: str = SIZE
     cut: tuple[int, int] = (0, 0)
     share: float = 0.0
     left: "Node | None" = None
@@ -134,14 +138,19 @@ def _finish(points: DataFrame, nodes: dict[int, Node], few: dict[int, _Range]) -
         nodes[i].cut, nodes[i].share = (v, h), share
 
 
-def _split(points: DataFrame, level: dict[int, Node]) -> None:
+def _split(points: DataFrame, level: dict[int, Node], scale: dict[str, float]) -> None:
+    """Chooses the dimension of each node of a level and cuts it there.  ``scale``: the whole range of each dimension."""
+    w = F.col("weight").cast("double")
+    moments = [f(F.col(d).cast("double")).alias(f"{k}_{d}") for d in scale for k, f in (
+        ("mean", lambda c: F.sum(w * c) / F.sum(w)), ("square", lambda c: F.sum(w * c * c) / F.sum(w)))]
     spans = {x["node"]: x for x in points.where(F.col("node").isin(list(level))).groupBy("node").agg(
-        F.sum("weight").alias("w"), *(f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max)))).collect()}
-    widest = {d: max((x[f"hi_{d}"] - x[f"lo_{d}"] for x in spans.values()), default=0) for d in DIMS}
+        F.sum("weight").alias("w"), *(f(d).alias(f"{k}_{d}") for d in scale for k, f in (("lo", F.min), ("hi", F.max))), *moments).collect()}
     ranges = {}
     for i, x in spans.items():
         node = level[i]
-        node.dim = max(DIMS, key=lambda d: ((x[f"hi_{d}"] - x[f"lo_{d}"]) / max(1, widest[d]), -DIMS.index(d)))
+        # rounded, so that sums in another order choose alike; ties go to the first dimension
+        spread = {d: round(math.sqrt(max(0.0, x[f"square_{d}"] - x[f"mean_{d}"] ** 2)) / max(1.0, scale[d]), 9) for d in scale}
+        node.dim = max(scale, key=spread.get)
         ranges[i] = _Range(x[f"lo_{node.dim}"], x[f"hi_{node.dim}"], int(x["w"]) * (node.leaves // 2) / node.leaves)
     _medians(points, level, ranges)
 
@@ -154,40 +163,60 @@ def _below(level: dict[int, Node]) -> Column:
     return out
 
 
-def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _coded(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the values of ``column`` as their frequency's rank from 0 (ties by value)."""
+    common = (rows.groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__value").limit(CODES).collect())
+    codes = rows.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(common)], "__value string, __code long")
+    return (rows.join(F.broadcast(codes), F.col(column).eqNullSafe(F.col("__value")), "left")                  # CODES rows
+            .withColumn(column, F.coalesce("__code", F.lit(CODES).cast("long"))).drop("__value", "__code"))
+
+
+def shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs``; sizes near equal.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 8; slots are gapless
     from 0 in each shard, by id within hash ranges.  Equal texts share a shard
     unless their group holds over 2 % of a shard's bytes and the median falls
     into it; then the id's hash decides.  Repeated rows are rows of their own
-    (their slots differ); null ids are rows like others.  An empty table gives
+    (their slots differ); null ids are rows like others.  ``metadata`` columns that
+    ``docs`` doesn't have are left out; a null there is a value.  An empty table gives
     no rows; with fewer rows than shards some shards are empty.
     """
+    codes = {f"code_{i}": F.col(c).cast("string") for i, c in enumerate(c for c in metadata if c in docs.columns)}
+    dims, key = [SIZE, *codes], ["text_hash", "size"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = store(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.length(text).cast("long").alias("n_chars"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_hash")), "shard-rows")
-    grouped = rows.groupBy("text_hash", *DIMS).agg(F.count("*").alias("copies"), F.sum("size").alias("weight"))
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), *(v.alias(c) for c, v in codes.items())), "shard-rows")
+    if codes:
+        coded = rows
+        for c in codes:
+            coded = _coded(coded, c)
+        rows = store(coded, "shard-coded")
+    grouped = rows.groupBy(*key).agg(F.count("*").alias("copies"), F.sum("size").alias("weight"), *(F.min(c).alias(c) for c in codes))
     points = store(grouped.withColumn("doc_id", F.lit(None).cast(rows.schema["doc_id"].dataType)), "shard-points")
     total, n = points.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     share = max(1.0, int(total) / n_shards)
     large = points.where((F.col("copies") > 1) & (F.col("weight") > SPLIT_GROUP * share))
     # at most n_shards / SPLIT_GROUP groups are large; their rows are points of their own, other groups are one point
-    apart = rows.join(F.broadcast(large.select("text_hash", *DIMS, "copies")), ["text_hash", *DIMS])
-    parts = apart.select("text_hash", *DIMS, "copies", F.col("size").alias("weight"), "doc_id")
-    points = store(points.join(F.broadcast(large.select("text_hash", *DIMS)), ["text_hash", *DIMS], "left_anti")
-                   .select("text_hash", *DIMS, F.lit(1).cast("long").alias("copies"), "weight", "doc_id").union(parts), "shard-split")
+    groups = points.select(*key, *codes)
+    apart = rows.drop(*codes).join(F.broadcast(large.select(*key, *codes, "copies")), key)
+    parts = apart.select("text_hash", *dims, "copies", F.col("size").alias("weight"), "doc_id")
+    points = store(points.join(F.broadcast(large.select(*key)), key, "left_anti")
+                   .select("text_hash", *dims, F.lit(1).cast("long").alias("copies"), "weight", "doc_id").union(parts), "shard-split")
+    whole = points.agg(*(F.coalesce(F.max(d) - F.min(d), F.lit(0)).alias(d) for d in dims)).first().asDict()
     points, root = points.withColumn("node", F.lit(0)), Node(0, n_shards)
     level = {0: root} if n_shards > 1 and int(n) else {}
     while level:
-        _split(points, level)
+        _split(points, level, whole)
         for node in level.values():
             node.grow()
         points = store(points.withColumn("node", _below(level)), "shard-level")
         level = {k.first: k for node in level.values() for k in (node.left, node.right) if k.leaves > 1}
     buckets = max(1, math.ceil(int(n) / n_shards / SLOT_ROWS))
+    # a row goes where its group goes; both sides are stored, so a text held by very many rows is split by adaptive skew handling
+    if codes:
+        rows = rows.drop(*codes).join(groups, key)
     placed = rows.select("doc_id", "size", "text_crc32", "text_hash", root.shard().cast("int").alias("shard"),
                           F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     placed = store(placed, "shard-placed")
