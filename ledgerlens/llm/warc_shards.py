@@ -1,11 +1,14 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by ranges of their id (cut from an exact histogram
-of bytes, so the same rows always give the same files), sorted, and written as
+Records are dealt to shards by ranges of their id, cut from exact histograms
+of bytes: crowded bins are counted again in finer ones, down to single ids, so
+ids may lie anywhere, and the same rows always give the same files.  They are sorted, and written as
 one gzip member each.  Files roll at a compressed size.  A task writes under a
 temporary name of its own attempt and reports a manifest row; only manifest
 rows of successful attempts are stored, and the commit renames exactly those
-files.  Headers and digests are made anew from the payload.
+files and then writes the manifest.  The reader goes by the manifest alone: files that it
+doesn't name are no part of the archive, and those that it names must be there with their
+digests.  Headers and digests are made anew from the payload.
 """
 
 from __future__ import annotations
@@ -15,19 +18,24 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import store
+from .common import sized, store
 
 #: Payloads with fewer bytes are never written as revisits.
 REVISIT_BYTES = 100
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
-#: Bins of the id histogram that cuts the shards (all that reaches the driver).
+#: Bins of an id histogram that cuts the shards, at most; a few of them reach the driver one after the other.
 ID_BINS = 16384
+#: Ranges that are cut finer at once, so shards are at most about as many.
+MOST_SHARDS = 4096
 DATE = "1970-01-01T00:00:00Z"
 _MANIFEST = "shard int, seq int, part string, name string, records long, bytes long, sha256 string"
 
@@ -90,26 +98,65 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return head, payload
 
 
-def _shard_column(sizes: DataFrame, id_col: str, shard_bytes: int):
-    """A column with the shard of an id, and the number of shards."""
-    lo, hi, total = sizes.agg(F.min(id_col), F.max(id_col), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+def _crowded(light: DataFrame, most: int) -> list[tuple[int, int, int]]:
+    """Ranges of ids, ``(first, last, bytes)`` in order, none with more than ``most``
+    bytes but for single ids.  Null ids are not counted here.
+
+    Ids are counted by their leading bits; ranges that hold too much are counted
+    by some more bits in the next round, a grouped job over those rows alone."""
+    lo, hi = light.agg(F.min("page_id"), F.max("page_id")).first()
     if lo is None:
-        return F.lit(0), 1
-    width = -(-(hi - lo + 1) // ID_BINS)
-    bin_ = F.coalesce(F.expr(f"cast((cast({id_col} as decimal(38,0)) - ({lo})) div {width} as int)"), F.lit(0))
-    weights = sizes.groupBy(bin_.alias("bin")).agg(F.sum(F.col("n_bytes") + 512).alias("w")).orderBy("bin").collect()  # <= ID_BINS rows
-    starts, filled = [], shard_bytes
-    for r in weights:
-        if filled >= shard_bytes:
-            starts.append(r["bin"])
-            filled = 0
-        filled += r["w"]
-    table, at = [], -1
-    for b in range(ID_BINS + 1):
-        if at + 1 < len(starts) and b >= starts[at + 1]:
-            at += 1
-        table.append(max(at, 0))
-    return F.element_at(F.lit(table).cast("array<int>"), bin_ + 1), len(starts)
+        return []
+    offset = F.expr(f"cast(page_id as decimal(20,0)) - ({lo})")
+    shift, done, open_ = max(0, (hi - lo).bit_length() - (ID_BINS.bit_length() - 1)), [], None
+    while True:
+        rows = light.where("page_id is not null").withColumn("prefix", (offset / F.lit(1 << shift).cast("decimal(20,0)")))
+        rows = rows.withColumn("prefix", F.floor("prefix").cast("decimal(20,0)"))
+        if open_ is not None:
+            above = light.sparkSession.createDataFrame([(Decimal(p),) for p in open_], "parent decimal(20,0)")
+            rows = rows.withColumn("parent", F.floor(F.col("prefix") / F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(20,0)")).join(F.broadcast(above), "parent")
+        bins = [(int(r["prefix"]), int(r["w"])) for r in rows.groupBy("prefix").agg(F.sum("w").alias("w")).collect()]
+        open_ = sorted(p for p, w in bins if w > most and shift > 0)
+        again = set(open_)
+        done += [(lo + (p << shift), min(hi, lo + ((p + 1) << shift) - 1), w) for p, w in bins if p not in again]
+        if not open_:
+            return sorted(done)
+        bits = min(shift, max(1, (ID_BINS // len(open_)).bit_length() - 1))
+        shift -= bits
+
+
+def _shard_cuts(light: DataFrame, shard_bytes: int) -> tuple[list[int], list[int], int]:
+    """``(first ids, parts, parts of the null id)``: the shards' first ids, and over
+    how many shards each range's rows are dealt by their digests (1 but for single ids of very many rows)."""
+    light = light.withColumn("w", F.col("n_bytes") + 512)
+    total, nulls = light.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("page_id").isNull(), F.col("w"))), F.lit(0))).first()
+    most = max(shard_bytes, -(-int(total) // MOST_SHARDS))
+    starts, parts, filled = [], [], most
+    for first, _, w in _crowded(light, most):
+        if filled + (w if w > most else 0) >= most:
+            starts.append(first)
+            parts.append(max(1, -(-w // most)))
+            filled = w if w <= most else most
+        else:
+            filled += w
+    return starts, parts, max(1, -(-int(nulls) // most)) if nulls else 0
+
+
+def _shard_column(light: DataFrame, shard_bytes: int):
+    """A column with the shard of ``page_id`` and ``digest``, and the number of shards."""
+    starts, parts, null_parts = _shard_cuts(light, shard_bytes)
+    cuts, sizes = np.array(starts, np.int64), np.array([*parts, null_parts], np.int64)
+    firsts = np.cumsum(sizes) - sizes
+
+    @F.pandas_udf("int")
+    def shard(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        known = page_id.notna().to_numpy()
+        at = np.full(len(page_id), len(cuts))
+        at[known] = np.searchsorted(cuts, page_id[known].astype(np.int64).to_numpy(), "right") - 1
+        part = np.array([int(d[:8], 16) for d in digest], np.int64)
+        return pd.Series((firsts[at] + (part * sizes[at] >> 32)).astype(np.int32))
+
+    return shard(F.col("page_id"), F.col("digest")), max(1, int(sizes.sum()))
 
 
 def write(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -132,7 +179,7 @@ def write(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str
     # stored, so that its size decides whether payloads must move for the join
     revisits = store(light.join(first, "digest").where("page_id > refers_to")
                      .select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct(), "warc-revisits")
-    shard, n_shards = _shard_column(light, "page_id", shard_bytes)
+    shard, n_shards = _shard_column(light, shard_bytes)
     dealt = (rows.join(revisits, (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
              .select("page_id", "url", "payload", "digest", "refers_to", shard.alias("shard"))
              .repartitionById(n_shards, "shard").sortWithinPartitions("shard", "page_id", "url", "digest"))
@@ -192,16 +239,27 @@ def write(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str
 
 def read(spark: SparkSession, out_dir: str) -> DataFrame:
     """The records of committed archives: ``page_id, url, record_type, refers_to,
-    payload_bytes, payload_digest, payload`` (null for revisits).  Digests and
-    lengths are checked; a damaged record raises."""
+    payload_bytes, payload_digest, payload`` (null for revisits).
+
+    The manifest says which files are read.  A folder without a manifest, a file
+    that is missing and one with another digest or length raise an error, and so does a damaged
+    record; other files in the folder are left alone."""
+    manifest = store(spark.read.schema(_MANIFEST).json(f"{out_dir}/_manifest").select("name", "records", "bytes", "sha256"), "warc-read")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out_dir).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    missing = manifest.join(found.select("name"), "name", "left_anti").limit(3).collect()
+    if missing:
+        raise FileNotFoundError(f"{out_dir}: files of the manifest are missing: {', '.join(r['name'] for r in missing)}")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows, held = [], 0
-                for raw in members(content.as_buffer()):
+            for content, name, records, size, sha256 in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
+                rows, held, seen, data = [], 0, 0, content.as_buffer()
+                if len(data) != size or hashlib.sha256(data).hexdigest() != sha256:
+                    raise ValueError(f"{name} is not the file of the manifest")
+                for raw in members(data):
+                    seen += 1
                     head, payload = parse(raw)
                     page, to, kind = head.get("X-Page-Id"), head.get("X-Refers-To-Page-Id"), head["WARC-Type"]
                     rows.append((int(page) if page is not None else None, head.get("WARC-Target-URI"), kind, int(to) if to is not None else None,
@@ -211,9 +269,12 @@ def read(spark: SparkSession, out_dir: str) -> DataFrame:
                     if held > 16 << 20:
                         yield _batch(rows, schema)
                         rows, held = [], 0
+                if seen != records:
+                    raise ValueError(f"{name} holds {seen} records, the manifest says {records}")
                 yield _batch(rows, schema)
 
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out_dir).select("content"))
+    # the files stay where they are, if the manifest is not very long
+    files = found.select("name", "content").join(sized(manifest), "name").select("content", "name", "records", "bytes", "sha256")
     return files.mapInArrow(read_task, "page_id long, url string, record_type string, refers_to long, "
                                        "payload_bytes long, payload_digest string, payload binary")
 

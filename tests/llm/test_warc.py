@@ -75,6 +75,53 @@ def test_empty_table(spark):
     assert W.read(spark, out).count() == 0
 
 
+def test_one_far_id_and_a_hot_id(spark):
+    """Shards are near equal wherever the ids lie; an id of very many rows is dealt over shards."""
+    rows = spark.range(20_000).select(F.when(F.col("id") == 0, F.lit(1 << 62)).otherwise(F.col("id") * 3 - 500).alias("page_id"), F.lit("u").alias("url"),
+                                      F.concat(F.col("id").cast("string"), F.repeat(F.md5(F.col("id").cast("string")), 3)).alias("html"))
+    hot = spark.range(6000).select(F.lit(77).cast("long").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("hot"), F.md5(F.col("id").cast("string"))).alias("html"))
+    nulls = hot.withColumn("page_id", F.lit(None).cast("long"))
+    for df, most in ((rows, 900), (rows.union(hot).union(nulls), 1200)):
+        out = scratch_path(spark, "warc")
+        per = W.write(df, out, shard_bytes=500_000).groupBy("shard").agg(F.sum("records").alias("n")).collect()
+        assert len(per) > 20 and max(r["n"] for r in per) < most
+        assert W.read(spark, out).count() == df.count()
+
+
+def test_the_reader_goes_by_the_manifest(spark):
+    def written():
+        out = scratch_path(spark, "warc")
+        W.write(spark.createDataFrame(PAGES, SCHEMA), out, shard_bytes=1500, roll_bytes=400)
+        return out, *W._fs(out)
+
+    out, fs, root = written()
+    names = sorted(_files(out))
+    with fs.open_output_stream(f"{root}/stray.warc.gz", compression=None) as f:
+        f.write(gzip.compress(W.record(999, "u", b"x", hashlib.sha256(b"x").hexdigest(), None)))
+    assert W.read(spark, out).count() == len(PAGES)                    # a stray file is no part of the archive
+    fs.delete_file(f"{root}/{names[0]}")
+    with pytest.raises(FileNotFoundError):
+        W.read(spark, out)
+    out, fs, root = written()
+    data = bytearray(fs.open_input_stream(f"{root}/{names[1]}", compression=None).read())
+    data[len(data) // 2] ^= 1
+    with fs.open_output_stream(f"{root}/{names[1]}", compression=None) as f:
+        f.write(bytes(data))
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        W.read(spark, out).count()
+    out, fs, root = written()
+    fs.delete_dir(f"{root}/_manifest")                                 # a crash between the renames and the manifest
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        W.read(spark, out)
+
+
+def test_very_long_text(spark):
+    out = scratch_path(spark, "warc")
+    W.write(spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000)], SCHEMA), out)
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"]) for r in W.read(spark, out).collect()}
+    assert got == {1: ("response", 6_000_000), 2: ("revisit", 6_000_000)}
+
+
 def test_manifest_is_kept(spark):
     out = scratch_path(spark, "warc")
     W.write(spark.createDataFrame(PAGES, SCHEMA), out)
