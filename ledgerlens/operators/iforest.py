@@ -7,9 +7,8 @@ group of at most psi rows (Liu, Ting, Zhou 2008: random feature, uniform
 split, height limit ceil(log2 psi)).  No step sees more than the pool, so
 training cost does not grow with the table beyond one filtered scan.
 
-Scoring: the node table (trees * (2 psi - 1) rows at most, a fixed bound) is
-a broadcast variable; ``mapInPandas`` walks all trees for a batch of rows
-with numpy.  score = -2^(-E[h] / c(psi)), lower is more anomalous; the
+Scoring: the node table (trees * (2 psi - 1) rows at most, a fixed bound) becomes
+an MLlib forest (``forest``), which walks the trees on the JVM.  score = -2^(-E[h] / c(psi)), lower is more anomalous; the
 threshold is the exact ``contamination`` quantile of the training scores."""
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from .. import config as C
 from ..functions.partitioning import ensure_parallelism
 from ..session import ensure_checkpoint_dir
 from ..functions.quantiles import exact_quantiles
+from .forest import regression_forest
 
 EULER = 0.5772156649
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -83,6 +85,7 @@ class IForestModel:
     contamination: float = C.IFOREST_CONTAMINATION_AGENT
     train_scores: DataFrame | None = None      # checkpointed scores of the training frame
     train_frame: DataFrame | None = None
+    forest: RandomForestRegressionModel | None = None   # the nodes as an MLlib model, made when first needed
 
 
 def train_iforest(X: DataFrame, features: list[str], row_id: str, n_trees: int = C.IFOREST_TREES,
@@ -128,60 +131,49 @@ def train_iforest(X: DataFrame, features: list[str], row_id: str, n_trees: int =
     return model
 
 
-def _tables(nodes: pd.DataFrame):
-    nodes = nodes.sort_values(["tree", "node"])
-    trees = sorted(nodes["tree"].unique())
-    width = int(nodes.groupby("tree")["node"].max().max()) + 1
-    shape = (len(trees), width)
-    feat = np.full(shape, -1, np.int64)
-    thr = np.zeros(shape)
-    left = np.zeros(shape, np.int64)
-    right = np.zeros(shape, np.int64)
-    leafval = np.zeros(shape)
-    tpos = {t: i for i, t in enumerate(trees)}
-    ti = nodes["tree"].map(tpos).to_numpy()
-    ni = nodes["node"].to_numpy()
-    feat[ti, ni] = np.where(nodes["leaf"].to_numpy(), -1, nodes["feature"].to_numpy())
-    thr[ti, ni] = nodes["threshold"].to_numpy()
-    left[ti, ni] = nodes["left"].to_numpy()
-    right[ti, ni] = nodes["right"].to_numpy()
-    leafval[ti, ni] = nodes["depth"].to_numpy() + c_factor(nodes["size"].to_numpy())
-    return feat, thr, left, right, leafval
+def walk(model: IForestModel, rows: np.ndarray) -> np.ndarray:
+    """Scores of a few rows by numpy, all trees level by level: what the JVM's walk is compared with."""
+    nodes = model.nodes.sort_values(["tree", "node"])
+    total = np.zeros(len(rows))
+    for _, t in nodes.groupby("tree"):
+        feature, threshold, left, right = (t[c].to_numpy() for c in ("feature", "threshold", "left", "right"))
+        feature = np.where(t["leaf"], -1, feature)
+        at = np.zeros(len(rows), np.int64)
+        while (open_ := feature[at] >= 0).any():
+            x = rows[np.arange(len(rows)), np.maximum(feature[at], 0)]
+            at = np.where(open_, np.where(x < threshold[at], left[at], right[at]), at)
+        total += _path_lengths(t)[at]
+    return -np.power(2.0, -(total / nodes["tree"].nunique()) / _scale(model))
+
+
+def _path_lengths(nodes: pd.DataFrame) -> np.ndarray:
+    return nodes["depth"].to_numpy() + c_factor(nodes["size"].to_numpy())
+
+
+def _scale(model: IForestModel) -> float:
+    return float(c_factor(np.array([model.psi]))[0]) or 1.0
+
+
+def native_forest(model: IForestModel, spark) -> RandomForestRegressionModel:
+    """The trees as an MLlib forest whose predictions are mean path lengths."""
+    if model.forest is None:
+        model.forest = regression_forest(spark, model.nodes.assign(value=_path_lengths(model.nodes)), len(model.features))
+    return model.forest
+
+
+def add_score(model: IForestModel, X: DataFrame, name: str = "score") -> DataFrame:
+    """MLU-2 as a column, ``-2^(-mean path / c(psi))``: the trees are walked on the
+    JVM, on batches and on streams.  Missing features go right, as NaN does."""
+    taken = VectorAssembler(inputCols=model.features, outputCol="__features", handleInvalid="keep").transform(X)
+    forest = native_forest(model, X.sparkSession).copy().setFeaturesCol("__features").setPredictionCol("__path")
+    score = -F.pow(F.lit(2.0), -F.col("__path") / F.lit(_scale(model)))
+    return forest.transform(taken).withColumn(name, score).drop("__features", "__path")
 
 
 def score_samples(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:
-    """MLU-2: (row id, score) with score = -2^(-mean path / c(psi))."""
-    spark = X.sparkSession
-    bc = spark.sparkContext.broadcast(_tables(model.nodes))
-    cpsi = float(c_factor(np.array([model.psi]))[0]) or 1.0
-    feats = model.features
-    rid_type = X.schema[row_id].dataType.simpleString()
-
-    def run(it):
-        feat, thr, left, right, leafval = bc.value
-        n_trees, width = feat.shape
-        ff, tt, ll, rr, vv = feat.ravel(), thr.ravel(), left.ravel(), right.ravel(), leafval.ravel()
-        base = (np.arange(n_trees) * width)[None, :]
-        for b in it:
-            if not len(b):
-                continue
-            mat = b[feats].to_numpy(dtype=np.float64)
-            node = np.zeros((len(b), n_trees), np.int64)      # all trees walked together, level by level
-            while True:
-                idx = base + node
-                f = ff[idx]
-                live = f >= 0
-                if not live.any():
-                    break
-                x = np.take_along_axis(mat, np.where(live, f, 0), axis=1)
-                node = np.where(live, np.where(x < tt[idx], ll[idx], rr[idx]), node)
-            total = vv[base + node].sum(axis=1)
-            score = -np.power(2.0, -(total / n_trees) / cpsi)
-            yield pd.DataFrame({"_rid": b["_rid"], "score": score})
-
-    out = ensure_parallelism(X.select(F.col(row_id).alias("_rid"), *feats)) \
-        .mapInPandas(run, f"_rid {rid_type}, score double")
-    return out.withColumnRenamed("_rid", row_id)
+    """MLU-2: (row id, score)."""
+    src = ensure_parallelism(X.select(F.col(row_id).alias("__rid"), *model.features))
+    return add_score(model, src).select(F.col("__rid").alias(row_id), "score")
 
 
 def detect(model: IForestModel, X: DataFrame, row_id: str) -> DataFrame:

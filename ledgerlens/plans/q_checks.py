@@ -6,13 +6,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.exprs import r6
+from ..operators import fraud as FR
 from ..operators import iforest as IF
 from ..operators import metrics as M
-from ..operators import retrieval as RT
+from ..operators import stages as ST
+from ..operators.features import FeatureState, prepare_features
+from ..operators.forest import classification_forest
+from ..session import scratch_path
 from ..sources.views import SQL_TXN, SQL_TXN_ORDERS, read_table, txn, txn_orders
 from . import flows as PL
 from . import q_ml as ML
@@ -149,6 +155,81 @@ def q_iforest_fixed_forest(spark, sf_dir):
                     (F.round("score", 9) < F.round(F.lit(offset), 9)).alias("is_anomaly"))
 
 
+#: A forest of two trees and two classes over (amount, customer_id), with class counts at each node.
+_FRAUD_NODES = pd.DataFrame([
+    (0, 0, 0, 120.0, 1, 2, 100, False, (80.0, 20.0), 0.32, 0.12), (0, 1, -1, 0.0, -1, -1, 70, True, (66.0, 4.0), 0.1077551, -1.0),
+    (0, 2, 1, 30.0, 3, 4, 30, False, (14.0, 16.0), 0.4977778, 0.05), (0, 3, -1, 0.0, -1, -1, 12, True, (3.0, 9.0), 0.375, -1.0),
+    (0, 4, -1, 0.0, -1, -1, 18, True, (11.0, 7.0), 0.4753086, -1.0),
+    (1, 0, 1, 55.0, 1, 2, 90, False, (70.0, 20.0), 0.3456790, 0.02), (1, 1, 0, 60.0, 3, 4, 50, False, (34.0, 16.0), 0.4352, 0.09),
+    (1, 2, -1, 0.0, -1, -1, 40, True, (36.0, 4.0), 0.18, -1.0), (1, 3, -1, 0.0, -1, -1, 25, True, (24.0, 1.0), 0.0768, -1.0),
+    (1, 4, -1, 0.0, -1, -1, 25, True, (10.0, 15.0), 0.48, -1.0)],
+    columns=["tree", "node", "feature", "threshold", "left", "right", "size", "leaf", "stats", "impurity", "gain"])
+
+SQL_FRAUD_WALK = SQL_TXN + """,
+p AS (SELECT transaction_id, is_fraud,
+  (CASE WHEN amount < 120 THEN 4 / 70.0 WHEN customer_id < 30 THEN 9 / 12.0 ELSE 7 / 18.0 END
+   + CASE WHEN NOT customer_id < 55 THEN 4 / 40.0 WHEN amount < 60 THEN 1 / 25.0 ELSE 15 / 25.0 END) / 2 AS probability FROM txn),
+w AS (SELECT *, cast(probability > 0.5 AS integer) AS predicted FROM p)"""
+
+
+def _fixed_fraud(spark) -> FR.FraudModel:
+    """A fraud model whose forest is fixed; its features are the raw columns (scaled by 1)."""
+    names = ["amount", "customer_id"]
+    state = FeatureState(target="is_fraud", scaler={c: (0.0, 1.0) for c in names}, feature_columns=names)
+    return FR.FraudModel(state=state, model=PipelineModel(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
+                                                                  classification_forest(spark, _FRAUD_NODES, 2)]))
+
+
+@register("fraud_fixed_scores", f"""WITH {SQL_FRAUD_WALK}
+SELECT transaction_id, round(probability, 6) AS fraud_probability, predicted AS fraud_prediction,
+       CASE WHEN probability <= 0 THEN NULL WHEN probability <= 0.3 THEN 'Low' WHEN probability <= 0.7 THEN 'Medium' ELSE 'High' END AS risk_level FROM w""")
+def q_fraud_fixed_scores(spark, sf_dir):
+    """MLS-12, 13: a forest that SQL walks."""
+    t = txn(spark, sf_dir).select("transaction_id", "customer_id", "amount", "is_fraud")
+    return FR.predict_fraud(_fixed_fraud(spark), t).select("transaction_id", r6(F.col("fraud_probability")).alias("fraud_probability"), "fraud_prediction", "risk_level")
+
+
+@register("fraud_fixed_importance", """WITH g AS (SELECT * FROM (VALUES (0, 'amount', 0.12 * 100), (0, 'customer_id', 0.05 * 30), (1, 'customer_id', 0.02 * 90), (1, 'amount', 0.09 * 50)) t(tree, feature, gain)),
+s AS (SELECT feature, sum(gain / total) AS i FROM (SELECT *, sum(gain) OVER (PARTITION BY tree) AS total FROM g) GROUP BY feature)
+SELECT feature, round(i / (SELECT sum(i) FROM s), 6) AS importance, (SELECT count(*) FROM events) AS scored FROM s""")
+def q_fraud_fixed_importance(spark, sf_dir):
+    """MLS-11: importances of the forest that scores the table."""
+    n = FR.predict_fraud(_fixed_fraud(spark), txn(spark, sf_dir)).agg(F.count("fraud_probability").alias("scored"))
+    return FR.feature_importance(_fixed_fraud(spark), spark).withColumn("importance", r6(F.col("importance"))).crossJoin(F.broadcast(n))
+
+
+@register("fraud_fixed_metrics", f"""WITH {SQL_FRAUD_WALK},
+c AS (SELECT count(*) FILTER (WHERE is_fraud = 1 AND predicted = 1) AS tp, count(*) FILTER (WHERE is_fraud = 0 AND predicted = 1) AS fp,
+             count(*) FILTER (WHERE is_fraud = 1 AND predicted = 0) AS fn, count(*) AS n, count(*) FILTER (WHERE is_fraud = predicted) AS hit FROM w)
+SELECT tp, fp, fn, round(hit / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM c""")
+def q_fraud_fixed_metrics(spark, sf_dir):
+    """MLS-6..9: the evaluation of a scored table, every row."""
+    scored_ = FR.predict_fraud(_fixed_fraud(spark), txn(spark, sf_dir)).select("is_fraud", "fraud_prediction")
+    cells = M.confusion_matrix(scored_, "is_fraud", "fraud_prediction").agg(
+        *(F.coalesce(F.sum(F.when((F.col("actual") == a) & (F.col("predicted") == p), F.col("count"))), F.lit(0)).alias(n) for n, a, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0))))
+    rep = M.classification_report(scored_, "is_fraud", "fraud_prediction").where("label = '1'").select(r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
+    acc = M.accuracy(scored_, "is_fraud", "fraud_prediction").select(r6(F.col("accuracy")).alias("accuracy"))
+    return cells.crossJoin(acc).crossJoin(rep)
+
+
+@register("pipeline_model_check", f"WITH {SQL_TXN_ORDERS}\nSELECT count(*) AS n_rows, 0 AS n_differing, 0 AS n_seen_unseen FROM txn_orders")
+def q_pipeline_model_check(spark, sf_dir):
+    """SNK-2, SNK-3: one saved pipeline holds features, scaler, forest and threshold."""
+    t = txn_orders(spark, sf_dir)
+    st = FeatureState()
+    X = prepare_features(t, st, "", keep=["transaction_id"], fit=True)
+    m = IF.train_iforest(X, st.feature_columns, "__transaction_id")
+    path = scratch_path(spark, "pipeline-model")
+    ST.anomaly_pipeline(m, st, spark).write().save(path)
+    back = PipelineModel.load(path).transform(t).select("transaction_id", "anomaly_score", "is_anomaly")
+    own = IF.detect(m, X, "__transaction_id").select(F.col("__transaction_id").alias("transaction_id"), F.col("anomaly_score").alias("own"), F.col("is_anomaly").alias("flag"))
+    # a category that the fit never saw has the code -1, whatever text it is
+    odd = [PipelineModel.load(path).transform(t.withColumn("category", F.lit(x))).select("transaction_id", F.col("anomaly_score").alias(f"s{i}")) for i, x in enumerate(("never", "ever"))]
+    unseen = odd[0].join(odd[1], "transaction_id").agg(_n(F.col("s0") != F.col("s1"), "n_seen_unseen"))
+    return (back.join(own, "transaction_id").agg(F.count("*").alias("n_rows"), _n((F.abs(F.col("anomaly_score") - F.col("own")) > 1e-12) | (F.col("is_anomaly") != F.col("flag")), "n_differing"))
+            .crossJoin(unseen))
+
+
 @register("chunk_recursive_check", """SELECT doc_id, true AS in_bounds, true AS in_order, true AS nothing_lost FROM documents
 WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""")
 def q_chunk_recursive_check(spark, sf_dir):

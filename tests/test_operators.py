@@ -98,3 +98,29 @@ def test_ingest_report_size_and_rows(spark):
     assert r["filename"] == "events.parquet" and r["rows"] == 1000
     assert abs(r["size_mb"] - os.path.getsize(path) / (1024 * 1024)) < 1e-12
     assert r["columns"] == "event_id,ts,user_id,event_type,value,props"
+
+
+def test_native_scores_equal_the_numpy_walk(spark):
+    """Scores on the JVM to 1e-12 of numpy's, with missing features and values on the thresholds."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3)).round(1)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "rid bigint, a double, b double, c double")
+    m = IF.train_iforest(df, ["a", "b", "c"], "rid", n_trees=30, subsample=64)
+    m.nodes.loc[~m.nodes["leaf"], "threshold"] = m.nodes.loc[~m.nodes["leaf"], "threshold"].round(1)
+    m.forest = None
+    odd = [(1000, float("nan"), 0.1, 0.2), (1001, None, None, None), (1002, 0.1, float("inf"), float("-inf"))]
+    rows = np.concatenate([x, np.array([[np.nan if v is None else v for v in r[1:]] for r in odd], float)])
+    got = IF.score_samples(m, df.union(spark.createDataFrame(odd, df.schema)), "rid").orderBy("rid").toPandas()
+    assert np.abs(got["score"].to_numpy() - IF.walk(m, rows)).max() < 1e-12
+    plan = IF.score_samples(m, df, "rid")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_native_scores_on_a_stream(spark, tmp_path):
+    df = spark.range(200).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    m = IF.train_iforest(df, ["a", "b"], "id", n_trees=5, subsample=32)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = IF.add_score(m, spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(60)
+    got = {r["id"]: r["score"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {r["id"]: r["score"] for r in IF.score_samples(m, df, "id").collect()} and len(got) == 200
