@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -18,6 +18,7 @@ from ..functions.columns import (first_temporal, label_column, numeric_columns,
 from ..config import LIMITS
 from ..functions.exprs import measured
 from ..functions.indexing import sorted_dictionary
+from ..session import stored
 
 
 def calendar_features(df: DataFrame, date_col: str | None = None) -> DataFrame:
@@ -82,13 +83,22 @@ def _as_label_text(c: str):
 
 
 def fit_label_encoders(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, tuple[DataFrame, int]]:
-    """FEA-4 fit: per string column, sorted distinct texts -> 0..k-1."""
+    """FEA-4 fit: per string column, sorted distinct texts -> 0..k-1.
+
+    The distinct (column, text) pairs of all columns are found in one pass and
+    stored; columns of up to ``LIMITS.dictionary_local`` texts are numbered in
+    one more, each by itself; larger ones by ranges (``sorted_dictionary``)."""
     cols = list(cols) if cols is not None else string_columns(df)
-    out = {}
-    for c in cols:
-        values = df.select(_as_label_text(c).alias("value"))
-        out[c] = sorted_dictionary(values)
-    return out
+    if not cols:
+        return {}
+    pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), _as_label_text(c).alias("value")) for c in cols)))
+    texts = stored(df.select(pairs).distinct(), "labels")
+    sizes = {r["column"]: r["n"] for r in texts.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    few = [c for c in cols if sizes.get(c, 0) <= LIMITS.dictionary_local]
+    code = (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("bigint").alias("code")
+    codes = stored(texts.where(F.col("column").isin(few)).select("column", "value", code), "label-codes") if few else None
+    return {c: (codes.where(F.col("column") == c).select("value", "code"), sizes.get(c, 0)) if c in few
+            else sorted_dictionary(texts.where(F.col("column") == c).select("value")) for c in cols}
 
 
 def apply_label_encoders(df: DataFrame, encoders: dict[str, tuple[DataFrame, int | None]],

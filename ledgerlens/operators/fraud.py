@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import training_label_column, with_row_id
 from ..functions.partitioning import ensure_parallelism
-from ..session import ensure_checkpoint_dir, path_exists
+from ..session import path_exists, stored
 from .features import FeatureState, prepare_features
 from .metrics import accuracy, classification_report, confusion_matrix, risk_band, roc_auc
 from .sampling import stratified_split, with_class_weights
@@ -50,16 +50,16 @@ def train_fraud_model(df: DataFrame, target_col: str | None = None, row_id: str
     target = target_col or training_label_column(df)
     if target is None or target not in df.columns:
         raise ValueError(C.NO_TARGET_TEXT)
-    df = with_row_id(df, row_id)
+    # every step reads the raw columns from here: the split, the dictionaries, the scaler, both parts
+    df = stored(with_row_id(df, row_id), "fraud-input")
     raw_train, raw_test = stratified_split(df, target, row_id, seed)
     state = FeatureState()
     train = prepare_features(raw_train, state, target, keep=[row_id], fit=True)
     test = prepare_features(raw_test, state, target, keep=[row_id], fit=False)
     feats = list(state.feature_columns)
     # SMOTE reads the training features several times (class counts, minority
-    # matrix, generation joins): write them once instead of re-deriving them
-    ensure_checkpoint_dir(df.sparkSession)
-    train = train.withColumn("__label", F.col("__label").cast("double")).checkpoint(eager=True)
+    # matrix, generation joins): written once, read by column
+    train = stored(train.withColumn("__label", F.col("__label").cast("double")), "fraud-train")
     rate = df.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
     if rate < C.SMOTE_GATE:
         synth = smote(train.select(f"__{row_id}", *feats, "__label"), feats, id_col=f"__{row_id}")
@@ -67,14 +67,14 @@ def train_fraud_model(df: DataFrame, target_col: str | None = None, row_id: str
     train = with_class_weights(train.select(*feats, "__label"), "__label", "__weight")
     # the forest reads its input several times (split finding, bagging):
     # materialise it once, spread over the cluster, lineage cut
-    ensure_checkpoint_dir(df.sparkSession)
-    train = ensure_parallelism(train).checkpoint(eager=True)
+    train = stored(ensure_parallelism(train), "fraud-balanced")
     model = _assembled_pipeline(feats, seed).fit(train)
     fm = FraudModel(state=state, model=model, row_id=row_id)
     # only (label, prediction, probability) of the test part, written once and
     # read by the four metrics instead of re-running features + forest for each
     pred = _score(fm, test.withColumn("__label", F.col("__label").cast("double"))) \
-        .select("__label", "fraud_prediction", "fraud_probability").checkpoint(eager=True)
+        .select("__label", "fraud_prediction", "fraud_probability")
+    pred = stored(pred, "fraud-test")
     fm.metrics = {
         "accuracy": accuracy(pred, "__label", "fraud_prediction"),
         "roc_auc": roc_auc(pred, "__label", "fraud_probability", positive=1.0),

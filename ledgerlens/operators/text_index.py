@@ -111,6 +111,23 @@ def ranked_places(texts: DataFrame, places: DataFrame, ids: Sequence[str], k: in
             .where(F.col("rank") <= k).select("__query", *ids, "key", "score", "rank"))
 
 
+def with_rest(hits: DataFrame, queries: DataFrame, query_id: str, places: DataFrame, ids: Sequence[str], k: int) -> DataFrame:
+    """``hits`` (stored, of ``ranked_places``) and, for queries with fewer than ``k``,
+    the first other places by the ids with a score of 0: a search returns ``k`` rows if there are as many."""
+    found = hits.groupBy("__query").agg(F.count("*").alias("__n"))
+    short = queries.select(F.col(query_id).alias("__query")).distinct().join(found, "__query", "left").where(F.coalesce("__n", F.lit(0)) < k).select("__query")
+    short = stored(short, "short")
+    if short.isEmpty():
+        return hits
+    # fewer than k of the first 2k places are hits
+    first = stored(places.select(*ids, "key").orderBy(*ids).limit(2 * k), "first-places")
+    rest = short.crossJoin(F.broadcast(first)).join(hits.select("__query", *ids), ["__query", *ids], "left_anti")
+    rest = rest.select("__query", *ids, "key", F.lit(0.0).alias("score"))
+    w = Window.partitionBy("__query").orderBy(F.desc("score"), *ids)
+    return (hits.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+            .select("__query", *ids, "key", "score", "rank"))
+
+
 class TextIndex:
     """The index of a table of texts below ``path``: ``postings`` sorted by bucket, ``stats``, ``places``."""
 
@@ -123,7 +140,7 @@ class TextIndex:
     @staticmethod
     def build(docs: DataFrame, ids: Sequence[str], text_col: str, path: str) -> "TextIndex":
         """Indexes every row.  Null texts and texts without a word have a place but
-        no postings, so they are never found; repeated rows are places of their own."""
+        no postings, so their score is 0; repeated rows are places of their own."""
         index = TextIndex(docs.sparkSession, path)
         docs.select(*ids, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text"))).write.parquet(f"{path}/places")
         texts = index.table("places").groupBy("key").agg(F.first("text").alias("text"))
@@ -132,13 +149,14 @@ class TextIndex:
         return index
 
     def search(self, queries: DataFrame, query_id: str, query_text: str, k: int, counts: dict | None = None) -> DataFrame:
-        """``query_id, ids..., text, score, rank``: each query's ``k`` best rows (a
-        score above 0; ties by the ids), fewer if fewer share a word with it."""
+        """``query_id, ids..., text, score, rank``: each query's ``k`` best rows, ties by
+        the ids; rows that share no telling word with it have the score 0."""
         ids = [c for c in self.table("places").columns if c not in ("key", "text")]
         n = self.table("places").select("key").distinct().count()
         terms = weighted_queries(queries, query_id, query_text, self.table("stats"), n)
         places = self.table("places")
         hits = stored(ranked_places(best_texts(self.table("postings"), terms, k, counts=counts), places, ids, k), "hits")
+        hits = stored(with_rest(hits, queries, query_id, places, ids, k), "hits")
         texts = places.select("key", "text").join(stored(hits.select("key").distinct(), "hit-keys"), "key", "left_semi").dropDuplicates(["key"])
         return hits.join(texts, "key").withColumnRenamed("__query", query_id).select(query_id, *ids, "text", "score", "rank")
 

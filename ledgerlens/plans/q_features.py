@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as P
 from ..functions.exprs import fmt_fixed, fmt_grouped
 from ..operators import features as FE
-from ..sources.views import SQL_TXN, SQL_TXN_DAMAGED, SQL_TXN_DIRTY, txn, txn_damaged, txn_dirty
+from .. import config as C
+from ..functions import columns as P
+from ..functions.exprs import measured
+from ..sources.views import SQL_TXN, SQL_TXN_DAMAGED, SQL_TXN_DIRTY, SQL_TXN_ORDERS, txn, txn_damaged, txn_dirty, txn_orders
 from .catalog import register
 
 
@@ -163,3 +166,40 @@ def q_anomaly_messages(spark, sf_dir):
     return g.select("category", F.concat(F.lit("$"), fmt_grouped(F.col("total"), 2)).alias("total_text"),
                     fmt_fixed(F.col("mean"), 1).alias("mean_text"), fmt_fixed(F.col("low"), 4).alias("low_text"),
                     fmt_fixed(F.col("spread"), 2).alias("spread_text"))
+
+
+# --- PRJ-1..11: columns by name and type ------------------------------------
+
+#: Rule, resolver, and what it finds in the two tables.
+_RULES = [
+    ("amount, anomaly", lambda d: P.amount_column(d, C.AMOUNT_CANDIDATES_ANOMALY), "amount", "amount"),
+    ("amount, trends", lambda d: P.amount_column(d, C.AMOUNT_CANDIDATES_TRENDS), "amount", "amount"),
+    ("amount, page", lambda d: P.amount_column(d, C.AMOUNT_CANDIDATES_PAGE, required=True), "amount", "amount"),
+    ("customer", P.customer_column, "customer_id", "customer_id"),
+    ("dates by name", lambda d: ",".join(P.date_columns_by_name(d)), "transaction_date", "transaction_date"),
+    ("first date", P.first_temporal, "transaction_date", "transaction_date"),
+    ("time, page", P.time_column_page, None, None),
+    ("label", P.label_column, "is_fraud", None),
+    ("label, training", P.training_label_column, "is_fraud", None),
+    ("label, statistics", P.stats_label_column, "is_fraud", None),
+    ("category", P.category_column, "category", "category"),
+]
+
+
+def _rules_sql() -> str:
+    rows = [(t, rule, found) for rule, _, a, b in _RULES for t, found in (("txn_damaged", a), ("txn_orders", b))]
+    return f"WITH {SQL_TXN_DAMAGED}, {SQL_TXN_ORDERS}\n" + "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, '{rule}' AS rule, {'NULL' if c is None else repr(c)} AS column_name, count({'NULL' if c is None else c}) AS n_values FROM {t}" for t, rule, c in rows)
+
+
+@register("resolved_columns", _rules_sql())
+def q_resolved_columns(spark, sf_dir):
+    """Each rule's column and how many values it holds."""
+    out = None
+    for name, df in (("txn_damaged", txn_damaged(spark, sf_dir)), ("txn_orders", txn_orders(spark, sf_dir))):
+        found = [(rule, resolve(df)) for rule, resolve, _, _ in _RULES]
+        counts = df.agg(*(F.count(measured(df, c)).alias(str(i)) if c else F.lit(0).cast("long").alias(str(i)) for i, (_, c) in enumerate(found)))
+        rows = counts.select(F.inline(F.array(*(F.struct(F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.lit(c).cast("string").alias("column_name"), F.col(str(i)).alias("n_values"))
+                                                for i, (rule, c) in enumerate(found)))))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -203,8 +203,9 @@ idf AS (SELECT b, ln((SELECT n FROM nn) + 1.0) - ln(count(*) + 1.0) AS i FROM tf
 qtf AS ({_sql_terms('query_id, query', 'query', 'qs')}),
 sc AS (SELECT query_id, query, tf.chunk, round(sum(qtf.c * i * i * tf.c / sqrt(wn.n)), 9) AS score
        FROM qtf JOIN tf ON tf.b = qtf.b JOIN idf ON idf.b = tf.b JOIN wn ON wn.chunk = tf.chunk GROUP BY query_id, query, tf.chunk),
-hits AS (SELECT * FROM (SELECT query_id, query, doc_id, chunk_no, chunks.chunk, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS rank
-                        FROM sc JOIN chunks ON chunks.chunk = sc.chunk WHERE score > 0) WHERE rank <= {k})"""
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM (
+           SELECT qs.query_id, qs.query, doc_id, chunk_no, chunks.chunk, coalesce(score, 0) AS score
+           FROM qs CROSS JOIN chunks LEFT JOIN sc ON sc.chunk = chunks.chunk AND sc.query_id = qs.query_id)) WHERE rank <= {k})"""
 
 
 @register("retrieval_result", f"""WITH {SQL_DOC_CHUNKS}, {sql_hits()}

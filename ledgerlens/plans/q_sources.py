@@ -83,8 +83,9 @@ def q_csv_quoted(spark, sf_dir):
 def q_json_array(spark, sf_dir):
     path = scratch_path(spark, "array") + ".json"
     rows = _quoted(spark, sf_dir)
-    # each file is one array over many lines
-    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.pmod(F.xxhash64("transaction_id"), F.lit(64)).alias("part"))
+    files = max(8, rows.count() // 10_000)
+    # each file is one array over many lines, of 10,000 rows or so
+    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.pmod(F.xxhash64("transaction_id"), F.lit(files)).alias("part"))
     arrays = text.groupBy("part").agg(F.concat_ws(",\n  ", F.collect_list("j")).alias("j"))
     arrays.select("part", F.concat(F.lit("[\n  "), "j", F.lit("\n]")).alias("value")).write.partitionBy("part").text(path)
     return RD.load_transactions(spark, path, "transaction_id bigint, amount double, note string").select(
@@ -97,6 +98,17 @@ def q_ingest_rows(spark, sf_dir):
     return RD.ingest_report(spark, table_path(sf_dir, "events")).select("rows", "columns")
 
 
+@register("ingest_size_check", "SELECT true AS size_is_the_files, true AS name_is_the_files, count(*) AS rows FROM events")
+def q_ingest_size_check(spark, sf_dir):
+    """The report's size is what the file system says of the files."""
+    from ..session import table_path
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, "events"))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = sum(f.getLen() for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*.parquet"))) if fs.getFileStatus(path).isDirectory() else fs.getFileStatus(path).getLen()
+    rep = RD.ingest_report(spark, table_path(sf_dir, "events"))
+    return rep.select((F.abs(F.col("size_mb") - held / 1048576.0) < 1e-9).alias("size_is_the_files"), (F.col("filename") == "events.parquet").alias("name_is_the_files"), "rows")
+
+
 @register("ingest_report")
 def q_ingest_report(spark, sf_dir):
     from ..session import table_path

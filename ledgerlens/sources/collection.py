@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.text_index import best_texts, postings_of, ranked_places, stats_of, text_key, weighted_queries, write_postings
+from ..operators.text_index import best_texts, postings_of, ranked_places, stats_of, text_key, weighted_queries, with_rest, write_postings
 from ..session import stored
 
 #: ``(docs, id_col, text_col) -> id_col, chunk_no, chunk``
@@ -113,6 +113,7 @@ class Collection:
         postings = self._segments("postings", "bucket int, key binary, weight double").drop("segment")
         best = best_texts(postings, terms, k, live=stored(places.select("key").distinct(), "live-keys"))
         hits = stored(ranked_places(best, places, ids, k), "hits")
+        hits = with_rest(hits, queries, query_id, places, ids, k)
         return (hits.join(self.texts(), "key").withColumnRenamed("__query", query_id).select(query_id, *ids, "text", "score", "rank"))
 
     def _stats(self) -> DataFrame:

@@ -40,14 +40,22 @@ def _inferred(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, as the first and last line of a
+    field with line breaks have (one pass over the lines, which splits any file)."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool | None = None) -> DataFrame:
     """SRC-1: header row, doubled quotes, line breaks inside quotes; NA texts
     are missing before types are inferred.  With a declared schema, fields that
     do not parse become null (PERMISSIVE mode).
 
-    A file that may hold quoted line breaks can't be split; pass
-    ``multi_line=False`` for large files known to have none."""
+    Files with quoted line breaks can't be split, each is one task; others are
+    split like any text.  Which they are is looked up unless ``multi_line`` says it."""
+    multi_line = _has_quoted_breaks(spark, path) if multi_line is None else multi_line
     r = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
          .option("multiLine", multi_line))
     if schema is not None:
@@ -64,7 +72,11 @@ def _is_json_array(spark: SparkSession, path: str) -> bool:
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
               multi_line: bool | None = None) -> DataFrame:
     """SRC-2: JSON lines, or one JSON array for each file (seen from the first
-    line unless ``multi_line`` says).  Records that do not parse fail."""
+    line unless ``multi_line`` says).  Records that do not parse fail.
+
+    Lines are split over tasks.  An array is parsed whole by one task, so a file
+    of this kind should stay under about a gigabyte; larger tables belong into
+    many files or JSON lines."""
     multi_line = _is_json_array(spark, path) if multi_line is None else multi_line
     r = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     if schema is not None:
@@ -76,7 +88,7 @@ def load_transactions(spark: SparkSession, path: str, schema=None, **kw) -> Data
     """SRC-3: reader by extension; other extensions are rejected."""
     p = path.rstrip("/").lower()
     if p.endswith(".csv"):
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, **kw)
     if p.endswith(".json"):
         return read_json(spark, path, schema, **kw)
     if p.endswith(".parquet"):
