@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exprs import number
+
 
 def _long_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     kv = F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
@@ -37,6 +39,28 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
+def quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], rank_error: float | None = None) -> dict[tuple[str, float], float | None]:
+    """``{(column, q): value}``: exact if no ``rank_error`` is given, else values of
+    the columns from one pass (``sketch_quantiles``)."""
+    return exact_quantiles(df, specs) if rank_error is None else sketch_quantiles(df, specs, rank_error)
+
+
+def sketch_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], rank_error: float) -> dict[tuple[str, float], float | None]:
+    """A value of each column whose rank is within ``rank_error`` times the number of
+    values from the wanted one, always: a mergeable sketch of about 1 / ``rank_error``
+    values a task and column, one pass for all columns.  Nulls and NaN are skipped;
+    a column without values gives ``None``."""
+    if not 0 < rank_error < 1:
+        raise ValueError("rank_error is a share of the rows, between 0 and 1")
+    specs = list(dict.fromkeys((c, float(q)) for c, q in specs))
+    wanted = {c: sorted({q for k, q in specs if k == c}) for c, _ in specs}
+    if not specs:
+        return {}
+    accuracy = min(1 << 30, math.ceil(1 / rank_error))
+    row = df.agg(*(F.percentile_approx(number(c), qs, accuracy).alias(f"c{i}") for i, (c, qs) in enumerate(wanted.items()))).first()
+    return {(c, q): (None if row[f"c{i}"] is None else float(row[f"c{i}"][n])) for i, (c, qs) in enumerate(wanted.items()) for n, q in enumerate(qs)}
+
+
 def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, float]], *,
                     max_candidates: int | None = None, accuracy: int | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolation quantiles, ``{(column, q): value}``.

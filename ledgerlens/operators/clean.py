@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions.columns import (amount_column, date_columns_by_name, float_columns,
                                  numeric_columns, string_columns, time_column_page)
-from ..functions.quantiles import exact_modes, exact_quantiles
+from ..functions.quantiles import exact_modes, exact_quantiles, quantiles
 from ..session import ensure_checkpoint_dir
 
 
@@ -47,15 +47,16 @@ def _nulls_to_none(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                        for c in df.columns]) if floats & set(cols) else df
 
 
-def impute_median(df: DataFrame, exclude: Sequence[str] = (), counts: dict | None = None) -> DataFrame:
+def impute_median(df: DataFrame, exclude: Sequence[str] = (), counts: dict | None = None, rank_error: float | None = None) -> DataFrame:
     """CLN-3: every numeric column holding a missing value gets its exact
-    (interpolated) median; an all-missing column stays null.  Integer columns
+    (interpolated) median, or with a ``rank_error`` a value that near to it, from
+    one pass; an all-missing column stays null.  Integer columns
     with missing values become double first, as in pandas."""
     counts = counts if counts is not None else null_counts(df)
     targets = [c for c in numeric_columns(df, exclude) if counts.get(c, 0) > 0]
     if not targets:
         return df
-    med = exact_quantiles(df, [(c, 0.5) for c in targets])
+    med = quantiles(df, [(c, 0.5) for c in targets], rank_error)
     df = _nulls_to_none(df, targets)
     out = []
     for f in df.schema.fields:

@@ -13,7 +13,7 @@ from .. import config as C
 from ..functions.columns import (amount_column, category_column, first_temporal, numeric_columns,
                                  stats_label_column, temporal_columns)
 from ..functions.exprs import measured, number
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantiles
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
@@ -38,11 +38,11 @@ def epoch_micros(df: DataFrame, c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None, timestamps: bool = True) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, timestamps: bool = True, rank_error: float | None = None) -> DataFrame:
     """AGG-2: count, mean, std (sample), min, quartiles (exact, linear), max
     per numeric column, in long form (column, stat, value).  Timestamp
     columns are described too (as pandas 2 does), in epoch seconds, with no
-    std."""
+    std.  With a ``rank_error`` the quartiles come from one pass with that error."""
     cols = cols if cols is not None else numeric_columns(df)
     tcols = temporal_columns(df) if timestamps and cols == numeric_columns(df) else []
     if tcols:
@@ -57,7 +57,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, timestamps: b
         (F.avg(F.col(c).cast("decimal(38,0)")).cast("double") if c in tcols else F.avg(c)).alias(f"m{i}"),
         F.stddev_samp(c).alias(f"s{i}"), F.min(c).cast("double").alias(f"lo{i}"),
         F.max(c).cast("double").alias(f"hi{i}"))]).first()
-    qs = exact_quantiles(df, [(c, q) for c in cols for q in (0.25, 0.5, 0.75)])
+    qs = quantiles(df, [(c, q) for c in cols for q in (0.25, 0.5, 0.75)], rank_error)
     rows = []
     for i, c in enumerate(cols):
         vals = [row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"],
@@ -77,11 +77,11 @@ def fraud_stats(df: DataFrame, label_col: str | None = None) -> DataFrame:
     return df.agg(F.sum(y).cast("bigint").alias("fraud_count"), F.avg(y).alias("fraud_rate"))
 
 
-def amount_profile(df: DataFrame, amount_col: str | None = None) -> DataFrame:
-    """AGG-4: total, mean, exact median, max, min of the amount."""
+def amount_profile(df: DataFrame, amount_col: str | None = None, rank_error: float | None = None) -> DataFrame:
+    """AGG-4: total, mean, median (exact unless a ``rank_error`` is given), max, min of the amount."""
     amount_col = amount_col or amount_column(df, C.AMOUNT_CANDIDATES_TRENDS)
     df = df.select(measured(df, amount_col).alias(amount_col))
-    med = exact_quantiles(df, [(amount_col, 0.5)])[(amount_col, 0.5)]
+    med = quantiles(df, [(amount_col, 0.5)], rank_error)[(amount_col, 0.5)]
     x = F.col(amount_col)
     return df.agg(F.sum(x).alias("total_volume"), F.avg(x).alias("average_transaction"),
                   F.max(x).cast("double").alias("max_transaction"),

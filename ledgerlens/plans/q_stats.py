@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r6
+from ..functions.exprs import measured, r6
 from ..operators import anomaly as A
 from ..operators import report as R
 from ..operators import stats as S
@@ -65,6 +65,20 @@ def q_describe_numeric_dirty(spark, sf_dir):
     return _described(txn_damaged(spark, sf_dir))
 
 
+@register("describe_sketch_check", f"""WITH {SQL_TXN_DAMAGED}
+SELECT c AS column, q AS stat, n, true AS within_error FROM (SELECT unnest(['25%', '50%', '75%']) AS q),
+  (SELECT 'amount' AS c, count(amount) AS n FROM txn_damaged UNION ALL SELECT 'customer_id', count(customer_id) FROM txn_damaged)""")
+def q_describe_sketch_check(spark, sf_dir):
+    """Quartiles of one pass: the ranks of the values are counted, none is farther off than the stated error."""
+    t = txn_damaged(spark, sf_dir).select("amount", "customer_id")
+    d = S.describe_numeric(t, ["amount", "customer_id"], timestamps=False, rank_error=0.005).where("stat like '%\\%'")
+    kinds = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), measured(t, c).cast("double").alias("x")) for c in ("amount", "customer_id"))))
+    ranks = t.select(kinds).where("x IS NOT NULL").join(F.broadcast(d), "column").groupBy("column", "stat").agg(      # six rows
+        F.count("*").alias("n"), F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    wanted = F.regexp_replace("stat", "%", "").cast("double") / 100 * F.col("n")
+    return ranks.select("column", "stat", "n", ((F.col("below") - wanted <= 0.005 * F.col("n")) & (wanted - F.col("upto") <= 0.005 * F.col("n"))).alias("within_error"))
+
+
 @register("fraud_stats", f"""WITH {SQL_TXN}
 SELECT cast(sum(is_fraud) AS bigint) AS fraud_count, round(avg(is_fraud), 6) AS fraud_rate FROM txn""")
 def q_fraud_stats(spark, sf_dir):

@@ -102,3 +102,19 @@ def test_quantiles_of_few_hot_values(spark):
     got = exact_quantiles(df, [("x", q) for q in qs], max_candidates=100, accuracy=100)
     for q in qs:
         assert got[("x", q)] == pytest.approx(float(np.quantile(vals, q)), abs=1e-9), q
+
+
+def test_sketch_quantiles_keep_their_error(spark):
+    from ledgerlens.functions.quantiles import sketch_quantiles
+    from ledgerlens.operators import clean as K
+    rng = np.random.default_rng(6)
+    vals = np.concatenate([rng.exponential(size=20_000), np.full(10_000, 3.5), [np.nan] * 50])
+    df = spark.createDataFrame([(float(v), None) for v in vals], "x double, none double").repartition(7)
+    good = np.sort(vals[:-50])
+    for q, v in ((q, sketch_quantiles(df, [("x", q)], 0.002)["x", q]) for q in (0.01, 0.25, 0.5, 0.66, 0.99)):
+        assert np.searchsorted(good, v, "left") - 0.002 * len(good) <= q * len(good) <= np.searchsorted(good, v, "right") + 0.002 * len(good)
+    assert sketch_quantiles(df, [("none", 0.5)], 0.1) == {("none", 0.5): None}
+    with pytest.raises(ValueError):
+        sketch_quantiles(df, [("x", 0.5)], 0.0)
+    filled = K.impute_median(df.select("x"), rank_error=0.01).where("isnan(x) or x is null").count()
+    assert filled == 0
