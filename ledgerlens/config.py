@@ -99,6 +99,8 @@ class Limits:
     def reset(self) -> None:
         self.quantile_max_candidates = 2_000_000   # (value, count) groups ranked in one task
         self.quantile_accuracy = 10_000             # percentile_approx accuracy per narrowing round
+        self.mode_values = 1_000_000                # different values that are counted at once for a mode
+        self.mode_counters = 10_000                 # counters of a task and column for the mode of more values
         self.dictionary_local = 200_000             # sorted dictionary ranked in one window
         self.dictionary_broadcast = 1_000_000       # label dictionary joined with a broadcast
         self.prefix_local = 200_000                 # prefix sums in one ordered window
@@ -111,6 +113,8 @@ class Limits:
     def small(self) -> None:
         self.quantile_max_candidates = 50
         self.quantile_accuracy = 200
+        self.mode_values = 2
+        self.mode_counters = 4
         self.dictionary_local = 2
         self.dictionary_broadcast = 2
         self.prefix_local = 10

@@ -12,19 +12,21 @@ rows, or one value, or two neighbouring ones, so the final ranking step is
 bounded whatever the size of the table.  An interval that a sketch can't
 shrink, because a few values hold most of its rows, is halved by value.
 
-``exact_modes`` is the same idea for the most frequent value: a partial
-(map-side combined) ``groupBy(column, value).count()`` followed by a global
-``min_by`` over (count desc, value asc), so ties go to the smallest value.
+``exact_modes`` is the same idea for the most frequent value: counters with an
+error bound first, exact counts of the values that can still win.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .exprs import number
 
 
@@ -219,14 +221,74 @@ def _bisect(long: DataFrame, stuck: list[dict]) -> None:
 
 def exact_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     """Most frequent non-null value per column; ties go to the smallest value.
-    Columns without a value are absent from the result."""
+    Columns without a value are absent from the result.
+
+    Columns of few different values are counted at once.  Of the others each task
+    keeps its ``LIMITS.mode_counters`` most frequent values with a bound of what it
+    dropped (``heavy_values``); if the most frequent one is above that bound, only
+    values that can reach it are counted exactly, and a value's rows are shuffled
+    no more.  A column where none is (most of its values are rare) is counted whole."""
+    from ..config import LIMITS
     cols = list(cols)
     if not cols:
         return {}
-    kv = F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
-                            for c in cols]))
-    counts = (df.select(kv).where(F.col("v").isNotNull())
-              .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    about = text.agg(*[F.approx_count_distinct(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    many = [c for i, c in enumerate(cols) if about[f"c{i}"] > LIMITS.mode_values]
+    modes = _counted_modes(_pairs(text, [c for c in cols if c not in many]))
+    if many:
+        survivors = stored(heavy_values(text, many, LIMITS.mode_counters), "heavy")
+        known = {r["k"]: r["decided"] for r in survivors.groupBy("k").agg(F.min("decided").alias("decided")).collect()}
+        undecided = [c for c in many if not known.get(c)]          # no counter is left, or none above the bound
+        pairs = _pairs(text, [c for c in many if known.get(c)])
+        modes |= _counted_modes(pairs and pairs.join(survivors.where("decided").select("k", "v"), ["k", "v"], "left_semi"))
+        modes |= _counted_modes(_pairs(text, undecided))
+    return modes
+
+
+def _pairs(text: DataFrame, cols: Sequence[str]) -> DataFrame | None:
+    """``k, v``: the values of text columns in long form."""
+    if not cols:
+        return None
+    return text.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in cols]))).where(F.col("v").isNotNull())
+
+
+def _counted_modes(pairs: DataFrame | None) -> dict[str, str]:
+    if pairs is None:
+        return {}
+    counts = pairs.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
     best = counts.groupBy("k").agg(
         F.min_by("v", F.struct((-F.col("c")).alias("nc"), F.col("v").alias("vv"))).alias("mode"))
     return {r["k"]: r["mode"] for r in best.collect()}
+
+
+def heavy_values(text: DataFrame, cols: Sequence[str], counters: int) -> DataFrame:
+    """``k, v, decided``: the values of each column that can be its most frequent one.
+
+    Each task counts with at most ``counters`` counters a column.  When there are
+    more, the count of the first one beyond is taken off all, and those that fall
+    to 0 go: a value's true count is at most its counter plus all that was taken
+    off, which is at most rows / counters.  ``decided`` is false for a column whose
+    largest counter isn't above that bound, so that a value that went may win."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = {c: {} for c in cols}
+        off = dict.fromkeys(cols, 0)
+        for batch in batches:
+            for c in cols:
+                own = held[c]
+                for x in pc.value_counts(batch.column(c).drop_null()).to_pylist():
+                    own[x["values"]] = own.get(x["values"], 0) + x["counts"]
+                if len(own) > counters:
+                    less = sorted(own.values(), reverse=True)[counters]
+                    held[c] = {v: n - less for v, n in own.items() if n > less}
+                    off[c] += less
+        rows = [(c, v, n, 0) for c in cols for v, n in held[c].items()] + [(c, None, 0, off[c]) for c in cols]
+        k, v, n, o = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(v, pa.string()), pa.array(n, pa.int64()), pa.array(o, pa.int64())], names=["k", "v", "n", "off"])
+
+    kept = stored(text.select(*cols).mapInArrow(run, "k string, v string, n long, off long"), "counters")
+    bound = kept.groupBy("k").agg(F.sum("off").alias("off"))                                          # a row per column
+    sums = kept.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.sum("n").alias("n"))
+    best = sums.groupBy("k").agg(F.max("n").alias("best")).join(bound, "k")
+    near = sums.join(F.broadcast(best), "k").where(F.col("n") + F.col("off") >= F.col("best"))
+    return near.select("k", "v", ((F.col("off") == 0) | (F.col("best") > F.col("off"))).alias("decided"))

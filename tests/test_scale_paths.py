@@ -104,6 +104,24 @@ def test_quantiles_of_few_hot_values(spark):
         assert got[("x", q)] == pytest.approx(float(np.quantile(vals, q)), abs=1e-9), q
 
 
+def test_modes_by_counters_equal_counts(spark, monkeypatch):
+    """Frequent, tied and all-different values; few rows are shuffled where one value stands out."""
+    from collections import Counter
+    from ledgerlens.config import LIMITS
+    from ledgerlens.functions.quantiles import heavy_values
+    rng = np.random.default_rng(2)
+    hot = ["hot" if x < .2 else f"v{int(y)}" for x, y in zip(rng.random(20_000), rng.integers(0, 8000, 20_000))]
+    cols = {"hot": hot, "tied": [f"t{i % 40}" for i in range(20_000)], "different": [f"d{i:05d}" for i in range(20_000)], "none": [None] * 20_000,
+            "two": ["b" if i % 2 else "a" for i in range(20_000)]}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} string" for c in cols)).repartition(6)
+    want = {c: min(Counter(x for x in v if x is not None).items(), key=lambda i: (-i[1], i[0]))[0] for c, v in cols.items() if c != "none"}
+    monkeypatch.setattr(LIMITS, "mode_values", 10)
+    monkeypatch.setattr(LIMITS, "mode_counters", 50)
+    assert exact_modes(df, list(cols)) == want
+    left = heavy_values(df, ["hot", "different"], 50).toPandas().groupby("k").agg({"v": "count", "decided": "min"})
+    assert left.loc["hot", "decided"] and left.loc["hot", "v"] < 20 and not ("different" in left.index and left.loc["different", "decided"])
+
+
 def test_sketch_quantiles_keep_their_error(spark):
     from ledgerlens.functions.quantiles import sketch_quantiles
     from ledgerlens.operators import clean as K
