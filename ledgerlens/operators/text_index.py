@@ -116,7 +116,6 @@ def with_rest(hits: DataFrame, queries: DataFrame, query_id: str, places: DataFr
     the first other places by the ids with a score of 0: a search returns ``k`` rows if there are as many."""
     found = hits.groupBy("__query").agg(F.count("*").alias("__n"))
     short = queries.select(F.col(query_id).alias("__query")).distinct().join(found, "__query", "left").where(F.coalesce("__n", F.lit(0)) < k).select("__query")
-    short = stored(short, "short")
     if short.isEmpty():
         return hits
     # fewer than k of the first 2k places are hits
@@ -124,8 +123,8 @@ def with_rest(hits: DataFrame, queries: DataFrame, query_id: str, places: DataFr
     rest = short.crossJoin(F.broadcast(first)).join(hits.select("__query", *ids), ["__query", *ids], "left_anti")
     rest = rest.select("__query", *ids, "key", F.lit(0.0).alias("score"))
     w = Window.partitionBy("__query").orderBy(F.desc("score"), *ids)
-    return (hits.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-            .select("__query", *ids, "key", "score", "rank"))
+    return stored(hits.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+                  .select("__query", *ids, "key", "score", "rank"), "hits")
 
 
 class TextIndex:
@@ -156,8 +155,8 @@ class TextIndex:
         terms = weighted_queries(queries, query_id, query_text, self.table("stats"), n)
         places = self.table("places")
         hits = stored(ranked_places(best_texts(self.table("postings"), terms, k, counts=counts), places, ids, k), "hits")
-        hits = stored(with_rest(hits, queries, query_id, places, ids, k), "hits")
-        texts = places.select("key", "text").join(stored(hits.select("key").distinct(), "hit-keys"), "key", "left_semi").dropDuplicates(["key"])
+        hits = with_rest(hits, queries, query_id, places, ids, k)
+        texts = places.select("key", "text").join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
         return hits.join(texts, "key").withColumnRenamed("__query", query_id).select(query_id, *ids, "text", "score", "rank")
 
 

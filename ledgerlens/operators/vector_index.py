@@ -37,6 +37,8 @@ from ..session import stored
 CELL_ITEMS, MAX_CELLS, RINGS = 4096, 4096, 16
 #: Centres and byte scales are fitted on so many items, and so many for each cell, at most; any fit is right, since an item's own distance and error are kept.
 SAMPLE, SAMPLE_PER_CELL, ROUNDS = 4096, 16, 4
+#: Visits of a query that are passed on at once.
+VISITS = 1024
 #: Lower bounds are made smaller, upper bounds larger by this share, beyond any rounding.
 SLACK = 1e-6
 
@@ -184,9 +186,11 @@ class VectorIndex:
                         take = order[:seeds] if first else order[seeds:][near[i][order[seeds:]] <= limit[i]]
                         at = np.repeat(take, salts[take])
                         salt = np.arange(len(at)) - np.repeat(np.cumsum(salts[take]) - salts[take], salts[take])
-                        one = b.slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
-                        yield pa.RecordBatch.from_arrays([one.column("__query"), one.column("__q"), one.column("bound"), pa.array(cell[at].astype(np.int32)),
-                                                          pa.array(ring[at].astype(np.int32)), pa.array(salt.astype(np.int32))], schema=visit_schema)
+                        for s in range(0, len(at), VISITS):
+                            some, salted = at[s:s + VISITS], salt[s:s + VISITS]
+                            one = b.slice(i, 1).take(pa.array(np.zeros(len(some), np.int64)))
+                            yield pa.RecordBatch.from_arrays([one.column("__query"), one.column("__q"), one.column("bound"), pa.array(cell[some].astype(np.int32)),
+                                                              pa.array(ring[some].astype(np.int32)), pa.array(salted.astype(np.int32))], schema=visit_schema)
             return run
 
         found = "__query long, __item long, __cell int, low double, high double"
