@@ -77,9 +77,7 @@ def boundary_pattern(scores: dict[str, float]) -> re.Pattern:
     return re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
-@lru_cache(maxsize=2)
 def make_counter(path: str):
-    """A worker's counter, kept between its tasks with the words it knows."""
     scores = load_pieces(path)
     split = boundary_pattern(scores).findall
     known: dict[str, int] = {}
