@@ -22,7 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.text_index import best_texts, postings_of, ranked_places, stats_of, text_key, weighted_queries, with_rest, write_postings
+from ..functions.partitioning import dealt_by_bytes
+from ..operators.text_index import POSTING_BYTES, best_texts, postings_of, ranked_places, stats_of, text_key, weighted_queries, with_rest, write_postings
 from ..session import stored
 
 #: ``(docs, id_col, text_col) -> id_col, chunk_no, chunk``
@@ -132,7 +133,6 @@ class Collection:
         text = F.coalesce(F.col(text_col), F.lit(""))
         new = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(self.state["id_type"]).alias("doc_id"), text.alias("text"))
                .groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("content", text_key(F.col("text"))))
-        new = stored(new, "new")
         old = stored(self.documents(), "old")
         changed = stored(new.join(old.select("doc_id", "content"), ["doc_id", "content"], "left_anti"), "changed")
         return self._next(changed, old, splitter)
@@ -163,16 +163,22 @@ class Collection:
         fresh = made.select("key", "text").groupBy("key").agg(F.first("text").alias("text")).join(known, "key", "left_anti")
         fresh.write.parquet(f"{at}/texts")
         fresh = self.spark.read.schema("key binary, text string").parquet(f"{at}/texts")
-        write_postings(postings_of(fresh), f"{at}/postings")
+        write_postings(postings_of(dealt_by_bytes(fresh, "key", POSTING_BYTES)), f"{at}/postings")
         after = Collection(self.spark, self.root, self.name, self.version, self.state | {"segments": [*self.state["segments"], segment]})
         # texts that came and went, by the places of the changed documents; a text may still be elsewhere
         gone = before.join(changed.select("doc_id"), "doc_id", "left_semi").select("key").distinct()
         left = stored(after.places().select("key").distinct(), "after-keys")
         lost = stored(gone.join(left, "key", "left_anti"), "lost")
         came = stored(made.select("key").distinct().join(before.select("key").distinct(), "key", "left_anti"), "came")
-        postings = after._segments("postings", "bucket int, key binary, weight double").drop("segment")
-        moved = (stats_of(postings.join(came, "key", "left_semi")).withColumn("sign", F.lit(1))
-                 .unionByName(stats_of(postings.join(lost, "key", "left_semi")).withColumn("sign", F.lit(-1)).withColumn("top", F.lit(0.0))))
+        # all new texts came; of those that came back or went the few postings are made again
+        # from the texts, which is less to move than every segment's postings
+        back = stored(came.join(fresh.select("key"), "key", "left_anti"), "back")
+        ours = self.spark.read.schema("bucket int, key binary, weight double").parquet(f"{at}/postings")
+        moved = stats_of(ours).withColumn("sign", F.lit(1))
+        for keys, sign in ((back, 1), (lost, -1)):
+            if not keys.isEmpty():
+                counted = stats_of(postings_of(self.texts().join(keys, "key", "left_semi"))).withColumn("sign", F.lit(sign))
+                moved = moved.unionByName(counted if sign > 0 else counted.withColumn("top", F.lit(0.0)))
         # a bucket's largest weight may stay too large when a text goes; as a bound it stays right
         stats = (self._stats().withColumn("sign", F.lit(1)).unionByName(moved).groupBy("bucket").agg(F.sum(F.col("texts") * F.col("sign")).alias("texts"), F.max("top").alias("top"))
                  .where("texts > 0"))
