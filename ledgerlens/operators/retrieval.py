@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -163,17 +162,37 @@ def split_recursive(text: str | None, size: int = C.CHUNK_SIZE, overlap: int = C
     return [piece for a, b in spans if (piece := text[a:b].strip())]
 
 
+#: Chunks that a task passes on at once.
+CHUNKS_SENT = 2_000
+
+
 def chunk_recursive(df: DataFrame, id_col: str, text_col: str, size: int = C.CHUNK_SIZE,
                     overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
-    """RET-4b: separator-aware chunks, one row each (Arrow-batched UDF, the
-    explode stays in Spark)."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split_udf(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t, size, overlap))
-
-    return (ensure_parallelism(df.select(id_col, text_col))
-            .select(id_col, F.posexplode(split_udf(F.col(text_col))).alias("chunk_no", "chunk"))
-            .withColumn("chunk_no", F.col("chunk_no").cast("bigint")))
+    """RET-4b: separator-aware chunks, one row each.  A task splits one text at a
+    time and passes chunks on as soon as there are some, so that its Python holds
+    a batch of texts but never their chunks as well."""
+    given = df.select(id_col, text_col)
+    schema = T.StructType([given.schema[id_col], T.StructField("chunk_no", T.LongType()), T.StructField("chunk", T.StringType())])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(at: list, ids: pa.Array, numbers: list, chunks: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())).cast(out.types[0]), pa.array(numbers, out.types[1]), pa.array(chunks, out.types[2])], schema=out)
+
+        for b in batches:
+            ids, texts = b.column(0), b.column(1)
+            at, numbers, chunks = [], [], []
+            for i in range(b.num_rows):
+                for n, piece in enumerate(split_recursive(texts[i].as_py(), size, overlap)):
+                    at.append(i)
+                    numbers.append(n)
+                    chunks.append(piece)
+                    if len(at) == CHUNKS_SENT:
+                        yield batch(at, ids, numbers, chunks)
+                        at, numbers, chunks = [], [], []
+            yield batch(at, ids, numbers, chunks)
+
+    return ensure_parallelism(given).mapInArrow(run, schema)
 
 
 # --- vectors -------------------------------------------------------------
