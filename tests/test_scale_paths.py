@@ -71,6 +71,26 @@ def test_block_knn_is_exact(spark):
         assert got == want, kw
 
 
+def test_block_knn_sends_queries_to_few_cells(spark, monkeypatch):
+    """Rows dealt to the searching tasks grow with the points, not with points times cells."""
+    from pyspark.sql.group import GroupedData
+    rng = np.random.default_rng(4)
+    pts = [(i, [float(v) for v in x]) for i, x in enumerate(rng.uniform(size=(4000, 5)))]
+    pts = [(i, x[:3] + [float(round(4 * v)) / 4 for v in x[3:]] + [0.0]) for i, x in pts]   # two of few values, one constant
+    dealt, plain = [], GroupedData.applyInPandas
+
+    def counted(self, func, schema):
+        dealt.append(self._df.count())
+        return plain(self, func, schema)
+    monkeypatch.setattr(GroupedData, "applyInPandas", counted)
+    res = knn(spark.createDataFrame(pts, "id long, v array<double>"), "id", "v", 5, local_limit=0, block=64).collect()
+    got = {}
+    for r in sorted(res, key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append(r["nid"])
+    assert got == _brute(pts, 5)
+    assert sum(dealt) < 12 * len(pts)
+
+
 def test_topk_in_many_query_blocks(spark, monkeypatch):
     from ledgerlens.operators import retrieval as RT
     items = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(300)], "id long, v array<double>")
