@@ -26,9 +26,10 @@ from .common import map_rows
 WINDOW = 16
 #: A cut follows where this many bits of the mixed window hash are 0: chunks of 512 bytes on average.
 CUT_BITS = 9
-#: Cache bounds of a worker.
-CHUNK_CACHE_BYTES = 24 << 20
-WORD_CACHE = 200_000
+#: Cache bounds of a worker.  An executor runs a worker for each core beside its
+#: heap, so they count as often.
+CHUNK_CACHE_BYTES = 8 << 20
+WORD_CACHE = 25_000
 WORD_CHARS = 128
 _GEAR = np.random.default_rng(7).integers(1, 1 << 32, 256, dtype=np.uint32)
 
@@ -95,8 +96,11 @@ class ChunkEncoder:
             self.tokens[i] = t
         self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.pieces = regex.compile(_split_pattern(path))
+        # words and their pieces; what the last full cache held is looked up once more, so frequent ones stay
         self.ids: dict[bytes, bytes] = {}
+        self.last_ids: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.last_parts: dict[str, bytes] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.held = 0
         self.reused = self.encoded = 0
@@ -104,9 +108,11 @@ class ChunkEncoder:
     def _part(self, piece: str) -> bytes:
         got = self.parts.get(piece)
         if got is None:
-            got = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
-            if len(self.parts) > WORD_CACHE:
-                self.parts.clear()
+            got = self.last_parts.get(piece)
+            if got is None:
+                got = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
+            if len(self.parts) >= WORD_CACHE:
+                self.last_parts, self.parts = self.parts, {}
             if len(piece) <= WORD_CHARS:
                 self.parts[piece] = got
         return got
@@ -125,11 +131,11 @@ class ChunkEncoder:
         if not new:
             return b"".join(map(known.__getitem__, words))
         if len(known) + len(new) > WORD_CACHE:
-            known.clear()
-            new = set(words)
-        long = {}
+            self.last_ids, self.ids = known, {}
+            known, new = self.ids, set(words)
+        last, long = self.last_ids, {}
         for w in new:
-            (known if len(w) <= WORD_CHARS else long)[w] = self.word(w)
+            (known if len(w) <= WORD_CHARS else long)[w] = last[w] if w in last else self.word(w)
         return b"".join([long[w] if w in long else known[w] for w in words])
 
     def chunk(self, data: bytes) -> tuple:
@@ -186,7 +192,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     skip_special_tokens=False)``.  Null and empty texts give no ids and an
     empty text.  Rows are independent: repeated rows give repeated results, a
     null id stays null, an empty table gives no rows.  A worker holds one
-    text's result and its two bounded caches.
+    text's result and its bounded caches.
     """
     def make():
         encoder = ChunkEncoder(tokenizer_path)

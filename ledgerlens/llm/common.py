@@ -16,6 +16,8 @@ from ..session import scratch_path
 #: Rows of an Arrow batch, at most.  Spark's default of 10,000 texts has no bound in
 #: bytes that suits executors; the session's setting is lowered, never raised.
 BATCH_ROWS = 1000
+#: Bytes of a piece of a batch that :func:`map_rows` works on at once, unless a row has more.
+PIECE_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -68,6 +70,16 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``PIECE_BYTES``, or of one row."""
+    if batch.num_rows <= 1 or batch.nbytes <= PIECE_BYTES:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half))
+        yield from halved(batch.slice(half))
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -91,9 +103,16 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in slices(batches):
-            rows = [fn(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+
+        def mapped(piece: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [fn(*r) for r in zip(*(c.to_pylist() for c in piece.columns))]
             cols = list(zip(*rows)) if rows else [()] * len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types)], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, out.types)], schema=out)
+
+        for batch in slices(batches):
+            for piece in halved(batch):
+                yield mapped(piece)              # its rows go before the next ones come
+        del fn, mapped                           # with their caches, before the memory is given back
+        release()
 
     return df.mapInArrow(run, schema)

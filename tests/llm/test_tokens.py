@@ -63,6 +63,40 @@ def test_codec_equals_the_library(word):
     assert encoder.reused > 0
 
 
+def _held(cache) -> int:
+    from sys import getsizeof
+    return getsizeof(cache) + sum(getsizeof(k) + getsizeof(v) for k, v in cache.items())
+
+
+def test_caches_of_a_worker_stay_small(word):
+    """Words that never come again: an executor holds these caches once for each core beside its heap."""
+    encoder = bpe_codec.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    for at in range(0, 240_000, 2000):
+        encoder.encode(" ".join(f"{i:06d}" for i in range(at, at + 2000)))
+    caches = [c for n, c in vars(encoder).items() if isinstance(c, dict) and n != "chunks"]
+    assert sum(map(_held, caches)) < 24 << 20 and encoder.held <= 8 << 20
+    for t in TEXTS:
+        _same(encoder, word, t)
+
+
+def test_what_a_full_cache_held_is_found_again(word, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "WORD_CACHE", 5)
+    encoder = bpe_codec.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    for t in TEXTS + ["a b c d", "e f g", "a e", "a b c d e f g h i j", "a " * 40 + "é" * 200] * 2:
+        _same(encoder, word, t)
+        assert len(encoder.parts) <= 5 and len(encoder.last_parts) <= 5
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+    from ledgerlens.llm import common
+    batch = pa.RecordBatch.from_pydict({"n": list(range(300)), "text": ["x" * 9000] * 299 + ["y" * (3 << 20)]})
+    pieces = list(common.halved(batch))
+    assert pa.Table.from_batches(pieces).to_pydict() == batch.to_pydict()
+    assert all(p.nbytes <= common.PIECE_BYTES or p.num_rows == 1 for p in pieces) and len(pieces) < 12
+    assert [p.num_rows for p in common.halved(batch.slice(0, 0))] == [0]
+
+
 def test_joins_are_repaired_at_any_cut(word, monkeypatch):
     text = pd.read_parquet(f"{SF_SMALL}/documents.parquet").text[0][:400] + " l'été<|endoftext|>漢字 don't 12"
     data = text.encode()
