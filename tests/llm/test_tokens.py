@@ -79,6 +79,24 @@ def test_caches_of_a_worker_stay_small(word):
         _same(encoder, word, t)
 
 
+def test_words_that_come_again_are_merged_once(word):
+    """As many as a task of real texts holds; lookups cost a tenth of merging."""
+    encoder = bpe_codec.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
+    letters = str.maketrans("0123456789", "etaoinshrl")
+    texts = [" ".join(f"{i:05d}".translate(letters) for i in range(at, at + 2000)) for at in range(0, 60_000, 2000)]
+    merged = []
+
+    class Model:
+        def tokenize(self, piece, model=encoder.model):
+            merged.append(piece)
+            return model.tokenize(piece)
+    encoder.model = Model()
+    for t in texts * 2:
+        encoder.encode(t)
+    assert len(merged) < 62_000                      # and the few words that a cut of the text falls into
+    _same(encoder, word, texts[3])
+
+
 def test_what_a_full_cache_held_is_found_again(word, monkeypatch):
     monkeypatch.setattr(bpe_codec, "WORD_CACHE", 5)
     encoder = bpe_codec.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
