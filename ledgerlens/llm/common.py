@@ -26,17 +26,27 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: With this setting a query's shuffle files go when it ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage like ``checkpoint()`` (a lost executor costs no
     recomputation of what is stored), but is compressed, computed once, can be
     read by column, and carries its real size into the planner's join choice.
+    The shuffles behind it are freed at once, since nothing reads them again.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = scratch_path(spark, f"llm-{tag}")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

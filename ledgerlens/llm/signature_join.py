@@ -23,12 +23,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import release, sized, slices, store
+from .common import discard, release, sized, slices, store
 from .components import components
 
 #: Members of a group that one task decides at once.
@@ -37,6 +38,8 @@ CENTRES = 16
 FAN = 8
 MAP_BYTES = 64 << 20
 SIZE_STEP = 1.6
+#: Keys are shuffled in so many rounds, each with the keys of one range.
+ROUNDS = 4
 _WORDS = 100_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -135,9 +138,15 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
+def in_rounds(keys: np.ndarray) -> list[np.ndarray]:
+    """The keys by the range that they fall in."""
+    at = (keys.view(np.uint64) // np.uint64((1 << 64) // ROUNDS)).astype(np.int64)
+    return [keys[at == i] for i in range(ROUNDS)]
+
+
 def _set_rows(k: int, num: int, den: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-                        ("lead", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+                        ("lead", pa.int64()), ("sketch", pa.binary()), *((f"keys_{i}", pa.list_(pa.int64())) for i in range(ROUNDS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
@@ -148,15 +157,15 @@ def _set_rows(k: int, num: int, den: int):
                 s = shingles(text)
                 h = [int(np.add.reduce(_mix(s + c)).astype(np.int64)) if len(s) else 0 for c in (_C[3], _C[4])]
                 if not len(s) or doc_id is None:
-                    rows.append((doc_id, len(s), *h, 0, None, []))
+                    rows.append((doc_id, len(s), *h, 0, None, *[[]] * ROUNDS))
                     continue
-                keys = []
+                keys = [[]] * ROUNDS
                 if (h[0], h[1]) not in seen:                        # copies that this task has seen add no keys
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add((h[0], h[1]))
-                    keys = part_keys(s, num, den)
-                rows.append((doc_id, len(s), *h, int(s[0] >> np.uint64(1)), bitmap(s, sketch_bits(_class(len(s)) + 1)).tobytes(), keys))
+                    keys = in_rounds(part_keys(s, num, den))
+                rows.append((doc_id, len(s), *h, int(s[0] >> np.uint64(1)), bitmap(s, sketch_bits(_class(len(s)) + 1)).tobytes(), *keys))
             cols = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
     return run
@@ -194,15 +203,20 @@ def _candidate_links(sets: DataFrame) -> DataFrame:
     """``a, b``: sets (by ``h1``) that share a key, each linked to one of them.
 
     Rows are range-sorted by (key, set): a key held by very many sets is dealt
-    over several partitions, whose pieces are joined by their ends.
+    over several partitions, whose pieces are joined by their ends.  The ranges
+    of keys come one after the other, so that the shared disks hold the shuffle
+    of one of them at a time.
     """
-    rows = sets.select(F.explode("keys").alias("key"), "h1")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "key", "h1").sortWithinPartitions("key", "h1")
-    near = store(ordered.mapInArrow(_adjacent, "a long, b long, key long"), "near")
-    ends = near.where("key is not null").select("key", "a")        # two rows for each partition
-    across = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b").select("a", "b")
-    return near.where("key is null").select("a", "b").union(across)
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for i in range(ROUNDS):
+        rows = sets.select(F.explode(f"keys_{i}").alias("key"), "h1")
+        ordered = rows.repartitionByRange(-(-n // ROUNDS), "key", "h1").sortWithinPartitions("key", "h1")
+        near = store(ordered.mapInArrow(_adjacent, "a long, b long, key long"), "near")
+        ends = near.where("key is not null").select("key", "a")    # two rows for each partition
+        across = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b").select("a", "b")
+        found.append(near.where("key is null").select("a", "b").union(across))
+    return reduce(DataFrame.union, found)
 
 
 class SignatureTree:
@@ -421,22 +435,29 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = store(texts.mapInArrow(_set_rows(k, num, den), "doc_id long, n_shingles long, h1 long, h2 long, lead long, sketch binary, "
-                                                          "keys array<long>"), "sets")
-    real = sets.where("n_shingles > 0 and doc_id is not null")
+                                  + ", ".join(f"keys_{i} array<long>" for i in range(ROUNDS))), "sets")
+    # what is large is deleted as soon as nothing reads it any more
+    rows = store(sets.select("doc_id", "n_shingles", "h1", "h2"), "rows")
+    real = "n_shingles > 0 and doc_id is not null"
+    shared = _candidate_links(sets.where(real))
+    near = components(shared)
+    discard(shared)
     # one document stands for each set; copies of it take part in nothing but the last join
-    firsts = store(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("lead").alias("lead"),
-                                                              F.first("sketch").alias("sketch")), "firsts")
-    near = components(_candidate_links(real))
+    firsts = store(sets.where(real).groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("lead").alias("lead"),
+                                                                          F.first("sketch").alias("sketch")), "firsts")
+    discard(sets)
     grouped = firsts.join(near, F.col("h1") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("grp"))
     sketches = firsts.select("doc_id", "n_shingles", "lead", "sketch")
     bounded = components(_connected(_in_classes(grouped, num, den), sketches, _bounded(num, den), block, ["doc_id", "n_shingles"], num, den))
     members = firsts.join(bounded, F.col("doc_id") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("grp"))
     exact = _connected(_counted(members), texts, _exact(k, num, den), block, ["doc_id"], num, den)
     # a repeated id is one node, so its sets are linked through it
-    final = store(components(exact.union(_repeated_ids(real, firsts))), "final")
+    final = store(components(exact.union(_repeated_ids(rows.where(real), firsts))), "final")
     named = firsts.join(final, F.col("doc_id") == F.col("node"), "left").select(
         F.col("n_shingles").alias("n"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component", "doc_id").alias("of_set"))
-    out = sets.select("doc_id", "n_shingles", "h1", "h2").join(
+    named = store(named, "named")
+    discard(firsts)
+    out = rows.join(
         named, (F.col("n_shingles") == F.col("n")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))

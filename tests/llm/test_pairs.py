@@ -156,3 +156,33 @@ def test_keys_meet_for_every_linked_pair():
                         assert np.intersect1d(S.part_keys(a, num, 100), S.part_keys(b, num, 100)).size, (n, drop, num)
                     if drop > n // 2 + 2 or drop > 30 and rng.random() < .9:
                         break
+
+
+def test_rounds_hold_every_key_once():
+    keys = np.r_[np.random.default_rng(3).integers(-2**63, 2**63 - 1, 2000), -2**63, -1, 0, 2**63 - 1]
+    rounds = S.in_rounds(keys)
+    assert len(rounds) == S.ROUNDS and sorted(np.concatenate(rounds)) == sorted(keys) and all(len(r) > 300 for r in rounds)
+
+
+def test_large_tables_and_shuffles_go_when_they_are_read(spark, monkeypatch, tmp_path):
+    """The stages after this one share its disk."""
+    import glob
+    from ledgerlens.llm import common
+    made = []
+
+    def path(spark, name):
+        made.append((name, f"file://{tmp_path}/ledgerlens/{name}-{len(made)}"))
+        return made[-1][1]
+    monkeypatch.setattr(common, "scratch_path", path)
+    texts = [prose(i, 60) for i in range(30)]
+    docs = [(i, t) for i, t in enumerate([*texts, *texts[:5], *(edited(t, 1, 0.02) for t in texts[:5])])]
+    assert S.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), k=5, num=80, den=100).count() == 30
+    left = {g.rsplit("/", 1)[1].rsplit("-", 1)[0] for g in glob.glob(f"{tmp_path}/ledgerlens/*")}
+    assert {"llm-sets", "llm-firsts", "llm-near"} <= {n for n, _ in made} and not left & {"llm-sets", "llm-firsts", "llm-near"}
+    # a stored table's own query leaves no shuffle files, and the session's setting stays
+    from ledgerlens.llm.common import CLEANUP, store
+    seen, write = [], type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, p: (seen.append(spark.conf.get(CLEANUP, None)), write(self, p))[1])
+    before = spark.conf.get(CLEANUP, None)
+    assert store(spark.range(100).repartition(3, "id"), "some").count() == 100
+    assert seen == ["true"] and spark.conf.get(CLEANUP, None) == before
