@@ -83,7 +83,8 @@ def test_words_that_come_again_are_merged_once(word):
     """As many as a task of real texts holds; lookups cost a tenth of merging."""
     encoder = bpe_codec.ChunkEncoder(queries.tokenizer_path("word_bpe_49k.json"))
     letters = str.maketrans("0123456789", "etaoinshrl")
-    texts = [" ".join(f"{i:05d}".translate(letters) for i in range(at, at + 2000)) for at in range(0, 60_000, 2000)]
+    words = [f"{i:05d}".translate(letters) for i in range(60_000)]
+    texts = [" ".join(words[at:at + 2000]) for at in range(0, 60_000, 2000)]
     merged = []
 
     class Model:
@@ -91,7 +92,7 @@ def test_words_that_come_again_are_merged_once(word):
             merged.append(piece)
             return model.tokenize(piece)
     encoder.model = Model()
-    for t in texts * 2:
+    for t in [*texts, *(" ".join(t.split()[::-1]) for t in texts)]:     # other chunks of the same words
         encoder.encode(t)
     assert len(merged) < 62_000                      # and the few words that a cut of the text falls into
     _same(encoder, word, texts[3])
