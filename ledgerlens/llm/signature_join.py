@@ -2,14 +2,13 @@
 
 1. Every text becomes its set of word shingles (64-bit hashes).  Equal sets are
    one set with a count of rows.
-2. Candidates: shingles are dealt to P parts by hash.  Two linked sets differ in
-   at most d elements, so with more than d + (empty parts) parts at least one
-   part is equal and not empty in both.  The hash of each part's content is a
-   key; sets that share a key are joined to groups.  (P depends on the size
-   class; sets whose partners can be in a higher class are keyed there too.  Sets with
-   too many empty parts add a key for each element of their prefix, the usual
-   exact filter.)  No link is lost, and a passage that many documents share
-   makes no common key unless it fills a part.
+2. Candidates: all sets are put in one order, by hash but with the shingles last
+   that many texts have.  A set's keys are its prefix, the part of it that two linked
+   sets cannot both miss.  Linked sets even share as many keys as their sizes
+   demand (``needed``), so sets that meet under keys held by few are paired and the
+   pairs counted; sets under a key held by many are joined to a group at once.  No
+   link is lost in any order, which decides only how many candidates there are, and
+   a passage that many documents share makes no key of a text that has others.
 3. In each group a signature tree narrows the candidates: nodes hold the OR of
    their members' token bitmaps and the range of sizes; a dual traversal prunes
    node pairs by the largest possible overlap, and pairs that are connected
@@ -40,7 +39,14 @@ MAP_BYTES = 64 << 20
 SIZE_STEP = 1.6
 #: Keys are shuffled in so many rounds, each with the keys of one range.
 ROUNDS = 4
-_WORDS = 100_000
+#: Sets under a key held by more are not paired with each other but joined to one group.
+RUN = 64
+#: Shingles that a task counts at once, what makes one of many texts, and how many of those are held.
+COUNTED = 2_000_000
+OFTEN = 8
+FREQUENT = 1 << 20
+#: Rows that a task works on or passes on at once.
+_ROWS = 100_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                              0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -52,31 +58,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (sorting small arrays is much faster than ``np.unique``)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class Shingles:
-    """Texts to sorted arrays of distinct shingle hashes; keeps a bounded table of word hashes."""
+    """Texts to sorted arrays of distinct shingle hashes."""
 
     def __init__(self, k: int):
-        self.k, self.known = k, {}
+        self.k = k
 
     def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
+        from xxhash import xxh3_64_intdigest
         words = text.encode().lower().split() if text else []       # bytes: A-Z only, white space 0x20 and 0x09-0x0D
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > _WORDS:
-                known.clear()
-                new = set(words)
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
         width = min(self.k, len(h))
         n = len(h) - width + 1
         out = np.full(n, np.uint64(width))
         for j in range(width):
             out = _mix(out + h[j:j + n] * _C[j % 8])
-        return np.unique(out)
+        return _distinct(out)
 
 
 def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -118,24 +123,27 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The candidate keys of a sorted set, see the module's text."""
-    n = len(s)
-    keys = []
-    for c in range(_class(n), _class(n * den // num) + 1):  # its own class to its largest partner's
-        top = SIZES[c]
-        most = 2 * top * (den - num) // (den + num)                # elements in which two linked sets can differ
-        parts = most + 1 + (2 + most // 8 if most else 0)
-        salt = _mix(np.full(1, c, np.uint64) + _C[5])
-        part = (_mix(s ^ _C[6]) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        held, start = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(_mix(s[order] + _C[7]), start)
-        keys.append(_mix(sums + held.astype(np.uint64) * _C[1] + salt))
-        if parts - len(held) >= parts - most:                      # an equal part could be an empty one
-            prefix = s[:n - -(-n * num // den) + 1]
-            keys.append(_mix(prefix + salt + _C[2]))
-    return np.unique(np.concatenate(keys)).view(np.int64)
+_NONE = np.empty(0, np.uint64)
+
+
+def part_keys(s: np.ndarray, num: int, den: int, frequent: np.ndarray = _NONE) -> np.ndarray:
+    """The candidate keys of a sorted set, see the module's text; ``frequent``
+    (sorted) are the shingles that come last in the order."""
+    often = np.zeros(len(s), bool)
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+    first = np.concatenate([s[~often], s[often]])[:len(s) - -(-len(s) * num // den) + 1]
+    return _mix(first + _C[2]).view(np.int64)
+
+
+def needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many keys linked sets of these sizes share at least, 0 where sizes forbid a link.
+
+    What both have up to the end of the prefix that ends first is in both prefixes;
+    after it come at most as many elements as that set has beyond its prefix."""
+    most = np.maximum(a, b)
+    need = -(-num * (a + b) // (num + den)) - -(-num * most // den) + 1
+    return np.where(den * np.minimum(a, b) >= num * most, need, 0)
 
 
 def in_rounds(keys: np.ndarray) -> list[np.ndarray]:
@@ -144,7 +152,55 @@ def in_rounds(keys: np.ndarray) -> list[np.ndarray]:
     return [keys[at == i] for i in range(ROUNDS)]
 
 
-def _set_rows(k: int, num: int, den: int):
+def _repeated(k: int):
+    """``shingle, n`` of the shingles that several of some neighbouring texts have (equal texts count once)."""
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(k)
+        held, size, seen = [], 0, set()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate([_NONE, *held]), return_counts=True)
+            found, n = found[n > 1].view(np.int64), n[n > 1]
+            for at in range(0, len(n), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at:at + _ROWS]), pa.array(n[at:at + _ROWS], pa.int64())], schema=schema)
+
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                if text is None or hash(text) in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(hash(text))
+                held.append(shingles(text))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield from counted()
+                    held, size = [], 0
+        yield from counted()
+    return run
+
+
+def _frequent(texts: DataFrame, k: int) -> np.ndarray:
+    """Shingles that many texts have, the ``FREQUENT`` most frequent at most, sorted.
+    They are counted piece by piece, so one that is rare in all pieces may be
+    missing; any choice gives the same links."""
+    counts = (texts.select("text").mapInArrow(_repeated(k), "shingle long, n long")
+              .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN))
+    counts = store(counts, "often")
+    least, total = OFTEN, 0
+    for row in counts.groupBy("n").agg(F.count("*").alias("of")).orderBy(F.desc("n")).collect():
+        total += row["of"]
+        if total > FREQUENT:
+            least = row["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).select("shingle").toArrow().column(0).to_numpy()
+    discard(counts)
+    return np.sort(found.view(np.uint64))
+
+
+def _set_rows(k: int, num: int, den: int, frequent: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
                         ("lead", pa.int64()), ("sketch", pa.binary()), *((f"keys_{i}", pa.list_(pa.int64())) for i in range(ROUNDS))])
 
@@ -164,43 +220,85 @@ def _set_rows(k: int, num: int, den: int):
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add((h[0], h[1]))
-                    keys = in_rounds(part_keys(s, num, den))
+                    keys = in_rounds(part_keys(s, num, den, frequent))
                 rows.append((doc_id, len(s), *h, int(s[0] >> np.uint64(1)), bitmap(s, sketch_bits(_class(len(s)) + 1)).tobytes(), *keys))
             cols = list(zip(*rows)) if rows else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
     return run
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
-
-
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: link each row to the first of its key in the partition.
-    The first and last key of a partition are reported too (with a key), since
-    they may go on in another partition."""
-    key = first = None
-    started = False
-    for batch in batches:
-        k, d = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(k):
-            continue
-        new = np.r_[key is None or k[0] != key, k[1:] != k[:-1]]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        head = np.where(at >= 0, d[np.maximum(at, 0)], first if first is not None else 0)
-        pick = ~new & (d != head)
-        pairs = np.unique(np.stack([d[pick], head[pick]], 1), axis=0)
-        ends = [] if started else [(int(d[0]), int(k[0]))]
-        started, key, first = True, int(k[-1]), int(head[-1])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(pairs[:, 0].tolist() + [e[0] for e in ends], pa.int64()),
-            pa.array(pairs[:, 1].tolist() + [None] * len(ends), pa.int64()),
-            pa.array([None] * len(pairs) + [e[1] for e in ends], pa.int64())], schema=_EDGE)
-    if started:
-        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([None], pa.int64()), pa.array([key], pa.int64())], schema=_EDGE)
-
-
-def _candidate_links(sets: DataFrame) -> DataFrame:
-    """``a, b``: sets (by ``h1``) that share a key, each linked to one of them.
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64()), ("key", pa.int64())])
+
+
+def _met(num: int, den: int):
+    """Rows ``key, set, size`` sorted by key and set: each pair of sets under a key of up
+    to ``RUN`` sets, with how many keys it needs; under a longer one each set with the
+    first (``need`` is 0).  The first and last key of a partition, which may go on in
+    another one, count as long and are reported too (with the key)."""
+    def out(a=(), b=(), need=(), key=()) -> pa.RecordBatch:
+        n = max(len(a), len(key))
+        cols = [c if len(c) else [None] * n for c in (a, b, need, key)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _MET.types)], schema=_MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, np.int64)] * 3                          # of a key that may go on
+        held, size = [], 0
+        going: tuple[int, int] | None = None                       # the key of a long run that may go on, and its first set
+        started = False
+
+        def decided(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest, held, size, going, started
+            k, d, n = (np.concatenate([r, *(h[i] for h in held)]) for i, r in enumerate(rest))
+            rest, held, size = [np.empty(0, np.int64)] * 3, [], 0
+            if not len(k):
+                if last and going:
+                    yield out(a=[going[1]], key=[going[0]])
+                return
+            new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
+            k, d, n = k[new], d[new], n[new]
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            count = np.diff(np.r_[start, len(k)])
+            head, long = d[start].copy(), count > RUN
+            if not started:
+                started, long[0] = True, True
+                yield out(a=d[:1], key=k[:1])
+            elif going and going[0] == k[0]:
+                head[0], long[0] = going[1], True
+            long[-1] |= last
+            if last:
+                yield out(a=head[-1:], key=k[-1:])
+            going = (int(k[-1]), int(head[-1])) if long[-1] else None
+            if not long[-1]:
+                rest = [x[start[-1]:] for x in (k, d, n)]
+                count[-1] = 0                                       # left for later
+            of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(k)]))
+            star = long[of] & (d != head[of])
+            if star.any():
+                pairs = np.unique(np.stack([d[star], head[of[star]]], 1), axis=0)
+                yield out(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
+            few = ~long[of] & (count[of] > 1)
+            of, d, n = of[few], d[few], n[few]
+            for j in range(1, RUN):
+                at = np.flatnonzero(of[j:] == of[:-j])
+                if not len(at):
+                    break
+                need = needed(n[at], n[at + j], num, den)
+                at, need = at[need > 0], need[need > 0]
+                if len(at):
+                    yield out(d[at], d[at + j], need)
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for i in range(3)])
+            size += batch.num_rows
+            if size >= _ROWS:
+                yield from decided(False)
+        yield from decided(True)
+    return run
+
+
+def _candidate_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: sets (by ``h1``) that share as many keys as linked ones must, or that
+    stand under one long key, each linked to one of them.
 
     Rows are range-sorted by (key, set): a key held by very many sets is dealt
     over several partitions, whose pieces are joined by their ends.  The ranges
@@ -208,15 +306,17 @@ def _candidate_links(sets: DataFrame) -> DataFrame:
     of one of them at a time.
     """
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = []
+    found, met = [], []
     for i in range(ROUNDS):
-        rows = sets.select(F.explode(f"keys_{i}").alias("key"), "h1")
+        rows = sets.select(F.explode(f"keys_{i}").alias("key"), "h1", "n_shingles")
         ordered = rows.repartitionByRange(-(-n // ROUNDS), "key", "h1").sortWithinPartitions("key", "h1")
-        near = store(ordered.mapInArrow(_adjacent, "a long, b long, key long"), "near")
+        near = store(ordered.mapInArrow(_met(num, den), "a long, b long, need long, key long"), "near")
         ends = near.where("key is not null").select("key", "a")    # two rows for each partition
         across = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").where("a <> b").select("a", "b")
-        found.append(near.where("key is null").select("a", "b").union(across))
-    return reduce(DataFrame.union, found)
+        found.append(near.where("need = 0").select("a", "b").union(across))
+        met.append(near.where("need > 0").select("a", "b", "need"))
+    pairs = reduce(DataFrame.union, met).groupBy("a", "b", "need").agg(F.count("*").alias("keys")).where("keys >= need")
+    return reduce(DataFrame.union, found).union(pairs.select("a", "b"))
 
 
 class SignatureTree:
@@ -410,7 +510,7 @@ def _counted(grouped: DataFrame) -> DataFrame:
 
 def _in_classes(grouped: DataFrame, num: int, den: int) -> DataFrame:
     """Groups cut by size class.  A set whose partners can be in higher classes
-    is a guest there, as in :func:`part_keys`."""
+    is a guest there."""
     def class_of(n):
         return F.aggregate(F.array(*[F.lit(x) for x in SIZES]), F.lit(0), lambda acc, x: acc + F.when(n > x, 1).otherwise(0))
 
@@ -434,12 +534,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     component.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = store(texts.mapInArrow(_set_rows(k, num, den), "doc_id long, n_shingles long, h1 long, h2 long, lead long, sketch binary, "
+    sets = store(texts.mapInArrow(_set_rows(k, num, den, _frequent(texts, k)), "doc_id long, n_shingles long, h1 long, h2 long, lead long, sketch binary, "
                                   + ", ".join(f"keys_{i} array<long>" for i in range(ROUNDS))), "sets")
     # what is large is deleted as soon as nothing reads it any more
     rows = store(sets.select("doc_id", "n_shingles", "h1", "h2"), "rows")
     real = "n_shingles > 0 and doc_id is not null"
-    shared = _candidate_links(sets.where(real))
+    shared = _candidate_links(sets.where(real), num, den)
     near = components(shared)
     discard(shared)
     # one document stands for each set; copies of it take part in nothing but the last join

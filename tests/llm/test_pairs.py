@@ -1,5 +1,6 @@
 """Cover trees and signature trees against all pairs; components."""
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import cover_pairs as C
@@ -186,3 +187,66 @@ def test_large_tables_and_shuffles_go_when_they_are_read(spark, monkeypatch, tmp
     before = spark.conf.get(CLEANUP, None)
     assert store(spark.range(100).repartition(3, "id"), "some").count() == 100
     assert seen == ["true"] and spark.conf.get(CLEANUP, None) == before
+
+
+def test_linked_sets_share_as_many_keys_as_needed():
+    rng = np.random.default_rng(7)
+    pool = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    seen = 0
+    for _ in range(4000):
+        n, num = int(rng.integers(1, 120)), int(rng.choice([50, 80, 85, 100]))
+        a = np.unique(np.r_[rng.choice(pool, n // 3, replace=False), rng.integers(0, 1 << 63, n, dtype=np.uint64)])
+        b = np.unique(np.r_[a[rng.random(len(a)) > rng.random() / 3], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)])
+        if not len(b) or not S.links(a, b, num, 100):
+            continue
+        seen += 1
+        need = int(S.needed(np.array([len(a)]), np.array([len(b)]), num, 100)[0])
+        for frequent in (np.empty(0, np.uint64), np.sort(pool)):
+            assert len(np.intersect1d(S.part_keys(a, num, 100, frequent), S.part_keys(b, num, 100, frequent))) >= need >= 1
+    assert seen > 500
+    assert S.needed(np.array([100]), np.array([79]), 80, 100)[0] == 0
+
+
+def test_keys_meet_in_pieces(monkeypatch):
+    """Pairs of short keys and stars of long ones, however the sorted rows are cut."""
+    monkeypatch.setattr(S, "RUN", 4)
+    monkeypatch.setattr(S, "_ROWS", 7)
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        key, at = rng.integers(0, 12, 80), rng.integers(0, 30, 80)
+        rows = sorted(zip(key.tolist(), at.tolist()))
+        cut = int(rng.integers(0, len(rows) + 1))
+        pairs, links, ends = [], [], []
+        for part in (rows[:cut], rows[cut:]):
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part[i:i + 5]], pa.int64()), pa.array([r[1] for r in part[i:i + 5]], pa.int64()),
+                                                   pa.array([10] * len(part[i:i + 5]), pa.int64())], names=["key", "h1", "n"]) for i in range(0, len(part), 5)]
+            for b in S._met(80, 100)(iter(batches)):
+                for r in b.to_pylist():
+                    (ends if r["key"] is not None else pairs if r["need"] else links).append((r["key"], r["a"]) if r["key"] is not None else (r["a"], r["b"]))
+        links += [(a, b) for k, a in ends for m, b in ends if k == m and a != b]
+        held = {k: sorted({d for x, d in rows if x == k}) for k in set(key.tolist())}
+        joined = smallest_reachable(range(30), links)
+        for k, sets in held.items():
+            if len(sets) > 4:
+                assert len({joined[d] for d in sets}) == 1, k
+        for x in range(30):
+            for y in range(x):
+                together = [k for k, sets in held.items() if x in sets and y in sets]
+                assert joined[x] == joined[y] or pairs.count((y, x)) == len(together)
+                assert pairs.count((y, x)) <= len(together) and not pairs.count((x, y))
+
+
+def test_a_common_passage_makes_no_group(spark, monkeypatch):
+    """Texts of their own that share a passage are never compared, so more of them cost no more each."""
+    passage, grouped = prose(10_000, 60), []
+    whole = S._in_classes
+
+    def seen(groups, num, den):
+        grouped.append(groups.count())
+        return whole(groups, num, den)
+    monkeypatch.setattr(S, "_in_classes", seen)
+    docs = [(i, f"{prose(i, 90)} {passage} {prose(5_000 + i, 90)}") for i in range(240)]
+    docs += [(1000 + i, edited(docs[i][1], i, 0.01)) for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in S.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string"), k=5, num=80, den=100).collect()}
+    assert got == jaccard_components(docs, 5, 80, 100)
+    assert grouped[0] <= 20
