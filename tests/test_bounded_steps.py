@@ -1,9 +1,13 @@
 """Steps of retrieval whose cost was cut: counted in the row, written once, passed on at once."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import retrieval as RT
 from ledgerlens.operators import text_index as TI
+from ledgerlens.plans.flows import full_run
 from ledgerlens.sources import collection as CO
 from ledgerlens.sources.collection import Collection
 
@@ -58,3 +62,36 @@ def test_chunks_are_passed_on_in_small_batches(spark, monkeypatch):
     found = RT.chunk_recursive(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", "text").collect()
     want = [(i, n, p) for i, t in texts for n, p in enumerate(RT.split_recursive(t))]
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_distinct_words_are_hashed_once(spark, monkeypatch):
+    hashed, md5 = [], TI.md5
+    monkeypatch.setattr(TI, "md5", lambda w, **how: hashed.append(w) or md5(w, **how))
+    monkeypatch.setattr(TI, "KNOWN", 3)
+    known, words = TI.Buckets(), ["a", "b", "a", "c", "b", "İx", "a"]
+    got = [known[w.encode()] for w in words]
+    assert hashed == [w.encode() for w in ("a", "b", "c", "İx", "a")] and len(known) <= 3
+    want = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(
+        F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % TI.BUCKETS)
+    assert got == [r[0] for r in want.collect()]
+
+
+def test_terms_of_many_texts_and_keys(spark, monkeypatch):
+    monkeypatch.setattr(TI, "COUNTED", 5)
+    texts = [(i, None if i % 7 == 3 else f"k{i % 4}", None if i % 5 == 4 else "One two.TWO three-İ " * (i % 6) + "x\x1fy\x7fz") for i in range(60)]
+    got = TI.term_counts(spark.createDataFrame(texts, "a bigint, b string, t string"), ["a", "b"], "t").collect()
+    want = []
+    for a, b, t in texts:
+        found = re.findall(r"[^\x00-\x2F:-@\[-`{-\x7F]+", (t or "").lower())
+        for n in Counter(TI.Buckets()[w.encode()] for w in found).items():
+            want.append((a, b, len(found), *n))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_full_run_scores_its_rows_once(spark):
+    """What reads the predictions reads them from the shared folder, not from the forest."""
+    rows = [(i, i % 9, float(i % 50) + (100.0 if i % 5 == 0 else 0.0), "abc"[i % 3], int(i % 5 == 0)) for i in range(300)]
+    r = full_run(spark.createDataFrame(rows, "transaction_id bigint, customer_id bigint, amount double, category string, is_fraud int"))
+    files = r.predictions.inputFiles()
+    assert files and all("/predictions-" in f for f in files)
+    assert r.predictions.count() == 300 and r.summary.count() == 1
